@@ -39,7 +39,7 @@ def around_many(
         anchors.select(key, at)
         .withColumn("_centre", centre)
         .withColumn("_bucket", F.explode(F.array(home - 1, home, home + 1)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
     near = left.join(right, ["_bucket", "_salt"]).filter(F.abs(micros - F.col("_centre")) <= width)
     near = near.select(key, at, *logs.columns)

@@ -78,7 +78,7 @@ class LineScan:
     def split_bound(self) -> int:
         """An upper bound on the number of file splits, from the file listing alone."""
         files = len(self.raw._jdf.inputFiles())
-        total = int(self.raw._jdf.queryExecution().analyzed().stats().sizeInBytes().toString())
+        total = int(str(self.raw._jdf.queryExecution().analyzed().stats().sizeInBytes()))
         largest = byte_conf(self.spark, "spark.sql.files.maxPartitionBytes", 128 << 20)
         opening = byte_conf(self.spark, "spark.sql.files.openCostInBytes", 4 << 20)
         share = (total + files * opening) // max(self.min_splits, 1)

@@ -24,7 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 class OpenEntry(StatefulProcessor):
     """Per source: the entry still open (first line number, text, when to give it out)."""
 
-    def __init__(self, flush_millis: int):
+    def __init__(self, flush_millis: int | None):
         self.flush_millis = flush_millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -49,6 +49,8 @@ class OpenEntry(StatefulProcessor):
                 open_no, parts = int(line_no), [line]
         if open_no is None:
             self.entry.clear()
+        elif self.flush_millis is None:
+            self.entry.update((open_no, "\n".join(parts), -1))
         else:
             flush_at = timerValues.getCurrentProcessingTimeInMs() + self.flush_millis
             self.entry.update((open_no, "\n".join(parts), flush_at))
@@ -69,15 +71,18 @@ class OpenEntry(StatefulProcessor):
         pass
 
 
-def tail_multiline(lines: DataFrame, is_head: Column, flush_millis: int = 5_000) -> DataFrame:
+def tail_multiline(lines: DataFrame, is_head: Column, flush_millis: int | None = 5_000) -> DataFrame:
     """Streaming (source, line_no, line) rows to (source, line_no, message) entries.
 
     An entry comes out when the next one of its source begins, or when nothing has
-    been added to it for ``flush_millis``. Rows of one batch are put in line order;
-    limit the batch with the source's own rate option.
+    been added to it for ``flush_millis``; with None only the next entry ends it. A
+    stream with timers goes on until it is stopped, also under ``availableNow``.
+    Rows of one batch are put in line order; limit the batch with the source's own
+    rate option.
     """
     use_rocksdb(lines.sparkSession)
     marked = lines.select("source", "line_no", "line", F.coalesce(is_head, F.lit(False)).alias("is_head"))
     return marked.groupBy("source").transformWithStateInPandas(
-        statefulProcessor=OpenEntry(flush_millis), outputStructType=JOINED, outputMode="append", timeMode="ProcessingTime"
+        statefulProcessor=OpenEntry(flush_millis), outputStructType=JOINED, outputMode="append",
+        timeMode="None" if flush_millis is None else "ProcessingTime",
     )
