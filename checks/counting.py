@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from checks.inputs import SQL_MESSAGE, entries, metrics, micros, table
+from checks.inputs import SQL_MESSAGE, entries, metrics, micros, spread, table
 from checks.registry import query
 from logloom.fixed import STATISTICS
 from logloom.functions.text import format_bytes
@@ -135,7 +135,7 @@ def paths_found(spark, sf):
         F.lit(' {"type":"'), "event_type", F.lit('","user":{"id":'), "user_id", F.lit(',"tags":'), tags,
         F.lit('},"list":['), "props", F.lit(',{"z":2}],"none":{}'), deep, F.lit("}"),
     )
-    logs = table(spark, sf, "events").select(
+    logs = spread(table(spark, sf, "events")).select(
         F.col("ts").cast("timestamp").alias("timestamp"), message.alias("message"), F.col("event_id").alias("line_no")
     )
     return discover_json_paths(logs, sample=None)

@@ -10,6 +10,12 @@ def table(spark, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, on all cores; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cents() -> Column:
     return F.round(F.col("value") * 100).cast("bigint")
 
@@ -48,7 +54,7 @@ def micros(column="timestamp") -> Column:
 def rendered(spark, sf: str, line: Column, source: Column | None = None) -> DataFrame:
     """One LINES row per event; the line number rises along the source."""
     source = F.concat(F.lit("/v/app-"), F.col("user_id") % 4, F.lit(".log")) if source is None else source
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events")).select(
         source.alias("source"), (F.col("event_id") + 1).alias("line_no"), line.alias("line")
     )
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.inputs import SQL_MESSAGE, event_message, micros, rendered, table
+from checks.inputs import SQL_MESSAGE, event_message, micros, rendered, spread, table
 from checks.registry import query
 from logloom.operators.multiline import fill_reference_date, join_multiline
 from logloom.parsers.java import is_header
@@ -115,7 +115,7 @@ def _trace_lines(spark, sf, header):
             F.lit("Caused by: \x1b[31mjava.io.IOException\x1b[0m: gone"),
         ),
     ).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events")).select(
         F.concat(F.lit("/v/app-"), F.col("user_id") % 4, F.lit(".log")).alias("source"),
         "event_id",
         F.posexplode(F.concat(F.array(header), trace)).alias("i", "line"),

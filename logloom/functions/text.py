@@ -74,32 +74,37 @@ def split_log_field(log: Column) -> Column:
     return F.get(F.split(log, ":", 2), F.lit(1))
 
 
-def number_text(value: Column, kind: Column) -> Column:
-    """Text of a JSON number: whole numbers without a point, no exponent."""
-    text = value.try_cast("string")
-    real = value.try_cast("double")
-    fixed_point = F.regexp_replace(real.try_cast("decimal(38,17)").cast("string"), F.lit(r"\.?0+$"), F.lit(""))
-    return F.when(kind != "DOUBLE", text).otherwise(
-        F.when((real == F.floor(real)) & (F.abs(real) < 1e18), real.try_cast("bigint").cast("string"))
-        .otherwise(F.coalesce(fixed_point, text))
-    )
+def json_type(value: Column) -> Column:
+    """Type of a JSON value as Spark spells it: STRING, BIGINT, DECIMAL(3,2), OBJECT<…>, …"""
+    return F.schema_of_variant(value)
 
 
-def json_type(value: Column) -> Column:
-    """Type name of a JSON value: STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID, OBJECT, ARRAY."""
-    return F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
+def is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+
+
+def is_container(kind: Column) -> Column:
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+
+def double_text(value: Column) -> Column:
+    """Text of a floating-point JSON number: whole numbers without a point, no exponent."""
+    real = value.try_cast("double")
+    fixed_point = F.regexp_replace(real.try_cast("decimal(38,17)").cast("string"), F.lit(r"\.?0+$"), F.lit(""))
+    whole = F.when((real == F.floor(real)) & (F.abs(real) < 1e18), real.try_cast("bigint").cast("string"))
+    return F.coalesce(whole, fixed_point, value.try_cast("string"))
 
 
-def sample_value(value: Column) -> Column:
+def sample_value(value: Column, kind: Column | None = None) -> Column:
     """Short text of a JSON scalar; numbers as ``%g``."""
-    kind = json_type(value)
+    kind = json_type(value) if kind is None else kind
     real = value.try_cast("double")
     whole = F.when((real == F.floor(real)) & (F.abs(real) < 1e18), real.try_cast("bigint").cast("string"))
     return (
-        F.when(kind == "VOID", F.lit("null"))
-        .when(kind.isin("DOUBLE", "DECIMAL"), F.coalesce(whole, _go_g(real)))
-        .when(kind.isin("OBJECT", "ARRAY"), F.to_json(value))
-        .otherwise(value.try_cast("string"))
+        F.when(kind.isin("STRING", "BIGINT", "BOOLEAN"), value.try_cast("string"))
+        .when(kind == "VOID", F.lit("null"))
+        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.coalesce(whole, _go_g(real)))
+        .otherwise(F.to_json(value))
     )
 
 

@@ -9,7 +9,7 @@ import re
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.fixed import EPOCH_MILLIS_ABOVE, MONTHS, PLAIN_PREFIXES, PLAIN_UNIX
 from logloom.functions.text import one_decimal
@@ -100,44 +100,76 @@ def json_text_time(text: Column) -> Column:
     return F.coalesce(rfc3339(text), spaced_time(text), slashed, _access_log_time(text))
 
 
-def plain_layouts(line: Column, tz: str = "UTC") -> list[tuple[Column, str]]:
-    """Per prefix layout, the instant it gives (or NULL) and its pattern."""
-    found = []
-    for _, pattern, spelled, zoned in PLAIN_PREFIXES:
-        normal = F.regexp_replace(line, F.lit(f"(?s){pattern}.*$"), F.lit(spelled))
-        when = zoned_instant(normal) if zoned else instant(normal, tz)
-        found.append((F.when(line.rlike(pattern), when), pattern))
-    unix = epoch_time(F.regexp_extract(line, PLAIN_UNIX, 1).try_cast("bigint"))
-    found.append((F.when(line.rlike(PLAIN_UNIX), unix), PLAIN_UNIX))
-    return found
+def _prefix_time(line: Column, no: int, tz: str) -> Column:
+    _, pattern, spelled, zoned = PLAIN_PREFIXES[no]
+    normal = F.regexp_replace(line, F.lit(f"(?s){pattern}.*$"), F.lit(spelled))
+    return zoned_instant(normal) if zoned else instant(normal, tz)
 
 
-def plain_layout_no(line: Column, tz: str = "UTC") -> Column:
-    """Number of the first layout that both matches and parses, or NULL."""
-    return F.coalesce(
-        *[F.when(ts.isNotNull(), F.lit(no)) for no, (ts, _) in enumerate(plain_layouts(line, tz))]
-    )
+_PROGRAM = [name for name, *_ in PLAIN_PREFIXES].index("program")
+_LEADING = [no for no in range(len(PLAIN_PREFIXES)) if no != _PROGRAM]
+_UNIX = len(PLAIN_PREFIXES)
+
+
+def leading_layout(line: Column) -> Column:
+    """Number of the layout that begins with its date, or NULL; no line has two of them."""
+    return F.coalesce(*[F.when(line.rlike(PLAIN_PREFIXES[no][1]), F.lit(no)) for no in _LEADING])
 
 
-def plain_time(line: Column, layout_no: Column, tz: str = "UTC") -> Column:
+def leading_time(line: Column, layout: Column, tz: str = "UTC") -> Column:
     ts = F.lit(None).cast("timestamp")
-    for no, (value, _) in reversed(list(enumerate(plain_layouts(line, tz)))):
-        ts = F.when(layout_no == no, value).otherwise(ts)
+    for no in reversed(_LEADING):
+        ts = F.when(layout == no, _prefix_time(line, no, tz)).otherwise(ts)
     return ts
 
 
-def plain_message(line: Column, layout_no: Column, tz: str = "UTC") -> Column:
+def plain_time(line: Column, layout: Column, leading: Column, tz: str = "UTC") -> Column:
+    """struct(layout, ts) of the first layout that both matches and parses.
+
+    ``layout`` and ``leading`` are what the two functions above gave. A layout that
+    matches and does not parse falls through, which is possible only to a program
+    name before the date and from there to a bracketed number.
+    """
+    no_layout, no_time = F.lit(None).cast("int"), F.lit(None).cast("timestamp")
+    program = F.when(line.rlike(PLAIN_PREFIXES[_PROGRAM][1]), _prefix_time(line, _PROGRAM, tz))
+    unix = F.when(line.rlike(PLAIN_UNIX), epoch_time(F.regexp_extract(line, PLAIN_UNIX, 1).try_cast("bigint")))
+    found = lambda no, ts: F.struct(no.alias("layout"), ts.alias("ts"))
+    return (
+        F.when(leading.isNotNull(), found(layout, leading))
+        .when(program.isNotNull(), found(F.lit(_PROGRAM), program))
+        .when(unix.isNotNull(), found(F.lit(_UNIX), unix))
+        .otherwise(found(no_layout, no_time))
+    )
+
+
+def plain_message(line: Column, layout: Column) -> Column:
     """The line without its time prefix; the whole line where there is none."""
+    patterns = [p for _, p, *_ in PLAIN_PREFIXES] + [PLAIN_UNIX]
     text = line
-    for no, (_, pattern) in reversed(list(enumerate(plain_layouts(line, tz)))):
-        text = F.when(layout_no == no, F.regexp_replace(line, F.lit(pattern), F.lit(""))).otherwise(text)
+    for no, pattern in reversed(list(enumerate(patterns))):
+        text = F.when(layout == no, F.regexp_replace(line, F.lit(pattern), F.lit(""))).otherwise(text)
     return text
 
 
+def with_plain_time(df: DataFrame, column: str = "line", tz: str = "UTC") -> DataFrame:
+    """P2 for a whole table: adds ``ts`` and ``message``.
+
+    In steps, so that each regular expression runs at most once per line.
+    """
+    line = F.col(column)
+    matched = df.withColumn("_layout", leading_layout(line))
+    timed = matched.withColumn("_leading", leading_time(line, F.col("_layout"), tz))
+    found = timed.withColumn("_found", plain_time(line, F.col("_layout"), F.col("_leading"), tz))
+    return found.select(
+        *df.columns, F.col("_found.ts").alias("ts"), plain_message(line, F.col("_found.layout")).alias("message")
+    )
+
+
 def extract_plain_ts(line: Column, tz: str = "UTC") -> Column:
     """P2 as one expression: struct(ts, message)."""
-    no = plain_layout_no(line, tz)
-    return F.struct(plain_time(line, no, tz).alias("ts"), plain_message(line, no, tz).alias("message"))
+    layout = leading_layout(line)
+    found = plain_time(line, layout, leading_time(line, layout, tz), tz)
+    return F.struct(found["ts"].alias("ts"), plain_message(line, found["layout"]).alias("message"))
 
 
 # --- relative times, durations -------------------------------------------------

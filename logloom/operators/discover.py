@@ -75,7 +75,7 @@ def json_leaves(docs: DataFrame, keep: list[str], depth: int) -> DataFrame:
         opened = rows.select(*keep, "name", "value", F.explode_outer("kids").alias("kid"))
         is_kid = F.col("kid").isNotNull()
         inner = F.col("kid.value")
-        is_array = json_type(inner) == "ARRAY"
+        is_array = json_type(inner).startswith("ARRAY")
         path = F.when(F.col("name") == "", F.col("kid.key")).otherwise(F.concat("name", F.lit("."), F.col("kid.key")))
         named = opened.select(
             *keep,
@@ -84,9 +84,12 @@ def json_leaves(docs: DataFrame, keep: list[str], depth: int) -> DataFrame:
             is_kid.alias("is_kid"),
             F.when(is_array, F.get(inner.try_cast("array<variant>"), F.lit(0))).otherwise(inner).alias("doc"),
         )
-        is_object = json_type(F.col("doc")) == "OBJECT"
-        text = F.when(F.col("doc").isNull(), F.lit("(empty array)")).when(~is_object, sample_value(F.col("doc")))
-        rows = named.select(
+        typed = named.withColumn("kind", json_type(F.col("doc")))
+        is_object = F.col("kind").startswith("OBJECT")
+        text = F.when(F.col("doc").isNull(), F.lit("(empty array)")).when(
+            ~is_object, sample_value(F.col("doc"), F.col("kind"))
+        )
+        rows = typed.select(
             *keep,
             "name",
             F.when(F.col("is_kid"), text).otherwise(F.col("value")).alias("value"),

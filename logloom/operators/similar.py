@@ -36,9 +36,11 @@ def similar_names(
     neighbourhoods are settled by the few spellings of the first steps, and the many
     spellings of the last serve only words with few neighbours.
     """
-    names = candidates.select("name").filter(F.col("name").isNotNull()).distinct()
+    # Cutting spellings is much work on few bytes: keep it on all cores.
+    tasks = candidates.sparkSession.sparkContext.defaultParallelism
+    names = candidates.select("name").filter(F.col("name").isNotNull()).repartition(tasks, "name").distinct()
     names = names.withColumn("low", F.lower("name"))
-    words = targets.select("target").filter(F.col("target").isNotNull()).distinct()
+    words = targets.select("target").filter(F.col("target").isNotNull()).repartition(tasks, "target").distinct()
     words = words.withColumn("low", F.lower("target"))
     found, open_words = None, words
     for d in range(max_distance + 1):

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.fixed import JSON_MESSAGE_KEYS, JSON_TIMESTAMP_KEYS
-from logloom.functions.text import json_type, number_text
+from logloom.functions.text import double_text, is_number, json_type
 from logloom.functions.times import epoch_time, json_text_time
 from logloom.parsers.rows import parsed
 
@@ -39,7 +39,7 @@ def json_ts(value: Column) -> Column:
     """P5: time of a JSON value: text in one of the layouts, or a number."""
     kind = json_type(value)
     return F.when(kind == "STRING", json_text_time(value.try_cast("string"))).when(
-        kind.isin("BIGINT", "DECIMAL", "DOUBLE"), epoch_time(value.try_cast("double"))
+        is_number(kind), epoch_time(value.try_cast("double"))
     )
 
 
@@ -47,8 +47,8 @@ def json_text(value: Column) -> Column:
     """Text of a JSON value."""
     kind = json_type(value)
     return (
-        F.when(kind == "STRING", value.try_cast("string"))
-        .when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), number_text(value, kind))
+        F.when(kind.isin("STRING", "BIGINT", "BOOLEAN") | kind.startswith("DECIMAL"), value.try_cast("string"))
+        .when(kind == "DOUBLE", double_text(value))
         .otherwise(F.to_json(value))
     )
 

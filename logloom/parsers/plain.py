@@ -2,13 +2,11 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.functions.times import plain_layout_no, plain_message, plain_time
+from logloom.functions.times import with_plain_time
 from logloom.parsers.rows import no_fields, parsed
 
 
 def parse_plain(rows: DataFrame, tz: str = "UTC", **_) -> DataFrame:
     """P1, P2."""
-    line = F.col("line")
-    tagged = rows.filter(line != "").withColumn("layout", plain_layout_no(line, tz))
-    layout = F.col("layout")
-    return parsed(tagged, plain_time(line, layout, tz), plain_message(line, layout, tz), no_fields())
+    timed = with_plain_time(rows.filter(F.col("line") != ""), "line", tz)
+    return parsed(timed, F.col("ts"), F.col("message"), no_fields())

@@ -15,6 +15,8 @@ def local_session(cores="*", partitions=8, app="logloom") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
+        # Without it every column expression records its Python call site.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
