@@ -111,7 +111,7 @@ def files(spark, sf):
     def keep(found, batch_id):
         found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    tail_files(spark, f"{folder}/*/*", keep, at, "java", None, _NOW, 50, default_date="2020-01-01").awaitTermination()
+    tail_files(spark, f"{folder}/*/*", keep, at, "java", None, _NOW, 64, default_date="2020-01-01").awaitTermination()
     rows = spark.read.option("basePath", out).parquet(out)
     key = F.regexp_extract("message", r"(?s)#(\d+)", 1).cast("bigint")
     return rows.select(key.alias("key"), micros().alias("ts_us"), F.regexp_replace("message", r" #\d+", "").alias("message"))

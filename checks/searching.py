@@ -142,7 +142,7 @@ def around_anchor(spark, sf):
 @query("around_many", """
 WITH n AS (
   SELECT a.event_id AS anchor_id, e.event_id,
-         row_number() OVER (PARTITION BY a.event_id ORDER BY e.ts DESC, 'file:///events/' || e.event_type || '#' || e.event_id) AS rn
+         row_number() OVER (PARTITION BY a.event_id ORDER BY e.ts DESC, 'file:///events/' || e.event_type || '#' || e.event_id DESC) AS rn
   FROM events a JOIN events e ON e.ts BETWEEN a.ts - INTERVAL 5 MINUTE AND a.ts + INTERVAL 5 MINUTE
   WHERE a.event_type = 'error')
 SELECT anchor_id, event_id FROM n WHERE rn <= 3""")
@@ -154,6 +154,18 @@ def around_anchors(spark, sf):
     return around_many(logs, anchors, "5m", limit=3).select("anchor_id", F.col("line_no").alias("event_id"))
 
 
+@query("around_many_all", """
+SELECT a.event_id AS anchor_id, e.event_id FROM events a JOIN events e ON e.ts BETWEEN a.ts - INTERVAL 90 SECOND AND a.ts + INTERVAL 90 SECOND
+WHERE a.event_type = 'error' AND e.event_type <> 'view'""")
+def around_anchors_all(spark, sf):
+    logs = entries(spark, sf)
+    anchors = logs.filter(F.col("source") == "/events/error").select(
+        F.col("line_no").alias("anchor_id"), F.col("timestamp").alias("anchor_ts")
+    )
+    found = around_many(logs, anchors, "90s", "^(?:error|click|signup|purchase)", limit=None)
+    return found.select("anchor_id", F.col("line_no").alias("event_id"))
+
+
 @query("get_by_ptr", f"""
 SELECT 'file:///events/' || event_type || '#' || event_id AS ptr, 'found' AS status, {SQL_MESSAGE} AS message FROM events WHERE event_type = 'error'
 UNION ALL SELECT 'file:///events/gone#' || event_id, 'missing', '' FROM events WHERE event_type = 'click'""")

@@ -26,7 +26,7 @@ SPIKE_HIGH = 0.8
 SPIKE_MEDIUM = 0.5
 SCAN_PRICE_PER_GIB = 0.005
 BUCKET = "5 minutes"
-CONTEXT_LOOKBACK = "30 minutes"
+CONTEXT_LOOKBACK = "30m"
 
 # --- fixed values: JSON keys, in the order they are tried ---------------------
 JSON_TIMESTAMP_KEYS = [

@@ -1,11 +1,12 @@
 """Entries around a moment, or around many."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from logloom.fixed import AROUND_LIMIT
 from logloom.functions.times import duration_argument
 from logloom.operators.filters import grep, moment, time_range
 from logloom.operators.ranking import newest
+from logloom.plans.latest import SLICE_ROWS, latest_before
 
 
 def around(df: DataFrame, ts, window="5m", pattern: str | None = None, limit: int | None = AROUND_LIMIT) -> DataFrame:
@@ -18,32 +19,34 @@ def around(df: DataFrame, ts, window="5m", pattern: str | None = None, limit: in
 def around_many(
     logs: DataFrame, anchors: DataFrame, window="5m", pattern: str | None = None,
     limit: int | None = AROUND_LIMIT, key: str = "anchor_id", at: str = "anchor_ts", salts: int = 8,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Per anchor, the newest ``limit`` entries within ``window`` of it.
+    """Per anchor (``key`` is unique), the newest ``limit`` entries within ``window`` of it.
 
-    Joined on time buckets as wide as the window, an anchor standing in the three
-    it can reach. A bucket may hold a large part of the logs: entries are dealt out
-    over ``salts`` parts of it, and each anchor goes to all parts. The limit is
-    applied in every task before rows are exchanged by anchor.
+    With a limit only the rows that are kept are ever joined. Without one the result
+    is every entry in every window: a join on time buckets as wide as the window, an
+    anchor standing in the three it can reach, with the entries of a bucket dealt
+    out over ``salts`` parts because a bucket may hold a large part of the logs.
     """
     width = int(duration_argument(window).total_seconds() * 1_000_000)
-    step = max(width, 1)
     rows = grep(logs.filter(F.col("timestamp").isNotNull()), pattern)
     micros = F.unix_micros("timestamp")
+    centre = F.unix_micros(F.col(at).cast("timestamp"))
+    if limit and limit > 0:
+        events = rows.select(micros.alias("at"), F.col("ptr").alias("tie"), F.struct(*logs.columns).alias("event"))
+        asks = anchors.select(F.col(key).alias("ask"), (centre + width).alias("at"))
+        found = latest_before(events, asks, [], limit, 2 * width, slice_rows).select(F.col("ask").alias(key), "event.*")
+        return anchors.select(key, at).join(found, key)
+    step = max(width, 1)
     left = rows.withColumn("_bucket", F.floor(micros / F.lit(step))).withColumn(
         "_salt", F.pmod(F.xxhash64("ptr", "timestamp", "message"), F.lit(salts))
     )
-    centre = F.unix_micros(F.col(at).cast("timestamp"))
     home = F.floor(centre / F.lit(step))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     right = (
-        anchors.select(key, at)
-        .withColumn("_centre", centre)
+        anchors.select(key, at, centre.alias("_centre"))
         .withColumn("_bucket", F.explode(F.array(home - 1, home, home + 1)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        .withColumn("_salt", F.explode(parts))
     )
     near = left.join(right, ["_bucket", "_salt"]).filter(F.abs(micros - F.col("_centre")) <= width)
-    near = near.select(key, at, *logs.columns)
-    if not limit or limit <= 0:
-        return near
-    order = Window.partitionBy(key).orderBy(F.col("timestamp").desc(), F.col("ptr"))
-    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
+    return near.select(key, at, *logs.columns)

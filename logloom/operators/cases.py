@@ -25,8 +25,8 @@ def case_stats(timeline: DataFrame, evidence: DataFrame) -> DataFrame:
         F.count_if(is_query).alias("queries"),
         F.count_if(is_query & F.col("marked")).alias("marked"),
         F.count_if(F.col("type") == "note").alias("notes"),
-        F.min(F.struct("seq", "ts"))["ts"].alias("first_action"),
-        F.max(F.struct("seq", "ts"))["ts"].alias("last_action"),
+        F.min_by("ts", "seq").alias("first_action"),
+        F.max_by("ts", "seq").alias("last_action"),
     )
     kept = evidence.groupBy("case_id").agg(F.count(F.lit(1)).alias("evidence"))
     seconds = (F.unix_micros("last_action") - F.unix_micros("first_action")) / F.lit(1_000_000)

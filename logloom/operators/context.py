@@ -1,17 +1,15 @@
 """What stands around a match: lines of its file, or events of its stream."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from logloom.fixed import CONTEXT_LOOKBACK
 from logloom.functions.times import duration_argument
+from logloom.plans.latest import SLICE_ROWS, latest_before
 from logloom.plans.sizing import small_side
 
 _EVENT = "struct<timestamp:timestamp,message:string,stream:string>"
 
 
-def _micros(ts):
-    return F.unix_micros(ts)
-
-
 def with_context(
     matches: DataFrame, lines: DataFrame, before: int, after: int, max_matches: int | None = None,
     whole_entries: bool = False,
@@ -64,71 +62,26 @@ def with_context(
 
 
 def with_time_context(
-    matches: DataFrame, logs: DataFrame, n: int, lookback="30m", slices: int = 30, tie: str = "ptr"
+    matches: DataFrame, logs: DataFrame, n: int, lookback=CONTEXT_LOOKBACK, key: str = "ptr", tie: str = "ptr",
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """``context.before`` = the last ``n`` events of the match's stream within
     [ts - lookback, ts - 1 ms], oldest first.
 
-    No pair of match and event is formed. Events and matches are sorted together in
-    time slices of a stream (1/``slices`` of the lookback each); a slice also gets
-    the last ``n`` events of each of the slices it looks back on. Rows moved are the
-    events near a match, plus at most ``n * slices`` per slice, however many matches
-    share them.
+    ``key`` identifies a match, ``tie`` orders events of the same time.
     """
     back = int(duration_argument(lookback).total_seconds() * 1_000_000)
-    width = max(back // slices, 1)
-    slice_of = lambda ts: F.floor(ts / F.lit(width)).cast("bigint")
-    reach = slices + 1
-
-    wants = matches.withColumn("_id", F.monotonically_increasing_id())
-    timed = wants.filter(F.col("timestamp").isNotNull() & (F.coalesce("stream", F.lit("")) != ""))
-    asks = timed.select("stream", (_micros(F.col("timestamp")) - 1000).alias("at"), F.struct(*wants.columns).alias("match"))
-    asks = asks.withColumn("slice", slice_of(F.col("at")))
-    needed = asks.select("stream", "slice").distinct()
-
+    micros = F.unix_micros("timestamp")
+    timed = F.col("timestamp").isNotNull() & (F.coalesce("stream", F.lit("")) != "")
+    asks = matches.filter(timed).select("stream", F.col(key).alias("ask"), (micros - 1000).alias("at")).dropDuplicates(["ask"])
     events = logs.filter(F.col("timestamp").isNotNull()).select(
-        "stream", _micros(F.col("timestamp")).alias("at"), F.col(tie).alias("tie"),
-        F.struct("timestamp", "message", "stream").alias("event"),
-    ).withColumn("slice", slice_of(F.col("at")))
-    own = events.join(needed, ["stream", "slice"], "left_semi")
-
-    # The end of every slice, handed on to the later slices that look back on it.
-    latest = Window.partitionBy("stream", "slice").orderBy(F.col("at").desc(), F.col("tie").desc())
-    looked_at = needed.select(
-        "stream", F.explode(F.sequence(F.col("slice") - reach, F.col("slice") - 1)).alias("slice")
-    ).distinct()
-    ends = (
-        events.join(looked_at, ["stream", "slice"], "left_semi")
-        .withColumn("_rank", F.row_number().over(latest))
-        .filter(F.col("_rank") <= n)
-        .drop("_rank")
+        "stream", micros.alias("at"), F.col(tie).alias("tie"), F.struct("timestamp", "message", "stream").alias("event")
     )
-    handed_on = ends.withColumn("slice", F.explode(F.sequence(F.col("slice") + 1, F.col("slice") + reach))).join(
-        needed, ["stream", "slice"], "left_semi"
-    )
-
-    no_match = F.lit(None).cast(asks.schema["match"].dataType)
-    no_event = F.lit(None).cast(_EVENT)
-    both = (
-        own.unionByName(handed_on).withColumn("kind", F.lit(0)).withColumn("match", no_match)
-        .unionByName(
-            asks.withColumn("kind", F.lit(1)).withColumn("event", no_event)
-            .withColumn("tie", F.lit(None).cast(events.schema["tie"].dataType))
-        )
-    )
-    # Same keys twice, so one exchange: first events among themselves, then both in time order.
-    among = Window.partitionBy("stream", "slice").orderBy("kind", "at", "tie").rowsBetween(-(n - 1), 0)
-    until = Window.partitionBy("stream", "slice").orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    recent = F.when(F.col("kind") == 0, F.collect_list(F.when(F.col("kind") == 0, F.struct("at", "event"))).over(among))
-    seen = both.withColumn("recent", recent).withColumn("seen", F.last("recent", ignorenulls=True).over(until))
+    found = latest_before(events, asks, ["stream"], n, max(back - 1000, 0), slice_rows)
+    # At most n events per match.
+    in_order = F.array_sort(F.collect_list(F.struct("at", "tie", "event")))
+    seen = found.groupBy(F.col("ask").alias(key)).agg(F.transform(in_order, lambda e: e["event"]).alias("_before"))
     nothing = F.array().cast(f"array<{_EVENT}>")
-    inside = F.filter("seen", lambda e: e["at"] >= F.col("at") + 1000 - back)
-    answered = seen.filter(F.col("kind") == 1).select(
-        "match.*", F.coalesce(F.transform(inside, lambda e: e["event"]), nothing).alias("before")
-    )
-    untimed = wants.filter(F.col("timestamp").isNull() | (F.coalesce("stream", F.lit("")) == "")).select(
-        *wants.columns, nothing.alias("before")
-    )
-    return answered.unionByName(untimed).select(
-        *matches.columns, F.struct(F.col("before"), nothing.alias("after")).alias("context")
+    return matches.join(seen, key, "left").select(
+        *matches.columns, F.struct(F.coalesce("_before", nothing).alias("before"), nothing.alias("after")).alias("context")
     )

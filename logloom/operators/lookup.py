@@ -8,7 +8,8 @@ from logloom.parsers.registry import parse_lines
 from logloom.plans.sizing import small_side
 from logloom.sources.lines import read_lines
 
-_NAMED_FILES = 1_000
+# Pointers that are looked up by a pushed-down list instead of a join.
+_NAMED_PTRS = 1_000
 
 
 def _ptr_table(spark, ptrs) -> tuple[DataFrame, int | None]:
@@ -20,6 +21,8 @@ def _ptr_table(spark, ptrs) -> tuple[DataFrame, int | None]:
 
 def get_records(entries: DataFrame, ptrs) -> DataFrame:
     """The entries with these pointers. ``ptrs``: a list, or rows with ``ptr``."""
+    if not isinstance(ptrs, DataFrame) and len(set(ptrs)) <= _NAMED_PTRS:
+        return entries.filter(F.col("ptr").isin(sorted(set(ptrs))))  # reaches the scan of a table
     wanted, bound = _ptr_table(entries.sparkSession, ptrs)
     return entries.join(small_side(wanted, bound), "ptr", "left_semi")
 
@@ -67,23 +70,21 @@ def lookup_provenance(df: DataFrame, index: DataFrame) -> DataFrame:
     return df.join(known, "ptr", "left")
 
 
-def _matches(refs: DataFrame, index: DataFrame, pieces) -> DataFrame:
+def _matches(terms: DataFrame, index: DataFrame, pieces) -> DataFrame:
     """Per term: how many pointers hold it, and the least of them.
 
-    A term only equals a piece of its own length, so the lengths asked for decide
-    which pieces are cut. Pieces are counted before the join: a term that half of
-    the index ends with is one row when it meets the terms.
+    Pointers are cut into pieces of every length a term may have, so that a term is
+    met by equality. Pieces are counted before they meet the terms: an ending that
+    half of the index has is then one row.
     """
-    lengths = F.broadcast(
-        refs.agg(F.collect_set(F.length("term")).alias("lengths"))  # at most FULL_PTR_CHARS values
-    )
+    lengths = F.sequence(F.lit(1), F.least(F.lit(FULL_PTR_CHARS), F.length("ptr")))
     cut = (
-        index.select("ptr").distinct().crossJoin(lengths)  # one row on the right
-        .select("ptr", F.explode(F.filter("lengths", lambda n: (n > 0) & (n <= F.length("ptr")))).alias("n"))
+        index.select("ptr").filter(F.length("ptr") > 0).distinct()
+        .select("ptr", F.explode(lengths).alias("n"))
         .select("ptr", F.explode(pieces(F.col("ptr"), F.col("n"))).alias("term"))
     )
     counted = cut.groupBy("term").agg(F.count(F.lit(1)).alias("matches"), F.min("ptr").alias("found"))
-    return refs.select("term").distinct().join(counted, "term")
+    return terms.select("term").distinct().join(counted, "term")
 
 
 def resolve_ptrs(refs: DataFrame, index: DataFrame, legacy: bool = False) -> DataFrame:

@@ -84,7 +84,7 @@ def with_spike_level(series: DataFrame, keys: tuple = ()) -> DataFrame:
         peaks = series.groupBy(*keys).agg(greatest)
         joined = series.join(peaks, list(keys))
     else:
-        joined = series.crossJoin(F.broadcast(series.agg(greatest)))  # one row
+        joined = series.withColumn("_max", series.agg(greatest).scalar())
     ratio = F.when(F.col("_max") > 0, F.col("value") / F.col("_max")).otherwise(F.lit(0.0))
     return (
         joined.withColumn("ratio", ratio)

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from logloom.fixed import QUERY_LIMIT
 from logloom.operators.context import with_context
@@ -57,7 +57,10 @@ def query_logs(
 
 
 def ingest(source: LogSource, path: str, mode: str = "error") -> None:
-    """Parse once, keep as a table by day: later queries prune days and columns."""
-    from pyspark.sql import functions as F
+    """Parse once, keep as a table by day: later queries prune days and columns.
 
-    source.entries().withColumn("day", F.to_date("timestamp")).write.mode(mode).partitionBy("day").parquet(path)
+    Rows are rebalanced by day: small days share a file, a day that holds much of
+    the table is split over as many as it needs.
+    """
+    by_day = source.entries().withColumn("day", F.to_date("timestamp"))
+    by_day.hint("rebalance", "day").write.mode(mode).partitionBy("day").parquet(path)

@@ -14,10 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from logloom.fixed import BUCKET
 from logloom.functions.times import duration_argument
 from logloom.operators.filters import grep, moment
-from logloom.parsers.registry import parse_lines, parse_rows
+from logloom.parsers.registry import parse_rows
 from logloom.session import fresh_folder
+from logloom.sources.address import LogSource
 from logloom.sources.lines import LineScan, line_text, source_of
 
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 SERVICE_LOOKBACK = "5s"
 POLL_LOOKBACK = "30s"
 
@@ -67,23 +69,24 @@ def tail_logs(
 
 def tail_files(
     spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, fmt: str = "plain",
-    pattern: str | None = None, trigger: dict | None = None, max_files: int | None = None, **options,
+    pattern: str | None = None, trigger: dict | None = None, max_files: int = 1_000, **options,
 ) -> StreamingQuery:
     """X1, X5 for whole files: each batch of new files is read as a batch source,
     so entries are numbered, traces joined and pointers made as in a query.
 
-    ``sink(entries, batch_id)`` gets ENTRY rows.
+    The stream itself carries file names only. ``sink(entries, batch_id)`` gets
+    ENTRY rows; a batch has at most ``max_files`` files.
     """
-    reader = spark.readStream.option("lineSep", "\n")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    arrived = reader.text(folder).select(F.col("_metadata.file_path").alias("file"))
+    arrived = (
+        spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", max_files)
+        .load(folder).select("path")
+    )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        files = [r["file"] for r in batch.distinct().collect()]  # at most max_files
+        files = [r["path"] for r in batch.collect()]
         if files:
-            lines = LineScan(batch.sparkSession, files).numbered()
-            sink(grep(parse_lines(lines, fmt, **options), pattern), batch_id)
+            source = LogSource("local", folder, scan=LineScan(batch.sparkSession, files), format=fmt, options=options)
+            sink(grep(source.entries(), pattern), batch_id)
 
     return (
         arrived.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
