@@ -18,11 +18,12 @@ def _shorter(spellings: Column) -> Column:
     return F.array_distinct(F.concat(spellings, F.flatten(cut)))
 
 
-def _spellings(text: Column, left_out: int) -> Column:
-    out = F.array(text)
+def _exploded(words: DataFrame, left_out: int) -> DataFrame:
+    """A row per spelling of ``low``; in steps, so that each is worked out once."""
+    rows = words.withColumn("_cut", F.array("low"))
     for _ in range(left_out):
-        out = _shorter(out)
-    return out
+        rows = rows.withColumn("_cut", _shorter(F.col("_cut")))
+    return rows.withColumn("spelling", F.explode("_cut")).drop("_cut")
 
 
 def similar_names(
@@ -44,10 +45,8 @@ def similar_names(
     words = words.withColumn("low", F.lower("target"))
     found, open_words = None, words
     for d in range(max_distance + 1):
-        left = names.select("name", F.col("low").alias("name_low"), F.explode(_spellings(F.col("low"), d)).alias("spelling"))
-        right = open_words.select(
-            "target", F.col("low").alias("target_low"), F.explode(_spellings(F.col("low"), d)).alias("spelling")
-        )
+        left = _exploded(names, d).withColumnRenamed("low", "name_low")
+        right = _exploded(open_words, d).withColumnRenamed("low", "target_low")
         pairs = right.join(left, "spelling").filter(F.levenshtein(F.col("target_low"), F.col("name_low"), d) == d)
         nearest = Window.partitionBy("target").orderBy("name")
         step = (
