@@ -8,7 +8,7 @@ from logloom.fixed import JAVA_LAYOUTS, TRACE_LINE
 from logloom.functions.text import strip_ansi
 from logloom.functions.times import instant
 from logloom.operators.multiline import join_rows
-from logloom.parsers.rows import parsed
+from logloom.parsers.rows import parsed, worked_out
 
 _SEP = "\x01"
 
@@ -51,7 +51,7 @@ def parse_java(rows: DataFrame, default_date: date | str | None = None, tz: str
     clean = rows.withColumn("line", strip_ansi(F.col("line")))
     joined = join_rows(clean, is_header(F.col("line")), header_date(F.col("line"), tz))
     head = joined.withColumn("layout", header_layout(F.col("head")))
-    split = head.withColumn("p", header_parts(F.col("head"), F.col("layout")))
+    split = worked_out(head, p=header_parts(F.col("head"), F.col("layout")))
     p = [F.get("p", F.lit(i)) for i in range(6)]
     day = F.when(p[0] != "", p[0]).otherwise(F.coalesce(F.col("carried").cast("string"), F.lit(default)))
     message = F.concat_ws("\n", F.coalesce(p[5], F.col("head")), "rest")

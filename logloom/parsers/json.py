@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom.fixed import JSON_MESSAGE_KEYS, JSON_TIMESTAMP_KEYS
 from logloom.functions.text import double_text, is_number, json_type
 from logloom.functions.times import epoch_time, json_text_time
-from logloom.parsers.rows import parsed
+from logloom.parsers.rows import parsed, worked_out
 
 _BLANKS = r"^[\s\u0085 ]+|[\s\u0085 ]+$"
 
@@ -60,9 +60,8 @@ def _literals(keys: list[str]) -> Column:
 def parse_json(rows: DataFrame, **_) -> DataFrame:
     """P4-P7. Only the keys that are present are looked at, in list order."""
     found = rows.withColumn("line", trimmed(F.col("line"))).filter(F.col("line").startswith("{"))
-    members = found.withColumn("members", json_object(F.col("line"))).withColumn(
-        "members", last_value_wins(F.col("members"))
-    )
+    read = found.withColumn("read", json_object(F.col("line")))
+    members = worked_out(read, members=last_value_wins(F.col("read"))).drop("read")
     keys = F.map_keys("members")
     times = F.filter(
         F.transform(
@@ -75,7 +74,7 @@ def parse_json(rows: DataFrame, **_) -> DataFrame:
         F.array_intersect(_literals(JSON_MESSAGE_KEYS), keys),
         lambda k: json_type(F.col("members")[k]) == "STRING",
     )
-    picked = members.withColumn("time", F.get(times, F.lit(0))).withColumn("text_key", F.get(texts, F.lit(0)))
+    picked = worked_out(members, time=F.get(times, F.lit(0)), text_key=F.get(texts, F.lit(0)))
     used = F.array(F.coalesce("time.key", F.lit("")), F.coalesce("text_key", F.lit("")))
     named = F.array(F.col("time.key").isNotNull(), F.col("text_key").isNotNull())
     rest = F.map_filter(

@@ -11,6 +11,16 @@ from logloom.functions.pointers import source_ptr
 NO_FIELDS = "map<string,string>"
 
 
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once, however often they are used above.
+
+    A filter over a plain projection is pushed below it and repeats the projected
+    expressions, regular expressions and JSON parsing included. It is not pushed
+    through a generator, and this one gives exactly one row for each.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def no_fields() -> Column:
     return F.lit(None).cast(NO_FIELDS)
 

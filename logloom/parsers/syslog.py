@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logloom.fixed import MONTHS, SYSLOG_3164, SYSLOG_5424
 from logloom.functions.times import instant, rfc3339
-from logloom.parsers.rows import parsed
+from logloom.parsers.rows import parsed, worked_out
 
 _SEP = "\x01"
 
@@ -27,10 +27,11 @@ def parse_syslog(rows: DataFrame, year: int | None = None, tz: str = "UTC", **_)
     year = year or datetime.now(timezone.utc).year
     line = F.col("line")
     kind = F.when(line.rlike(SYSLOG_5424), 5424).when(line.rlike(SYSLOG_3164), 3164)
-    split = rows.filter(line != "").withColumn("kind", kind).withColumn(
-        "p",
-        F.when(F.col("kind") == 5424, _parts(line, SYSLOG_5424, 7)).when(
-            F.col("kind") == 3164, _parts(line, SYSLOG_3164, 7)
+    split = worked_out(
+        rows.filter(line != "").withColumn("form", kind),
+        kind=F.col("form"),
+        p=F.when(F.col("form") == 5424, _parts(line, SYSLOG_5424, 7)).when(
+            F.col("form") == 3164, _parts(line, SYSLOG_3164, 7)
         ),
     )
     p = [F.get("p", F.lit(i)) for i in range(7)]

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.plans.ordered import before_in_source
-from logloom.plans.sizing import byte_conf, small_side
+from logloom.plans.sizing import BROADCAST_ROWS, byte_conf, small_side
 
 
 def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -97,15 +97,13 @@ class LineScan:
     def number(self, rows: DataFrame, row_bound: int | None = None) -> DataFrame:
         """Adds ``line_no`` to rows that carry this scan's (source, chunk, pos).
 
-        Of the rows and the offsets, whichever is proven small is broadcast.
+        The offsets are broadcast when the listing proves them small. ``row_bound``
+        says that the rows are few; then any join will do, and none is forced.
         """
         offsets = self.offsets()
-        if row_bound is not None and row_bound <= 100_000:
-            wanted = F.broadcast(rows.select("source", "chunk").distinct())
-            offsets = offsets.join(wanted, ["source", "chunk"], "left_semi")
-            joined = rows.join(offsets, ["source", "chunk"], "left")
-        else:
-            joined = rows.join(small_side(offsets, self.split_bound()), ["source", "chunk"], "left")
+        if row_bound is None or row_bound > BROADCAST_ROWS:
+            offsets = small_side(offsets, self.split_bound())
+        joined = rows.join(offsets, ["source", "chunk"], "left")
         unknown = F.raise_error(F.lit("files changed between two passes of one scan"))
         line_no = F.when(F.col("first_pos").isNull(), unknown.cast("bigint")).otherwise(
             F.col("lines_before") + F.col("pos") - F.col("first_pos") + 1
