@@ -9,7 +9,7 @@ from checks.registry import query
 from logloom.fixed import STATISTICS
 from logloom.functions.text import format_bytes
 from logloom.operators.aggregates import (
-    count_by_bucket, estimate_scan, list_groups, list_streams, stats, total_estimate,
+    count_by_bucket, estimate_scan, list_groups, list_retention, list_streams, stats, total_estimate,
 )
 from logloom.operators.discover import discover_fields, discover_json_paths
 from logloom.operators.metrics import metric_catalog, metric_names, metric_stats, with_spike_level
@@ -177,6 +177,17 @@ def groups(spark, sf):
     )
 
 
+@query("list_retention", f"""
+SELECT name, CASE WHEN retention_days > 0 THEN retention_days || ' days' ELSE 'Never expire' END AS retention,
+       CASE WHEN stored_bytes < 1024 THEN stored_bytes || ' B' WHEN stored_bytes < 1048576 THEN printf('%.1f KB', stored_bytes / 1024.0)
+            ELSE printf('%.1f MB', stored_bytes / 1048576.0) END AS stored FROM ({_SQL_GROUPS})""")
+def retention(spark, sf):
+    kept = table(spark, sf, "events").select(
+        F.concat(F.lit("/events/"), "event_type").alias("name"), (F.length("event_type") - 5).alias("retention_days")
+    ).distinct()
+    return list_retention(entries(spark, sf), kept)
+
+
 _SQL_ESTIMATE = f"""
 SELECT name, CAST(floor(stored_bytes * least(1.0, (epoch_us(TIMESTAMP '2024-01-20') - epoch_us(TIMESTAMP '2024-01-13')) / (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created)))) AS BIGINT) AS estimated_bytes
 FROM ({_SQL_GROUPS})"""

@@ -6,7 +6,7 @@ session time zone, and a bad value gives NULL, never an error.
 """
 
 import re
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -219,6 +219,26 @@ def duration_argument(text) -> timedelta:
     raise ValueError(f"invalid duration {text!r}")
 
 
+def time_argument(text, now: datetime | None = None) -> datetime:
+    """N1, N2 for a call argument: ``now``, ``2h`` before now, or a date and time
+    (UTC where it names no zone).
+    """
+    now = now or datetime.now(timezone.utc)
+    if not isinstance(text, str):
+        return text if text.tzinfo else text.replace(tzinfo=timezone.utc)
+    now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
+    relative = re.fullmatch(r"(\d+)([mhd])", text)
+    if text in ("", "now"):
+        return now
+    if relative:
+        seconds = {"m": 60, "h": 3600, "d": 86400}[relative.group(2)]
+        return now - timedelta(seconds=int(relative.group(1)) * seconds)
+    if re.fullmatch(rf"{_DATE}[T ]{_CLOCK}{_ANY_FRACTION}{_ZONE}?", text):
+        when = datetime.fromisoformat(text)
+        return when if when.tzinfo else when.replace(tzinfo=timezone.utc)
+    raise ValueError(f"invalid time {text!r}: use 2025-12-02T06:00:00Z, or 2h, 30m, 7d")
+
+
 def format_duration(seconds: Column) -> Column:
     """Whole minutes below an hour, else hours or days with one decimal."""
     hours = seconds / F.lit(3600.0)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.fixed import BUCKET, GROUPS_LIMIT, QUERY_LIMIT, SCAN_PRICE_PER_GIB, STREAMS_LIMIT
+from logloom.fixed import BUCKET, GROUPS_LIMIT, QUERY_LIMIT, RETENTION_LIMIT, SCAN_PRICE_PER_GIB, STREAMS_LIMIT
 from logloom.functions.text import format_bytes
 from logloom.operators.filters import grep, moment, name_prefix
 
@@ -85,6 +85,14 @@ def list_groups(
     return out.limit(limit) if limit and limit > 0 else out
 
 
+def list_retention(
+    df: DataFrame, retention: DataFrame | None = None, prefix: str | None = None, limit: int | None = RETENTION_LIMIT
+) -> DataFrame:
+    """A10, retention view: (name, retention, stored) with sizes as text."""
+    groups = list_groups(df, retention, prefix, limit)
+    return groups.select("name", "retention", format_bytes(F.col("stored_bytes")).alias("stored"))
+
+
 def retention_text(days: Column) -> Column:
     return F.when(days > 0, F.concat(days.cast("string"), F.lit(" days"))).otherwise(F.lit("Never expire"))
 

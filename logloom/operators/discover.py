@@ -6,6 +6,7 @@ from logloom.fixed import FIELD_SAMPLE, SAMPLE_VALUE_CHARS
 from logloom.functions.text import json_type, sample_value, truncate
 from logloom.operators.ranking import newest
 from logloom.parsers.json import json_object, last_value_wins, trimmed
+from logloom.parsers.rows import worked_out
 
 
 def _profile(found: DataFrame, order: list) -> DataFrame:
@@ -109,7 +110,8 @@ def discover_json_paths(
     ranked, order = _ranks(_sampled(df, sample))
     text = trimmed(F.col(column))
     found = ranked.select(*order, text.alias("text")).filter(F.col("text").startswith("{"))
-    docs = found.withColumn("members", last_value_wins(json_object(F.col("text")))).filter(F.col("members").isNotNull())
+    read = found.withColumn("read", json_object(F.col("text")))
+    docs = worked_out(read, members=last_value_wins(F.col("read"))).filter(F.col("members").isNotNull())
     if max_depth is None:
         max_depth = found.agg(F.max(object_depth(F.col("text")))).first()[0] or 1
     keep = docs.columns[: len(order)]

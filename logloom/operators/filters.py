@@ -6,13 +6,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.regex import matches
+from logloom.functions.times import time_argument
 
 
-def moment(value) -> Column:
-    """A time argument: a column, a datetime, or RFC 3339 text."""
-    if isinstance(value, Column):
-        return value
-    return F.lit(value).cast("timestamp")
+def moment(value, now=None) -> Column:
+    """A time argument: a column, a datetime, or text (see ``time_argument``)."""
+    return value if isinstance(value, Column) else F.lit(time_argument(value, now)).cast("timestamp")
 
 
 def time_range(df: DataFrame, start=None, end=None, keep_null: bool = True, column: str = "timestamp") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logloom.fixed import HISTORY_KEEP, QUERY_LIMIT
+from logloom.fixed import HISTORY_KEEP, QUERY_LIMIT, REMOTE_QUERY_LIMIT
 
 
 def _tie_break(df: DataFrame) -> list:
@@ -21,6 +21,11 @@ def newest(df: DataFrame, limit: int | None = QUERY_LIMIT) -> DataFrame:
     return ordered.limit(limit) if limit and limit > 0 else ordered
 
 
+def remote_limit(limit: int) -> int:
+    """What a remote query's limit means; none given is not no limit there."""
+    return limit if limit > 0 else REMOTE_QUERY_LIMIT
+
+
 def top_by(df: DataFrame, column: str, limit: int | None, *ties: str) -> DataFrame:
     """T5: greatest first."""
     ordered = df.orderBy(F.col(column).desc_nulls_last(), *[F.col(t) for t in ties])

@@ -23,7 +23,8 @@ def _exploded(words: DataFrame, left_out: int) -> DataFrame:
     rows = words.withColumn("_cut", F.array("low"))
     for _ in range(left_out):
         rows = rows.withColumn("_cut", _shorter(F.col("_cut")))
-    return rows.withColumn("spelling", F.explode("_cut")).drop("_cut")
+    # Equal spellings have equal hashes; what merely collides fails the distance test.
+    return rows.withColumn("spelling", F.explode(F.transform("_cut", lambda s: F.xxhash64(s)))).drop("_cut")
 
 
 def similar_names(

@@ -1,10 +1,12 @@
 """The main query: scan, parse, filter, newest first, cut, number, add context."""
 
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.fixed import QUERY_LIMIT
+from logloom.functions.times import time_argument
 from logloom.operators.context import with_context
 from logloom.operators.filters import grep, time_range
 from logloom.operators.ranking import newest
@@ -17,6 +19,14 @@ from logloom.sources.lines import LineScan
 _NAMED_FILES = 1_000
 
 
+def _range(start, end, now):
+    """Both ends resolved against one ``now``; a range must start before it ends."""
+    start, end = (v if v is None or isinstance(v, Column) else time_argument(v, now) for v in (start, end))
+    if isinstance(start, datetime) and isinstance(end, datetime) and not start < end:
+        raise ValueError("start time must be before end time")
+    return start, end
+
+
 def _search(rows: DataFrame, start, end, pattern, keep_null) -> DataFrame:
     return grep(time_range(rows, start, end, keep_null), pattern)
 
@@ -24,14 +34,18 @@ def _search(rows: DataFrame, start, end, pattern, keep_null) -> DataFrame:
 def query_logs(
     source: LogSource | DataFrame, start=None, end=None, pattern: str | None = None,
     limit: int | None = QUERY_LIMIT, before: int = 0, after: int = 0, keep_null: bool = True,
+    now: datetime | None = None,
 ) -> DataFrame:
     """Entries in a time range whose message matches, newest first.
 
+    Times are columns, datetimes, or text such as ``2h`` (before ``now``).
+
     On text, lines are numbered only after the cut: the large side is scanned,
     parsed and filtered in one stage and its survivors, at most ``limit``, meet the
     split offsets. With context lines the cut result is stored first, and only the
     files that hold a match are read again.
     """
+    start, end = _range(start, end, now or datetime.now(timezone.utc))
     limited = limit is not None and limit > 0
     bound = limit if limited else None
     if isinstance(source, DataFrame) or source.scan is None:

@@ -1,6 +1,6 @@
 """Column functions."""
 
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +78,16 @@ def test_parse_duration_is_an_interval(one):
     assert one(times.parse_duration(L("1h30m"))) == timedelta(minutes=90)
 
 
+def test_time_arguments():
+    now = datetime(2025, 12, 4, 10, 30, tzinfo=timezone.utc)
+    for text, want in {"": now, "now": now, "2h": now - timedelta(hours=2), "30m": now - timedelta(minutes=30), "7d": now - timedelta(days=7),
+                       "2025-12-04T12:30:00+02:00": now, "2025-12-04 10:30:00": now, "2025-12-04T10:30:00.000": now}.items():
+        assert times.time_argument(text, now) == want
+    for bad in ("2w", "2025-12-04", "yesterday", "1h30m"):
+        with pytest.raises(ValueError):
+            times.time_argument(bad, now)
+
+
 def test_format_duration(spark):
     rows = spark.createDataFrame([(s,) for s in (30, 2700, 3600, 5400, 4140, 4500, 86399, 86400, 172800, 216000)], "s bigint")
     got = [r[0] for r in rows.select(times.format_duration(F.col("s"))).collect()]

@@ -137,6 +137,13 @@ def test_json_range_and_order(spark, tmp_path):
     assert [r["message"] for r in found] == ["second event"]
 
 
+def test_relative_range(spark, tmp_path):
+    source = open_source(spark, write(tmp_path / "a.log", "2025-01-15 10:00:00 a\n2025-01-15 11:30:00 b\nuntimed\n"))
+    assert [r["message"] for r in query_logs(source, "1h", "now", now=ts(2025, 1, 15, 12)).collect()] == ["b", "untimed"]
+    with pytest.raises(ValueError, match="before end"):
+        query_logs(source, "1h", "2h")
+
+
 def test_limited_query_numbers_like_full_query(spark, tmp_path, small_splits):
     for name in "ab":
         text = "".join(f"2025-01-15 10:{i // 60 % 60:02d}:{i % 60:02d} {name} {i}\n" for i in range(1, 900))
