@@ -7,11 +7,12 @@ from logloom.functions.text import double_text, is_number, json_type
 from logloom.functions.times import epoch_time, json_text_time
 from logloom.parsers.rows import parsed, worked_out
 
-_BLANKS = r"^[\s\u0085 ]+|[\s\u0085 ]+$"
+_BLANKS = " \t\n\v\f\r\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, F.lit(_BLANKS), F.lit(""))
+    """The line without white space at either end."""
+    return F.btrim(line, F.lit(_BLANKS))
 
 
 def json_object(text: Column) -> Column:
