@@ -6,7 +6,7 @@ from logloom.fixed import FULL_PTR_CHARS
 from logloom.functions.pointers import parse_ptr
 from logloom.parsers.registry import parse_lines
 from logloom.plans.sizing import small_side
-from logloom.sources.lines import read_lines
+from logloom.sources.lines import literal_path, read_lines
 
 # Pointers that are looked up by a pushed-down list instead of a join.
 _NAMED_PTRS = 1_000
@@ -48,7 +48,7 @@ def get_lines(spark: SparkSession, ptrs: list[str], fmt: str | None = None, **op
     wanted = spark.createDataFrame(
         [(r["ptr"], r["p"]["path"], r["p"]["line"]) for r in rows], "ptr string, source string, line_no bigint"
     )
-    lines = read_lines(spark, files, skip_missing=True).join(small_side(wanted, bound), ["source", "line_no"])
+    lines = read_lines(spark, [literal_path(f) for f in files], skip_missing=True).join(small_side(wanted, bound), ["source", "line_no"])
     # Each asked line stands alone, so every one is parsed as if it began its file.
     alone = lines.select(F.col("ptr").alias("source"), F.lit(1).cast("bigint").alias("line_no"), "line")
     entries = parse_lines(alone, fmt or "plain", **options).select(

@@ -13,7 +13,7 @@ from logloom.operators.ranking import newest
 from logloom.parsers.rows import to_entries
 from logloom.session import cut_lineage
 from logloom.sources.address import LogSource
-from logloom.sources.lines import LineScan
+from logloom.sources.lines import LineScan, literal_path
 
 # Matched files that are read again by name for their context lines.
 _NAMED_FILES = 1_000
@@ -64,7 +64,7 @@ def query_logs(
     if not files:
         lines = source.lines().limit(0)
     elif len(files) <= _NAMED_FILES:
-        lines = LineScan(source.scan.spark, files).numbered()
+        lines = LineScan(source.scan.spark, [literal_path(f) for f in files]).numbered()
     else:
         lines = source.lines()
     return newest(with_context(stored, lines, before, after, bound), limit)

@@ -4,7 +4,7 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
-from urllib.parse import parse_qs
+from urllib.parse import parse_qs, unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +13,7 @@ from logloom.parsers.rows import to_entries
 from logloom.plans.sizing import small_side
 from logloom.session import cut_lineage
 from logloom.sources.detect import detect_first, detect_format
-from logloom.sources.lines import LineScan
+from logloom.sources.lines import LineScan, literal_path
 
 # Files of one format that are opened by name; beyond it they are picked by a join.
 _NAMED_FILES = 1_000
@@ -48,7 +48,8 @@ class LogSource:
         if self.format == "auto" and self.scope == "each":
             return self._parts_by_file()
         if self.format == "auto":
-            text = self.scan.spark.read.option("lineSep", "\n").text(min(self.scan.raw.inputFiles()))
+            first = literal_path(unquote(min(self.scan.raw.inputFiles())))
+            text = self.scan.spark.read.option("lineSep", "\n").text(first)
             self.format = detect_first(text.withColumnRenamed("value", "line"))
         return [(self.scan, parse_rows(self.scan.rows(), self.format, **self.options))]
 
@@ -61,7 +62,7 @@ class LogSource:
         for name, files in counts:
             own = told.filter(F.col("format") == name).select("source")
             if files <= _NAMED_FILES:
-                scan = LineScan(self.scan.spark, [r["source"] for r in own.collect()])
+                scan = LineScan(self.scan.spark, [literal_path(r["source"]) for r in own.collect()])
                 rows = scan.rows()
             else:
                 scan = self.scan
@@ -166,7 +167,7 @@ def open_ptr(spark: SparkSession, ptr: str, metadata: dict | None = None, **opti
         path = ptr.partition("#")[0]
         if path in ("file://", "s3://") or path.endswith("/"):
             raise ValueError(f"invalid pointer {ptr!r}")
-        return open_source(spark, path, **options)
+        return open_source(spark, literal_path(path), **options)
     if ptr and "://" not in ptr:
         if not metadata or not metadata.get("uri"):
             raise ValueError("an opaque pointer needs the provenance of its source")

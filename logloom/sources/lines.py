@@ -1,11 +1,18 @@
 """Text scan: files to numbered lines."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.plans.ordered import before_in_source
 from logloom.plans.sizing import BROADCAST_ROWS, byte_conf, small_side
 
 
+def literal_path(name: str) -> str:
+    """A file name as a path that means this file, whatever characters it has."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
+
+
 def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     """The members of an explicit list that exist, in name order."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

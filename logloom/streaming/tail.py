@@ -17,7 +17,7 @@ from logloom.operators.filters import grep, moment
 from logloom.parsers.registry import parse_rows
 from logloom.session import fresh_folder
 from logloom.sources.address import LogSource
-from logloom.sources.lines import LineScan, line_text, source_of
+from logloom.sources.lines import LineScan, line_text, literal_path, source_of
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 SERVICE_LOOKBACK = "5s"
@@ -83,7 +83,7 @@ def tail_files(
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        files = [r["path"] for r in batch.collect()]
+        files = [literal_path(r["path"]) for r in batch.collect()]
         if files:
             source = LogSource("local", folder, scan=LineScan(batch.sparkSession, files), format=fmt, options=options)
             sink(grep(source.entries(), pattern), batch_id)

@@ -100,6 +100,17 @@ def test_addresses(spark, tmp_path, monkeypatch):
         open_source(spark, "@other", {"app": path})
 
 
+@pytest.mark.parametrize("name", ["a b.log", "a[1].log", "{x,y}.log", "50%.log", "a*.log", "q?.log"])
+def test_odd_file_names(spark, tmp_path, name):
+    path = write(tmp_path / name, '{"message":"one"}\n{"message":"two"}\n')
+    source = open_source(spark, f"{tmp_path}/*")
+    (row,) = query_logs(source, pattern="two", before=1).collect()
+    assert (row["source"], row["line_no"], row["context"]["before"][0]["message"]) == (path, 2, '{"message":"one"}')
+    if "?" not in name:  # a pointer is an address, where '?' begins its parameters
+        assert get_lines(spark, [row["ptr"]], "json").first()["message"] == "two"
+        assert open_ptr(spark, row["ptr"]).entries().count() == 2
+
+
 def test_own_source(spark):
     table = spark.sql("SELECT timestamp '2025-01-01 00:00:00' AS timestamp, 'm' AS message, 's' AS stream, 'x' AS source, 1L AS line_no, 'p' AS ptr")
     register_source("mine", lambda spark, uri, **_: LogSource("mine", uri, table=table))
