@@ -12,6 +12,10 @@ from logloom.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, 4, "tests")
     session.sparkContext.setLogLevel("ERROR")
+    # A handful of rows: compiling the plan costs far more than running it. The
+    # registered queries are tested with compiled plans.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 

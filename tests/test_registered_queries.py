@@ -20,6 +20,17 @@ def db():
     return connection
 
 
+@pytest.fixture(autouse=True, scope="module")
+def compiled(spark):
+    names = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    old = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
 def test_every_query_has_its_sql():
     assert set(SQL) == set(QUERIES)
 
