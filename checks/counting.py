@@ -110,7 +110,7 @@ def fields_found(spark, sf):
 
 
 @query("discover_fields_sample", """
-SELECT 'action' AS name, 'custom' AS kind, 20 AS count, (SELECT event_type FROM events ORDER BY ts DESC LIMIT 1) AS sample
+SELECT 'action' AS name, 'custom' AS kind, CAST(20 AS BIGINT) AS count, (SELECT event_type FROM events ORDER BY ts DESC LIMIT 1) AS sample
 UNION ALL SELECT 'k', 'custom', 20, (SELECT json_extract_string(props, '$.k') FROM events ORDER BY ts DESC LIMIT 1)""")
 def fields_in_sample(spark, sf):
     return discover_fields(entries(spark, sf))

@@ -25,8 +25,8 @@ SELECT 'case-' || user_id AS case_id, event_id AS seq, ts, user_id, event_type,
        event_type = 'view' AS marked, {SQL_MESSAGE} AS content FROM events"""
 
 _SQL_STATS = f"""
-SELECT case_id, count_if(type = 'query') AS queries, count_if(type = 'query' AND marked) AS marked, count_if(type = 'note') AS notes,
-       count_if(event_type = 'purchase') AS evidence, min_by(ts, seq) AS first_ts, max_by(ts, seq) AS last_ts
+SELECT case_id, CAST(count_if(type = 'query') AS BIGINT) AS queries, CAST(count_if(type = 'query' AND marked) AS BIGINT) AS marked, CAST(count_if(type = 'note') AS BIGINT) AS notes,
+       CAST(count_if(event_type = 'purchase') AS BIGINT) AS evidence, min_by(ts, seq) AS first_ts, max_by(ts, seq) AS last_ts
 FROM ({_SQL_TIMELINE}) GROUP BY case_id"""
 
 
