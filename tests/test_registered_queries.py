@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from checks.registry import ORACLES as SQL, QUERIES
+import __spark_entry__ as entry  # noqa: F401  registers them
 from compare import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
