@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm.fmindex import WordIndex
-from logloom.llm.rows import BLOCK_BYTES, map_rows, text_frame
-from logloom.llm.words import ALPHANUMERIC, code_points, utf8, word_spans
+from logloom.llm.rows import BLOCK_BYTES, map_rows, rewrite_texts, text_frame
+from logloom.llm.words import ALPHANUMERIC, code_points, text_blocks, utf8, word_spans
 
 WINDOW = 10
 # Characters of benchmark text searched at a time; a larger benchmark is several blocks.
@@ -117,15 +117,6 @@ def search_block(phrases: Phrases, numbers: np.ndarray, bounds: np.ndarray) -> t
     return hit, pairs[:, 0], pairs[:, 1]
 
 
-def text_blocks(offsets: np.ndarray):
-    """Ranges of texts of about BLOCK_BYTES together; a longer text is a block of its own."""
-    at = 0
-    while at < len(offsets) - 1:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
-        yield at, end
-        at = end
-
-
 def benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str, window: int) -> list:
     """The benchmark as broadcast blocks of bounded size; all rows of an item are in one block."""
     frame = text_frame(benchmark, item_column, text_column).withColumnRenamed("doc_id", "item_id")
@@ -138,6 +129,53 @@ def benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str, w
     return out
 
 
+def searcher(blocks: list, cleaned: bool, text_column="text"):
+    """The function that finds the hits of an Arrow batch."""
+
+    def work(batch):
+        names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "cleaned"]
+        out = {n: [] for n in names}
+        all_raw, all_offsets = utf8(batch.column(text_column))
+        for a, b in text_blocks(all_offsets, BLOCK_BYTES):
+            offsets = all_offsets[a : b + 1]
+            raw, offsets = all_raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+            numbers, first, last, bounds = word_spans(raw, offsets, ALPHANUMERIC)
+            hit = np.zeros(len(numbers), bool)
+            items: dict[int, list[str]] = {}
+            for block in blocks:
+                found, text, item = search_block(block.value, numbers, bounds)
+                hit |= found
+                for t, i in zip(text.tolist(), item.tolist(), strict=True):
+                    items.setdefault(t, []).append(block.value.names[i])
+            total = np.concatenate([[0], np.cumsum(hit)])
+            for t in range(b - a):
+                x, y = bounds[t], bounds[t + 1]
+                n_hit = int(total[y] - total[x])
+                own = sorted(items.get(t, []))
+                spans, clean = [], None
+                if n_hit:
+                    body = raw[offsets[t] : offsets[t + 1]]
+                    marks = np.diff(np.concatenate([[0], hit[x:y].astype(np.int8), [0]]))
+                    begin = first[x + np.flatnonzero(marks == 1)] - offsets[t]
+                    end = last[x + np.flatnonzero(marks == -1) - 1] - offsets[t]
+                    spans = [{"start": p, "end": q} for p, q in zip(code_points(body, begin).tolist(), code_points(body, end).tolist(), strict=True)]
+                    if cleaned:
+                        keep = np.concatenate([[0], end]), np.concatenate([begin, [len(body)]])
+                        clean = b"".join(body[p:q].tobytes() for p, q in zip(*keep, strict=True)).decode("utf-8")
+                elif cleaned:
+                    clean = raw[offsets[t] : offsets[t + 1]].tobytes().decode("utf-8")
+                out["n_words"].append(int(y - x))
+                out["n_hit"].append(n_hit)
+                out["n_items"].append(len(own))
+                out["items_sha256"].append(hashlib.sha256(",".join(own).encode("utf-8")).hexdigest())
+                out["contaminated"].append(n_hit > 0)
+                out["spans"].append(spans)
+                out["cleaned"].append(clean)
+        return out
+
+    return work
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_column="doc_id", text_column="text", item_column="item_id",
     item_text="text", window=WINDOW, cleaned=False,
@@ -158,48 +196,24 @@ def decontaminate(
     blocks = benchmark_blocks(benchmark, item_column, item_text, window)
 
     def make():
+        find = searcher(blocks, cleaned)
+        return lambda batch: find(batch) | {"doc_id": batch.column("doc_id")}
+
+    schema = f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>"
+    return map_rows(frame, make, schema + ", cleaned string" * cleaned)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_column="text", item_column="item_id", item_text="text", window=WINDOW, length_column="n_chars") -> DataFrame:
+    """``docs``, all columns, with the hit spans cut from its texts; texts without a hit stay as they are, nulls too."""
+    blocks = benchmark_blocks(benchmark, item_column, item_text, window)
+
+    def make():
+        find = searcher(blocks, True, text_column)
+
         def work(batch):
-            names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "cleaned"]
-            out = {n: [] for n in names} | {"doc_id": batch.column("doc_id")}
-            all_raw, all_offsets = utf8(batch.column("text"))
-            for a, b in text_blocks(all_offsets):
-                offsets = all_offsets[a : b + 1]
-                raw, offsets = all_raw[offsets[0] : offsets[-1]], offsets - offsets[0]
-                numbers, first, last, bounds = word_spans(raw, offsets, ALPHANUMERIC)
-                hit = np.zeros(len(numbers), bool)
-                items: dict[int, list[str]] = {}
-                for block in blocks:
-                    found, text, item = search_block(block.value, numbers, bounds)
-                    hit |= found
-                    for t, i in zip(text.tolist(), item.tolist(), strict=True):
-                        items.setdefault(t, []).append(block.value.names[i])
-                total = np.concatenate([[0], np.cumsum(hit)])
-                for t in range(b - a):
-                    x, y = bounds[t], bounds[t + 1]
-                    n_hit = int(total[y] - total[x])
-                    own = sorted(items.get(t, []))
-                    spans, clean = [], None
-                    if n_hit:
-                        body = raw[offsets[t] : offsets[t + 1]]
-                        marks = np.diff(np.concatenate([[0], hit[x:y].astype(np.int8), [0]]))
-                        begin = first[x + np.flatnonzero(marks == 1)] - offsets[t]
-                        end = last[x + np.flatnonzero(marks == -1) - 1] - offsets[t]
-                        spans = [{"start": p, "end": q} for p, q in zip(code_points(body, begin).tolist(), code_points(body, end).tolist(), strict=True)]
-                        if cleaned:
-                            keep = np.concatenate([[0], end]), np.concatenate([begin, [len(body)]])
-                            clean = b"".join(body[p:q].tobytes() for p, q in zip(*keep, strict=True)).decode("utf-8")
-                    elif cleaned:
-                        clean = raw[offsets[t] : offsets[t + 1]].tobytes().decode("utf-8")
-                    out["n_words"].append(int(y - x))
-                    out["n_hit"].append(n_hit)
-                    out["n_items"].append(len(own))
-                    out["items_sha256"].append(hashlib.sha256(",".join(own).encode("utf-8")).hexdigest())
-                    out["contaminated"].append(n_hit > 0)
-                    out["spans"].append(spans)
-                    out["cleaned"].append(clean)
-            return out
+            found = find(batch)
+            return [t if hit else None for t, hit in zip(found["cleaned"], found["contaminated"], strict=True)]
 
         return work
 
-    schema = f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>"
-    return map_rows(frame, make, schema + ", cleaned string" * cleaned)
+    return rewrite_texts(docs, make, text_column, length_column)

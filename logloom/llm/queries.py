@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 from logloom.llm.bpe import encode_documents
 from logloom.llm.chat import format_conversations, read_back
 from logloom.llm.decontaminate import decontaminate
+from logloom.llm.fingerprint import compare_edited, hex_of, within_radius
+from logloom.llm.lattice import score_documents
+from logloom.llm.licenses import scan_licenses
+from logloom.llm.neardup import near_duplicates
+from logloom.llm.rollup import TokenRollup, change, token_counts
 from logloom.llm.secrets import scan_secrets
+from logloom.llm.toxicity import score, train
+from logloom.session import cut_lineage, fresh_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +63,55 @@ def op5(spark, table):
 def op7(spark, table):
     found = decontaminate(table("documents"), table("benchmark"))
     return found.withColumn("spans", F.to_json("spans"))
+
+
+@query("op1_toxicity")
+def op1(spark, table):
+    """Learned from labels of ids whose hash leaves another remainder than 2 by 4; scored over all documents."""
+    remainder = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4))
+    model = train(table("documents"), table("labels").filter(remainder != 2))
+    scored = score(table("documents"), model)
+    return scored.select("doc_id", (remainder == 2).alias("held_out"), "score", "predicted", "n_sentences", F.to_json("offending").alias("offending"))
+
+
+@query("op2_licenses")
+def op2(spark, table):
+    return scan_licenses(table("documents"))
+
+
+@query("op6_token_counts")
+def op6(spark, table):
+    """Totals after all documents came in under two tokenizers and one of these was revised, with a batch run twice."""
+    counts = cut_lineage(token_counts(table("documents"), public_tokenizers.path(CHAT_VOCABULARY), public_tokenizers.PATTERN))
+    rollup = TokenRollup(spark, fresh_folder(spark, "rollup"))
+    rollup.commit("words", change(counts, "insert", "words", "spaced"))
+    rollup.commit("pieces", change(counts, "insert", "byte_bpe_50k", "pieces"))
+    # The word counter now splits at every character that is no letter, digit or mark of one.
+    rollup.commit("words, revised", change(counts, "revise", "words", "words", old="spaced"))
+    rollup.commit("words, revised", change(counts, "revise", "words", "words", old="spaced"))
+    return rollup.totals()
+
+
+@query("op8_fingerprints")
+def op8(spark, table):
+    """Fingerprints; for ids divisible by 100 also how many documents lie within the radius."""
+    rows = cut_lineage(compare_edited(table("documents")))
+    asked = rows.filter(F.col("doc_id") % 100 == 0)
+    sizes = rows.groupBy("h0", "h1").agg(F.count("*").alias("copies"))
+    found = within_radius(asked, rows).join(sizes, ["h0", "h1"]).groupBy("q0", "q1").agg(F.sum("copies").alias("n_near"))
+    answered = asked.join(found, (F.col("h0") == F.col("q0")) & (F.col("h1") == F.col("q1"))).drop("q0", "q1")
+    others = rows.filter(~F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))).withColumn("n_near", F.lit(None).cast("bigint"))
+    return answered.unionByName(others).select(
+        "doc_id", "n_chars", "edited_sha256", hex_of(F.col("h0"), F.col("h1")).alias("fingerprint"),
+        hex_of(F.col("e0"), F.col("e1")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near",
+    )
+
+
+@query("op9_lm_scores")
+def op9(spark, table):
+    return score_documents(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_neardup")
+def op10(spark, table):
+    return near_duplicates(table("documents"))

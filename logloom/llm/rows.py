@@ -53,3 +53,41 @@ def map_rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
 def texts_of(batch: pa.RecordBatch, name="text") -> list[str]:
     """The batch's texts; a null text is an empty one."""
     return ["" if t is None else t for t in batch.column(name).to_pylist()]
+
+
+def filter_rows(df: DataFrame, make: Callable) -> DataFrame:
+    """Rows of ``df``, all columns, for which the function that ``make()`` returns says True (batch -> list of bool)."""
+    reach_code(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(work(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def rewrite_texts(df: DataFrame, make: Callable, text_column="text", length_column="n_chars") -> DataFrame:
+    """``df`` with new texts where the function that ``make()`` returns has one (batch -> list of text or None).
+
+    The length column, where there is one, follows the changed texts.
+    """
+    reach_code(df.sparkSession)
+    names, schema = df.columns, df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = work(batch)
+            columns = list(batch.columns)
+            for name, value in ((text_column, lambda t: t), (length_column, len)):
+                if name in names:
+                    i = names.index(name)
+                    old = columns[i].to_pylist()
+                    columns[i] = pa.array([o if t is None else value(t) for o, t in zip(old, new, strict=True)], columns[i].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return df.mapInArrow(run, schema)

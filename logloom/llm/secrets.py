@@ -14,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from logloom.llm.rows import map_rows, text_frame, texts_of
+from logloom.llm.rows import map_rows, rewrite_texts, text_frame, texts_of
 
 # What the base patterns are, in the order that settles equal starts.
 ASSIGN = re.compile(
@@ -197,3 +197,16 @@ def scan_secrets(docs: DataFrame, id_column="doc_id", text_column="text", redact
 
     schema = f"doc_id {id_type}, n_assign bigint, n_access bigint, n_hex bigint, n_confirmed bigint, base_sha256 string, spans string"
     return map_rows(frame, make, schema + ", redacted string" * redacted)
+
+
+def redact_documents(docs: DataFrame, text_column="text", length_column="n_chars") -> DataFrame:
+    """``docs``, all columns, with every secret in its text replaced; texts without one stay as they are, nulls too."""
+
+    def make():
+        def work(batch):
+            found = [(t, find_secrets(t)) for t in texts_of(batch, text_column)]
+            return [redact(t, spans) if spans else None for t, spans in found]
+
+        return work
+
+    return rewrite_texts(docs, make, text_column, length_column)

@@ -85,8 +85,12 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, in_word: np.ndarray):
         at = end
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray, in_word: np.ndarray):
-    """Of each word: number, first byte, byte after its last; and where each text's words begin."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, in_word: np.ndarray, prefixes: tuple[int, ...] = ()):
+    """Of each word: number, first byte, byte after its last; and where each text's words begin.
+
+    With ``prefixes`` the number is a column of a table; the further columns hold the
+    numbers of the word's first bytes, so many each, 0 where it has no more than these.
+    """
     numbers, firsts, lasts = [], [], []
     mixed = _bytes_mixed()
     for at, end in _segments(raw, offsets, in_word):
@@ -103,12 +107,19 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, in_word: np.ndarray):
         power, inverse = _powers(max(SEGMENT + 1, 1 << len(part).bit_length()))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(mixed[part] * power[: len(part)], out=total[1:])
-        numbers.append(scramble((total[last] - total[first]) * inverse[first]))
+        number = scramble((total[last] - total[first]) * inverse[first])
+        if prefixes:
+            parts = [number]
+            for size in prefixes:
+                part_of = scramble((total[np.minimum(first + size, last)] - total[first]) * inverse[first] + np.uint64(size))
+                parts.append(np.where(last - first > size, part_of, np.uint64(0)))
+            number = np.stack(parts, 1)
+        numbers.append(number)
         firsts.append(first + at)
         lasts.append(last + at)
     if not numbers:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
     first = np.concatenate(firsts)
     return np.concatenate(numbers), first, np.concatenate(lasts), np.searchsorted(first, offsets)
 
@@ -125,6 +136,15 @@ def shingles(numbers: np.ndarray, size: int) -> np.ndarray:
     return scramble(total + np.uint64(wide))
 
 
+def text_blocks(offsets: np.ndarray, size: int):
+    """Ranges of texts of about ``size`` bytes together; a longer text is a block of its own."""
+    at = 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def code_points(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
     """How many code points of ``raw`` begin before each of the byte ``places``."""
     begins = (raw & 0xC0) != 0x80
