@@ -1,5 +1,7 @@
 """Session helpers: local test sessions and the shared folder for cut lineage."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,11 +26,15 @@ def local_session(cores="*", partitions=8, app="logloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) is a folder made here.
+    A cluster must name one. Only a local session, whose tasks all run on this machine,
+    gets a folder of its own where none is named; it goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="logloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
