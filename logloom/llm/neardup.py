@@ -60,7 +60,7 @@ def odd_sketches(mins: np.ndarray) -> np.ndarray:
     spot = (scramble(mins + _ROUND) % np.uint64(SKETCH_BITS)).astype(np.int64)
     flat = (np.arange(len(mins))[:, None] * SKETCH_BITS + spot).ravel()
     parity = np.bincount(flat, minlength=len(mins) * SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(mins), -1)
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(mins), SKETCH_BITS // 64)
 
 
 def sets_of(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:

@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
 
 def scorer(model: Model | None, threshold: float, text_column="text"):
     """The function that scores an Arrow batch; without a model every text scores 0."""
-    model = model or Model(np.zeros(0, np.int64), np.zeros(0), -50.0)
+    model = model or Model(np.zeros(0, np.int64), np.zeros(0), -1000.0)
     bias = model.bias
     table = model.table()
     wanted = table != 0
