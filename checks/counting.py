@@ -160,7 +160,7 @@ def _groups(spark, sf):
     kept = table(spark, sf, "events").select(
         F.concat(F.lit("/events/"), "event_type").alias("name"), (F.length("event_type") - 5).alias("retention_days")
     ).distinct()
-    return list_groups(entries(spark, sf), kept)
+    return list_groups(entries(spark, sf), kept, limit=None)
 
 
 _SQL_GROUPS = f"""

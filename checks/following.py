@@ -1,5 +1,6 @@
 """Queries: streams, run to the end of what has arrived."""
 
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -25,6 +26,17 @@ def _arriving(spark, df, files=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def _in_order(spark, df, by, steps=3, files=2):
+    """The rows of ``df`` as a stream that arrives in the order of a whole-numbered column, a step a batch."""
+    folder = fresh_folder(spark, "arriving")
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    for k in range(steps):
+        first, end = (low + (high + 1 - low) * i // steps for i in (k, k + 1))
+        df.filter((by >= first) & (by < end)).repartition(files).write.mode("append").parquet(folder)
+        time.sleep(0.05)  # the change times of the files order them
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 @query("tail_dedup", """
 SELECT event_id, epoch_us(ts) AS ts_us FROM events WHERE event_type IN ('error', 'click') AND ts >= TIMESTAMP '2024-01-09 23:59:55'""")
 def tail_dedup(spark, sf):
@@ -51,9 +63,10 @@ def tail_text(spark, sf):
 @query("tail_counts", """
 SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS bucket_us, count(*) AS count FROM events GROUP BY 1""")
 def counts(spark, sf):
-    stream = _arriving(spark, entries(spark, sf).select("timestamp", "message"))
+    # In time order, so that old windows expire as the stream goes on.
+    stream = _in_order(spark, entries(spark, sf).select("timestamp", "message"), F.unix_micros("timestamp"), 4)
     out, at = fresh_folder(spark, "counts"), fresh_folder(spark, "checkpoint")
-    keep_updates(tail_counts(stream, delay="400 days"), out, at, _NOW).awaitTermination()
+    keep_updates(tail_counts(stream, delay="1 day"), out, at, _NOW).awaitTermination()
     found = latest_counts(spark.read.option("basePath", out).parquet(out))
     return found.select(micros("time_bucket").alias("bucket_us"), "count")
 
@@ -82,17 +95,19 @@ def watched(spark, sf):
 SELECT '/v/app-' || user_id % 4 || '.log' AS source, event_id * 10 + 1 AS line_no,
        strftime(ts, '%Y-%m-%d %H:%M:%S') || ' INFO ' || {SQL_MESSAGE} || replace({_SQL_TRACE},
          'java.io.IOException:', chr(27) || '[31mjava.io.IOException' || chr(27) || '[0m:') AS message
-FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id DESC) > 1""")
+FROM events""")
 def multiline(spark, sf):
     header = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" INFO "), event_message())
     lines = _trace_lines(spark, sf, header)
-    folder, out = fresh_folder(spark, "arriving"), fresh_folder(spark, "joined")
-    # Files in line order; the last entry of each source stays open.
-    lines.repartitionByRange(3, "line_no").write.parquet(folder)
-    stream = spark.readStream.schema(lines.schema).parquet(folder)
-    joined = tail_multiline(stream, is_header(F.col("line")), flush_millis=None)
-    write_stream(joined, out).awaitTermination()
-    return spark.read.schema(joined.schema).parquet(out)
+    out, at = (fresh_folder(spark, n) for n in ("joined", "checkpoint"))
+    # Entries go on from one batch to the next.
+    stream = _in_order(spark, lines, F.col("line_no"))
+
+    def keep(entries, batch_id):
+        entries.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    tail_multiline(stream, is_header(F.col("line")), keep, at).finish()
+    return spark.read.schema("source string, line_no bigint, message string").parquet(out).select("source", "line_no", "message")
 
 
 @query("tail_files", f"""

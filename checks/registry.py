@@ -10,6 +10,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark, sf_dir):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
             return fn(spark, str(sf_dir).rstrip("/"))
 
         run.__name__ = name

@@ -9,11 +9,9 @@ QUERY_LIMIT = 500
 AROUND_LIMIT = 200
 REMOTE_QUERY_LIMIT = 100
 STREAMS_LIMIT = 20
-STREAMS_SERVICE_CAP = 50
 GROUPS_LIMIT = 50
 RETENTION_LIMIT = 100
 FIELD_SAMPLE = 20
-POLL_LIMIT = 100
 HISTORY_KEEP = 50
 DETECT_LINES = 10
 SAMPLE_VALUE_CHARS = 60

@@ -4,92 +4,162 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-_REJECTED = {
-    r"(?=": "look-ahead", r"(?!": "look-ahead", r"(?<=": "look-behind", r"(?<!": "look-behind",
-    r"(?>": "atomic group",
-}
+# What RE2 means by a class or an assertion, outside and inside brackets. Its word
+# borders and blanks are ASCII; Java's \b is not, and its \s has one blank more.
+_BORDER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_NO_BORDER = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
+_OUTSIDE = {"b": _BORDER, "B": _NO_BORDER, "s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]", "v": r"\x0B", "A": r"\A", "z": r"\z"}
+_INSIDE = {"s": r"\t\n\f\r ", "S": r"\S\x0B", "v": r"\x0B"}
+_SAME = set("dDwWaftnr")
+_REPEAT = re.compile(r"[*+?]|\{\d+(?:,\d*)?\}")
+_GROUP = re.compile(r"\(\?(?:P?<(?P<name>\w+)>|(?P<on>[a-zA-Z]*)(?:-(?P<off>[a-zA-Z]+))?(?P<end>[:)]))")
+
+
+class _Translator:
+    """Walks a pattern once; the multi-line flag is known for every place, as groups nest."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at, self.out = pattern, 0, []
+        self.lines = [False]
+
+    def refuse(self, why: str):
+        raise ValueError(f"invalid pattern {self.pattern!r}: {why}")
+
+    def take(self, expression: str):
+        found = re.compile(expression).match(self.pattern, self.at)
+        if found:
+            self.at = found.end()
+        return found
+
+    def run(self) -> str:
+        while self.at < len(self.pattern):
+            c = self.pattern[self.at]
+            if c == "\\":
+                quoted = self.take(r"(?s)\\Q(.*?)(?:\\E|\Z)") if self.pattern.startswith("\\Q", self.at) else None
+                self.out.append(re.sub(r"([^\w\s])", r"\\\1", quoted[1]) if quoted else self.escape(_OUTSIDE))
+                self.repeats()
+            elif c == "[":
+                self.bracket()
+                self.repeats()
+            elif c == "(":
+                self.group()
+            elif c == ")":
+                if len(self.lines) == 1:
+                    self.refuse("unexpected )")
+                self.lines.pop()
+                self.plain(c)
+                self.repeats()
+            elif c == "^":
+                self.plain(r"(?:\A|(?<=\n))" if self.lines[-1] else r"\A")
+            elif c == "$":
+                self.plain(r"(?=\n|\z)" if self.lines[-1] else r"\z")
+            else:
+                found = _REPEAT.match(self.pattern, self.at)
+                if found and c in "*+?" and not self.out:
+                    self.refuse("nothing to repeat")
+                # A brace that begins no repetition is itself.
+                self.plain("\\" + c if c in "{}" else c)
+                self.repeats()
+        if len(self.lines) > 1:
+            self.refuse("missing )")
+        return "".join(self.out)
+
+    def plain(self, text: str):
+        self.out.append(text)
+        self.at += 1
+
+    def repeats(self):
+        """A repetition, perhaps a lazy one; a second one is refused, as RE2 does."""
+        found = _REPEAT.match(self.pattern, self.at)
+        if not found:
+            return
+        self.out.append(found[0])
+        self.at = found.end()
+        if self.pattern.startswith("?", self.at):
+            self.out.append("?")
+            self.at += 1
+        if _REPEAT.match(self.pattern, self.at):
+            self.refuse("a repetition of a repetition")
+
+    def escape(self, meanings: dict) -> str:
+        """One backslash sequence, outside (or inside) brackets."""
+        octal = self.take(r"\\(0[0-7]{0,2}|[1-7][0-7]{1,2})")
+        if octal:
+            return f"\\x{{{int(octal[1], 8):x}}}"
+        code = self.take(r"\\x(?:\{([0-9A-Fa-f]+)\}|([0-9A-Fa-f]{2}))")
+        if code:
+            return f"\\x{{{code[1] or code[2]}}}"
+        script = self.take(r"\\([pP])(?:\{(\^?)(\w+)\}|([A-Z]))")
+        if script:
+            negative = (script[1] == "P") != (script[2] == "^")
+            name = script[3] or script[4]
+            return f"\\{'P' if negative else 'p'}{{{'Is' if len(name) > 2 else ''}{name}}}"
+        if self.at + 1 >= len(self.pattern):
+            self.refuse("a backslash at the end")
+        c = self.pattern[self.at + 1]
+        if not (c in meanings or c in _SAME or (c.isascii() and not c.isalnum())):
+            self.refuse(f"\\{c}")
+        self.at += 2
+        return meanings.get(c, "\\" + c)
+
+    def bracket(self):
+        start = self.take(r"\[\^?")
+        parts, first = [start[0]], True
+        while True:
+            if self.at >= len(self.pattern):
+                self.refuse("missing ]")
+            c = self.pattern[self.at]
+            posix = self.take(r"\[:(\^?)([a-z]+):\]")
+            if posix:
+                java = {"word": r"\w", "xdigit": r"\p{XDigit}", "ascii": r"\p{ASCII}"}.get(posix[2], r"\p{" + posix[2].capitalize() + "}")
+                parts.append(java.replace("\\w", "\\W").replace("\\p", "\\P") if posix[1] else java)
+            elif c == "]" and not first:
+                self.at += 1
+                break
+            elif c == "\\":
+                parts.append(self.escape(_INSIDE))
+            else:
+                parts.append("\\" + c if c in "[]&" else c)
+                self.at += 1
+            first = False
+        self.out.append("".join(parts) + "]")
+
+    def group(self):
+        if not self.pattern.startswith("(?", self.at):
+            self.lines.append(self.lines[-1])
+            self.plain("(")
+            return
+        found = _GROUP.match(self.pattern, self.at)
+        if not found:
+            self.refuse("a kind of group that is not known")
+        self.at = found.end()
+        if found["name"]:
+            self.lines.append(self.lines[-1])
+            # Java's group names have no underscore.
+            self.out.append(f"(?<{found['name'].replace('_', 'U')}>")
+            return
+        on, off = found["on"] or "", found["off"] or ""
+        unknown = set(on + off) - set("ims")
+        if unknown:
+            self.refuse(f"flag {min(unknown)}")
+        lines = "m" in on or (self.lines[-1] and "m" not in off)
+        kept = "".join(f for f in on if f != "m"), "".join(f for f in off if f != "m")
+        flags = kept[0] + (f"-{kept[1]}" if kept[1] else "")
+        if found["end"] == ")":
+            self.lines[-1] = lines
+            self.out.append(f"(?{flags})" if flags else "")
+        else:
+            self.lines.append(lines)
+            self.out.append(f"(?{flags}:")
 
 
 def to_java_regex(pattern: str) -> str:
     """Spell an RE2 pattern so that Java's engine finds the same matches.
 
-    ``$`` means end of text (unless ``(?m)`` is on), named groups lose their
-    ``P``, a ``[`` or ``&&`` inside a class is literal, long script names get
-    Java's ``Is`` prefix. Constructs RE2 refuses are refused here too.
+    Borders, blanks and line anchors get RE2's meaning; what RE2 refuses is refused
+    here too, and so is its ungreedy flag, which Java lacks.
     """
-    multiline = re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
-    out, i, n, in_class = [], 0, len(pattern), False
-    while i < n:
-        rest = pattern[i:]
-        c = pattern[i]
-        if c == "\\":
-            if i + 1 >= n:
-                raise ValueError(f"invalid pattern {pattern!r}: trailing backslash")
-            nxt = pattern[i + 1]
-            if nxt.isdigit() and nxt != "0" or nxt == "k":
-                raise ValueError(f"invalid pattern {pattern!r}: back-reference")
-            if nxt == "Q":
-                end = pattern.find("\\E", i + 2)
-                stop = n if end < 0 else end + 2
-                out.append(pattern[i:stop])
-                i = stop
-                continue
-            script = re.match(r"\\([pP])\{(\^?)([A-Za-z_]{3,})\}", rest)
-            if script:
-                kind, caret, name = script.groups()
-                if caret:
-                    kind = "P" if kind == "p" else "p"
-                out.append(f"\\{kind}{{Is{name}}}")
-                i += script.end()
-                continue
-            out.append("\\z" if nxt == "z" else rest[:2])
-            i += 2
-            continue
-        if in_class:
-            posix = re.match(r"\[:(\^?)([a-z]+):\]", rest)
-            if posix:
-                caret, name = posix.groups()
-                java = {"word": r"\w", "xdigit": r"\p{XDigit}", "ascii": r"\p{ASCII}"}.get(
-                    name, r"\p{" + name.capitalize() + "}"
-                )
-                if caret:
-                    java = java.replace("\\w", "\\W").replace("\\p", "\\P")
-                out.append(java)
-                i += posix.end()
-                continue
-            if c == "]" and i > class_start:
-                in_class = False
-                out.append(c)
-            elif c in "[&" or c == "]":
-                out.append("\\" + c)
-            else:
-                out.append(c)
-            i += 1
-            continue
-        if c == "[":
-            in_class = True
-            out.append(c)
-            i += 1
-            if i < n and pattern[i] == "^":
-                out.append("^")
-                i += 1
-            class_start = i
-            continue
-        if c == "(":
-            for opener, name in _REJECTED.items():
-                if rest.startswith(opener):
-                    raise ValueError(f"invalid pattern {pattern!r}: {name}")
-            if rest.startswith("(?P<"):
-                out.append("(?<")
-                i += 4
-                continue
-        if c == "$" and not multiline:
-            out.append("\\z")
-            i += 1
-            continue
-        out.append(c)
-        i += 1
-    return "".join(out)
+    return _Translator(pattern).run()
 
 
 def search_regex(pattern: str) -> str:

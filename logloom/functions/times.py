@@ -87,11 +87,20 @@ def _access_log_time(text: Column) -> Column:
     )
 
 
+# The years 1 to 9999; a time outside has no value.
+_FIRST_SECOND, _LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+
+def micros_time(micros: Column) -> Column:
+    return F.when(micros.between(_FIRST_SECOND * 1_000_000, _LAST_SECOND * 1_000_000), F.timestamp_micros(micros))
+
+
 def epoch_time(number: Column) -> Column:
-    """Seconds since 1970, or milliseconds when the number is that large."""
-    millis = number > F.lit(EPOCH_MILLIS_ABOVE)
+    """Seconds since 1970, or milliseconds when the number is that large; NULL beyond the years 1 to 9999."""
     whole = number.try_cast("bigint")
-    return F.when(millis, F.timestamp_millis(whole)).otherwise(F.timestamp_seconds(whole))
+    millis = (number > F.lit(EPOCH_MILLIS_ABOVE)) & (whole <= _LAST_SECOND * 1000)
+    seconds = (number <= F.lit(EPOCH_MILLIS_ABOVE)) & (whole >= _FIRST_SECOND)
+    return F.when(millis, F.timestamp_millis(whole)).when(seconds, F.timestamp_seconds(whole))
 
 
 def json_text_time(text: Column) -> Column:
@@ -170,8 +179,8 @@ def parse_time(text: Column, base: Column) -> Column:
     """Empty or ``now`` is ``base``; ``2h`` is that long before it; or RFC 3339."""
     amount = F.regexp_extract(text, r"^(\d+)[mhd]\z", 1).try_cast("bigint")
     unit = F.right(text, F.lit(1))
-    seconds = amount * F.when(unit == "m", 60).when(unit == "h", 3600).otherwise(86400)
-    earlier = F.timestamp_micros(F.unix_micros(base.cast("timestamp")) - seconds * 1_000_000)
+    micros = F.try_multiply(amount, F.when(unit == "m", 60_000_000).when(unit == "h", 3_600_000_000).otherwise(86_400_000_000))
+    earlier = micros_time(F.try_subtract(F.unix_micros(base.cast("timestamp")), micros))
     return (
         F.when((text == "") | (text == "now"), base.cast("timestamp"))
         .when(text.rlike(r"^\d+[mhd]\z"), earlier)
@@ -182,12 +191,12 @@ def parse_time(text: Column, base: Column) -> Column:
 def parse_duration(text: Column) -> Column:
     """A day-time interval from ``7d`` or from ``1h30m``-style text, else NULL."""
     micros = duration_micros(text)
-    return F.make_dt_interval(secs=(micros / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return F.make_dt_interval(secs=(micros / F.lit(1_000_000)).try_cast("decimal(18,6)"))
 
 
 def duration_micros(text: Column) -> Column:
     """N3 as a number of microseconds."""
-    days = F.regexp_extract(text, r"^([+-]?\d+)", 1).try_cast("bigint") * F.lit(86_400_000_000)
+    days = F.try_multiply(F.regexp_extract(text, r"^([+-]?\d+)", 1).try_cast("bigint"), F.lit(86_400_000_000))
     body = F.regexp_replace(text, F.lit(r"^[+-]"), F.lit(""))
     total = F.lit(0.0)
     for unit, micros in _GO_UNIT_MICROS.items():
@@ -199,7 +208,7 @@ def duration_micros(text: Column) -> Column:
     return (
         F.when(text.rlike(r"^[+-]?\d+[^\n]*d\z"), days)
         .when(text.rlike(r"^[+-]?0\z"), F.lit(0).cast("bigint"))
-        .when(text.rlike(rf"^[+-]?(?:{_GO_PART})+\z"), F.floor(signed).cast("bigint"))
+        .when(text.rlike(rf"^[+-]?(?:{_GO_PART})+\z"), F.floor(F.when(F.abs(signed) < 9.2e18, signed)).cast("bigint"))
     )
 
 
@@ -243,7 +252,7 @@ def format_duration(seconds: Column) -> Column:
     """Whole minutes below an hour, else hours or days with one decimal."""
     hours = seconds / F.lit(3600.0)
     return (
-        F.when(seconds < 3600, F.concat((seconds / 60).cast("int").cast("string"), F.lit("m")))
+        F.when(seconds < 3600, F.concat((seconds / 60).try_cast("bigint").cast("string"), F.lit("m")))
         .when(seconds < 86400, F.concat(one_decimal(hours), F.lit("h")))
         .otherwise(F.concat(one_decimal(hours / 24), F.lit("d")))
     )

@@ -27,8 +27,8 @@ def join_rows(rows: DataFrame, is_head: Column, marker: Column | None = None) ->
     # Known keys, said once: else the joins below add it to some branches only, and
     # those would not share the exchange.
     known_keys = F.col("source").isNotNull() & F.col("chunk").isNotNull()
-    base = chunked(rows).select(*_KEYS, "pos", "line").filter(known_keys).repartition(*_KEYS)
-    marked = base.select("*", is_head.alias("is_head"), F.when(is_head, marker).alias("marker"))
+    base = chunked(rows).filter(known_keys).select(*_KEYS, "pos", "line", is_head.alias("is_head"), F.when(is_head, marker).alias("marker"))
+    marked = base.repartition(*_KEYS)
 
     per_chunk = marked.groupBy(*_KEYS).agg(
         F.min(F.when(F.col("is_head"), F.col("pos"))).alias("first_head"),

@@ -8,10 +8,7 @@ from logloom.fixed import JAVA_LAYOUTS, TRACE_LINE
 from logloom.functions.text import strip_ansi
 from logloom.functions.times import instant
 from logloom.operators.multiline import join_rows
-from logloom.parsers.rows import parsed, worked_out
-
-_SEP = "\x01"
-
+from logloom.parsers.rows import groups_of, parsed, worked_out
 
 def header_layout(line: Column) -> Column:
     """Number of the first layout a (clean) line has, or NULL."""
@@ -26,11 +23,10 @@ def is_header(line: Column) -> Column:
 
 def header_parts(line: Column, layout: Column) -> Column:
     """date, time, level, thread, logger, message of a header; '' where it has none."""
-    text = line
+    parts = F.lit(None).cast("array<string>")
     for no, (pattern, order) in enumerate(JAVA_LAYOUTS):
-        spelled = _SEP.join(f"${g}" if g else "" for g in order)
-        text = F.when(layout == no, F.regexp_replace(line, F.lit(f"(?s){pattern}"), F.lit(spelled))).otherwise(text)
-    return F.when(layout.isNotNull(), F.split(text, _SEP, 6))
+        parts = F.when(layout == no, groups_of(line, f"(?s){pattern}", order)).otherwise(parts)
+    return parts
 
 
 def java_time(day: Column, clock: Column, tz: str = "UTC") -> Column:

@@ -10,6 +10,9 @@ from logloom.parsers.rows import parsed, worked_out
 _BLANKS = " \t\n\v\f\r\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedFieldNames": "false"}
+
+
 def trimmed(line: Column) -> Column:
     """The line without white space at either end."""
     return F.btrim(line, F.lit(_BLANKS))
@@ -19,9 +22,10 @@ def json_object(text: Column) -> Column:
     """The object's members as map<string,variant>; NULL when it is no valid object.
 
     Read inside brackets, so text after the object makes it invalid. Of a repeated
-    key the last value counts.
+    key the last value counts; below the first level only where the session has
+    ``spark.sql.variant.allowDuplicateKeys`` on (``local_session`` does).
     """
-    boxed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>")
+    boxed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>", _STRICT)
     members = F.when(F.size(boxed) == 1, F.get(boxed, F.lit(0)))
     return members
 

@@ -6,16 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logloom.fixed import MONTHS, SYSLOG_3164, SYSLOG_5424
 from logloom.functions.times import instant, rfc3339
-from logloom.parsers.rows import parsed, worked_out
-
-_SEP = "\x01"
-
-
-def _parts(line, pattern: str, groups: int):
-    """All groups of a matching line from a single regex run."""
-    spelled = _SEP.join(f"${g}" for g in range(1, groups + 1))
-    return F.split(F.regexp_replace(line, F.lit(pattern), F.lit(spelled)), _SEP, groups)
-
+from logloom.parsers.rows import groups_of, parsed, worked_out
 
 def _map(**pairs):
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()])
@@ -30,8 +21,8 @@ def parse_syslog(rows: DataFrame, year: int | None = None, tz: str = "UTC", **_)
     split = worked_out(
         rows.filter(line != "").withColumn("form", kind),
         kind=F.col("form"),
-        p=F.when(F.col("form") == 5424, _parts(line, SYSLOG_5424, 7)).when(
-            F.col("form") == 3164, _parts(line, SYSLOG_3164, 7)
+        p=F.when(F.col("form") == 5424, groups_of(line, SYSLOG_5424, range(1, 8))).when(
+            F.col("form") == 3164, groups_of(line, SYSLOG_3164, range(1, 8))
         ),
     )
     p = [F.get("p", F.lit(i)) for i in range(7)]

@@ -13,10 +13,6 @@ from logloom.operators.ranking import newest
 from logloom.parsers.rows import to_entries
 from logloom.session import cut_lineage
 from logloom.sources.address import LogSource
-from logloom.sources.lines import LineScan, literal_path
-
-# Matched files that are read again by name for their context lines.
-_NAMED_FILES = 1_000
 
 
 def _range(start, end, now):
@@ -40,10 +36,9 @@ def query_logs(
 
     Times are columns, datetimes, or text such as ``2h`` (before ``now``).
 
-    On text, lines are numbered only after the cut: the large side is scanned,
-    parsed and filtered in one stage and its survivors, at most ``limit``, meet the
-    split offsets. With context lines the cut result is stored first, and only the
-    files that hold a match are read again.
+    On text with a limit, all files are read once: scanned, parsed, filtered and cut in
+    one stage. What is left names at most ``limit`` files; the search is done again on
+    these, and only they are numbered and read for context lines.
     """
     start, end = _range(start, end, now or datetime.now(timezone.utc))
     limited = limit is not None and limit > 0
@@ -51,23 +46,28 @@ def query_logs(
     if isinstance(source, DataFrame) or source.scan is None:
         entries = source if isinstance(source, DataFrame) else source.table
         return newest(_search(entries, start, end, pattern, keep_null), limit)
-    found = []
-    for scan, rows in source.parts():
-        hits = _search(rows, start, end, pattern, keep_null)
-        cut = newest(hits, limit) if limited else hits
-        found.append(to_entries(scan.number(cut, bound)))
-    result = newest(reduce(DataFrame.unionByName, found), limit)
+    parts = source.parts()
+    if not limited:
+        # Every match is asked for: all files are numbered.
+        found = [to_entries(scan.number(_search(source.read(scan, fmt), start, end, pattern, keep_null))) for scan, fmt in parts]
+        result = newest(reduce(DataFrame.unionByName, found), limit)
+        return newest(with_context(result, source.lines(), before, after), limit) if before > 0 or after > 0 else result
+    found, files = [], []
+    for scan, fmt in parts:
+        search = lambda s, fmt=fmt: newest(_search(source.read(s, fmt), start, end, pattern, keep_null), limit)
+        # At most ``limit`` rows are left, and so are their files.
+        own = [r["source"] for r in search(scan).select("source").distinct().collect()]
+        if own:
+            files += own
+            # Again on these files only, where the numbering pass is as small.
+            few = scan.only(own)
+            found.append(to_entries(few.number(search(few), bound)))
+    none = to_entries(source.scan.unnumbered(source.read(*parts[0]))).limit(0)
+    result = newest(reduce(DataFrame.unionByName, found), limit) if found else none
     if before <= 0 and after <= 0:
         return result
-    stored = cut_lineage(result)
-    files = [r["source"] for r in stored.select("source").distinct().limit(_NAMED_FILES + 1).collect()]
-    if not files:
-        lines = source.lines().limit(0)
-    elif len(files) <= _NAMED_FILES:
-        lines = LineScan(source.scan.spark, [literal_path(f) for f in files]).numbered()
-    else:
-        lines = source.lines()
-    return newest(with_context(stored, lines, before, after, bound), limit)
+    lines = source.scan.only(files).numbered() if files else source.lines().limit(0)
+    return newest(with_context(cut_lineage(result), lines, before, after, bound), limit)
 
 
 def ingest(source: LogSource, path: str, mode: str = "error") -> None:

@@ -1,30 +1,26 @@
 """Source addresses, and what they open."""
 
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
-from urllib.parse import parse_qs, unquote
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.parsers.registry import format_name, parse_rows
 from logloom.parsers.rows import to_entries
-from logloom.plans.sizing import small_side
-from logloom.session import cut_lineage
-from logloom.sources.detect import detect_first, detect_format
-from logloom.sources.lines import LineScan, literal_path
-
-# Files of one format that are opened by name; beyond it they are picked by a join.
-_NAMED_FILES = 1_000
+from logloom.sources.detect import detect_first, told_formats
+from logloom.sources.lines import LineScan, literal_path, source_name
 
 
 @dataclass
 class LogSource:
     """An opened source: text files still to be parsed, or a table of entries.
 
-    ``scope`` says how ``auto`` finds the format: ``first`` looks at the first file
-    and reads all files with its format, ``each`` looks at every file.
+    ``scope`` says how ``auto`` finds the format: ``each`` looks at every file,
+    ``first`` looks at the first one and reads all files with its format.
     """
 
     kind: str
@@ -32,7 +28,7 @@ class LogSource:
     scan: LineScan | None = None
     table: DataFrame | None = None
     format: str = "auto"
-    scope: str = "first"
+    scope: str = "each"
     options: dict = field(default_factory=dict)
 
     def metadata(self) -> dict:
@@ -43,38 +39,52 @@ class LogSource:
             raise ValueError(f"{self.uri} is a table of entries and has no lines")
         return self.scan.numbered()
 
-    def parts(self) -> list[tuple[LineScan, DataFrame]]:
-        """Per format in use: a scan, and its parsed but not yet numbered rows."""
+    def parts(self) -> list[tuple[LineScan, str]]:
+        """A scan of the files of each format in use."""
         if self.format == "auto" and self.scope == "each":
             return self._parts_by_file()
         if self.format == "auto":
-            first = literal_path(unquote(min(self.scan.raw.inputFiles())))
+            first = literal_path(source_name(min(self.scan.raw.inputFiles())))
             text = self.scan.spark.read.option("lineSep", "\n").text(first)
             self.format = detect_first(text.withColumnRenamed("value", "line"))
-        return [(self.scan, parse_rows(self.scan.rows(), self.format, **self.options))]
+        return [(self.scan, self.format)]
+
+    def read(self, scan: LineScan, fmt: str) -> DataFrame:
+        """Parsed but not yet numbered rows of a scan."""
+        return parse_rows(scan.rows(), fmt, **self.options)
 
     def _parts_by_file(self):
-        told = cut_lineage(detect_format(self.scan.numbered()))
-        counts = told.groupBy("format").count().orderBy("format").collect()
-        if len(counts) == 1:
-            return [(self.scan, parse_rows(self.scan.rows(), counts[0]["format"], **self.options))]
-        parts = []
-        for name, files in counts:
-            own = told.filter(F.col("format") == name).select("source")
-            if files <= _NAMED_FILES:
-                scan = LineScan(self.scan.spark, [literal_path(r["source"]) for r in own.collect()])
-                rows = scan.rows()
-            else:
-                scan = self.scan
-                rows = scan.rows().join(small_side(own, files), "source", "left_semi")
-            parts.append((scan, parse_rows(rows, name, **self.options)))
-        return parts
-
-    def entries(self) -> DataFrame:
-        """ENTRY rows of the whole source."""
+        """One scan per format in use, over its own files only.
+
+        The format is told by the first split of a file; only a file whose first split
+        is blank is looked at whole. The names are as many as the listing of the scan,
+        which the driver holds in any case.
+        """
+        scan = self.scan
+        files = {source_name(f): f for f in scan.raw.inputFiles()}
+        told = {}
+        begun = told_formats(scan.rows().filter(F.col("chunk") == 0), F.col("pos"))
+        for row in begun.filter("written").collect():
+            told[row["source"]] = row["format"]
+        blank = [f for f in files if f not in told]
+        if blank and scan.is_split():
+            for row in told_formats(scan.only(blank).rows(), F.struct("chunk", "pos")).collect():
+                told[row["source"]] = row["format"]
+        formats = {f: told.get(f, "plain") for f in files}
+        if len(set(formats.values())) == 1:
+            return [(scan, next(iter(formats.values())))]
+        return [(scan.only([f for f in formats if formats[f] == name]), name) for name in sorted(set(formats.values()))]
+
+    def entries(self, numbered: bool = True) -> DataFrame:
+        """ENTRY rows of the whole source.
+
+        Without ``numbered`` the line numbers and pointers are NULL, and the text is read
+        once: numbers cost a pass over it, which counts and searches do not need.
+        """
         if self.scan is None:
             return self.table
-        return reduce(DataFrame.unionByName, [to_entries(scan.number(rows)) for scan, rows in self.parts()])
+        number = LineScan.number if numbered else LineScan.unnumbered
+        return reduce(DataFrame.unionByName, [to_entries(number(scan, self.read(scan, fmt))) for scan, fmt in self.parts()])
 
 
 Opener = Callable[..., LogSource]
@@ -93,7 +103,7 @@ def _split_hint(uri: str) -> tuple[str, str | None]:
     return (path, hint) if not query or "=" in query else (uri, None)
 
 
-def _open_text(spark, uri, format=None, scope="first", skip_missing=False, max_line_bytes=None, **options):
+def _open_text(spark, uri, format=None, scope="each", skip_missing=False, max_line_bytes=None, **options):
     path, hint = _split_hint(uri)
     if path.startswith("file://"):
         path = os.path.expanduser(path[len("file://"):])
@@ -118,14 +128,17 @@ for _scheme in ("parquet", "orc", "delta", "iceberg"):
     register_source(_scheme, _open_stored)
 
 
+# A path whose tail reads @key=value: the parameters were meant to follow a question mark.
+_AT_PARAMETER = re.compile(r"@[^?@=]*=")
+
+
 def check_address(uri: str) -> None:
     """Refuse addresses that are surely mistyped."""
-    _, mark, rest = uri.partition("://")
-    before, at, after = rest.partition("@")
-    if mark and at and before and "=" in after and "?" not in before:
-        raise ValueError(f"invalid address {uri!r}: use '?' for parameters, not '@'")
-    if uri.startswith("///"):
-        raise ValueError(f"invalid address {uri!r}: the scheme is missing")
+    parts = urlsplit(uri)
+    if uri[:3] == "///":
+        raise ValueError(f"{uri!r} has no scheme before its slashes")
+    if parts.scheme and _AT_PARAMETER.search(parts.netloc + parts.path):
+        raise ValueError(f"{uri!r}: parameters come after '?', as in path?key=value")
 
 
 def open_source(spark: SparkSession, address, aliases: dict | None = None, **options) -> LogSource:
@@ -140,7 +153,7 @@ def open_source(spark: SparkSession, address, aliases: dict | None = None, **opt
         scan = LineScan(spark, list(address), skip_missing=True, max_line_bytes=keep.get("max_line_bytes"))
         return LogSource(
             "local", scan.label, scan=scan, format=format_name(keep.get("format")),
-            scope=keep.get("scope", "first"), options=options,
+            scope=keep.get("scope", "each"), options=options,
         )
     if address.startswith("@"):
         known = aliases or {}

@@ -5,9 +5,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from logloom.fixed import DETECT_LINES, JAVA_LEVEL_WORD, MONTHS
 from logloom.parsers.json import trimmed
 
-# Lines looked at first; only a source with more blank lines than that needs the rest.
-_NEAR = 1_000
-
 
 def line_format(line: Column) -> Column:
     """Format a trimmed line speaks for, or NULL."""
@@ -20,29 +17,25 @@ def line_format(line: Column) -> Column:
 
 
 def detect_format(lines: DataFrame) -> DataFrame:
-    """(source, format) from the first ten non-blank lines of every source.
+    """(source, format) from the first ten non-blank lines of every source."""
+    return told_formats(lines, F.col("line_no")).select("source", "format")
+
+
+def told_formats(lines: DataFrame, place: Column) -> DataFrame:
+    """(source, format, written): ``written`` says that there was a line with text.
 
-    Ranking keeps ten rows per source before anything is exchanged, and the lines
-    beyond the first thousand take part only for sources whose beginning is blank.
+    ``place`` orders the lines of a source. Ranking keeps ten
+    rows per source in each task before anything is exchanged, and no line is.
     """
-    told = lines.select("source", "line_no", trimmed(F.col("line")).alias("line"))
-    written = told.filter(F.col("line") != "").select("source", "line_no", line_format(F.col("line")).alias("fmt"))
-    per_source = told.groupBy("source").agg(
-        F.count_if((F.col("line") != "") & (F.col("line_no") <= _NEAR)).alias("near"),
-        F.max("line_no").alias("last"),
-    )
-    sparse = per_source.filter((F.col("near") < DETECT_LINES) & (F.col("last") > _NEAR)).select("source")
-    looked_at = written.filter(F.col("line_no") <= _NEAR).unionByName(
-        written.filter(F.col("line_no") > _NEAR).join(sparse, "source", "left_semi")
-    )
-    order = Window.partitionBy("source").orderBy("line_no")
-    first = looked_at.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DETECT_LINES)
+    told = lines.select("source", place.alias("place"), trimmed(F.col("line")).alias("line"))
+    written = told.select("source", "place", F.when(F.col("line") != "", F.struct(line_format(F.col("line")).alias("fmt"))).alias("seen"))
+    order = Window.partitionBy("source").orderBy(F.col("seen").isNull(), "place")
+    first = written.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DETECT_LINES)
     hits = first.groupBy("source").agg(
-        F.min(F.when(F.col("fmt").isNotNull(), F.struct("line_no", "fmt")))["fmt"].alias("fmt")
-    )
-    return per_source.select("source").join(hits, "source", "left").select(
-        "source", F.coalesce("fmt", F.lit("plain")).alias("format")
+        F.min(F.when(F.col("seen.fmt").isNotNull(), F.struct("rank", "seen.fmt")))["fmt"].alias("fmt"),
+        F.bool_or(F.col("seen").isNotNull()).alias("written"),
     )
+    return hits.select("source", F.coalesce("fmt", F.lit("plain")).alias("format"), F.coalesce("written", F.lit(False)).alias("written"))
 
 
 def detect_first(rows: DataFrame) -> str:

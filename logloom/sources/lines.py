@@ -1,6 +1,7 @@
 """Text scan: files to numbered lines."""
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,6 +38,11 @@ def source_of(file_path):
     return F.regexp_replace(F.coalesce(decoded, file_path), F.lit("^file:/+"), F.lit("/"))
 
 
+def source_name(path: str) -> str:
+    """``source_of`` for a path the driver holds."""
+    return re.sub("^file:/+", "/", unquote(path))
+
+
 def line_text(value):
     """A line without its carriage return."""
     return F.when(F.endswith(value, F.lit("\r")), F.left(value, F.length(value) - 1)).otherwise(value)
@@ -63,7 +69,9 @@ class LineScan:
         self.min_splits = int(
             spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism
         )
-        spark.conf.set("spark.sql.files.minPartitionNum", str(self.min_splits))
+        # Set for the session once and left: a plan is cut into splits when it runs.
+        if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+            spark.conf.set("spark.sql.files.minPartitionNum", str(self.min_splits))
         self.raw = spark.read.option("lineSep", "\n").text(paths)
         self.identified = self.raw.select(
             F.col("_metadata.file_path").alias("file"),
@@ -71,16 +79,27 @@ class LineScan:
             F.monotonically_increasing_id().alias("pos"),
             "value",
         )
-        if max_line_bytes is not None:
-            too_long = F.octet_length("value") > max_line_bytes
-            self.max_line = ~too_long
-        else:
-            self.max_line = None
+        self.max_line_bytes = max_line_bytes
 
     def rows(self) -> DataFrame:
-        """(source, chunk, pos, line)"""
-        rows = self.identified if self.max_line is None else self.identified.filter(self.max_line)
-        return rows.select(source_of(F.col("file")).alias("source"), "chunk", "pos", line_text(F.col("value")).alias("line"))
+        """(source, chunk, pos, line); a line of over ``max_line_bytes`` is an error, never left out."""
+        value = F.col("value")
+        if self.max_line_bytes is not None:
+            said = F.concat(F.lit(f"a line of more than {self.max_line_bytes} bytes in "), "file")
+            value = F.when(F.octet_length("value") > self.max_line_bytes, F.raise_error(said).cast("string")).otherwise(value)
+        return self.identified.select(source_of(F.col("file")).alias("source"), "chunk", "pos", line_text(value).alias("line"))
+
+    def only(self, sources: list[str]) -> "LineScan":
+        """A scan of these of its files."""
+        return LineScan(self.spark, [literal_path(f) for f in sorted(sources)], max_line_bytes=self.max_line_bytes)
+
+    def is_split(self) -> bool:
+        """Whether some file may be read in several splits."""
+        return self.split_bound() > len(self.raw._jdf.inputFiles()) + 1
+
+    def unnumbered(self, rows: DataFrame) -> DataFrame:
+        """Rows of this scan with a ``line_no`` that is not known."""
+        return rows.withColumn("line_no", F.lit(None).cast("bigint"))
 
     def split_bound(self) -> int:
         """An upper bound on the number of file splits, from the file listing alone."""

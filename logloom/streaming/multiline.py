@@ -1,88 +1,103 @@
 """Joining continuation lines of a stream."""
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-JOINED = "source string, line_no long, message string"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """The state store this needs; keeps state outside the JVM heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-# The processor travels with the query, so workers need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-class OpenEntry(StatefulProcessor):
-    """Per source: the entry still open (first line number, text, when to give it out)."""
-
-    def __init__(self, flush_millis: int | None):
-        self.flush_millis = flush_millis
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", "line_no long, message string, flush_at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lines = pd.concat(list(rows)).sort_values("line_no")
-        open_no, parts = None, []
-        if self.entry.exists():
-            open_no, text, _ = self.entry.get()
-            parts = [text]
-        done = []
-        for line_no, line, is_head in zip(lines["line_no"], lines["line"], lines["is_head"]):
-            if open_no is not None and not is_head:
-                parts.append(line)
-                continue
-            if open_no is not None:
-                done.append((key[0], open_no, "\n".join(parts)))
-                open_no, parts = None, []
-            if line != "":
-                open_no, parts = int(line_no), [line]
-        if open_no is None:
-            self.entry.clear()
-        elif self.flush_millis is None:
-            self.entry.update((open_no, "\n".join(parts), -1))
-        else:
-            flush_at = timerValues.getCurrentProcessingTimeInMs() + self.flush_millis
-            self.entry.update((open_no, "\n".join(parts), flush_at))
-            self.handle.registerTimer(flush_at)
-        yield pd.DataFrame(done, columns=["source", "line_no", "message"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # Timers of an entry that has grown since come too early and are passed over.
-        done = []
-        if self.entry.exists():
-            line_no, message, flush_at = self.entry.get()
-            if flush_at <= expiredTimerInfo.getExpiryTimeInMs():
-                self.entry.clear()
-                done.append((key[0], line_no, message))
-        yield pd.DataFrame(done, columns=["source", "line_no", "message"])
-
-    def close(self) -> None:
-        pass
-
-
-def tail_multiline(lines: DataFrame, is_head: Column, flush_millis: int | None = 5_000) -> DataFrame:
-    """Streaming (source, line_no, line) rows to (source, line_no, message) entries.
-
-    An entry comes out when the next one of its source begins, or when nothing has
-    been added to it for ``flush_millis``; with None only the next entry ends it. A
-    stream with timers goes on until it is stopped, also under ``availableNow``.
-    Rows of one batch are put in line order; limit the batch with the source's own
-    rate option.
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from logloom.operators.multiline import join_rows
+from logloom.plans.ordered import CHUNK_LINES
+from logloom.session import drop_folder, fresh_folder
+
+_OPEN = "source string, line_no bigint, line string, grown timestamp"
+
+
+class JoinedStream:
+    """A running ``tail_multiline``: ``query`` is the stream, ``flush`` gives out what is still open."""
+
+    def __init__(self, query: StreamingQuery, state: "_OpenEntries", sink: Callable[[DataFrame, int], None]):
+        self.query, self._state, self._sink = query, state, sink
+
+    def flush(self) -> None:
+        """After the stream has ended: the last entry of every source, as one more batch."""
+        last = self._state.last
+        if last is not None:
+            self._sink(self._state.read(last).select("source", "line_no", F.col("line").alias("message")), last + 1)
+            self._state.write(self._state.read(last).limit(0), last + 1)
+
+    def finish(self) -> None:
+        """Wait for the end of the stream, then flush."""
+        self.query.awaitTermination()
+        self.flush()
+
+
+class _OpenEntries:
+    """One row per source: the entry that may still grow. Each batch writes its own folder."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path, self.last = spark, path, None
+
+    def _folder(self, batch_id: int) -> str:
+        return f"{self.path}/open/batch={batch_id}"
+
+    def read(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(_OPEN).parquet(self._folder(batch_id))
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.select("source", "line_no", "line", "grown").write.mode("overwrite").parquet(self._folder(batch_id))
+        if batch_id > 1:
+            drop_folder(self.spark, self._folder(batch_id - 2))
+        self.last = batch_id
+
+
+def tail_multiline(
+    lines: DataFrame, is_head: Column, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None,
+    quiet: str | None = None, ticks: DataFrame | None = None,
+) -> JoinedStream:
+    """Streaming (source, line_no, line) rows to batches of (source, line_no, message) entries for ``sink(entries, batch_id)``.
+
+    A batch is joined as stored lines are, in bounded chunks of a source, together with
+    the one entry per source that was still open. The last entry of a source stays open
+    until its next one begins, until a batch finds that it has not grown for ``quiet``
+    (an interval such as ``5 seconds``), or until ``flush``. ``ticks`` is any stream that
+    makes batches when no lines arrive (``every(spark)``). Lines of a source must not
+    arrive after later ones of an earlier batch. A batch that is run again finds the
+    open entries of the batch before it; its sink call has the same id.
     """
-    use_rocksdb(lines.sparkSession)
-    marked = lines.select("source", "line_no", "line", F.coalesce(is_head, F.lit(False)).alias("is_head"))
-    return marked.groupBy("source").transformWithStateInPandas(
-        statefulProcessor=OpenEntry(flush_millis), outputStructType=JOINED, outputMode="append",
-        timeMode="None" if flush_millis is None else "ProcessingTime",
+    spark = lines.sparkSession
+    state = _OpenEntries(spark, checkpoint)
+    rows = lines.select("source", "line_no", "line")
+    if ticks is not None:
+        none = F.lit(None)
+        rows = rows.unionByName(ticks.select(none.cast("string").alias("source"), none.cast("bigint").alias("line_no"), none.cast("string").alias("line")))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        now = F.current_timestamp()
+        fresh = batch.filter("source IS NOT NULL").select("source", "line_no", "line", is_head.alias("_head"), now.alias("grown"))
+        if batch_id > 0:
+            fresh = fresh.unionByName(state.read(batch_id - 1).select("source", "line_no", "line", F.lit(True).alias("_head"), "grown"))
+        stored = fresh_folder(spark, "lines")
+        fresh.write.parquet(stored)
+        all_lines = spark.read.schema(fresh.schema).parquet(stored)
+        chunk = F.floor((F.col("line_no") - 1) / F.lit(CHUNK_LINES)).cast("bigint")
+        placed = all_lines.select("source", chunk.alias("chunk"), F.col("line_no").alias("pos"), "line", F.coalesce("_head", F.lit(False)).alias("_head"))
+        joined = join_rows(placed, F.col("_head")).select("source", F.col("pos").alias("line_no"), F.concat_ws("\n", "head", "rest").alias("line"))
+        ends = all_lines.groupBy("source").agg(F.max("grown").alias("grown"))
+        entries = fresh_folder(spark, "entries")
+        joined.write.parquet(entries)
+        joined = spark.read.schema(joined.schema).parquet(entries)
+        newest = joined.groupBy("source").agg(F.max("line_no").alias("newest")).join(ends, "source")
+        known = joined.join(newest, "source")
+        still = F.col("line_no") == F.col("newest")
+        if quiet is not None:
+            still = still & (F.col("grown") > now - F.expr(f"INTERVAL {quiet}"))
+        sink(known.filter(~still).select("source", "line_no", F.col("line").alias("message")), batch_id)
+        state.write(known.filter(still), batch_id)
+        for folder in (stored, entries):
+            drop_folder(spark, folder)
+
+    query = (
+        rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/stream")
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
+    return JoinedStream(query, state, sink)

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators.lookup import get_lines
-from logloom.plans import query as query_plan
 from logloom.plans.query import ingest, query_logs
 from logloom.sources.address import OPENERS, LogSource, open_ptr, open_source, register_source
 from logloom.sources.lines import LineScan, existing_paths, file_streams, path_label, read_lines
@@ -68,9 +67,11 @@ def test_compressed_file(spark, tmp_path):
     assert [n for _, n, _ in numbered(read_lines(spark, str(tmp_path / "a.log.gz")))] == [1, 2]
 
 
-def test_long_lines_can_be_left_out(spark, tmp_path):
+def test_long_lines_are_never_left_out(spark, tmp_path):
     path = write(tmp_path / "a", "short\n" + "x" * 100 + "\nend")
-    assert [(n, line) for _, n, line in numbered(read_lines(spark, path, max_line_bytes=50))] == [(1, "short"), (3, "end")]
+    assert len(numbered(read_lines(spark, path, max_line_bytes=100))) == 3
+    with pytest.raises(Exception, match="a line of more than 50 bytes"):
+        numbered(read_lines(spark, path, max_line_bytes=50))
 
 
 def test_file_lists(spark, tmp_path):
@@ -93,7 +94,7 @@ def test_addresses(spark, tmp_path, monkeypatch):
         assert [r["message"] for r in source.entries().collect()] == ["m"], address
     assert open_source(spark, f"{path}?format=plain").entries().first()["message"] == '{"message": "m"}'
     assert open_source(spark, [path, "/gone"]).metadata()["uri"] == path
-    for bad, error in (("file:///x@format=json", "use '?'"), ("///x", "scheme is missing"), ("ftp://x", "unknown source scheme")):
+    for bad, error in (("file:///x@format=json", "come after"), ("///x", "no scheme"), ("ftp://x", "unknown source scheme")):
         with pytest.raises(ValueError, match=error):
             open_source(spark, bad)
     with pytest.raises(KeyError, match="app"):
@@ -170,9 +171,7 @@ CONTEXT = [(4, 2, 2, [2, 3], [5, 6]), (1, 2, 2, [], [2, 3]), (7, 2, 2, [5, 6], [
 
 
 @pytest.mark.parametrize("line, before, after, want_before, want_after", CONTEXT)
-@pytest.mark.parametrize("named", [1000, 0])
-def test_context(spark, tmp_path, monkeypatch, named, line, before, after, want_before, want_after):
-    monkeypatch.setattr(query_plan, "_NAMED_FILES", named)
+def test_context(spark, tmp_path, line, before, after, want_before, want_after):
     source = open_source(spark, write(tmp_path / "a.log", "\n".join(f"line {i}" for i in range(1, 8))))
     (row,) = query_logs(source, pattern=f"line {line}$", before=before, after=after).collect()
     assert [e["message"] for e in row["context"]["before"]] == [f"line {i}" for i in want_before]
@@ -195,17 +194,32 @@ def test_get_lines(spark, tmp_path):
         get_lines(spark, ["not-a-valid-pointer"])
 
 
-def test_formats_by_file(spark, tmp_path, monkeypatch):
+def test_formats_by_file(spark, tmp_path):
     write(tmp_path / "a.log", '{"message":"j"}\n')
     write(tmp_path / "b.log", "2025-01-15 10:30:45 INFO t\n\tat x\n")
     write(tmp_path / "c.log", "plain\n")
-    want = ["j", "plain", "t\n\tat x"]
-    for named in (1000, 0):
-        monkeypatch.setattr("logloom.sources.address._NAMED_FILES", named)
-        source = open_source(spark, str(tmp_path / "*.log"), scope="each")
-        assert sorted(r["message"] for r in source.entries().collect()) == want
-        assert sorted(r["message"] for r in query_logs(source, limit=5).collect()) == want
-    assert open_source(spark, str(tmp_path / "*.log")).entries().count() == 1  # the first file's format for all
+    write(tmp_path / "d.log", "\n" * 30 + '{"message":"late"}\n')
+    write(tmp_path / "e.log", "")
+    want = ["j", "late", "plain", "t\n\tat x"]
+    source = open_source(spark, str(tmp_path / "*.log"))
+    assert sorted(r["message"] for r in source.entries().collect()) == want
+    free = source.entries(numbered=False).collect()
+    assert sorted(r["message"] for r in free) == want and {r["line_no"] for r in free} == {None}
+    assert sorted(r["message"] for r in query_logs(source, limit=5).collect()) == want
+    assert query_logs(source, limit=1, pattern="plain", before=1).first()["context"]["before"] == []
+    assert query_logs(source, limit=5, pattern="nowhere", before=1).collect() == []
+    assert open_source(spark, str(tmp_path / "*.log"), scope="first").entries().count() == 2  # the first file's format for all
+
+
+def test_format_beyond_a_blank_split(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        write(tmp_path / "a.log", "\n" * 300 + '{"message":"late"}\n')
+        write(tmp_path / "b.log", "text\n" * 50)
+        found = query_logs(open_source(spark, str(tmp_path / "*.log")), limit=500)
+        assert sorted((r["message"], r["line_no"]) for r in found.collect())[0] == ("late", 301)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_file_streams(spark, tmp_path):

@@ -86,22 +86,30 @@ def test_multiline_over_batches(spark, stream):
         [[("a", 2, "\tat y"), ("a", 1, head), ("b", 1, ""), ("b", 2, "opening")], [("a", 3, ""), ("a", 4, head)], [("a", 5, head), ("b", 3, "more"), ("b", 4, head)]],
         LINES,
     )
-    got = run(spark, tail_multiline(source, is_header(F.col("line")), None)).orderBy("source", "line_no").collect()
-    assert [(r["source"], r["line_no"], r["message"]) for r in got] == [("a", 1, head + "\n\tat y\n"), ("a", 4, head), ("b", 2, "opening\nmore")]
+    got = {}
+    joined = tail_multiline(source, is_header(F.col("line")), lambda rows, n: got.update({n: rows.collect()}), fresh_folder(spark, "at"))
+    joined.query.awaitTermination()
+    before = sorted(tuple(r) for rows in got.values() for r in rows)
+    assert before == [("a", 1, head + "\n\tat y\n"), ("a", 4, head), ("b", 2, "opening\nmore")]
+    joined.flush()
+    joined.flush()
+    assert sorted(tuple(r) for rows in got.values() for r in rows) == sorted(before + [("a", 5, head), ("b", 4, head)])
 
 
 def test_multiline_gives_out_a_quiet_entry(spark, stream):
     source = stream([[("a", 1, "2025-01-15 10:30:45 INFO x"), ("a", 2, "\tat y")]], LINES)
-    out = fresh_folder(spark, "out")
-    query = T.write_stream(tail_multiline(source, is_header(F.col("line")), 200), out, trigger={"processingTime": "200 milliseconds"})
+    got = []
+    joined = tail_multiline(
+        source, is_header(F.col("line")), lambda rows, n: got.extend(r["message"] for r in rows.collect()), fresh_folder(spark, "at"),
+        trigger={"processingTime": "200 milliseconds"}, quiet="1 second", ticks=T.every(spark),
+    )
     try:
-        deadline, rows = time.time() + 40, []
-        while not rows and time.time() < deadline:
+        deadline = time.time() + 60
+        while not got and time.time() < deadline:
             time.sleep(0.5)
-            rows = spark.read.schema("source string, line_no bigint, message string").parquet(out).collect() if query.lastProgress else []
     finally:
-        query.stop()
-    assert [r["message"] for r in rows] == ["2025-01-15 10:30:45 INFO x\n\tat y"]
+        joined.query.stop()
+    assert got == ["2025-01-15 10:30:45 INFO x\n\tat y"]
 
 
 def test_whole_files_are_numbered_and_joined(spark, tmp_path):
