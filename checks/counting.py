@@ -217,3 +217,14 @@ FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * o_orderkey * 64 AS BIGIN
 def sizes(spark, sf):
     key = F.col("o_orderkey")
     return table(spark, sf, "orders").select("o_orderkey", format_bytes(key * key * key * 64).alias("size"))
+
+
+@query("estimate_total_users", f"""
+SELECT CAST(sum(estimated_bytes) AS BIGINT) AS estimated_bytes FROM (
+  SELECT CAST(floor(stored_bytes * least(1.0, (epoch_us(TIMESTAMP '2024-01-20') - epoch_us(TIMESTAMP '2024-01-13')) / (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created)))) AS BIGINT) AS estimated_bytes
+  FROM (SELECT user_id, CAST(sum(octet_length(encode({SQL_MESSAGE}))) AS BIGINT) AS stored_bytes, min(ts) AS created FROM events GROUP BY user_id))""")
+def users_total(spark, sf):
+    """A group per user: more groups than a listing shows."""
+    groups = list_groups(entries(spark, sf).withColumn("source", F.col("stream")), limit=None)
+    found = estimate_scan(groups, "2024-01-13T00:00:00Z", "2024-01-20T00:00:00Z", "2024-02-01T00:00:00Z")
+    return total_estimate(found).select("estimated_bytes")

@@ -237,3 +237,29 @@ def audited(spark, sf):
     append_timeline(audit_rows(runs, known), folder)
     rows = spark.read.schema(known.schema).parquet(folder)
     return rows.select("case_id", "seq", "type", F.coalesce("content", F.lit("")).alias("content"))
+
+
+@query("export_catalogs_other", f"""
+SELECT 'stream' AS kind, 'user-' || user_id AS name, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS detail FROM events GROUP BY user_id
+UNION ALL SELECT 'group', name, stored_bytes || ' ' || CASE WHEN retention_days <> 0 THEN CAST(retention_days AS VARCHAR) ELSE '-' END FROM ({_SQL_GROUPS})
+UNION ALL SELECT DISTINCT 'metric', event_type, CAST(user_id % 3 AS VARCHAR) FROM events
+UNION ALL SELECT 'point', strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%dT%H:%M:%SZ'), 'error ' || CAST(count(*) AS VARCHAR) FROM events WHERE event_type = 'error' GROUP BY 2""")
+def catalogs_other(spark, sf):
+    """The catalogues in the formats that ``export_catalogs`` does not write."""
+    folder = fresh_folder(spark, "catalogs")
+    points = metrics(spark, sf)
+    write_streams(list_streams(entries(spark, sf), limit=None), f"{folder}/streams", "csv")
+    write_groups(_groups(spark, sf), f"{folder}/groups", "json")
+    write_catalog(metric_catalog(points), f"{folder}/catalog", "json")
+    write_series(metric_stats(points, "app/events", "error", stat="count", period="1 day"), f"{folder}/series", "json", metricName="error")
+    streams = read_csv_export(spark, f"{folder}/streams", "name string, lastTime string, firstTime string, size bigint")
+    groups = spark.read.schema("name string, storedBytes bigint, retentionDays int").json(f"{folder}/groups")
+    names = spark.read.schema("metricName string, dimensions map<string,string>").json(f"{folder}/catalog")
+    series = spark.read.schema("metricName string, timestamp string, value double").json(f"{folder}/series")
+    kind = lambda k: F.lit(k).alias("kind")
+    return (
+        streams.select(kind("stream"), "name", F.col("lastTime").alias("detail"))
+        .union(groups.select(kind("group"), "name", F.concat_ws(" ", "storedBytes", F.coalesce(F.col("retentionDays").cast("string"), F.lit("-")))))
+        .union(names.select(kind("metric"), "metricName", F.col("dimensions")["shard"]))
+        .union(series.select(kind("point"), "timestamp", F.concat_ws(" ", "metricName", F.col("value").cast("bigint"))))
+    )

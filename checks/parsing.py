@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 
 from checks.inputs import SQL_MESSAGE, event_message, micros, rendered, spread, table
 from checks.registry import query
+from logloom.operators.aggregates import count_by_bucket
+from logloom.operators.lookup import get_lines
 from logloom.operators.multiline import fill_reference_date, join_multiline
 from logloom.parsers.java import is_header
 from logloom.parsers.registry import parse_lines
 from logloom.session import fresh_folder
 from logloom.sources.address import open_source
 from logloom.sources.detect import detect_format
-from logloom.sources.lines import read_lines
+from logloom.sources.lines import file_streams, read_lines
 from logloom.sources.remote import from_field_rows
 
 
@@ -277,3 +279,99 @@ def field_rows(spark, sf):
     return from_field_rows(cells, "/app").select(
         "row_id", micros().alias("ts_us"), "message", "stream", "ptr", F.col("fields")["action"].alias("action")
     )
+
+
+def _mixed(spark, sf):
+    """Events as files of four formats in one folder, chosen by the user."""
+    folder = fresh_folder(spark, "mixed")
+    m = event_message()
+    line = _case(F.col("user_id") % 4, [
+        F.concat(F.lit('{"message":"'), m, F.lit('","time":'), F.unix_millis(F.col("ts").cast("timestamp")), F.lit("}")),
+        F.concat(_stamp("yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" INFO "), m),
+        F.concat(_stamp("MMM"), F.lit(" "), _stamp("dd"), F.lit(" "), _stamp("HH:mm:ss"), F.lit(" host "), m),
+        F.concat(F.lit("note "), m),
+    ])
+    rows = table(spark, sf, "events").select((F.col("user_id") % 4).alias("form"), (F.col("user_id") % 8).alias("part"), line.alias("value"))
+    rows.repartition("form", "part").write.partitionBy("form", "part").text(folder)
+    return f"{folder}/*/*"
+
+
+@query("mixed_formats", f"""
+SELECT CASE WHEN user_id % 4 = 3 THEN 'note ' ELSE '' END || {SQL_MESSAGE} AS message,
+       CASE user_id % 4 WHEN 3 THEN -1 WHEN 2 THEN epoch_us(date_trunc('second', ts)) ELSE epoch_us(date_trunc('millisecond', ts)) END AS ts_us
+FROM events""")
+def mixed_formats(spark, sf):
+    found = open_source(spark, _mixed(spark, sf), year=2024).entries()
+    return found.select("message", micros().alias("ts_us"))
+
+
+@query("count_text_buckets", """
+SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, date_trunc('second', ts))) AS bucket_us, count(*) AS count
+FROM events WHERE user_id % 4 <> 3 AND event_type IN ('error', 'click') GROUP BY 1""")
+def count_text(spark, sf):
+    logs = open_source(spark, _mixed(spark, sf), year=2024).entries(numbered=False)
+    found = count_by_bucket(logs, pattern="^(error|click) ", limit=None)
+    return found.select(micros("time_bucket").alias("bucket_us"), "count")
+
+
+@query("read_list", """
+SELECT 'part=' || user_id % 8 AS part, count(*) AS lines FROM events WHERE user_id % 8 IN (1, 3) AND user_id % 4 IN (1, 3) GROUP BY 1""")
+def read_list(spark, sf):
+    """A list of files, one of which does not exist."""
+    folder = _mixed(spark, sf).removesuffix("/*/*")
+    asked = [f"{folder}/form=1/part=1/*", f"{folder}/form=3/part=3/*", f"{folder}/form=9/gone.log"]
+    found = read_lines(spark, asked, skip_missing=True)
+    return found.groupBy(F.regexp_extract("source", "(part=[0-9])", 1).alias("part")).agg(F.count("*").alias("lines"))
+
+
+@query("list_files", """
+SELECT 'form=' || user_id % 4 || '/part=' || user_id % 8 AS file, CAST(sum(strlen(CASE user_id % 4
+  WHEN 0 THEN '{"message":"' || m || '","time":' || epoch_ms(ts) || '}' WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ',000 INFO ' || m
+  WHEN 2 THEN strftime(ts, '%b %d %H:%M:%S') || ' host ' || m ELSE 'note ' || m END) + 1) AS BIGINT) AS size
+FROM (SELECT *, """ + SQL_MESSAGE + """ AS m FROM events) GROUP BY 1""")
+def list_files(spark, sf):
+    name = F.regexp_extract("name", "(form=[0-9]/part=[0-9])", 1)
+    return file_streams(spark, _mixed(spark, sf)).groupBy(name.alias("file")).agg(F.sum("size").cast("bigint").alias("size"))
+
+
+@query("get_lines", f"""
+SELECT {SQL_MESSAGE} AS message, epoch_us(date_trunc('millisecond', ts)) AS ts_us FROM events WHERE event_id < 50 AND user_id % 4 = 0""")
+def lines_by_pointer(spark, sf):
+    """Pointers into real files, of the first events, read back line by line."""
+    rows = open_source(spark, _mixed(spark, sf), year=2024).entries()
+    first = table(spark, sf, "events").filter("event_id < 50 AND user_id % 4 = 0").select(event_message().alias("message"), F.col("ts").cast("timestamp").alias("at"))
+    asked = rows.join(first, "message").filter(F.date_trunc("millisecond", "at") == F.col("timestamp")).select("ptr").distinct()
+    # As many as the caller lists: fifty at most.
+    found = get_lines(spark, [r["ptr"] for r in asked.collect()], "json")
+    return found.select("message", micros().alias("ts_us"))
+
+
+@query("parse_json_odd_lines", """
+SELECT event_id + 1 AS line_no, CASE event_id % 8 WHEN 2 THEN epoch_us(date_trunc('second', ts)) ELSE -1 END AS ts_us,
+  CASE event_id % 8 WHEN 0 THEN 'big' WHEN 1 THEN 'small' WHEN 2 THEN 'odd'
+    WHEN 3 THEN '{''message'': ''x'', ''ts'': 1}' WHEN 4 THEN '{"message":"n","a":NaN}' WHEN 5 THEN 'm' WHEN 6 THEN '{message:"x"}' ELSE 'tail' END AS message,
+  CASE event_id % 8 WHEN 5 THEN '{"b":' || event_id || '}' ELSE '' END AS a
+FROM events""")
+def odd_json(spark, sf):
+    n = F.col("event_id")
+    line = _case(n % 8, [
+        F.lit('{"ts":100000000000000000,"msg":"big"}'), F.lit('{"ts":-1000000000000000,"msg":"small"}'),
+        F.concat(F.lit('{"ts":'), F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(',"msg":"odd"}')),
+        F.lit("{'message': 'x', 'ts': 1}"), F.lit('{"message":"n","a":NaN}'),
+        F.concat(F.lit('{"message":"m","a":{"b":1,"b":'), n, F.lit("}}")), F.lit('{message:"x"}'), F.lit('{"message":"first","message":"tail"}'),
+    ])
+    found = parse_lines(rendered(spark, sf, line), "json")
+    return found.select("line_no", micros().alias("ts_us"), "message", F.coalesce(F.col("fields")["a"], F.lit("")).alias("a"))
+
+
+@query("parse_marked_lines", """
+SELECT event_id + 1 AS line_no, CASE WHEN event_id % 2 = 0 THEN 'h' || chr(1) || 'z' ELSE 't' || chr(1) || 'b' END AS part,
+       event_type || chr(1) || 'end' AS message FROM events""")
+def marked_lines(spark, sf):
+    """Control characters inside the parts of syslog and Java lines stay where they are."""
+    text = F.concat("event_type", F.lit("\x01end"))
+    new = F.concat(F.lit("<14>1 "), _stamp("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z h\x01z app 7 id "), text)
+    java = F.concat(_stamp("yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" INFO [t\x01b] com.x.Y - "), text)
+    syslog = parse_lines(rendered(spark, sf, new).filter((F.col("line_no") - 1) % 2 == 0), "syslog").select("line_no", F.col("fields")["hostname"].alias("part"), "message")
+    headers = parse_lines(rendered(spark, sf, java).filter((F.col("line_no") - 1) % 2 == 1), "java").select("line_no", F.col("fields")["thread"].alias("part"), "message")
+    return syslog.unionByName(headers)

@@ -6,10 +6,10 @@ from checks.inputs import SQL_MESSAGE, entries, event_message, micros, numbered_
 from checks.parsing import _FILE, _written_lines
 from checks.registry import query
 from logloom.functions.pointers import make_s3_ptr, parse_ptr, parse_s3_ptr, ptr_type, short_ptr
-from logloom.operators.aggregates import result_count
+from logloom.operators.aggregates import list_streams, result_count
 from logloom.operators.around import around, around_many
 from logloom.operators.context import with_context, with_time_context
-from logloom.operators.filters import contains_any, field_equals, grep, time_range
+from logloom.operators.filters import by_name, contains_any, field_equals, grep, time_range
 from logloom.operators.lookup import get_records, lookup_provenance, missing_ptrs, resolve_ptrs
 from logloom.operators.projections import default_fields
 from logloom.operators.ranking import dedup_events, keep_latest, newest, result_index
@@ -66,7 +66,8 @@ SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, line_no, epoch_us(date_trunc
 FROM n WHERE ts >= TIMESTAMP '2024-01-03' AND regexp_matches({SQL_MESSAGE}, '(error|view) .*7$')
 ORDER BY date_trunc('millisecond', ts) DESC, event_type, line_no LIMIT 500""")
 def query_text(spark, sf):
-    source = open_source(spark, f"{_written_lines(spark, sf)}/*/*")
+    # The lines of the first file are plain; those that begin with "error" look like Java.
+    source = open_source(spark, f"{_written_lines(spark, sf)}/*/*", scope="first")
     found = query_logs(source, start="2024-01-03T00:00:00Z", pattern="(error|VIEW) .*7$")
     return found.select(
         F.regexp_extract("source", _FILE, 1).alias("event_type"), F.regexp_extract("source", _FILE, 2).alias("day"),
@@ -292,3 +293,8 @@ def similar_customers(spark, sf):
     return similar_names(names, targets).select(
         "target", "name", F.col("distance").cast("bigint").alias("distance"), F.col("rank").cast("bigint").alias("rank")
     )
+
+
+@query("exact_name", "SELECT DISTINCT 'user-' || user_id AS name FROM events WHERE user_id = 7")
+def exact_name(spark, sf):
+    return by_name(list_streams(entries(spark, sf), limit=None), "user-7").select("name")

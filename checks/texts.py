@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import entries, micros, table
 from checks.registry import query
-from logloom.functions.regex import highlight
+from logloom.functions.regex import highlight, matches
 from logloom.functions.text import normalize_stat_column, slug, split_log_field, strip_ansi, truncate, truncate_total
 from logloom.functions.times import check_time_range, duration_micros, format_duration, iso8601, parse_time, parse_timestamp
 
@@ -105,3 +105,27 @@ def aliases(spark, sf):
     names = F.array(*[F.lit(n) for n in ("SUM", "avg", "max", "COUNT", "median")])
     named = F.element_at(names, (F.col("event_id") % 5 + 1).cast("int"))
     return table(spark, sf, "events").select("event_id", normalize_stat_column(named).alias("stat"))
+
+
+@query("time_parse_extremes", """
+SELECT event_id, CASE event_id % 4 WHEN 2 THEN epoch_us(ts) - 60000000 ELSE -1 END AS relative_us,
+       CASE event_id % 4 WHEN 3 THEN 86400000000 ELSE -1 END AS micros FROM events""")
+def extreme_times(spark, sf):
+    """Numbers beyond any time or duration give no value and end no job."""
+    n = F.col("event_id")
+    text = F.when(n % 4 == 0, "9999999999999999d").when(n % 4 == 1, "99999999999999999999h").when(n % 4 == 2, "1m").otherwise("900000000000000m")
+    span = F.when(n % 4 == 0, "999999999999d").when(n % 4 == 1, "9" * 30 + "h").when(n % 4 == 2, "x").otherwise("1d")
+    return table(spark, sf, "events").select(
+        "event_id", micros(parse_time(text, F.col("ts"))).alias("relative_us"), F.coalesce(duration_micros(span), F.lit(-1)).alias("micros")
+    )
+
+
+@query("regex_boundaries", r"""
+SELECT doc_id, regexp_matches(text, '(?i)la\b') AS after, regexp_matches(text, '(?i)\bété') AS before,
+       regexp_matches(text, '(?i)e\Bn') AS inside, regexp_matches(text, '(?i)e\sd\w+é') AS blank FROM documents""")
+def boundaries(spark, sf):
+    text = F.col("text")
+    return table(spark, sf, "documents").select(
+        "doc_id", matches(text, r"la\b").alias("after"), matches(text, r"\bété").alias("before"), matches(text, r"e\Bn").alias("inside"),
+        matches(text, r"e\sd\w+é").alias("blank"),
+    )

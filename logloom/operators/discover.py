@@ -1,5 +1,7 @@
 """Which fields the records have."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.fixed import FIELD_SAMPLE, SAMPLE_VALUE_CHARS
@@ -43,19 +45,16 @@ def discover_fields(df: DataFrame, sample: int | None = FIELD_SAMPLE) -> DataFra
     return out.select("name", kind.alias("kind"), "count", "sample").orderBy("name")
 
 
-def object_depth(text: Column) -> Column:
-    """How deeply objects are nested in JSON text."""
-    bare = F.regexp_replace(text, F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'), F.lit(""))
-    marks = F.split(F.regexp_replace(bare, F.lit("[^{}]"), F.lit("")), "")
-    step = lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-    walked = F.aggregate(
-        marks,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda acc, c: F.struct(
-            (acc["now"] + step(c)).alias("now"), F.greatest(acc["most"], acc["now"] + step(c)).alias("most")
-        ),
-    )
-    return walked["most"]
+def schema_depth(schema: str) -> int:
+    """How deeply objects are nested in the merged schema of variants."""
+    now = most = 0
+    # Names of members may hold any character, in back quotes.
+    for mark in re.findall(r"`(?:[^`]|``)*`|OBJECT<|ARRAY<|[<>]", schema):
+        if mark[0] == "`":
+            continue
+        now += 1 if mark.endswith("<") else -1
+        most = max(most, now)
+    return most
 
 
 def _members(value: Column) -> Column:
@@ -100,20 +99,19 @@ def json_leaves(docs: DataFrame, keep: list[str], depth: int) -> DataFrame:
 
 
 def discover_json_paths(
-    df: DataFrame, sample: int | None = FIELD_SAMPLE, max_depth: int | None = None, column: str = "message"
+    df: DataFrame, sample: int | None = FIELD_SAMPLE, column: str = "message"
 ) -> DataFrame:
     """(name, count, sample) of the JSON paths in the message, by name.
 
-    Without ``max_depth`` one pass over the messages finds how deep they are, so no
-    path is left out.
+    One aggregate over the valid objects merges their schemas; as many levels are opened
+    as it has, so no path is left out and no invalid line counts.
     """
     ranked, order = _ranks(_sampled(df, sample))
     text = trimmed(F.col(column))
     found = ranked.select(*order, text.alias("text")).filter(F.col("text").startswith("{"))
     read = found.withColumn("read", json_object(F.col("text")))
     docs = worked_out(read, members=last_value_wins(F.col("read"))).filter(F.col("members").isNotNull())
-    if max_depth is None:
-        max_depth = found.agg(F.max(object_depth(F.col("text")))).first()[0] or 1
+    merged = docs.agg(F.schema_of_variant_agg(F.try_parse_json("text"))).first()[0]
     keep = docs.columns[: len(order)]
-    leaves = json_leaves(docs, keep, max_depth)
+    leaves = json_leaves(docs, keep, max(1, schema_depth(merged or "")))
     return _profile(leaves, [F.col(c) for c in keep]).orderBy("name")

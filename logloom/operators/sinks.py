@@ -8,6 +8,9 @@ _SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def _write(df: DataFrame, path: str, fmt: str, mode: str = "error", by: tuple = ()) -> None:
+    if by:
+        # A few files for each folder; a folder that holds much is split over as many as it needs.
+        df = df.hint("rebalance", *by)
     writer = df.write.mode(mode)
     if by:
         writer = writer.partitionBy(*by)

@@ -39,10 +39,10 @@ def latest_before(
         .select(*place, F.ceil(F.col("size") / F.lit(slice_rows)).cast("bigint").alias("parts"))
     )
     parts = F.coalesce("parts", F.lit(1).cast("bigint"))
-    dealt = near.join(F.broadcast(crowded), place, "left").withColumn(
+    dealt = near.join(crowded, place, "left").withColumn(
         "part", F.pmod(F.xxhash64("at", "tie"), parts)
     ).drop("parts")
-    sent = visits.join(F.broadcast(crowded), place, "left").withColumn(
+    sent = visits.join(crowded, place, "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
     ).drop("parts")
 

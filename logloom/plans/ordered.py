@@ -9,6 +9,8 @@ chunk; what has to cross chunks goes through a table with one row per chunk.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_LINES = 250_000
+# Ranges that one order is cut into at most.
+RANGES = 1_000
 
 
 def chunked(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -26,13 +28,29 @@ def before_in_source(per_chunk: DataFrame, key="source", **totals: Column) -> Da
     return per_chunk.select("*", *[total.over(earlier).alias(name) for name, total in totals.items()])
 
 
+def range_of(bounds: list, value: Column, kind: str) -> Column:
+    """How many of the sorted ``bounds`` are below ``value``, found in two steps of a square root each."""
+    step = max(1, int(len(bounds) ** 0.5))
+    typed = lambda values, t: F.lit(values).cast(t) if values else F.array().cast(t)
+    coarse = typed(bounds[step - 1 :: step], f"array<{kind}>")
+    groups = F.array(*[typed(bounds[i : i + step], f"array<{kind}>") for i in range(0, len(bounds) + 1, step)])
+    whole = F.size(F.filter(coarse, lambda b: b < value))
+    return F.transform(F.array(whole), lambda g: g * step + F.size(F.filter(F.get(groups, g), lambda b: b < value)))[0]
+
+
 def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "n", chunk_rows: int = CHUNK_LINES) -> DataFrame:
     """1, 2, 3 … per key in the order of an integer column, two-level.
 
-    ``order`` values must be unique per key. Chunks are ranges of ``order``, so the
-    only exchange is on (keys, chunk) and a hot key spreads over many tasks.
+    ``order`` values must be unique per key. Chunks are ranges of ``order`` that hold
+    about as many rows each, however far its values lie apart, so the only exchange of
+    rows is on (keys, chunk) and a hot key spreads over many tasks. One aggregate over
+    ``order`` finds the ranges, RANGES of them at most.
     """
-    rows = df.withColumn("chunk", F.floor(F.col(order) / F.lit(chunk_rows)).cast("bigint"))
+    share = [i / RANGES for i in range(1, RANGES)]
+    found = df.agg(F.count(order).alias("rows"), F.percentile_approx(order, share, 10 * RANGES).alias("cuts")).first()
+    wanted = min(RANGES, -(-found["rows"] // chunk_rows))
+    cuts = sorted({found["cuts"][i * RANGES // wanted - 1] for i in range(1, wanted)}) if wanted > 1 else []
+    rows = df.withColumn("chunk", range_of(cuts, F.col(order), df.schema[order].dataType.simpleString()).cast("bigint"))
     sizes = rows.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("_size"))
     offsets = before_in_source(sizes, keys, _before=F.sum("_size")).drop("_size")
     inside = Window.partitionBy(*keys, "chunk").orderBy(order)

@@ -24,15 +24,21 @@ SERVICE_LOOKBACK = "5s"
 POLL_LOOKBACK = "30s"
 
 
-def tail_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+def tail_lines(spark: SparkSession, folder: str, max_files: int | None = None, since: datetime | None = None) -> DataFrame:
     """Streaming (source, chunk, pos, line) rows of the files that arrive.
 
-    ``pos`` is NULL: a stream cannot number its rows (``tail_files`` does).
+    ``since`` leaves out files last changed at or before that moment: the time of the
+    call follows the folder from now on, None begins with all that is there. A restart
+    from a checkpoint passes the same moment again. ``pos`` is NULL: a stream cannot
+    number its rows (``tail_files`` does).
     """
     reader = spark.readStream.option("lineSep", "\n")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(folder).select(
+    lines = reader.text(folder)
+    if since is not None:
+        lines = lines.filter(F.col("_metadata.file_modification_time") > F.lit(since))
+    return lines.select(
         source_of(F.col("_metadata.file_path")).alias("source"),
         F.col("_metadata.file_block_start").alias("chunk"),
         F.lit(None).cast("bigint").alias("pos"),
@@ -51,7 +57,7 @@ def tail_filter(events: DataFrame, pattern: str | None = None, start=None, lookb
 
 def tail_logs(
     spark: SparkSession, folder: str, fmt: str = "plain", pattern: str | None = None, start=None,
-    lookback: str = SERVICE_LOOKBACK, max_files: int | None = None, **options,
+    lookback: str = SERVICE_LOOKBACK, max_files: int | None = None, since: datetime | None = None, **options,
 ) -> DataFrame:
     """A stream of (timestamp, message, stream, source, fields) events.
 
@@ -60,7 +66,7 @@ def tail_logs(
     """
     if fmt == "java":
         raise ValueError("entries of several lines: use tail_files or tail_multiline")
-    rows = parse_rows(tail_lines(spark, folder, max_files), fmt, **options)
+    rows = parse_rows(tail_lines(spark, folder, max_files, since), fmt, **options)
     events = rows.select(
         "timestamp", "message", F.substring_index("source", "/", -1).alias("stream"), "source", "fields"
     )
