@@ -15,17 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.llm.rows import arrow_schema, map_rows, reach_code
+from logloom.llm.rows import BLOCK_BYTES, map_rows
+from logloom.llm.words import SPACED, spelled, text_blocks, utf8, word_spans
 from logloom.session import cut_lineage
 
 # The token after the last word; no word holds a space.
 END = " "
-# Most frequent words of the corpus that every task knows; the others are joined.
-HEAD = 60_000
+# Most frequent words of the corpus, at most so many, that every task knows; the others are joined.
+HEAD = 200_000
+# Words that the lattice works on together: enough of each length for long arrays.
+AT_ONCE = 100_000
 ROUNDS = 2
 # Weight of the vocabulary's own scores against the corpus, in words.
 PRIOR = 1000.0
-SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"} | {chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 class Pieces:
@@ -51,6 +53,7 @@ class Pieces:
         self.longest = max(map(len, self.names))
         # Polynomial hashes of the pieces in an open table.
         self.bits = (4 * len(plain) - 1).bit_length()
+        self.some = np.zeros(1 << SIEVE, bool)
         self.key = np.zeros(1 << self.bits, np.uint64)
         self.id = np.full(1 << self.bits, -1, np.int32)
         for i, name in enumerate(self.names):
@@ -62,6 +65,7 @@ class Pieces:
             while self.id[at] >= 0:
                 at = (at + 1) % len(self.id)
             self.key[at], self.id[at] = h, i
+            self.some[h >> np.uint64(64 - SIEVE)] = True
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -79,20 +83,31 @@ class Pieces:
             at[open_] = (at[open_] + 1) % len(self.id)
         return out
 
-    def arcs(self, codes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """Lattice arcs of words of one length, a line of code points each: (from, to, piece of each word or -1)."""
+    def arcs(self, codes: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Lattice arcs of words of one length, a line of code points each, by where they begin.
+
+        (from, to, which words have the arc, its piece in each). A character that is no
+        piece has an arc of piece ``byte``.
+        """
         n, width = codes.shape
         out = []
         for a in range(width):
             h = np.zeros(n, np.uint64)
             for b in range(a, min(width, a + self.longest)):
                 h = h * _STEP + codes[:, b].astype(np.uint64) + np.uint64(1)
-                found = self.find(h)
-                if b == a or (found >= 0).any():
-                    out.append((a, b + 1, found))
+                maybe = np.flatnonzero(self.some[h >> np.uint64(64 - SIEVE)])
+                found = self.find(h[maybe])
+                if b == a:
+                    piece = np.full(n, self.byte, np.int32)
+                    piece[maybe[found >= 0]] = found[found >= 0]
+                    out.append((a, b + 1, np.arange(n), piece))
+                elif (known := found >= 0).any():
+                    out.append((a, b + 1, maybe[known], found[known]))
         return out
 
 
+# Bits of the table that tells at once that a hash is no piece's.
+SIEVE = 20
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -120,27 +135,33 @@ def by_length(words: list[str], block=4096):
         at = end
 
 
-def arc_weights(pieces: Pieces, codes, arcs, logs):
-    """Log weight of every arc for every word; a character without a piece goes by its UTF-8 bytes."""
-    byte = logs[pieces.byte] - math.log(256)
+def utf8_bytes(c: np.ndarray) -> np.ndarray:
+    return 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+
+
+def arc_weights(pieces: Pieces, codes, arcs, logs) -> list[np.ndarray]:
+    """Log weight of every arc; a character without a piece goes by its UTF-8 bytes."""
     out = []
-    for a, b, found in arcs:
-        w = np.where(found >= 0, logs[found], -np.inf)
-        if b == a + 1:
-            c = codes[:, a]
-            size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
-            w = np.where(found >= 0, w, byte * size)
+    for a, b, which, piece in arcs:
+        w = logs[piece]
+        if b == a + 1 and len(raw := np.flatnonzero(piece == pieces.byte)):
+            w[raw] = (logs[pieces.byte] - math.log(256)) * utf8_bytes(codes[which[raw], a])
         out.append(w)
     return out
 
 
-def forward(width: int, arcs, weights) -> list[np.ndarray]:
-    """Log of the summed probability of all paths to each place."""
-    n = len(weights[0])
-    alpha = [np.full(n, -np.inf) for _ in range(width + 1)]
-    alpha[0] = np.zeros(n)
-    for (a, b, _), w in zip(arcs, weights, strict=True):
-        alpha[b] = np.logaddexp(alpha[b], alpha[a] + w)
+def log_add(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log(exp(x) + exp(y)); x may be minus infinity."""
+    high = np.maximum(x, y)
+    return high + np.log1p(np.exp(np.minimum(x, y) - high))
+
+
+def forward(n: int, width: int, arcs, weights) -> np.ndarray:
+    """Log of the summed probability of all paths to each place: a line for each place."""
+    alpha = np.full((width + 1, n), -np.inf)
+    alpha[0] = 0
+    for (a, b, which, _), w in zip(arcs, weights, strict=True):
+        alpha[b, which] = log_add(alpha[b, which], alpha[a, which] + w)
     return alpha
 
 
@@ -149,7 +170,7 @@ def word_logs(pieces: Pieces, words: list[str], logs: np.ndarray) -> np.ndarray:
     out = np.empty(len(words))
     for places, codes in by_length(words):
         arcs = pieces.arcs(codes)
-        out[places] = forward(codes.shape[1], arcs, arc_weights(pieces, codes, arcs, logs))[-1]
+        out[places] = forward(*codes.shape, arcs, arc_weights(pieces, codes, arcs, logs))[-1]
     return out
 
 
@@ -157,43 +178,41 @@ def expected(pieces: Pieces, words: list[str], logs: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece over all segmentations of the words, each word once."""
     counts = np.zeros(pieces.size)
     for _, codes in by_length(words):
-        width = codes.shape[1]
+        n, width = codes.shape
         arcs = pieces.arcs(codes)
         weights = arc_weights(pieces, codes, arcs, logs)
-        alpha = forward(width, arcs, weights)
-        beta = [np.full(len(codes), -np.inf) for _ in range(width + 1)]
-        beta[width] = np.zeros(len(codes))
-        for (a, b, _), w in zip(reversed(arcs), reversed(weights), strict=True):
-            beta[a] = np.logaddexp(beta[a], beta[b] + w)
-        total = alpha[width]
-        for (a, b, found), w in zip(arcs, weights, strict=True):
-            share = np.exp(alpha[a] + w + beta[b] - total)
-            known = found >= 0
-            counts += np.bincount(found[known], share[known], minlength=pieces.size)
-            if b == a + 1 and not known.all():
-                c = codes[~known, a]
-                counts[pieces.byte] += (share[~known] * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))).sum()
+        alpha = forward(n, width, arcs, weights)
+        beta = np.full((width + 1, n), -np.inf)
+        beta[width] = 0
+        for (a, b, which, _), w in zip(reversed(arcs), reversed(weights), strict=True):
+            beta[a, which] = log_add(beta[a, which], beta[b, which] + w)
+        for (a, b, which, piece), w in zip(arcs, weights, strict=True):
+            share = np.exp(alpha[a, which] + w + beta[b, which] - alpha[width, which])
+            if b == a + 1:
+                share = np.where(piece == pieces.byte, share * utf8_bytes(codes[which, a]), share)
+            counts += np.bincount(piece, share, minlength=pieces.size)
     return counts
 
 
-def split(text: str) -> list[str]:
-    return [w for w in text.translate(SPACE).split(" ") if w]
-
-
 def word_counts(frame: DataFrame) -> DataFrame:
-    """word, n (in training documents), m (in all); the end of a document is the word END."""
+    """word, n (in training documents), m (in all); the end of a document is the word END.
+
+    Words of a block of text are told apart by their 64-bit numbers.
+    """
 
     def make():
         def work(batch):
-            n: dict = {}
-            m: dict = {}
-            for text, train in zip(batch.column("text").to_pylist(), batch.column("train").to_pylist(), strict=True):
-                table = n if train else m
-                for w in split(text or ""):
-                    table[w] = table.get(w, 0) + 1
-                table[END] = table.get(END, 0) + 1
-            words = [*n, *(w for w in m if w not in n)]
-            return {"word": words, "n": [n.get(w, 0) for w in words], "m": [n.get(w, 0) + m.get(w, 0) for w in words]}
+            words, n, m = [pa.array([END])], [], []
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            raw, offsets = utf8(batch.column("text"))
+            for a, b in text_blocks(offsets, BLOCK_BYTES):
+                part, starts = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                numbers, first, last, bounds = word_spans(part, starts, SPACED)
+                _, at, place = np.unique(numbers, return_index=True, return_inverse=True)
+                words.append(spelled(part, first[at], last[at]))
+                m.append(np.bincount(place, minlength=len(at)))
+                n.append(np.bincount(place, np.repeat(train[a:b], np.diff(bounds)), minlength=len(at)).astype(np.int64))
+            return {"word": pa.concat_arrays(words), "n": np.concatenate([[int(train.sum())], *n]), "m": np.concatenate([[len(train)], *m])}
 
         return work
 
@@ -215,12 +234,12 @@ def score_documents(docs: DataFrame, path: str, id_column="doc_id", text_column=
     rows each give a row, a null id stays null, other columns are left behind. Without
     training rows every count is 0 and the pieces keep the vocabulary's weights.
 
-    The word table is as large as the corpus makes it: the ``head`` most frequent words
-    are broadcast, every other (document, word) is joined with it by an exchange. None of
-    those is a hot key, since a word outside the head has at most 1/head of all tokens.
+    The word table is as large as the corpus makes it: the most frequent words, at most
+    ``head``, are broadcast, every other (document, word) is joined with it by an exchange.
+    None of those is a hot key: words are taken into the head by count, so one that is left
+    out has hardly more than 1/head of all tokens.
     """
     spark = docs.sparkSession
-    reach_code(spark)
     doc_id = F.col(f"`{id_column}`")
     frame = docs.select(doc_id.alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"), (training(doc_id) if train is None else train).alias("train"))
     id_type = frame.schema["doc_id"].dataType.simpleString()
@@ -254,7 +273,7 @@ def score_documents(docs: DataFrame, path: str, id_column="doc_id", text_column=
             return work
 
         # At most a row for each piece of the vocabulary.
-        uses = map_rows(learned, expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        uses = map_rows(learned, expect, "piece bigint, uses double", AT_ONCE).groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         counts = PRIOR * start
         for r in uses:
             counts[r["piece"]] += r["uses"]
@@ -263,7 +282,7 @@ def score_documents(docs: DataFrame, path: str, id_column="doc_id", text_column=
         share = np.maximum(counts / counts.sum(), 1e-300)
     logs = np.log(share)
     base_log = lambda n: np.log10((n + 0.5) / (tokens + 0.5 * (types + 1)))
-    model = {"logs": logs, "freed": freed, "discount": discount, "word_tokens": word_tokens, "word_share": 1.0 - end_share, "end_share": end_share}
+    model = {"logs": logs, "freed": freed, "discount": discount, "word_tokens": word_tokens, "word_share": 1.0 - end_share}
 
     def scored(frame: DataFrame) -> DataFrame:
         """The word table with the log10 of both models."""
@@ -278,49 +297,76 @@ def score_documents(docs: DataFrame, path: str, id_column="doc_id", text_column=
                 with np.errstate(divide="ignore"):
                     both = np.logaddexp(np.log(own), np.log(model["freed"]) + word_logs(pieces, words, model["logs"]))
                 value = (both + np.log(model["word_share"])) / np.log(10)
-                value[[i for i, w in enumerate(words) if w == END]] = np.log10(model["end_share"])
                 return {"word": words, "known": n > 0, "base": base_log(n), "lattice": value}
 
             return work
 
-        return map_rows(frame, make, "word string, known boolean, base double, lattice double")
+        return map_rows(frame, make, "word string, known boolean, base double, lattice double", AT_ONCE)
+
+    # Words of a count class and above, as many classes as have no more than ``head`` words.
+    rank = F.floor(F.log2("m") * 4)
+    classes = table.filter(F.col("word") != END).groupBy(rank.alias("rank")).agg(F.count("*").alias("words")).orderBy(F.desc("rank")).collect()
+    least, held = None, 0
+    for r in classes:
+        held += r["words"]
+        if held > head:
+            break
+        least = r["rank"]
+    frequent = F.lit(False) if least is None else (rank >= least) & (F.col("word") != END)
+    top = scored(table.filter(frequent).select("word", "n")).toPandas()
+    raw, offsets = utf8(pa.array(top["word"], pa.string()))
+    # A word of the table has no separator, so each is one word again.
+    order = np.argsort(word_spans(raw, offsets, SPACED)[0])
+    numbers = word_spans(raw, offsets, SPACED)[0][order]
+    ahead = spark.sparkContext.broadcast((numbers, *(top[c].to_numpy()[order].astype(float) for c in ("known", "base", "lattice"))))
+    end_n = ends["n"] if ends else 0
+    end = int(end_n > 0), float(base_log(end_n)), math.log10(end_share)
 
-    # The end is always part of the head. Bounded by ``head`` rows.
-    frequent = table.filter(F.col("word") != END).orderBy(F.desc("m"), "word").limit(head).union(table.filter(F.col("word") == END))
-    top = scored(frequent.select("word", "n")).toPandas()
-    known = spark.sparkContext.broadcast({w: (k, b, x) for w, k, b, x in top.itertuples(index=False, name=None)})
-    schema = f"row_id string, doc_id {id_type}, train boolean, word string, uses bigint, n_tokens bigint, n_known bigint, base double, lattice double"
-    arrow = arrow_schema(schema)
-
-    def look_up(batches):
+    def make():
         from pyspark import TaskContext
 
-        table, serial = known.value, 0
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            out: dict = {n: [] for n in arrow.names}
-            for key, text, train in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "train")), strict=True):
-                serial += 1
-                row, rest = f" {part}.{serial}", {}
-                words = split(text or "")
-                words.append(END)
-                n_known, base, lattice = 0, 0.0, 0.0
-                for w in words:
-                    found = table.get(w)
-                    if found is None:
-                        rest[w] = rest.get(w, 0) + 1
-                    else:
-                        n_known += found[0]
-                        base += found[1]
-                        lattice += found[2]
+        serial = [TaskContext.get().partitionId() << 33]
+
+        def work(batch):
+            numbers, known, base, lattice = ahead.value
+            out: dict = {c: [] for c in ("row_id", "word", "uses", "n_tokens", "n_known", "base", "lattice")}
+            docs, trained = [], []
+            raw, offsets = utf8(batch.column("text"))
+            for a, b in text_blocks(offsets, BLOCK_BYTES):
+                part, starts = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                own, first, last, bounds = word_spans(part, starts, SPACED)
+                doc = np.repeat(np.arange(b - a), np.diff(bounds))
+                if len(numbers):
+                    at = np.minimum(np.searchsorted(numbers, own), len(numbers) - 1)
+                    hit = numbers[at] == own
+                else:
+                    at, hit = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+                sums = [np.bincount(doc[hit], v[at[hit]], minlength=b - a) + e if len(v) else np.full(b - a, float(e)) for v, e in zip((known, base, lattice), end, strict=True)]
+                # Of the others a row for each document and word.
+                missed = np.flatnonzero(~hit)
+                kinds, kind = np.unique(own[missed], return_inverse=True)
+                _, some, uses = np.unique(doc[missed] * len(kinds) + kind, return_index=True, return_counts=True)
+                rows = serial[0] + np.arange(b - a)
+                serial[0] += b - a
+                none = np.zeros(len(some))
                 # The document's own row meets no word of the table, as no word holds a space.
-                rows = [(row, key, train, row, 0, len(words), n_known, base, lattice), *((row, None, None, w, c, 0, 0, 0.0, 0.0) for w, c in rest.items())]
-                for name, column in zip(arrow.names, zip(*rows, strict=True), strict=True):
-                    out[name].extend(column)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                out["row_id"] += [rows, rows[doc[missed[some]]]]
+                out["word"] += [pa.array([f" {r}" for r in rows], pa.string()), spelled(part, first[missed[some]], last[missed[some]])]
+                out["uses"] += [np.zeros(b - a, np.int64), uses]
+                out["n_tokens"] += [np.diff(bounds) + 1, none.astype(np.int64)]
+                out["n_known"] += [sums[0].astype(np.int64), none.astype(np.int64)]
+                out["base"] += [sums[1], none]
+                out["lattice"] += [sums[2], none]
+                for name, held in (("doc_id", docs), ("train", trained)):
+                    column = batch.column(name)
+                    held += [column.slice(a, b - a), pa.nulls(len(some), column.type)]
+            made = {c: pa.concat_arrays(v) if c == "word" else np.concatenate(v) for c, v in out.items()}
+            return made | {"doc_id": pa.concat_arrays(docs), "train": pa.concat_arrays(trained)}
+
+        return work
 
-    parts = frame.mapInArrow(look_up, schema)
-    others = scored(table.join(F.broadcast(frequent.select("word")), "word", "left_anti").select("word", "n")).withColumnRenamed("base", "word_base").withColumnRenamed("lattice", "word_lattice")
+    parts = map_rows(frame, make, f"row_id bigint, doc_id {id_type}, train boolean, word string, uses bigint, n_tokens bigint, n_known bigint, base double, lattice double")
+    others = scored(table.filter(~frequent & (F.col("word") != END)).select("word", "n")).withColumnRenamed("base", "word_base").withColumnRenamed("lattice", "word_lattice")
     uses = F.col("uses")
     joined = parts.join(others, "word", "left").groupBy("row_id").agg(
         F.max("doc_id").alias("doc_id"), F.bool_or("train").alias("train"), F.sum("n_tokens").alias("n_tokens"),

@@ -30,11 +30,24 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows or more, but for the last one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def map_rows(df: DataFrame, make: Callable, schema: str, rows: int = 0, last: bool = False) -> DataFrame:
     """Run ``make()`` once a task, then the function it returns on each Arrow batch.
 
     ``make`` builds what is costly (automata, tables) and returns ``batch -> dict of
-    columns``; the columns must be those of ``schema``.
+    columns``; the columns must be those of ``schema``. ``rows`` joins small batches,
+    ``last`` asks for a last call with None at the end of the task.
     """
     reach_code(df.sparkSession)
     # Pickled with the function; Arrow schemas keep field order and types.
@@ -42,10 +55,18 @@ def map_rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+
+        def made(batch):
+            columns = work(batch)
+            own = [columns[f.name] for f in arrow]
+            own = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(own, arrow, strict=True)]
+            return pa.RecordBatch.from_arrays(own, schema=arrow)
+
+        for batch in gathered(batches, rows) if rows else batches:
             if batch.num_rows:
-                columns = work(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+                yield made(batch)
+        if last:
+            yield made(None)
 
     return df.mapInArrow(run, schema)
 

@@ -124,6 +124,18 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, in_word: np.ndarray, prefix
     return np.concatenate(numbers), first, np.concatenate(lasts), np.searchsorted(first, offsets)
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def spelled(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The words at these places, A-Z in lower case, as an Arrow array."""
+    sizes = last - first
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    data = LOWER[raw[np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)]]
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+
+
 def shingles(numbers: np.ndarray, size: int) -> np.ndarray:
     """Numbers of the runs of ``size`` words of one text; a shorter text is one run, an empty one none."""
     n = len(numbers)
