@@ -19,9 +19,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id."""
+    """Of each group of near-duplicates the document of the least id; documents without an id all stay."""
     kept = neardup.near_duplicates(docs, size=SHINGLE, percent=PERCENT).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
