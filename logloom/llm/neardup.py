@@ -1,11 +1,13 @@
 """Operator 10: near-duplicate texts by MinHash bands, odd sketches and exact sets.
 
 Texts of equal shingle sets are one class. Classes that agree in a band meet in a
-bucket; each is paired with the bucket's least class (never with every other member),
-an odd sketch of the MinHash values drops pairs that are far from similar, and the full
-sets of what is left are compared exactly. Buckets that still hold several components
-after that are gone through once more, member against member of other components, so no
-link of the bands is lost to the star shape. Everything stays in DataFrames.
+bucket; each is paired with the bucket's lead, the member that meets most others (never
+with every other member), an odd sketch of the MinHash values drops pairs that are far
+from similar, and the full sets of what is left are compared exactly. That joins nearly
+all there is to join. Two more steps see to it that no link of the bands is lost to the
+star shape: nodes near the same lead that are still in different components are compared
+in blocks, and so are members of a bucket that belong to different leads. Nothing but
+stages in the shared folder is kept; no link or component reaches the driver.
 """
 
 import hashlib
@@ -19,10 +21,15 @@ from logloom.session import cut_lineage
 
 BANDS, ROWS = 30, 4
 # At similarity 0.8 a pair agrees in some band with a chance of 1 - (1 - 0.8**4)**30 = 1 - 1.4e-7.
-SKETCH_BITS = 256
+SKETCH_BITS = 512
 # Pairs with an estimate below this are dropped. At 0.8, 24 of 120 values differ, with a
-# deviation of 4.4; an estimate below 0.5 is over eight deviations away.
-SKETCH_FLOOR = 0.5
+# deviation of 4.4, so some 44 bits, with one of 7.9; the bound of 80 bits is 4.6 deviations
+# away, a chance of 2e-6 for one pair.
+SKETCH_FLOOR = 0.6
+# Nodes that one part of a group compares with the same other node.
+PARTNERS = 1000
+# Nodes and shingles of a part of a group; two parts at most are in memory together.
+BLOCK_NODES, BLOCK_SHINGLES = 1000, 500_000
 
 
 def differing_bits(floor=SKETCH_FLOOR) -> int:
@@ -99,57 +106,134 @@ def sketch(frame: DataFrame, size: int) -> DataFrame:
     return map_rows(frame, make, f"doc_id {id_type}, row_key bigint, n_shingles bigint, node binary, bands array<bigint>, odd array<bigint>")
 
 
-def exact_links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of (a, b, a_text, b_text) the pairs (a, b) whose full sets have the similarity."""
+def exact_links(groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have the similarity.
 
-    def make():
-        kept: dict = {}
+    ``groups`` has rows (b, part, a, text), in the order of (b, part, a): first the text of
+    b itself, with a NULL a, then those of the nodes to be compared with it. One set of a
+    b is in memory at a time.
+    """
 
-        def set_of(node, text):
-            # Rows come sorted by b, so its set is mostly the last one made.
-            if kept.get("node") != node:
-                raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-                kept.update(node=node, set=sets_of(raw, np.array([0, len(raw)]), size)[0])
-            return kept["set"]
+    def make():
+        lead: dict = {}
 
         def work(batch):
             out = {"a": [], "b": []}
-            raw, offsets = utf8(batch.column("a_text"))
-            nodes, leads, texts = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("b_text")
+            raw, offsets = utf8(batch.column("text"))
+            nodes, leads = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for x, y in text_blocks(offsets, BLOCK_BYTES):
                 for i, own in enumerate(sets_of(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], size), start=x):
-                    if class_of(own) != nodes[i]:
-                        continue  # another text of a repeated id
-                    other = set_of(leads[i], texts[i].as_py()) if kept.get("node") != leads[i] else kept["set"]
-                    if class_of(other) != leads[i]:
-                        kept.clear()
-                        continue
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(other) - both):
-                        out["a"].append(nodes[i])
-                        out["b"].append(leads[i])
+                    # A text of another class is another row of a repeated id.
+                    if nodes[i] is None:
+                        if class_of(own) == leads[i]:
+                            lead.update(node=leads[i], set=own)
+                    elif lead.get("node") == leads[i] and class_of(own) == nodes[i]:
+                        both = len(np.intersect1d(own, lead["set"], assume_unique=True))
+                        if 100 * both >= percent * (len(own) + len(lead["set"]) - both):
+                            out["a"].append(nodes[i])
+                            out["b"].append(leads[i])
             return out
 
         return work
 
-    return map_rows(pairs, make, "a binary, b binary")
+    return map_rows(groups, make, "a binary, b binary")
+
+
+class Block:
+    """Nodes of one or two parts of a group, and the links between them that join components."""
+
+    def __init__(self):
+        self.nodes, self.sets, self.labels, self.parts, self.odd = [], [], [], [], []
+
+    def add(self, node, own, label, part, odd):
+        self.nodes.append(node)
+        self.sets.append(own)
+        self.labels.append(label)
+        self.parts.append(part)
+        self.odd.append(odd)
+
+    def links(self, percent: int, bound: int) -> list[tuple[bytes, bytes]]:
+        """Every pair of different components is compared, by sketch and then exactly, but
+        for pairs that the links found so far have joined."""
+        number = {x: i for i, x in enumerate(dict.fromkeys(self.labels))}
+        root = np.array([number[x] for x in self.labels])
+        part, size, odd = np.array(self.parts), np.array([len(s) for s in self.sets]), np.array(self.odd).view(np.uint64)
+        two, out = len(set(self.parts)) > 1, []
+        for x in range(1, len(self.nodes)):
+            other = root[:x] != root[x]
+            if two:  # pairs within a part are another block's
+                other &= part[:x] != part[x]
+            y = np.flatnonzero(other & (100 * np.minimum(size[:x], size[x]) >= percent * np.maximum(size[:x], size[x])))
+            y = y[np.bitwise_count(odd[y] ^ odd[x]).sum(1) <= bound]
+            if not len(y):
+                continue
+            own, many = self.sets[x], np.concatenate([self.sets[i] for i in y])
+            at = np.minimum(np.searchsorted(own, many), len(own) - 1)
+            both = np.add.reduceat(own[at] == many, np.concatenate([[0], np.cumsum(size[y])[:-1]]))
+            for i in y[100 * both >= percent * (size[y] + size[x] - both)]:
+                if root[i] != root[x]:
+                    out.append((self.nodes[x], self.nodes[i]))
+                    root[root == root[i]] = root[x]
+        return out
+
+
+def block_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) within blocks: ``rows`` (hub, i, j, part, node, label, odd, text) come in the order of (hub, i, j)."""
 
+    def make():
+        now: dict = {"key": None, "block": None}
+        bound = differing_bits()
 
-def components(links: DataFrame) -> DataFrame:
+        def work(batch):
+            out: list = []
+
+            def close():
+                if now["block"] is not None:
+                    out.extend(now["block"].links(percent, bound))
+
+            if batch is None:
+                close()
+                return {"a": [p[0] for p in out], "b": [p[1] for p in out]}
+            raw, offsets = utf8(batch.column("text"))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True))
+            nodes, labels, parts = (batch.column(c).to_pylist() for c in ("node", "label", "part"))
+            odd = np.array(batch.column("odd").to_pylist(), np.int64).reshape(len(nodes), -1)
+            for x, y in text_blocks(offsets, BLOCK_BYTES):
+                for k, own in enumerate(sets_of(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], size), start=x):
+                    if class_of(own) != nodes[k]:
+                        continue  # another text of a repeated id
+                    if keys[k] != now["key"]:
+                        close()
+                        now.update(key=keys[k], block=Block())
+                    now["block"].add(nodes[k], own, labels[k], parts[k], odd[k])
+            return {"a": [p[0] for p in out], "b": [p[1] for p in out]}
+
+        return work
+
+    return map_rows(rows, make, "a binary, b binary", last=True)
+
+
+def keeper(spark, rows: int):
+    """``cut_lineage`` with no more files than a million rows each, or two for each core, ask for."""
+    files = max(2 * spark.sparkContext.defaultParallelism, -(-rows // 1_000_000))
+    return lambda df, share=1: cut_lineage(df.coalesce(files * share))
+
+
+def components(links: DataFrame, keep=cut_lineage) -> DataFrame:
     """node, label: the least node that each linked node can reach over links (a, b).
 
     Each round takes the least label among a node's neighbours, then that label's own
     label, so the distance still to go at least halves on chains. Labels are written to
     the shared folder each round.
     """
-    both = cut_lineage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    both = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("of")).agg(F.min("label").alias("near"))
         low = labels.join(near, labels["node"] == near["of"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("of"), F.col("label").alias("far"))
         new = low.join(jump, low["label"] == jump["of"], "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label"))
-        step = cut_lineage(new)
+        step = keep(new)
         if step.filter(F.col("was") != F.col("label")).isEmpty():
             return step.select("node", "label")
         labels = step.select("node", "label")
@@ -173,13 +257,19 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text", siz
     frame = docs.select(doc_id.alias("doc_id"), key.alias("row_key"), text.alias("text"))
     rows = cut_lineage(sketch(frame, size))
     full = rows.filter("node IS NOT NULL")
-    classes = cut_lineage(full.groupBy("node").agg(
+    keep = keeper(docs.sparkSession, rows.count())
+    classes = keep(full.groupBy("node").agg(
         F.min("doc_id").alias("low"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")
     ))
     spots = classes.select("node", F.explode("bands").alias("band"))
-    crowded = spots.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("band", "lead")
-    met = cut_lineage(spots.join(crowded, "band").select("band", "node", "lead"))
+    crowded = spots.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = keep(spots.join(crowded, "band"))
+    # The member that meets most others leads its buckets: the text that the others were made from, if there is one.
+    degrees = keep(shared.groupBy("node").agg(F.sum("members").alias("degree")))
+    leads = shared.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top"))
+    met = keep(shared.join(leads, "band").select("band", "node", F.col("top.node").alias("lead"), F.col("top.degree").alias("degree")))
     light = classes.select("node", "n", "odd")
+    marked = classes.select("node", "n", "odd", "bands")
     near = sum((F.bit_count(F.col("x_odd")[i].bitwiseXOR(F.col("y_odd")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)) <= differing_bits()
     sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
     side = lambda s, name: light.select(F.col("node").alias(name), F.col("n").alias(f"{s}_n"), F.col("odd").alias(f"{s}_odd"))
@@ -189,30 +279,56 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text", siz
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = classes.join(nodes, "node", "left_semi").select(F.col("row_key").alias("wanted_key"), "node")
         # Repeated rows of a key are the same text or are told apart by their class.
-        texts = cut_lineage(frame.join(wanted, frame["row_key"] == wanted["wanted_key"]).select("node", "text"))
-        a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        b = a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        return cut_lineage(exact_links(b.select("a", "b", "a_text", "b_text"), size, percent).distinct())
-
-    stars = met.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    stars = cut_lineage(stars.join(side("x", "a"), "a").join(side("y", "b"), "b").filter(sized & near).select("a", "b"))
-    links = confirmed(stars)
-    labels = components(links)
-
-    # Buckets that still hold several components: their members against those of other components.
+        texts = keep(frame.join(wanted, frame["row_key"] == wanted["wanted_key"]).select("node", "text"), 10)
+        # A node with many partners is compared with them in several parts, each with its text once.
+        parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+        dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+        leads = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        members = dealt.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "text")
+        first = leads.join(texts.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(None).cast("binary").alias("a"), "text")
+        groups = first.union(members).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+        return keep(exact_links(groups, size, percent).distinct())
+
+    pairs = met.filter("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max("degree").alias("degree"))
+    stars = keep(pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").filter(sized & near).select("a", "b", "degree"))
+    links = confirmed(stars.select("a", "b"))
+    labels = components(links, keep)
+
+    # Each node belongs to the greatest lead it is near, or leads itself. Within such a group
+    # all nodes of different components are compared, in blocks of bounded size.
+    best = stars.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("degree", F.col("b").alias("hub"))).alias("top"))
+    own = F.struct("degree", F.col("node").alias("hub"))
+    hubs = degrees.join(best, "node", "left").select("node", F.greatest(own, F.coalesce("top", own))["hub"].alias("hub"))
+    members = keep(hubs.join(labels, "node", "left").join(light, "node").select("hub", "node", F.coalesce("label", "node").alias("label"), "n", "odd"))
+    split = members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    split = split.filter("low <> high").select("hub", F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    dealt = members.join(split, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    wanted = classes.join(dealt.select("node").distinct(), "node", "left_semi").select(F.col("row_key").alias("wanted_key"), F.col("node").alias("text_node"))
+    texts = frame.join(wanted, frame["row_key"] == wanted["wanted_key"]).select("text_node", "text")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    placed = dealt.join(texts, dealt["node"] == texts["text_node"]).select("hub", "part", "node", "label", "odd", "text", other).select(
+        "hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label", "odd", "text"
+    )
+    blocks = placed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    links = keep(links.union(block_links(blocks, size, percent)))
+    labels = components(links, keep)
+
+    # Buckets that still hold several components: their members against those of other groups.
     placed = met.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    open_spots = cut_lineage(placed.join(mixed, "band").join(light, "node"))
-    x = open_spots.select("band", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "odd")])
-    y = open_spots.select(F.col("band").alias("y_band"), *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "odd")])
-    rest = x.join(y, (x["band"] == y["y_band"]) & (F.col("x_label") < F.col("y_label")) & sized & near)
+    open_spots = keep(placed.join(mixed, "band").join(marked, "node").join(hubs, "node"))
+    x = open_spots.select("band", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "odd", "bands", "hub")])
+    y = open_spots.select(F.col("band").alias("y_band"), *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "odd", "bands", "hub")])
+    # Of the buckets that two nodes share only the least makes the pair.
+    least = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("band")
+    rest = x.join(y, (x["band"] == y["y_band"]) & (F.col("x_label") < F.col("y_label")) & (F.col("x_hub") != F.col("y_hub")) & sized & near & least)
     rest = rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut_lineage(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = keep(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = confirmed(rest)
         if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = components(links.union(more), keep)
 
     named = classes.select("node", "low").join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
