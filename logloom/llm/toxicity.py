@@ -6,6 +6,8 @@ and only document labels train it; the sentences with a high p are then the offe
 """
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm.rows import BLOCK_BYTES, filter_rows, map_rows
@@ -14,8 +16,10 @@ from logloom.session import cut_lineage
 
 # At most about so many labelled documents are fitted on: those whose ids hash lowest.
 SAMPLE = 40_000
-# Words and beginnings are counted in 2**BUCKETS bins; this many bins get a weight.
-BUCKETS, WEIGHTS = 20, 20_000
+# Words and beginnings are counted in 2**BUCKETS bins. At most WEIGHTS bins get a weight:
+# those whose rates in toxic and clean texts lie GAP deviations or more apart, one LIFT
+# times the other or more (common words stand out in whichever texts are longer).
+BUCKETS, WEIGHTS, GAP, LIFT = 20, 5_000, 4.0, 2.0
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
 ENDS = np.isin(np.arange(256), list(b".!?\n"))
@@ -69,22 +73,20 @@ class Model:
         return out
 
 
-def fit(rows: list, bins: np.ndarray, rounds=400, rate=0.3, shrink=2e-3) -> Model:
-    """Noisy-or likelihood by Adam. rows: (toxic, sentences, sentence of each entry, bin of each entry)."""
+def fit(label, sentences, doc, sentence, entry, bins: np.ndarray, rounds=400, rate=0.3, shrink=2e-3) -> Model:
+    """Noisy-or likelihood by Adam.
+
+    Of each document its label and how many sentences it has; of each entry its
+    document, in their order, its sentence there, and its bin.
+    """
     place = np.full(1 << BUCKETS, -1)
     place[bins] = np.arange(len(bins))
-    label = np.array([r[0] for r in rows], float)
-    blank, doc, entry_sentence, entry_bin = [], [], [], []
-    total = 0
-    for d, (_, count, sentence, entry) in enumerate(rows):
-        own, inverse = np.unique(np.asarray(sentence, np.int64), return_inverse=True)
-        blank.append(count - len(own))
-        doc.append(np.full(len(own), d))
-        entry_sentence.append(inverse + total)
-        entry_bin.append(place[np.asarray(entry, np.int64)])
-        total += len(own)
-    blank = np.array(blank, float)
-    doc, entry_sentence, entry_bin = (np.concatenate(x).astype(np.int64) for x in (doc, entry_sentence, entry_bin))
+    label = np.asarray(label, float)
+    entry_bin = place[np.asarray(entry, np.int64)]
+    pair, entry_sentence = np.unique((np.asarray(doc, np.int64) << 32) | np.asarray(sentence, np.int64), return_inverse=True)
+    doc, total = pair >> 32, len(pair)
+    # Sentences without any of the bins count by their number alone.
+    blank = np.asarray(sentences, float) - np.bincount(doc, minlength=len(label))
     w, bias = np.zeros(len(bins) + 1), -5.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
@@ -151,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     rate = (a + b) / (no + yes)
     gap = (a / yes - b / no) / F.sqrt(rate * (1 - rate) * (1 / yes + 1 / no) + 1e-12)
     stats = map_rows(fitted, counts, "bin bigint, clean bigint, toxic bigint").groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = stats.filter("clean + toxic >= 3").withColumn("gap", F.abs(gap)).orderBy(F.desc("gap"), "bin").limit(WEIGHTS)
+    best = stats.filter("clean + toxic >= 3").withColumn("gap", F.abs(gap)).filter((F.col("gap") >= GAP) & (F.greatest(a / yes, b / no) >= LIFT * F.least(a / yes, b / no))).orderBy(F.desc("gap"), "bin").limit(WEIGHTS)
     bins = np.sort(np.array([r["bin"] for r in best.select("bin").collect()], np.int64))
     wanted = np.zeros((1 << BUCKETS) + 1, bool)
     wanted[bins] = True
@@ -172,8 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
 
         return work
 
-    rows = map_rows(fitted, places, "y int, sentences bigint, sentence array<bigint>, bin array<bigint>").toPandas()
-    return fit(list(rows.itertuples(index=False, name=None)), bins)
+    rows = map_rows(fitted, places, "y int, sentences bigint, sentence array<int>, bin array<int>").toArrow().combine_chunks()
+    lists = {c: rows[c].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("sentence", "bin")}
+    doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists["bin"]).to_numpy(zero_copy_only=False))
+    return fit(rows["y"].to_numpy(), rows["sentences"].to_numpy(), doc, pc.list_flatten(lists["sentence"]).to_numpy(), pc.list_flatten(lists["bin"]).to_numpy(), bins)
 
 
 def scorer(model: Model | None, threshold: float, text_column="text"):
