@@ -214,9 +214,12 @@ def block_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def keeper(spark, rows: int):
-    """``cut_lineage`` with no more files than a million rows each, or two for each core, ask for."""
-    files = max(2 * spark.sparkContext.defaultParallelism, -(-rows // 1_000_000))
-    return lambda df, share=1: cut_lineage(df.coalesce(files * share))
+    """``cut_lineage`` with no more tasks than two for each core, or ``share`` for every million of ``rows``.
+
+    Small tables would else be written as one tiny file for each shuffle partition.
+    """
+    least = 2 * spark.sparkContext.defaultParallelism
+    return lambda df, share=3: cut_lineage(df.coalesce(max(least, -(-rows * share // 1_000_000))))
 
 
 def components(links: DataFrame, keep=cut_lineage) -> DataFrame:
@@ -260,14 +263,14 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text", siz
     keep = keeper(docs.sparkSession, rows.count())
     classes = keep(full.groupBy("node").agg(
         F.min("doc_id").alias("low"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")
-    ))
+    ), 10)
     spots = classes.select("node", F.explode("bands").alias("band"))
     crowded = spots.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = keep(spots.join(crowded, "band"))
+    shared = keep(spots.join(crowded, "band"), 30)
     # The member that meets most others leads its buckets: the text that the others were made from, if there is one.
     degrees = keep(shared.groupBy("node").agg(F.sum("members").alias("degree")))
     leads = shared.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top"))
-    met = keep(shared.join(leads, "band").select("band", "node", F.col("top.node").alias("lead"), F.col("top.degree").alias("degree")))
+    met = keep(shared.join(leads, "band").select("band", "node", F.col("top.node").alias("lead"), F.col("top.degree").alias("degree")), 30)
     light = classes.select("node", "n", "odd")
     marked = classes.select("node", "n", "odd", "bands")
     near = sum((F.bit_count(F.col("x_odd")[i].bitwiseXOR(F.col("y_odd")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)) <= differing_bits()
@@ -279,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text", siz
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = classes.join(nodes, "node", "left_semi").select(F.col("row_key").alias("wanted_key"), "node")
         # Repeated rows of a key are the same text or are told apart by their class.
-        texts = keep(frame.join(wanted, frame["row_key"] == wanted["wanted_key"]).select("node", "text"), 10)
+        texts = keep(frame.join(wanted, frame["row_key"] == wanted["wanted_key"]).select("node", "text"), 30)
         # A node with many partners is compared with them in several parts, each with its text once.
         parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
         dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
@@ -287,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text", siz
         members = dealt.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "text")
         first = leads.join(texts.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(None).cast("binary").alias("a"), "text")
         groups = first.union(members).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
-        return keep(exact_links(groups, size, percent).distinct())
+        return keep(exact_links(groups, size, percent).distinct(), 30)
 
     pairs = met.filter("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max("degree").alias("degree"))
     stars = keep(pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").filter(sized & near).select("a", "b", "degree"))
@@ -310,13 +313,13 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text", siz
         "hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label", "odd", "text"
     )
     blocks = placed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    links = keep(links.union(block_links(blocks, size, percent)))
+    links = keep(links.union(block_links(blocks, size, percent)), 30)
     labels = components(links, keep)
 
     # Buckets that still hold several components: their members against those of other groups.
     placed = met.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    open_spots = keep(placed.join(mixed, "band").join(marked, "node").join(hubs, "node"))
+    open_spots = keep(placed.join(mixed, "band").join(marked, "node").join(hubs, "node"), 30)
     x = open_spots.select("band", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "odd", "bands", "hub")])
     y = open_spots.select(F.col("band").alias("y_band"), *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "odd", "bands", "hub")])
     # Of the buckets that two nodes share only the least makes the pair.
