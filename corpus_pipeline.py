@@ -37,7 +37,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_tokens", "ids")
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), decoded=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [

@@ -12,13 +12,14 @@ import unicodedata
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from logloom.llm.rows import map_rows, text_frame, texts_of
 
 # Words whose encoding a task remembers; beyond it the memory is begun anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 # Code points that a regular expression's \s stands for in the tokenizer's engine (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -206,16 +207,16 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode_documents(docs: DataFrame, path: str, id_column="doc_id", text_column="text", digests=False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_column="doc_id", text_column="text", digests=False, decoded=True) -> DataFrame:
     """Token ids of every text, and the text decoded from them.
 
     ``path`` names a tokenizer file that exists on every executor. Returns doc_id,
-    n_tokens, and either ids (array of int) and decoded, or with ``digests`` the SHA-256
-    of both in hex. A null text counts as empty: no ids, empty decoded text. Repeated
+    n_tokens, and either ids (array of int) and, if asked for, decoded, or with ``digests``
+    the SHA-256 of both in hex. A null text counts as empty: no ids, empty decoded text. Repeated
     rows each give a row, a null id stays null, other columns are left behind. Words are
     encoded once and remembered, so memory is bounded by one batch and WORDS_KEPT words.
     """
-    kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * decoded
 
     def make():
         encoder = encoder_of(path)
@@ -226,10 +227,10 @@ def encode_documents(docs: DataFrame, path: str, id_column="doc_id", text_column
             a, b = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
             out[a], out[b] = [], []
             for text in texts_of(batch):
-                ids, n, decoded = encoder.encode(text)
+                ids, n, back = encoder.encode(text)
                 out["n_tokens"].append(n)
-                out[a].append(sha(ids) if digests else [int(i) for i in ids.split()])
-                out[b].append(sha(decoded) if digests else decoded)
+                out[a].append(sha(ids) if digests else np.array(ids.split(), np.int32))
+                out[b].append(sha(back) if digests else back if decoded else None)
             return out
 
         return work

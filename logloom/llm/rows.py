@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 # Texts of one working block, in bytes; bounds what a task holds besides the Arrow batch.
 BLOCK_BYTES = 4 << 20
+# Rows worked on together, in bytes.
+PIECE_BYTES = 8 << 20
 
 
 def text_frame(df: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
@@ -30,6 +32,14 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about PIECE_BYTES, so that what is made of one stays small."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE_BYTES // max(batch.nbytes, PIECE_BYTES))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of ``rows`` rows or more, but for the last one."""
     held: list[pa.RecordBatch] = []
@@ -62,7 +72,7 @@ def map_rows(df: DataFrame, make: Callable, schema: str, rows: int = 0, last: bo
             own = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(own, arrow, strict=True)]
             return pa.RecordBatch.from_arrays(own, schema=arrow)
 
-        for batch in gathered(batches, rows) if rows else batches:
+        for batch in gathered(batches, rows) if rows else pieces(batches):
             if batch.num_rows:
                 yield made(batch)
         if last:
@@ -82,7 +92,7 @@ def filter_rows(df: DataFrame, make: Callable) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in pieces(batches):
             if batch.num_rows:
                 yield batch.filter(pa.array(work(batch), pa.bool_()))
 
@@ -99,7 +109,7 @@ def rewrite_texts(df: DataFrame, make: Callable, text_column="text", length_colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in pieces(batches):
             if not batch.num_rows:
                 continue
             new = work(batch)
