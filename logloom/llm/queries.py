@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from logloom.llm.bpe import encode_documents
 from logloom.llm.chat import format_conversations, read_back
 from logloom.llm.decontaminate import decontaminate
-from logloom.llm.fingerprint import compare_edited, hex_of, within_radius
+from logloom.llm.fingerprint import compare_edited, hex_of, within_wide_radius
 from logloom.llm.lattice import score_documents
 from logloom.llm.licenses import NOTICES, scan_licenses
 from logloom.llm.neardup import near_duplicates
@@ -121,11 +121,11 @@ def op6(spark, table):
 
 @query("op8_fingerprints")
 def op8(spark, table):
-    """Fingerprints; for ids divisible by 100 also how many documents lie within the radius."""
+    """Fingerprints; for ids divisible by 100 also how many documents lie within the radius of near copies."""
     rows = cut_lineage(compare_edited(table("documents")))
     asked = rows.filter(F.col("doc_id") % 100 == 0)
     sizes = rows.groupBy("h0", "h1").agg(F.count("*").alias("copies"))
-    found = within_radius(asked, rows).join(sizes, ["h0", "h1"]).groupBy("q0", "q1").agg(F.sum("copies").alias("n_near"))
+    found = within_wide_radius(asked, rows).join(sizes, ["h0", "h1"]).groupBy("q0", "q1").agg(F.sum("copies").alias("n_near"))
     answered = asked.join(found, (F.col("h0") == F.col("q0")) & (F.col("h1") == F.col("q1"))).drop("q0", "q1")
     others = rows.filter(~F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))).withColumn("n_near", F.lit(None).cast("bigint"))
     return answered.unionByName(others).select(

@@ -239,6 +239,40 @@ def test_radius_search_is_exact(spark):
         fingerprint.within_radius(df, df, 4)
 
 
+def test_near_copies_are_counted(spark, tmp_path):
+    from logloom.llm.queries import QUERIES
+
+    random.seed(80)
+    vocab = ["w%d" % i for i in range(5000)]
+    rows = []
+    for i in range(60):
+        body = random.choices(vocab, k=200)
+        rows.append((i * 100, " ".join(body)))
+        body[random.randrange(10, 190)] = "other"  # a similarity of about 0.95
+        rows.append((i * 100 + 1, " ".join(body)))
+        for at in (30, 80, 130):  # now about 0.81
+            body[at + random.randrange(20)] = "another"
+        rows.append((i * 100 + 2, " ".join(body)))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_near"] for r in QUERIES["op8_fingerprints"](spark, str(tmp_path)).collect() if r["doc_id"] % 100 == 0}
+    assert len(got) == 60 and min(got.values()) >= 2 and max(got.values()) <= 3
+    assert sum(n == 3 for n in got.values()) >= 54
+
+
+def test_wide_radius_search_gives_only_pairs_within_it(spark):
+    random.seed(9)
+    base = [random.getrandbits(128) for _ in range(20)] + [0, (1 << 128) - 1]
+    prints = [b ^ sum(1 << i for i in random.sample(range(128), flips)) for b in base for flips in (0, 1, 9, 15, 19, 29, 30, 40)]
+    rows = [(fingerprint.signed(p >> 64), fingerprint.signed(p & (1 << 64) - 1)) for p in prints]
+    df = spark.createDataFrame(rows + rows[:9], "h0 bigint, h1 bigint")
+    found = [tuple(r) for r in fingerprint.within_wide_radius(df, df).collect()]
+    apart = {(*rows[i], *rows[j]): (prints[i] ^ prints[j]).bit_count() for i, j in itertools.product(range(len(prints)), repeat=2)}
+    assert len(found) == len(set(found)) and all(apart[p] <= fingerprint.WIDE for p in found)
+    assert {p for p, d in apart.items() if d <= 12} <= set(found)
+    close = [p for p, d in apart.items() if d <= 20]
+    assert len(set(close) & set(found)) >= 0.97 * len(close)
+
+
 # --- lattice -------------------------------------------------------------------
 
 
