@@ -1,7 +1,7 @@
 """Documents to training tokens: every stage works on all that the one before has kept."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm import bpe, decontaminate, neardup, secrets, toxicity
 from logloom.session import cut_lineage
@@ -19,9 +19,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id; documents without an id all stay."""
-    kept = neardup.near_duplicates(docs, size=SHINGLE, percent=PERCENT).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    """Of each group of near-duplicate rows one: that of the least id (rows without an id come last), then of the
+    least text hash; of equal rows the one numbered first. Texts without words all stay."""
+    # Numbers are written before they are used, so that every reader sees the same ones.
+    rows = cut_lineage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "row")
+    kept = neardup.near_duplicates(rows.select(order.alias("row"), "text"), "row", size=SHINGLE, percent=PERCENT).filter("kept")
+    return rows.join(kept.select("doc_id.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

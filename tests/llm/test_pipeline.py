@@ -88,6 +88,16 @@ def test_stages(spark, corpus):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in whole) == sorted((r["doc_id"], r["n_tokens"]) for r in new)
 
 
+def test_one_row_of_each_group_stays(spark):
+    random.seed(5)
+    a, b, c, d = (" ".join(random.choices(["w%d" % i for i in range(200)], k=60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " tail"), (7, b), (None, b), (3, c), (3, c), (3, c), (9, d), (5, d), (5, a), (None, "alone of its kind here"), (None, None), (None, None), (4, ""), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.keep_one_copy(spark, docs, "").collect()), key=str)
+    want = [(5, a), (7, b), (3, c), (5, d), (None, "alone of its kind here"), (None, None), (None, None), (4, ""), (2, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_stages_of_an_empty_table(spark, corpus):
     sf, _, _ = corpus
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
