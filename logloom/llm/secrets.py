@@ -1,9 +1,9 @@
 """Operator 3: secrets in text, by pattern and confirmed by the structure of what they encode.
 
 Patterns give assignments, access ids and long hex runs. Beyond these, every base64 or
-hex run is decoded, and a span is reported only if the bytes are what they claim to be:
-a private key whose nested lengths add up, an OpenSSH key, or a token whose header is a
-JSON object that names its signature.
+hex run is decoded, lines that wrap one joined, and a span is reported only if the bytes
+are what they claim to be: a private key whose nested lengths add up, an OpenSSH key, an
+armoured key, or a token whose header is a JSON object that names its signature.
 """
 
 import base64
@@ -28,9 +28,15 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 # A run this long can hold a key or a token; the smallest key (Ed25519) has 48 bytes.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
-HEX_LONG = re.compile(r"(?:[0-9a-f]{2}){40,}|(?:[0-9A-F]{2}){40,}")
+# Runs that fill lines, and what the last of them goes over to.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+(?:\r?\n|\\n)[\x20\t]*)+(?:[A-Za-z0-9+/_-]+={0,2})?")
+BREAK = re.compile(r"(?:\r?\n|\\n)[\x20\t]*")
+# A match begins at 'ey', so nothing before a dot can take it; matches may overlap.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+ARMOUR = re.compile(
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?:\s|\\r|\\n)*[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*)*)((?:[A-Za-z0-9+/=\s]|\\r|\\n|\\(?=\s))*?)-----END \1-----"
+)
+HEX_LONG = re.compile(r"[0-9a-f]{80,}|[0-9A-F]{80,}")
 
 
 def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -120,36 +126,96 @@ def is_signed_token(header: str, payload: str) -> bool:
         return False
 
 
+def armoured_keys(text: str) -> list[tuple[int, int]]:
+    """Spans of private keys between BEGIN and END. With a Proc-Type header the body is
+    ciphertext, of whole cipher blocks; else it must be a key."""
+    out = []
+    for m in ARMOUR.finditer(text) if "PRIVATE KEY-----" in text else ():
+        body = decoded(re.sub(r"\\[rn]|\\|\s", "", m[3]))
+        encrypted = "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]
+        if body and (len(body) % 8 == 0 and len(body) >= 48 if encrypted else is_key(body)):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def claims_all(head: bytes, size: int) -> bool:
+    """Whether bytes that begin with ``head`` can be a key of ``size`` bytes, but for 2 at its end."""
+    if head.startswith(b"openssh"):
+        return True
+    top = der_item(head, 0, 1 << 40)
+    return top is not None and top[0] == 0x30 and 0 <= size - top[2] <= 2
+
+
+def key_bytes(data: bytes) -> int | None:
+    """The kind of the key that ``data`` is or, armoured, holds."""
+    if is_key(data):
+        return 5 if data[0] == 0x6F else 4
+    return 3 if b"PRIVATE KEY-----" in data and armoured_keys(data.decode("latin-1")) else None
+
+
+def key_in_run(run: str) -> tuple[int, int] | None:
+    """Where in a base64 run a key begins that goes to its end, and the key's kind."""
+    body = run.rstrip("=")
+    # Other characters may stand before a key. DER begins with 30, OpenSSH's name with 'o': so do their codes.
+    for m in re.finditer("M|b3BlbnNz", body):
+        at = m.start()
+        if len(body) - at >= 40 and (head := decoded(body[at : at + 12])) and claims_all(head, (len(body) - at) * 3 // 4):
+            data = decoded(body[at:])
+            if data and is_key(data):
+                return at, 5 if data[0] == 0x6F else 4
+    for at in range(4):
+        data = decoded(body[at : len(body) - (len(body) - at) % 4 if (len(body) - at) % 4 == 1 else len(body)])
+        if data and b"PRIVATE KEY-----" in data and (kind := key_bytes(data)):
+            return at, kind
+    return None
+
+
+def key_in_hex(run: str) -> tuple[int, int] | None:
+    """Where in a hex run a key begins that goes to its end, and the key's kind."""
+    for odd in (0, 1):
+        data = bytes.fromhex(run[odd : len(run) - (len(run) - odd) % 2])
+        for m in re.finditer(b"\x30|openssh-key", data):
+            at = m.start()
+            if claims_all(data[at : at + 8], len(data) - at) and is_key(data[at:]):
+                return odd + 2 * at, 5 if data[at] == 0x6F else 4
+        if b"PRIVATE KEY-----" in data and (kind := key_bytes(data)):
+            return odd, kind
+    return None
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all secrets, sorted; kind is a place in KINDS. Base kinds come first in KINDS."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    armoured = []
-    if "PRIVATE KEY-----" in text:
-        for m in ARMOUR.finditer(text):
-            body = decoded(re.sub(r"\\n|\s", "", m[2]))
-            # An encrypted key of the old form is not DER inside; its header lines keep it from decoding.
-            if body and is_key(body):
-                out.append((m.start(), 3, m.end()))
-                armoured.append((m.start(), m.end()))
-    inside = lambda at: any(a <= at < b for a, b in armoured)
+    taken = armoured_keys(text)
+    out += [(a, 3, b) for a, b in taken]
+    inside = lambda at: any(a <= at < b for a, b in taken)
+    for m in WRAPPED.finditer(text):
+        if inside(m.start()):
+            continue
+        # The last line may be a key's or what comes after one.
+        lines = [x for x in BREAK.split(m[0]) if x]
+        cut = m[0].rstrip()
+        whole = [(lines, m.start() + len(cut))]
+        if len(lines) > 2:
+            last = m.start() + cut.rindex(lines[-1])
+            whole.append((lines[:-1], m.start() + len(re.sub(r"(?:\r?\n|\\n)[\x20\t]*$", "", text[m.start() : last]))))
+        for own, end in whole:
+            if len(own) > 1 and (found := key_in_run("".join(own))) and found[0] < len(own[0]):
+                out.append((m.start() + found[0], found[1], end))
+                taken.append((m.start(), end))
+                break
     for m in RUN.finditer(text):
-        # DER begins with 30, OpenSSH's name with 'o': so do their codes.
-        if m[0][0] in "Mb" and not inside(m.start()):
-            data = decoded(m[0])
-            if data and is_key(data):
-                out.append((m.start(), 5 if data[0] == 0x6F else 4, m.end()))
-    if "30" in text or "6f" in text:
-        for m in HEX_LONG.finditer(text):
-            if m[0][:2].lower() in ("30", "6f"):
-                data = bytes.fromhex(m[0])
-                if is_key(data):
-                    out.append((m.start(), 5 if data[0] == 0x6F else 4, m.end()))
+        if not inside(m.start()) and (found := key_in_run(m[0])):
+            out.append((m.start() + found[0], found[1], m.end()))
+    for m in HEX_LONG.finditer(text):
+        if found := key_in_hex(m[0]):
+            out.append((m.start() + found[0], found[1], m.end()))
     if "ey" in text:
-        out += [(m.start(), 6, m.end()) for m in TOKEN.finditer(text) if m[1].startswith("ey") and is_signed_token(m[1], m[2])]
-    return sorted(out)
+        out += [(m.start(), 6, m.end(3)) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
+    return sorted(set(out))
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark="[SECRET]") -> str:

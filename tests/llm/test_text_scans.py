@@ -88,6 +88,32 @@ def test_confirmed_secrets():
     assert redact(text, find_secrets(text)) == "a [SECRET] b [SECRET] c"
 
 
+def test_keys_in_other_wrappings():
+    import base64
+    import json
+
+    code = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    kinds = lambda t: [w.split(":")[0] for w in written(find_secrets(t)).split(",") if w]
+    key = base64.b64encode(DER).decode()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----\n".encode()
+    coded = base64.b64encode(pem).decode()
+    assert kinds(f"tls.key: {coded}") == ["pem_key"]
+    assert "pem_key" in kinds(pem.hex())
+    item = lambda tag, body: bytes([tag, 0x82]) + len(body).to_bytes(2, "big") + body
+    number = lambda n: item(2, b"\x01" + bytes(n))
+    rsa = base64.b64encode(item(0x30, b"\x02\x01\x00" + b"".join(number(n) for n in (256, 299, 256, 256, 256, 256, 256, 256)))).decode()
+    for sep in ("\n", "\r\n", "\n    "):
+        wrapped = sep.join(rsa[i : i + 64] for i in range(0, len(rsa), 64))
+        for after in ("", "\nnext words", "\n\nnext"):
+            text = f"é {wrapped}{after}"
+            assert [(k, a, b) for a, k, b in find_secrets(text)] == [(4, 2, 2 + len(wrapped))]
+    for lead in "/+-_ax":
+        assert kinds(f"x {lead}{key} y") == ["der_key"]
+    assert "pem_key" in kinds("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n" + base64.b64encode(bytes(64)).decode() + "\n-----END RSA PRIVATE KEY-----")
+    jwt = ".".join([code(json.dumps({"alg": "HS256"}).encode()), code(b'{"sub":"1"}'), code(b"x" * 32)])
+    assert kinds(f"session_token.{jwt}") == ["signed_token"] and redact(f"session_token.{jwt}", find_secrets(f"session_token.{jwt}")) == "session_token.[SECRET]"
+
+
 def test_secret_rows(docs):
     rows = scan_secrets(docs([(1, "é token=0123456789abcdef01"), (None, None), (2, ""), (2, "")]), redacted=True).collect()
     first = next(r for r in rows if r["doc_id"] == 1)
