@@ -168,6 +168,22 @@ def test_token_counts(spark):
     assert [(r["spaced"], r["words"], r["pieces"]) for r in got] == [(4, 5, len(codec.plain.encode_ordinary(rows[0][0]))), (0, 0, 0), (0, 0, 0)]
 
 
+def test_whole_license_texts_and_usual_notices(docs):
+    words = lambda name: " ".join(v for k, v in licenses.NOTICES.items() if k.startswith(name + "/text-")).split()
+    edited = words("mit")
+    edited[3] = "edited"
+    usual = {
+        "mit": "licensed under the MIT License", "lgpl": "Released under the GNU Lesser General Public License", "agpl-3.0": "distributed under the GNU Affero General Public License v3.0",
+        "cc0-1.0": "released under CC0 1.0 Universal", "cc-by-sa-4.0": "licensed under CC BY-SA 4.0", "unlicense": "This is free and unencumbered software released into the public domain",
+    }
+    rows = [(1, " ".join(edited)), (2, "x " + " ".join(words("gpl-2.0")[400:900]) + " y")] + [(10 + i, "a " + t + " b") for i, t in enumerate(usual.values())]
+    got = licenses.scan_licenses(docs(rows)).withColumn("ids", licenses.license_names(F.col("licenses"))).collect()
+    ids = {r["doc_id"]: r["ids"] for r in got}
+    assert "mit" in ids[1] and "gpl-2.0" in ids[2]
+    for i, name in enumerate(usual):
+        assert name in ids[10 + i]
+
+
 # --- fingerprints --------------------------------------------------------------
 
 
