@@ -13,6 +13,7 @@ from logloom.llm.neardup import near_duplicates
 from logloom.llm.rollup import TokenRollup, change, token_counts
 from logloom.llm.secrets import scan_secrets
 from logloom.llm.toxicity import score, train
+from logloom.llm.whitening import whiten
 from logloom.session import cut_lineage, fresh_folder
 
 QUERIES: dict = {}
@@ -152,3 +153,9 @@ c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""")
 def op10(spark, table):
     return near_duplicates(table("documents"))
+
+
+@query("op11_whitening")
+def op11(spark, table):
+    """The fit counts each distinct vector once."""
+    return whiten(table("embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
