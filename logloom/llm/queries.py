@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from logloom.llm.align import align_documents
 from logloom.llm.bpe import encode_documents
 from logloom.llm.chat import format_conversations, read_back
 from logloom.llm.decontaminate import decontaminate
@@ -159,3 +160,9 @@ def op10(spark, table):
 def op11(spark, table):
     """The fit counts each distinct vector once."""
     return whiten(table("embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@query("op12_alignment")
+def op12(spark, table):
+    tables = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_documents(table("documents"), *tables, public_tokenizers.PATTERN)
