@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from logloom.llm import quality
 from logloom.llm.align import align_documents
 from logloom.llm.bpe import encode_documents
 from logloom.llm.chat import format_conversations, read_back
@@ -166,3 +167,11 @@ def op11(spark, table):
 def op12(spark, table):
     tables = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return align_documents(table("documents"), *tables, public_tokenizers.PATTERN)
+
+
+@query("op13_quality")
+def op13(spark, table):
+    """Learned from labels of ids whose hash leaves another remainder than 2 by 4; scored over all documents."""
+    remainder = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4))
+    model = quality.train(table("documents"), table("labels").filter(remainder != 2))
+    return quality.score(table("documents"), model).select("doc_id", (remainder == 2).alias("held_out"), "score", "predicted")
