@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from logloom.llm.pretoken import encode_text
 from logloom.llm.rows import arrow_schema, map_rows
 
 # Roles with a mark of their own; any other role is written between ROLE and ROLE_END.
@@ -51,12 +52,12 @@ class ChatCodec:
 
     def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and loss mask of one turn."""
-        body = self.plain.encode_ordinary(escape(text))
+        body = encode_text(self.plain, escape(text))
         if role in MARKS:
             segments = [[self.control[MARKS[role]]], body, [self.control[END]]]
             learned = 1
         else:
-            name = self.plain.encode_ordinary(escape(role))
+            name = encode_text(self.plain, escape(role))
             segments = [[self.control[ROLE]], name, [self.control[ROLE_END]], body, [self.control[END]]]
             learned = 3
         bounds = np.cumsum([0, *map(len, segments)])

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.llm.chat import ChatCodec
+from logloom.llm.pretoken import encode_text
 from logloom.llm.rows import BLOCK_BYTES, map_rows
 from logloom.llm.words import ALPHANUMERIC, SPACED, text_blocks, utf8, word_spans
 
@@ -102,7 +103,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, text_column="text") -
                 for name, kind in (("spaced", SPACED), ("words", ALPHANUMERIC)):
                     out[name] += np.diff(word_spans(part, starts, kind)[3]).tolist()
                 for x, y in zip(starts[:-1], starts[1:], strict=True):
-                    out["pieces"].append(len(codec.plain.encode_ordinary(part[x:y].tobytes().decode("utf-8"))))
+                    out["pieces"].append(len(encode_text(codec.plain, part[x:y].tobytes().decode("utf-8"))))
             return out
 
         return work

@@ -8,9 +8,11 @@ armoured key, or a token whose header is a JSON object that names its signature.
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 
@@ -33,14 +35,17 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+(?:\r?\n|\\n)
 BREAK = re.compile(r"(?:\r?\n|\\n)[\x20\t]*")
 # A match begins at 'ey', so nothing before a dot can take it; matches may overlap.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
-ARMOUR = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?:\s|\\r|\\n)*[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*)*)((?:[A-Za-z0-9+/=\s]|\\r|\\n|\\(?=\s))*?)-----END \1-----"
-)
+BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+# A header of an armoured block takes a whole line; lines may also be written as \n.
+HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n]*+")
+LINE_BREAK = re.compile(r"\r\n|[\r\n]|\\r\\n|\\[rn]")
+BODY = re.compile(r"(?:[A-Za-z0-9+/=\s]|\\(?=\s))*+")
 HEX_LONG = re.compile(r"[0-9a-f]{80,}|[0-9A-F]{80,}")
 
 
-def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
-    """Tag, start and end of the content of the DER item at ``at``; None if it isn't one within ``end``."""
+def der_head(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """Tag, start and size of the content of the DER item at ``at``; None if its head is not whole before ``end``."""
+    end = min(end, len(data))
     if at + 2 > end:
         return None
     tag, size = data[at], data[at + 1]
@@ -53,7 +58,13 @@ def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
         if size < 0x80 or data[at] == 0:  # not the shortest form
             return None
         at += count
-    return (tag, at, at + size) if at + size <= end else None
+    return tag, at, size
+
+
+def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """Tag, start and end of the content of the DER item at ``at``; None if it isn't one within ``end``."""
+    head = der_head(data, at, end)
+    return (head[0], head[1], head[1] + head[2]) if head and head[1] + head[2] <= end else None
 
 
 def der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -128,13 +139,28 @@ def is_signed_token(header: str, payload: str) -> bool:
 
 def armoured_keys(text: str) -> list[tuple[int, int]]:
     """Spans of private keys between BEGIN and END. With a Proc-Type header the body is
-    ciphertext, of whole cipher blocks; else it must be a key."""
-    out = []
-    for m in ARMOUR.finditer(text) if "PRIVATE KEY-----" in text else ():
-        body = decoded(re.sub(r"\\[rn]|\\|\s", "", m[3]))
-        encrypted = "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]
+    ciphertext, of whole cipher blocks; else it must be a key. Each line is looked at once."""
+    out, ends = [], {}
+    begins = list(BEGIN.finditer(text)) if "PRIVATE KEY-----" in text else []
+    for m, after in zip(begins, [*[x.start() for x in begins[1:]], len(text)], strict=False):
+        mark = f"-----END {m[1]}-----"
+        # The next END of this name, looked for anew only once it is passed; there may be none.
+        end = ends.get(mark, 0)
+        if 0 <= end < m.end():
+            end = ends[mark] = text.find(mark, m.end())
+        if not m.end() <= end < after:
+            continue
+        lines = LINE_BREAK.split(text[m.end() : end])
+        first = 0
+        while first < len(lines) and (not (line := lines[first].strip()) or HEADER.fullmatch(line)):
+            first += 1
+        headers, rest = "\n".join(lines[:first]), "\n".join(lines[first:])
+        if not BODY.fullmatch(rest):
+            continue
+        body = decoded(re.sub(r"\\|\s", "", rest))
+        encrypted = "ENCRYPTED" in headers and "DEK-Info:" in headers
         if body and (len(body) % 8 == 0 and len(body) >= 48 if encrypted else is_key(body)):
-            out.append((m.start(), m.end()))
+            out.append((m.start(), end + len(mark)))
     return out
 
 
@@ -142,8 +168,8 @@ def claims_all(head: bytes, size: int) -> bool:
     """Whether bytes that begin with ``head`` can be a key of ``size`` bytes, but for 2 at its end."""
     if head.startswith(b"openssh"):
         return True
-    top = der_item(head, 0, 1 << 40)
-    return top is not None and top[0] == 0x30 and 0 <= size - top[2] <= 2
+    top = der_head(head, 0, len(head))
+    return top is not None and top[0] == 0x30 and 0 <= size - top[1] - top[2] <= 2
 
 
 def key_bytes(data: bytes) -> int | None:
@@ -191,7 +217,9 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     taken = armoured_keys(text)
     out += [(a, 3, b) for a, b in taken]
-    inside = lambda at: any(a <= at < b for a, b in taken)
+    wrapped: list[tuple[int, int]] = []
+    # Disjoint and in order, so the last that begins before a place is the only one that can hold it.
+    inside = lambda at: (k := bisect.bisect_right(taken, at, key=itemgetter(0))) > 0 and at < taken[k - 1][1]
     for m in WRAPPED.finditer(text):
         if inside(m.start()):
             continue
@@ -205,8 +233,9 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
         for own, end in whole:
             if len(own) > 1 and (found := key_in_run("".join(own))) and found[0] < len(own[0]):
                 out.append((m.start() + found[0], found[1], end))
-                taken.append((m.start(), end))
+                wrapped.append((m.start(), end))
                 break
+    taken = sorted(taken + wrapped)
     for m in RUN.finditer(text):
         if not inside(m.start()) and (found := key_in_run(m[0])):
             out.append((m.start() + found[0], found[1], m.end()))

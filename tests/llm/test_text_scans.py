@@ -1,14 +1,16 @@
 """Secrets, chat formatting, BPE and decontamination against plain versions of their contracts."""
 
+import base64
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from logloom.llm import chat  # noqa: E402
+from logloom.llm import chat, rollup, secrets  # noqa: E402
 from logloom.llm.bpe import WordEncoder, encode_documents  # noqa: E402
 from logloom.llm.decontaminate import decontaminate  # noqa: E402
 from logloom.llm.secrets import find_secrets, redact, scan_secrets, written  # noqa: E402
@@ -231,3 +233,75 @@ def test_empty_benchmark(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     rows = decontaminate(docs([(1, "a b c")]), none).collect()
     assert [(r["n_words"], r["n_hit"], r["contaminated"]) for r in rows] == [(3, 0, False)]
+
+
+# --- texts that once ended or held up a scan -------------------------------------
+
+
+def test_hex_digests_of_any_kind_are_no_keys_and_no_crash():
+    random.seed(17)
+    for _ in range(20_000):
+        run = random.randbytes(128)[: random.randint(40, 128)].hex()
+        spans = secrets.find_secrets(run)
+        assert spans == [(0, 2, len(run))]
+    # 137 of so many ended the job: a 30 among the last bytes looks like the head of a key.
+    for tail in ("30", "3082", "308201", "30820122", "3081", "3084ffffffff", "30830101"):
+        assert secrets.find_secrets("ab" * 60 + tail)[0][1] == 2
+        assert secrets.find_secrets("ab" * 60 + tail + "0")[0][1] == 2
+
+
+def test_every_beginning_of_a_der_head_is_refused_or_read():
+    whole = bytes.fromhex("3082010a0282010100") + bytes(range(256))
+    for k in range(len(whole)):
+        assert secrets.der_item(whole[:k], 0, k) is None or k >= 4
+        secrets.claims_all(whole[:k], 1 << 20)
+
+
+def quick(text, seconds=2.0):
+    began = time.perf_counter()
+    found = secrets.find_secrets(text)
+    assert time.perf_counter() - began < seconds
+    return found
+
+
+def test_armour_takes_linear_time():
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    assert quick(begin + "\n" + "a: " * 10_000) == []
+    assert quick(begin + "\n" + "a: b\n" * 100_000 + end) == []
+    assert quick((begin + "\n") * 20_000) == []
+    assert quick((begin + "\nMII\n") * 20_000 + end) == []
+    assert quick("-----BEGIN " + "A " * 200_000) == []
+    assert quick("\n".join(begin.replace("P", f"K{i} P", 1) for i in range(3000))) == []
+    assert quick("token" + " " * 500_000 + "x") == []
+    assert quick(("A" * 60 + "\n") * 5000) == []
+
+
+def test_keys_in_long_texts_and_with_headers():
+    body = base64.b64encode(bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))).decode()
+    key = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    filler = "-----BEGIN PRIVATE KEY-----\nno key\n" * 200
+    text = filler + key + "\n" + filler + key.replace("\n", "\\n") + filler
+    spans = [(a, b) for a, k, b in secrets.find_secrets(text) if k == 3]
+    assert [text[a:b] for a, b in spans] == [key, key.replace("\n", "\\n")]
+    for headers in ("Comment: my key\n", "Proc-Type: 4,PLAIN\nX-A: b c: d\n\n"):
+        held = key.replace(body, headers + body)
+        assert [(a, b) for a, k, b in secrets.find_secrets("x " + held) if k == 3] == [(2, 2 + len(held))]
+    many = (key + "\n") * 500
+    assert sum(k == 3 for _, k, _ in quick(many)) == 500
+
+
+@pytest.mark.parametrize("name", ["chat", "rollup"])
+def test_very_long_runs_are_encoded_whole(spark, name):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [" " * 2_000_000, "\n" * 2_000_000 + "end", "a" * 2_000_000]
+    codec = chat.ChatCodec(path, public_tokenizers.PATTERN)
+    if name == "chat":
+        turns = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id bigint, turn bigint, role string, text string")
+        rows = chat.format_conversations(turns, path, public_tokenizers.PATTERN).collect()
+        assert {r["conv_id"]: codec.read(r["ids"])[1] == texts[r["conv_id"]] for r in rows} == {0: True, 1: True, 2: True}
+    else:
+        docs = spark.createDataFrame([("s", "l", t) for t in texts], "source string, lang string, text string")
+        got = sorted(r["pieces"] for r in rollup.token_counts(docs, path, public_tokenizers.PATTERN).collect())
+        # The last line break stands apart, the rest is one run.
+        want = [len(codec.plain._encode_single_piece(t)) for t in texts[::2]] + [len(codec.plain._encode_single_piece("\n" * 1_999_999)) + 2]
+        assert got == sorted(want)
