@@ -11,60 +11,74 @@ stages in the shared folder is kept; no link or component reaches the driver.
 """
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from logloom.llm.multiplicity import join_back
 from logloom.llm.rows import BLOCK_BYTES, map_rows
 from logloom.llm.words import SPACED, scramble, shingles, text_blocks, utf8, word_spans
 from logloom.session import cut_lineage
 
-BANDS, ROWS = 30, 4
-# At similarity 0.8 a pair agrees in some band with a chance of 1 - (1 - 0.8**4)**30 = 1 - 1.4e-7.
+# At most VALUES minima, in bands of ROWS or fewer. A pair at the similarity asked for meets in no band
+# with a chance of MISS at most: at 0.8 that takes 30 bands of 4, 1 - (1 - 0.8**4)**30 = 1 - 1.4e-7.
+VALUES, ROWS, MISS = 120, 4, 1.5e-7
 SKETCH_BITS = 512
-# Pairs with an estimate below this are dropped. At 0.8, 24 of 120 values differ, with a
-# deviation of 4.4, so some 44 bits, with one of 7.9; the bound of 80 bits is 4.6 deviations
-# away, a chance of 2e-6 for one pair.
-SKETCH_FLOOR = 0.6
+# Of a pair at the similarity more minima differ than the bound of bits allows for with a chance of TAIL: at 0.8
+# more than 46 of 120, where 24 are expected; 46 come to 78 bits, of which SPARE more are let pass.
+TAIL, SPARE = 2e-6, 2
 # Nodes that one part of a group compares with the same other node.
 PARTNERS = 1000
 # Nodes and shingles of a part of a group; two parts at most are in memory together.
 BLOCK_NODES, BLOCK_SHINGLES = 1000, 500_000
 
 
-def differing_bits(floor=SKETCH_FLOOR) -> int:
-    """Most bits in which two sketches of that similarity differ, as expected: n/2 (1 - exp(-4k(1 - J)/n))."""
-    k, n = BANDS * ROWS, SKETCH_BITS
-    # Two sets of k values share k J of them, so 2k(1 - J) toggles fall on n bits.
-    return int(n / 2 * (1 - np.exp(-4 * k * (1 - floor) / n)))
+class Bands:
+    """How many bands of how many minima a similarity needs, and in how many bits its sketches may differ."""
 
+    def __init__(self, percent: int):
+        s = min(percent, 100) / 100
+        for rows in range(ROWS, 0, -1):
+            bands = int(np.ceil(np.log(MISS) / np.log1p(-(s**rows)))) if 0 < s < 1 else 1 if s == 1 else VALUES + 1
+            if bands * rows <= VALUES:
+                break
+        else:
+            raise ValueError(f"percent={percent}: {VALUES} minima cannot promise to find pairs of so little in common")
+        self.bands, self.rows, self.values = bands, rows, bands * rows
+        # The number of minima that differ is binomial. Each toggles two of the n bits; some toggles meet.
+        chance = [math.comb(self.values, d) * (1 - s) ** d * s ** (self.values - d) for d in range(self.values + 1)]
+        differ = next(d for d in range(self.values + 1) if math.fsum(chance[d + 1 :]) <= TAIL)
+        self.bits = math.ceil(SKETCH_BITS / 2 * -math.expm1(-4 * differ / SKETCH_BITS)) + SPARE * (differ > 0)
 
-_ROUND = scramble(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+
+_ROUND = scramble(np.arange(1, VALUES + 1, dtype=np.uint64))
 _FACTOR, _ADD = _ROUND | np.uint64(1), scramble(_ROUND)
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """A line of BANDS * ROWS minima for each set; sets are not empty."""
-    out = np.empty((len(sets), BANDS * ROWS), np.uint64)
+def minhashes(sets: list[np.ndarray], values=VALUES) -> np.ndarray:
+    """A line of minima for each set; sets are not empty."""
+    out = np.empty((len(sets), values), np.uint64)
     for i, s in enumerate(sets):
         low = None
         for at in range(0, len(s), 512):
-            part = (s[at : at + 512, None] * _FACTOR + _ADD).min(0)
+            part = (s[at : at + 512, None] * _FACTOR[:values] + _ADD[:values]).min(0)
             low = part if low is None else np.minimum(low, part)
         out[i] = low
     return out
 
 
-def band_keys(mins: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(mins), BANDS), np.uint64)
-    for r in range(ROWS):
-        total = scramble(total * np.uint64(31) + mins[:, r::ROWS])
-    return scramble(total + _ROUND[:BANDS]).view(np.int64)
+def band_keys(mins: np.ndarray, rows=ROWS) -> np.ndarray:
+    bands = mins.shape[1] // rows
+    total = np.zeros((len(mins), bands), np.uint64)
+    for r in range(rows):
+        total = scramble(total * np.uint64(31) + mins[:, r::rows])
+    return scramble(total + _ROUND[:bands]).view(np.int64)
 
 
 def odd_sketches(mins: np.ndarray) -> np.ndarray:
     """Parity of how many of the numbered minima fall on each of SKETCH_BITS places, as 64-bit words."""
-    spot = (scramble(mins + _ROUND) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    spot = (scramble(mins + _ROUND[: mins.shape[1]]) % np.uint64(SKETCH_BITS)).astype(np.int64)
     flat = (np.arange(len(mins))[:, None] * SKETCH_BITS + spot).ravel()
     parity = np.bincount(flat, minlength=len(mins) * SKETCH_BITS) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(mins), SKETCH_BITS // 64)
@@ -80,7 +94,7 @@ def class_of(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def sketch(frame: DataFrame, size: int) -> DataFrame:
+def sketch(frame: DataFrame, size: int, plan: Bands) -> DataFrame:
     """doc_id, row_key, n_shingles, node (the class of the set; null for an empty one), bands, odd."""
     id_type = frame.schema["doc_id"].dataType.simpleString()
 
@@ -90,8 +104,8 @@ def sketch(frame: DataFrame, size: int) -> DataFrame:
             raw, offsets = utf8(batch.column("text"))
             for a, b in text_blocks(offsets, BLOCK_BYTES):
                 sets = sets_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                mins = minhashes([s for s in sets if len(s)])
-                keys, odd, at = band_keys(mins), odd_sketches(mins), 0
+                mins = minhashes([s for s in sets if len(s)], plan.values)
+                keys, odd, at = band_keys(mins, plan.rows), odd_sketches(mins), 0
                 for s in sets:
                     full = len(s) > 0
                     out["n_shingles"].append(len(s))
@@ -177,12 +191,11 @@ class Block:
         return out
 
 
-def block_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
+def block_links(rows: DataFrame, size: int, percent: int, bound: int) -> DataFrame:
     """Links (a, b) within blocks: ``rows`` (hub, i, j, part, node, label, odd, text) come in the order of (hub, i, j)."""
 
     def make():
         now: dict = {"key": None, "block": None}
-        bound = differing_bits()
 
         def work(batch):
             out: list = []
@@ -251,14 +264,15 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text", siz
     ``size`` is one shingle. A null or wordless text has an empty set and is linked with
     nothing. Repeated rows each give a row; null ids are carried along but never name a
     component (a component of null ids only has a null one, and its rows are kept).
-    Other columns are left behind. Intermediate tables are written to the shared folder.
+    Bands and sketches follow from ``percent``; one too low for them is an error. Other columns are left behind. Intermediate tables are written to the shared folder.
     """
+    plan = Bands(percent)
     doc_id = F.col(f"`{id_column}`")
     text = F.col(f"`{text_column}`").cast("string")
     # Finds a text again; the class of its set tells it from others of the same key.
     key = F.xxhash64(F.coalesce(doc_id.cast("string"), text))
     frame = docs.select(doc_id.alias("doc_id"), key.alias("row_key"), text.alias("text"))
-    rows = cut_lineage(sketch(frame, size))
+    rows = cut_lineage(sketch(frame, size, plan))
     full = rows.filter("node IS NOT NULL")
     keep = keeper(docs.sparkSession, rows.count())
     classes = keep(full.groupBy("node").agg(
@@ -266,14 +280,16 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text", siz
     ), 10)
     spots = classes.select("node", F.explode("bands").alias("band"))
     crowded = spots.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = keep(spots.join(crowded, "band"), 30)
+    # A band that a large group of near copies has in common is not dealt to one task.
+    total = classes.count() * plan.bands
+    shared = keep(join_back(spots, crowded, ["band"], total, "members"), 30)
     # The member that meets most others leads its buckets: the text that the others were made from, if there is one.
     degrees = keep(shared.groupBy("node").agg(F.sum("members").alias("degree")))
-    leads = shared.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top"))
-    met = keep(shared.join(leads, "band").select("band", "node", F.col("top.node").alias("lead"), F.col("top.degree").alias("degree")), 30)
+    leads = shared.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top"), F.count("*").alias("members"))
+    met = keep(join_back(shared.select("band", "node"), leads, ["band"], total, "members").select("band", "node", F.col("top.node").alias("lead"), F.col("top.degree").alias("degree")), 30)
     light = classes.select("node", "n", "odd")
     marked = classes.select("node", "n", "odd", "bands")
-    near = sum((F.bit_count(F.col("x_odd")[i].bitwiseXOR(F.col("y_odd")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)) <= differing_bits()
+    near = sum((F.bit_count(F.col("x_odd")[i].bitwiseXOR(F.col("y_odd")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)) <= plan.bits
     sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
     side = lambda s, name: light.select(F.col("node").alias(name), F.col("n").alias(f"{s}_n"), F.col("odd").alias(f"{s}_odd"))
 
@@ -313,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text", siz
         "hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label", "odd", "text"
     )
     blocks = placed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    links = keep(links.union(block_links(blocks, size, percent)), 30)
+    links = keep(links.union(block_links(blocks, size, percent, plan.bits)), 30)
     labels = components(links, keep)
 
     # Buckets that still hold several components: their members against those of other groups.
