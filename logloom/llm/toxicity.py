@@ -1,8 +1,10 @@
 """Operator 1: toxicity, learned from document labels as a bag of sentences.
 
-A document is toxic if some sentence is: P(toxic) = 1 - prod(1 - p(sentence)), a noisy
-or. Each p is a logistic function of which words and word beginnings the sentence has,
+A document is toxic if some sentence is: P(toxic) = 1 - (1 - leak) prod(1 - p(sentence)), a
+noisy or. Each p is a logistic function of which words and word beginnings the sentence has,
 and only document labels train it; the sentences with a high p are then the offending ones.
+Sentences without evidence have no part in it: what toxic documents without any have in
+common is the leak, fitted once for a document, so a text's length is no evidence.
 """
 
 import numpy as np
@@ -22,6 +24,10 @@ SAMPLE = 40_000
 BUCKETS, WEIGHTS, GAP, LIFT = 20, 5_000, 4.0, 2.0
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
+# A sentence that is toxic with a chance below this is none: any number of them adds up to nothing.
+FLOOR = 0.05
+# Characters of the sampled documents, at most; of more, a part of the sample is taken, by hash.
+SAMPLE_CHARS = 400_000_000
 ENDS = np.isin(np.arange(256), list(b".!?\n"))
 # Letters, digits, apostrophes and everything beyond ASCII.
 WORDS = byte_class(bytes(b for b in range(128) if not chr(b).isalnum() and b != 39))
@@ -62,10 +68,10 @@ def log_rest(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights over bins and a bias."""
+    """Weights over bins, a bias, and the chance of toxicity without any evidence."""
 
-    def __init__(self, bins: np.ndarray, weights: np.ndarray, bias: float):
-        self.bins, self.weights, self.bias = bins, weights, bias
+    def __init__(self, bins: np.ndarray, weights: np.ndarray, bias: float, leak: float = 0.0):
+        self.bins, self.weights, self.bias, self.leak = bins, weights, bias, leak
 
     def table(self) -> np.ndarray:
         out = np.zeros((1 << BUCKETS) + 1)
@@ -73,11 +79,11 @@ class Model:
         return out
 
 
-def fit(label, sentences, doc, sentence, entry, bins: np.ndarray, rounds=400, rate=0.3, shrink=2e-3) -> Model:
+def fit(label, doc, sentence, entry, bins: np.ndarray, rounds=400, rate=0.3, shrink=2e-3) -> Model:
     """Noisy-or likelihood by Adam.
 
-    Of each document its label and how many sentences it has; of each entry its
-    document, in their order, its sentence there, and its bin.
+    Of each document its label; of each entry its document, in their order, its sentence
+    there, and its bin. Sentences without an entry do not count.
     """
     place = np.full(1 << BUCKETS, -1)
     place[bins] = np.arange(len(bins))
@@ -85,27 +91,20 @@ def fit(label, sentences, doc, sentence, entry, bins: np.ndarray, rounds=400, ra
     entry_bin = place[np.asarray(entry, np.int64)]
     pair, entry_sentence = np.unique((np.asarray(doc, np.int64) << 32) | np.asarray(sentence, np.int64), return_inverse=True)
     doc, total = pair >> 32, len(pair)
-    # Sentences without any of the bins count by their number alone.
-    blank = np.asarray(sentences, float) - np.bincount(doc, minlength=len(label))
-    w, bias = np.zeros(len(bins) + 1), -5.0
+    # The weights, then the bias of a sentence and that of a document.
+    w = np.concatenate([np.zeros(len(bins)), [-5.0, -5.0]])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        z = bias + np.bincount(entry_sentence, w[entry_bin], minlength=total)
-        p, p_blank = 1 / (1 + np.exp(-np.clip(z, -40, 40))), 1 / (1 + np.exp(-bias))
-        rest = np.bincount(doc, log_rest(z), minlength=len(label)) + blank * log_rest(np.array(bias))
-        rest = np.minimum(rest, -1e-9)
+        z = w[-2] + np.bincount(entry_sentence, w[entry_bin], minlength=total)
+        p, leak = 1 / (1 + np.exp(-np.clip(z, -40, 40))), 1 / (1 + np.exp(-w[-1]))
+        rest = np.minimum(np.bincount(doc, log_rest(z), minlength=len(label)) + log_rest(w[-1]), -1e-9)
         # d loss / d z of a sentence is p for a clean text, -p * rest / (1 - rest) for a toxic one.
         pull = np.where(label > 0, -np.exp(rest) / -np.expm1(rest), 1.0)
         g_z = pull[doc] * p
-        g = np.append(np.bincount(entry_bin, g_z[entry_sentence], minlength=len(bins)), 0) + shrink * w * len(label) / 100
-        g[-1] = g_z.sum() + (pull * blank).sum() * p_blank
-        g /= len(label)
+        g = np.concatenate([np.bincount(entry_bin, g_z[entry_sentence], minlength=len(bins)) + shrink * w[:-2] * len(label) / 100, [g_z.sum(), pull.sum() * leak]]) / len(label)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) * (1 - 0.9 * step / rounds)
-        w -= move
-        bias -= move[-1]
-        w[-1] = 0
-    return Model(bins, w[:-1], bias)
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) * (1 - 0.9 * step / rounds)
+    return Model(bins, w[:-2], float(w[-2]), float(1 / (1 + np.exp(-w[-1]))))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="text", label_column="toxic", sample=SAMPLE) -> Model | None:
@@ -114,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     The ids of the sample (about ``sample`` at most, by hash) are broadcast, so no text
     is exchanged to find it. Counts of bins in toxic and clean documents choose the
     WEIGHTS bins that tell most; what reaches the driver is, for each sampled document,
-    the places of these bins. Of several labels of an id the greatest counts; null
+    the places of these bins, of SAMPLE_CHARS characters of text at most. Of several labels of an id the greatest counts; null
     labels, ids and texts are left out.
     """
     spark = docs.sparkSession
@@ -124,7 +123,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     chosen = known.filter((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)))
     text = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")).filter("text IS NOT NULL")
     # Bounded by SAMPLE rows of two numbers.
-    fitted = cut_lineage(text.join(F.broadcast(chosen), "id").select("text", "y"))
+    fitted = cut_lineage(text.join(F.broadcast(chosen), "id").select("id", "text", "y"))
+    # So is what reaches the driver of the sample, however long its texts are.
+    chars = fitted.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > SAMPLE_CHARS:
+        fitted = fitted.filter(F.pmod(F.xxhash64(F.lit("chars"), "id"), F.lit(1_000_000)) < int(SAMPLE_CHARS / chars * 1_000_000))
+    fitted = fitted.select("text", "y")
 
     def counts():
         def work(batch):
@@ -139,7 +143,6 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
                 y = label[a:b][pair >> BUCKETS]
                 for k in (0, 1):
                     tables[k] += np.bincount(pair[y == k] & ((1 << BUCKETS) - 1), minlength=1 << BUCKETS)
-            # A bin seen once in a batch of clean texts only cannot matter by itself, but sums do.
             some = np.flatnonzero(tables.sum(0))
             return {"bin": some, "clean": tables[0][some], "toxic": tables[1][some]}
 
@@ -160,13 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
 
     def places():
         def work(batch):
-            out = {"y": batch.column("y"), "sentences": [], "sentence": [], "bin": []}
+            out = {"y": batch.column("y"), "sentence": [], "bin": []}
             raw, offsets = utf8(batch.column("text"))
             for a, b in text_blocks(offsets, BLOCK_BYTES):
                 s = Sentences(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 sentence, entry = s.present(wanted)
                 cut = np.searchsorted(s.text[sentence], np.arange(b - a + 1))
-                out["sentences"] += np.bincount(s.text, minlength=b - a).tolist()
                 for x, y in zip(cut[:-1], cut[1:], strict=True):
                     out["sentence"].append(sentence[x:y])
                     out["bin"].append(entry[x:y])
@@ -174,10 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
 
         return work
 
-    rows = map_rows(fitted, places, "y int, sentences bigint, sentence array<int>, bin array<int>").toArrow().combine_chunks()
+    rows = map_rows(fitted, places, "y int, sentence array<int>, bin array<int>").toArrow().combine_chunks()
     lists = {c: rows[c].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("sentence", "bin")}
     doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists["bin"]).to_numpy(zero_copy_only=False))
-    return fit(rows["y"].to_numpy(), rows["sentences"].to_numpy(), doc, pc.list_flatten(lists["sentence"]).to_numpy(), pc.list_flatten(lists["bin"]).to_numpy(), bins)
+    return fit(rows["y"].to_numpy(), doc, pc.list_flatten(lists["sentence"]).to_numpy(), pc.list_flatten(lists["bin"]).to_numpy(), bins)
 
 
 def scorer(model: Model | None, threshold: float, text_column="text"):
@@ -195,14 +197,18 @@ def scorer(model: Model | None, threshold: float, text_column="text"):
             s = Sentences(part, starts)
             sentence, entry = s.present(wanted)
             z = bias + np.bincount(sentence, table[entry], minlength=len(s.text))
-            rest = np.bincount(s.text, log_rest(z), minlength=b - a)
-            value = np.where(rest < 0, -np.expm1(rest), 0.0)
+            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            # Sentences that have none of the bins, and those that are hardly suspect, count for nothing.
+            told = np.bincount(sentence, minlength=len(s.text)) > 0
+            some = np.flatnonzero(told & (p >= FLOOR))
+            rest = np.bincount(s.text[some], log_rest(z[some]), minlength=b - a)
+            spoken = np.bincount(s.text, minlength=b - a)
+            value = np.where(spoken > 0, 1 - (1 - model.leak) * np.exp(rest), 0.0)
             value = np.clip(value, 0, 1)
             out["score"].append(value)
             out["predicted"].append(value >= threshold)
-            out["n_sentences"].append(np.bincount(s.text, minlength=b - a))
-            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            bad = np.flatnonzero(p >= threshold)
+            out["n_sentences"].append(spoken)
+            bad = some[p[some] >= threshold]
             spans: list[list] = [[] for _ in range(b - a)]
             for i in bad.tolist():
                 t = int(s.text[i])

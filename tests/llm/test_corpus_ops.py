@@ -93,9 +93,62 @@ def test_toxicity_without_labels(spark, docs):
 
 
 def test_noisy_or_gradient_reaches_a_minimum():
-    # Documents: bin 5 in one of two sentences; bin 6 in two of three; both in its only one; none in five.
-    model = toxicity.fit([1, 0, 1, 0], [2, 3, 1, 5], [0, 1, 1, 2, 2], [0, 0, 1, 0, 0], [5, 6, 6, 5, 6], np.array([5, 6]), rounds=600)
+    # Documents: bin 5 in a sentence; bin 6 in two; both in its only one; 6 alone; a toxic one without any bin.
+    model = toxicity.fit([1, 0, 1, 0, 1, *[0] * 99], [0, 1, 1, 2, 2, 3], [0, 0, 1, 0, 0, 0], [5, 6, 6, 5, 6, 6], np.array([5, 6]), rounds=600)
     assert model.weights[0] > 1 > model.weights[1] and model.bias < -1
+    # One in a hundred documents without a bin is toxic.
+    assert model.leak == pytest.approx(0.01, rel=0.3)
+
+
+def plain_toxicity(text, model):
+    """The noisy-or over sentences, by loops: bins of words and their first 4, 5 and 6 bytes."""
+    import pyarrow as pa
+
+    weights = dict(zip(model.bins.tolist(), model.weights.tolist(), strict=True))
+    rest, sentences, bad = 1 - model.leak, 0, []
+    for m in re.finditer(r"[^.!?\n]+", text or ""):
+        found = list(re.finditer(r"[0-9A-Za-z'\x80-\U0010ffff]+", m[0]))
+        if not found:
+            continue
+        sentences += 1
+        bins = set()
+        for w in found:
+            raw, offsets = words.utf8(pa.array([w[0]]))
+            numbers = words.word_spans(raw, offsets, toxicity.WORDS, toxicity.BEGINNINGS)[0][0]
+            bins |= {int(n) >> (64 - toxicity.BUCKETS) for n in numbers.tolist() if n}
+        held = [weights[b] for b in bins if weights.get(b)]
+        p = 1 / (1 + math.exp(-(model.bias + sum(held)))) if held else 0
+        if p >= toxicity.FLOOR:
+            rest *= 1 - p
+        if p >= toxicity.THRESHOLD:
+            bad.append((m.start() + found[0].start(), m.end()))
+    return (1 - rest if sentences else 0.0), sentences, bad
+
+
+def test_toxicity_scores_are_the_plain_noisy_or(spark, docs):
+    rows, marks = toxic_corpus()
+    model = toxicity.train(docs(rows), spark.createDataFrame(marks[:400], "doc_id bigint, toxic int"))
+    assert len(model.bins) > 3
+    odd = ["wretch. wretch! lowly?", "", None, "Wretched\nana lowlands bele", "é wretch'd", "...", "ana", "LOWLY ana " * 50]
+    rows = rows[380:480] + list(enumerate(odd, start=5000))
+    got = {r["doc_id"]: r for r in toxicity.score(docs(rows), model).collect()}
+    for i, text in rows:
+        score, sentences, bad = plain_toxicity(text, model)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9) and got[i]["n_sentences"] == sentences
+        assert [(s["start"], s["end"]) for s in got[i]["offending"]] == bad
+
+
+def test_length_is_no_evidence(spark, docs):
+    rows, marks = toxic_corpus()
+    model = toxicity.train(docs(rows), spark.createDataFrame(marks[:400], "doc_id bigint, toxic int"))
+    clean = [t for (_, t), (_, y) in zip(rows, marks, strict=True) if not y]
+    texts = ["the of. " * n for n in (1, 10, 1000, 100_000)] + [" ".join(clean), " ".join(clean * 30)]
+    at = len(texts)
+    texts += ["ana bele. " * 5000 + "wretch! " + "ana bele. " * 5000]
+    got = {r["doc_id"]: r for r in toxicity.score(docs(list(enumerate(texts))), model).collect()}
+    assert [got[i]["predicted"] for i in range(at)] == [0] * at
+    assert got[0]["score"] == got[3]["score"] and got[at]["predicted"] == 1 and len(got[at]["offending"]) == 1
+    assert sorted(r["doc_id"] for r in toxicity.keep_clean(docs(list(enumerate(texts))), model).select("doc_id").collect()) == list(range(at))
 
 
 # --- licenses ------------------------------------------------------------------
@@ -398,6 +451,25 @@ def test_near_duplicates_by_brute_force(docs, size, monkeypatch):
     assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got], key=str) == plain_components(rows, size, 80)
 
 
+@pytest.mark.parametrize("percent", [35, 50, 95])
+def test_bands_follow_from_the_similarity(docs, percent):
+    random.seed(percent)
+    rows = []
+    for k in range(60):
+        words = [f"p{k}w{i}" for i in range(60)]
+        # The first words stay: each changed word costs itself a single shingle of one word.
+        changed = max(0, int(60 * (1 - percent / 100) / (1 + percent / 100)))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 60 - changed] + [f"q{k}w{i}" for i in range(changed)]))]
+    got = neardup.near_duplicates(docs(rows), size=1, percent=percent).collect()
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got], key=str) == plain_components(rows, 1, percent)
+    assert sum(r["kept"] for r in got) == 60
+
+
+def test_similarities_without_a_promise_are_refused(docs):
+    with pytest.raises(ValueError, match="percent=5"):
+        neardup.near_duplicates(docs([(1, "a")]), percent=5)
+
+
 def test_near_duplicates_of_nothing(docs):
     assert neardup.near_duplicates(docs([])).collect() == []
     assert [tuple(r) for r in neardup.near_duplicates(docs([(1, None)])).collect()] == [(1, 0, 1, True)]
@@ -405,7 +477,8 @@ def test_near_duplicates_of_nothing(docs):
 
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
-    bound = neardup.differing_bits()
+    bound = neardup.Bands(80).bits
+    assert bound == 80
     for similarity, kept in ((0.95, True), (0.8, True), (0.1, False)):
         misses = 0
         for _ in range(60):
@@ -448,7 +521,7 @@ def test_blocks_find_all_that_joins(parts):
             for k in range(40):
                 if k % parts in (i, j):
                     block.add(k, sets[k], b"l%d" % (k // 2), k % parts, odd[k])
-            for a, b in block.links(80, neardup.differing_bits()):
+            for a, b in block.links(80, neardup.Bands(80).bits):
                 both = len(np.intersect1d(sets[a], sets[b]))
                 assert 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
                 up[top(a)] = top(b)
