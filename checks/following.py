@@ -10,7 +10,7 @@ from checks.parsing import _SQL_TRACE, _trace_lines
 from checks.registry import query
 from logloom.operators.aggregates import count_by_bucket
 from logloom.parsers.java import is_header
-from logloom.session import fresh_folder
+from logloom.session import cut_lineage, fresh_folder
 from logloom.streaming.multiline import tail_multiline
 from logloom.streaming.tail import (
     dedup_stream, keep_updates, latest_counts, tail_counts, tail_files, tail_filter, tail_logs, watch, write_stream,
@@ -110,6 +110,33 @@ def multiline(spark, sf):
     return spark.read.schema("source string, line_no bigint, message string").parquet(out).select("source", "line_no", "message")
 
 
+@query("tail_multiline_restart", f"""
+SELECT '/v/app-' || user_id % 4 || '.log' AS source, event_id * 10 + 1 AS line_no,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') || ' INFO ' || {SQL_MESSAGE} || replace({_SQL_TRACE},
+         'java.io.IOException:', chr(27) || '[31mjava.io.IOException' || chr(27) || '[0m:') AS message
+FROM events""")
+def multiline_restart(spark, sf):
+    """The stream is stopped after each part of the lines has come, in the middle of entries, started again, and flushed after a start that finds nothing new."""
+    header = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" INFO "), event_message())
+    lines = cut_lineage(_trace_lines(spark, sf, header))
+    out, at, folder = (fresh_folder(spark, n) for n in ("joined", "checkpoint", "arriving"))
+    low, high = lines.agg(F.min("line_no"), F.max("line_no")).first()
+
+    def keep(entries, batch_id):
+        entries.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    def start():
+        stream = spark.readStream.schema(lines.schema).parquet(folder)
+        return tail_multiline(stream, is_header(F.col("line")), keep, at)
+
+    for k in range(3):
+        first, end = (low + (high + 1 - low) * i // 3 for i in (k, k + 1))
+        lines.filter((F.col("line_no") >= first) & (F.col("line_no") < end)).repartition(2).write.mode("append").parquet(folder)
+        start().query.awaitTermination()
+    start().finish()
+    return spark.read.schema("source string, line_no bigint, message string").parquet(out).select("source", "line_no", "message")
+
+
 @query("tail_files", f"""
 SELECT event_id * 10 + 1 AS key, epoch_us(date_trunc('second', ts)) AS ts_us, {SQL_MESSAGE} || {_SQL_TRACE} AS message FROM events""")
 def files(spark, sf):

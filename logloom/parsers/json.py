@@ -7,7 +7,7 @@ from logloom.functions.text import double_text, is_number, json_type
 from logloom.functions.times import epoch_time, json_text_time
 from logloom.parsers.rows import parsed, worked_out
 
-_BLANKS = " \t\n\v\f\r\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+BLANKS = " \t\n\v\f\r\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedFieldNames": "false"}
@@ -15,7 +15,7 @@ _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "all
 
 def trimmed(line: Column) -> Column:
     """The line without white space at either end."""
-    return F.btrim(line, F.lit(_BLANKS))
+    return F.btrim(line, F.lit(BLANKS))
 
 
 def json_object(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.parsers.registry import format_name, parse_rows
 from logloom.parsers.rows import to_entries
-from logloom.sources.detect import detect_first, told_formats
+from logloom.sources.detect import detect_first, formats_by_file
 from logloom.sources.lines import LineScan, literal_path, source_name
 
 
@@ -56,20 +56,14 @@ class LogSource:
     def _parts_by_file(self):
         """One scan per format in use, over its own files only.
 
-        The format is told by the first split of a file; only a file whose first split
-        is blank is looked at whole. The names are as many as the listing of the scan,
-        which the driver holds in any case.
+        The format is told by the first lines of a file; the rest of it is not read. The
+        names are as many as the listing of the scan, which the driver holds in any case.
         """
         scan = self.scan
-        files = {source_name(f): f for f in scan.raw.inputFiles()}
-        told = {}
-        begun = told_formats(scan.rows().filter(F.col("chunk") == 0), F.col("pos"))
-        for row in begun.filter("written").collect():
-            told[row["source"]] = row["format"]
-        blank = [f for f in files if f not in told]
-        if blank and scan.is_split():
-            for row in told_formats(scan.only(blank).rows(), F.struct("chunk", "pos")).collect():
-                told[row["source"]] = row["format"]
+        files = scan.raw.inputFiles()
+        found = formats_by_file(scan.spark, files)
+        told = {source_name(f): fmt for f, fmt in found.items()}
+        files = [source_name(f) for f in files]
         formats = {f: told.get(f, "plain") for f in files}
         if len(set(formats.values())) == 1:
             return [(scan, next(iter(formats.values())))]

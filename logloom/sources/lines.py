@@ -93,10 +93,6 @@ class LineScan:
         """A scan of these of its files."""
         return LineScan(self.spark, [literal_path(f) for f in sorted(sources)], max_line_bytes=self.max_line_bytes)
 
-    def is_split(self) -> bool:
-        """Whether some file may be read in several splits."""
-        return self.split_bound() > len(self.raw._jdf.inputFiles()) + 1
-
     def unnumbered(self, rows: DataFrame) -> DataFrame:
         """Rows of this scan with a ``line_no`` that is not known."""
         return rows.withColumn("line_no", F.lit(None).cast("bigint"))

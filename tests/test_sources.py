@@ -1,6 +1,7 @@
 """Files: line numbers over splits, lists, addresses, queries with context."""
 
 import gzip
+import os
 from datetime import datetime as ts
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.lookup import get_lines
 from logloom.plans.query import ingest, query_logs
+from logloom.sources import detect
 from logloom.sources.address import OPENERS, LogSource, open_ptr, open_source, register_source
 from logloom.sources.lines import LineScan, existing_paths, file_streams, path_label, read_lines
 
@@ -235,3 +237,46 @@ def test_ingest_keeps_a_table_by_day(spark, tmp_path):
     assert sorted(str(r["day"]) for r in table.select("day").collect()) == ["2025-01-15", "2025-01-16", "None"]
     stored = open_source(spark, f"parquet://{tmp_path}/table")
     assert [r["message"] for r in query_logs(stored, start="2025-01-16T00:00:00Z", keep_null=False).collect()] == ["b"]
+
+
+def bytes_read(spark):
+    return spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file").getLong("bytesRead")
+
+
+def test_detection_reads_the_first_lines_only(spark, tmp_path):
+    with open(tmp_path / "long.log", "w") as f:
+        f.writelines(f"2025-01-15 10:30:45,123 INFO line {i} of a long file\n" for i in range(400_000))
+    (tmp_path / "late.log").write_text("\n  \n\t\n" * 100 + '{"message": "after blank lines"}\n')
+    (tmp_path / "eleventh.log").write_text("note\n\n" * 10 + '{"message": "one line too late"}\n')
+    (tmp_path / "tenth.log").write_text("note\n\n" * 9 + '{"message": "the last that counts"}\n')
+    (tmp_path / "blank.log").write_text("\n \n")
+    (tmp_path / "empty.log").write_text("")
+    size = os.path.getsize(tmp_path / "long.log")
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 9))
+    try:
+        source = open_source(spark, str(tmp_path / "*.log"))
+        before = bytes_read(spark)
+        parts = source.parts()
+        read = bytes_read(spark) - before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    told = {os.path.basename(p): fmt for scan, fmt in parts for p in scan.paths}
+    assert told == {"long.log": "java", "late.log": "json", "eleventh.log": "plain", "tenth.log": "json", "blank.log": "plain", "empty.log": "plain"}
+    assert read < size // 9
+
+
+@pytest.mark.parametrize("step", [1, 3, 64])
+def test_first_lines_step_by_step(spark, tmp_path, monkeypatch, step):
+    monkeypatch.setattr(detect, "HEAD_BYTES", step)
+    monkeypatch.setattr(detect, "LINE_BYTES", 40)
+    texts = ["", "\n", "a", "a\r\n\r\n b \n", "\u2003\n\u00e9\n\x1c\nx", "\n".join(map(str, range(30))), "ab\n" + "x" * 200 + "\nlater\n", "1\n\n" * 12]
+    for text in texts:
+        (tmp_path / "a.log").write_text(text, newline="")
+        want = [line[:40].strip(detect.BLANKS) for line in text.split("\n")]
+        long = next((i for i, line in enumerate(text.split("\n")) if len(line) > 40 + step), None)
+        want = [t for t in (want if long is None else want[: long + 1]) if t][:10]
+        assert detect.first_lines(spark, (tmp_path / "a.log").as_uri()) == want
+    with gzip.open(tmp_path / "b.log.gz", "wt") as f:
+        f.write("one\n\ntwo\n")
+    assert detect.first_lines(spark, (tmp_path / "b.log.gz").as_uri()) == ["one", "two"]

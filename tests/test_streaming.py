@@ -1,5 +1,6 @@
 """Streams: the same answers as the batch operators, state, timers, watches."""
 
+import os
 import time
 from datetime import datetime as ts, timedelta
 
@@ -96,6 +97,99 @@ def test_multiline_over_batches(spark, stream):
     assert sorted(tuple(r) for rows in got.values() for r in rows) == sorted(before + [("a", 5, head), ("b", 4, head)])
 
 
+HEAD = "2025-01-15 10:30:45 INFO x"
+
+
+class Arrivals:
+    """Files of lines that arrive between the runs of a stream, each run a new start from the checkpoint."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder, self.got, self.at = spark, str(folder / "arriving"), {}, fresh_folder(spark, "at")
+
+    def arrive(self, rows):
+        self.spark.createDataFrame(rows, LINES).coalesce(1).write.mode("append").parquet(self.folder)
+        time.sleep(0.05)
+
+    def keep(self, rows, n):
+        self.got[n] = [tuple(r) for r in rows.collect()]
+
+    def run(self):
+        source = self.spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(self.folder)
+        joined = tail_multiline(source, is_header(F.col("line")), self.keep, self.at)
+        joined.query.awaitTermination()
+        return joined
+
+    def all(self):
+        return sorted(r for rows in self.got.values() for r in rows)
+
+
+def test_multiline_goes_on_after_a_restart(spark, tmp_path):
+    a = Arrivals(spark, tmp_path)
+    a.arrive([("a", 1, HEAD), ("a", 2, "\tone"), ("b", 1, HEAD)])
+    a.run()
+    # Stopped between batches; the next start knows what was open.
+    a.arrive([("a", 3, ""), ("b", 2, HEAD + " two")])
+    a.arrive([("a", 4, "\ttwo")])
+    a.run()
+    assert a.all() == [("b", 1, HEAD)]
+    a.arrive([("a", 5, HEAD + " new")])
+    # Stopped at the end: started again without new files, then flushed.
+    a.run()
+    ended = a.run()
+    ended.flush()
+    ended.flush()
+    want = [("a", 1, HEAD + "\n\tone\n\n\ttwo"), ("a", 5, HEAD + " new"), ("b", 1, HEAD), ("b", 2, HEAD + " two")]
+    assert a.all() == want
+    # What was flushed is closed: it neither comes again nor takes further lines.
+    a.run().flush()
+    assert a.all() == want
+    a.arrive([("a", 6, "\tlate"), ("c", 1, HEAD)])
+    a.run().flush()
+    assert a.all() == sorted(want + [("a", 6, "\tlate"), ("c", 1, HEAD)])
+
+
+def test_a_batch_that_is_run_again_gives_the_same(spark, tmp_path):
+    a = Arrivals(spark, tmp_path)
+    a.arrive([("a", 1, HEAD), ("a", 2, "one")])
+    a.arrive([("a", 3, "two")])
+    a.run()
+    a.arrive([("a", 4, "three"), ("a", 5, HEAD + " new")])
+    fail, keep = {"now": True}, a.keep
+
+    def failing(rows, n):
+        keep(rows, n)
+        if fail["now"]:
+            raise RuntimeError("the sink has failed")
+
+    a.keep = failing
+    with pytest.raises(Exception, match="the sink has failed"):
+        a.run()
+    fail["now"] = False
+    a.run().flush()
+    assert a.all() == [("a", 1, HEAD + "\none\ntwo\nthree"), ("a", 5, HEAD + " new")]
+
+
+def test_an_open_entry_is_written_once(spark, tmp_path):
+    """A long entry that grows over many batches: bytes of its pieces are those of its text, and go with it."""
+    a, lines = Arrivals(spark, tmp_path), 40_000
+    for k in range(6):
+        rows = spark.range(k * lines + 1, (k + 1) * lines + 1).select(F.lit("a").alias("source"), F.col("id").alias("line_no"), F.when(F.col("id") == 1, HEAD).otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("line"))
+        rows.coalesce(1).write.mode("append").parquet(a.folder)
+        time.sleep(0.05)
+    a.run()
+    pieces = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(f"{a.at}/pieces") for f in names if f.endswith(".parquet")]
+    assert sum(pieces) < 1.3 * 6 * lines * 65
+    a.arrive([("a", 6 * lines + 1, HEAD)])
+    a.run()
+    (source, first, message), = a.all()
+    assert (source, first, message.count("\n")) == ("a", 1, 6 * lines - 1)
+    a.arrive([("a", 6 * lines + 2, HEAD)])
+    a.arrive([("a", 6 * lines + 3, HEAD)])
+    a.run()
+    left = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(f"{a.at}/pieces") for f in names if f.endswith(".parquet")]
+    assert sum(left) < 100_000
+
+
 def test_multiline_gives_out_a_quiet_entry(spark, stream):
     source = stream([[("a", 1, "2025-01-15 10:30:45 INFO x"), ("a", 2, "\tat y")]], LINES)
     got = []
