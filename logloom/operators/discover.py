@@ -1,5 +1,6 @@
 """Which fields the records have."""
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +11,8 @@ from logloom.operators.ranking import newest
 from logloom.parsers.json import json_object, last_value_wins, trimmed
 from logloom.parsers.rows import worked_out
 
+# Paths that are looked up one by one.
+PATHS = 300
 
 def _profile(found: DataFrame, order: list) -> DataFrame:
     """(name, count, sample): the sample is the first non-empty value in ``order``."""
@@ -45,16 +48,116 @@ def discover_fields(df: DataFrame, sample: int | None = FIELD_SAMPLE) -> DataFra
     return out.select("name", kind.alias("kind"), "count", "sample").orderBy("name")
 
 
-def schema_depth(schema: str) -> int:
-    """How deeply objects are nested in the merged schema of variants."""
-    now = most = 0
-    # Names of members may hold any character, in back quotes.
-    for mark in re.findall(r"`(?:[^`]|``)*`|OBJECT<|ARRAY<|[<>]", schema):
-        if mark[0] == "`":
-            continue
-        now += 1 if mark.endswith("<") else -1
-        most = max(most, now)
-    return most
+class Shape:
+    """What stands at one place of the records: scalars, an object with members, an array; ``mixed`` if several."""
+
+    def __init__(self, members: "dict[str, Shape] | None" = None, element: "Shape | None" = None, mixed: bool = False):
+        self.members, self.element, self.mixed = members, element, mixed
+
+    def depth(self) -> int:
+        """How deeply objects are nested in it, each array's element included."""
+        inner = [m.depth() for m in (self.members or {}).values()] + ([self.element.depth()] if self.element else [])
+        return max(inner, default=0) + (self.members is not None)
+
+
+_TYPE = re.compile(r"\s*(OBJECT<|ARRAY<|>|,|[A-Z][A-Z0-9_]*(?:\([^)]*\))?)")
+_NAME = re.compile(r"\s*(?:`((?:[^`]|``)*)`|([^:`]*)):")
+
+
+def shape_of(schema: str) -> Shape:
+    """The shape that a merged schema of variants, as Spark spells it, describes."""
+
+    def read(at: int) -> tuple[Shape, int]:
+        mark = _TYPE.match(schema, at)
+        kind, at = mark[1], mark.end()
+        if kind == "ARRAY<":
+            element, at = read(at)
+            return Shape(element=element), at + 1
+        if kind != "OBJECT<":
+            return Shape(mixed=kind == "VARIANT"), at
+        members: dict[str, Shape] = {}
+        while schema[at] != ">":
+            name = _NAME.match(schema, at)
+            key = name[2] if name[1] is None else name[1].replace("``", "`")
+            members[key], at = read(name.end())
+            at += schema[at] == ","
+        return Shape(members), at + 1
+
+    return read(0)[0]
+
+
+# A place in a record: a variant, and the path from there.
+Place = tuple[Column, str]
+
+
+def _step(place: Place, key: str) -> Place:
+    """A member's place."""
+    quote = "'" if "'" not in key else '"'
+    if key and quote not in key and "\\" not in key:
+        return place[0], f"{place[1]}[{quote}{key}{quote}]"
+    # No path can spell this name.
+    return _variant(place).try_cast("map<string,variant>")[F.lit(key)], "$"
+
+
+def _first(place: Place) -> Place:
+    return place[0], f"{place[1]}[0]"
+
+
+def _variant(place: Place) -> Column:
+    return place[0] if place[1] == "$" else F.try_variant_get(place[0], place[1], "variant")
+
+
+def _places(shape: Shape, place: Place, name: str = ""):
+    """(shape, place, name, inside) of all that is below an object; ``inside`` says that it is an array's first element."""
+    for key, member in (shape.members or {}).items():
+        at, called = _step(place, key), f"{name}.{key}" if name else key
+        yield member, at, called, False
+        yield from _places(member, at, called)
+        if member.element is not None:
+            yield member.element, _first(at), f"{called}[]", True
+            yield from _places(member.element, _first(at), f"{called}[]")
+
+
+def merged_shape(docs: DataFrame) -> Shape:
+    """The shape of all ``members`` maps: one aggregate, and one more for each level at which kinds of values are mixed."""
+    whole = docs.select(F.to_variant_object("members").alias("_doc"))
+    schema = whole.agg(F.schema_of_variant_agg("_doc")).first()[0]
+    shape = shape_of(schema) if schema and schema.startswith("OBJECT<") else Shape({})
+    while open_places := [(s, at) for s, at, _, _ in _places(shape, (F.col("_doc"), "$")) if s.mixed and s.members is None]:
+        asked = []
+        for _, at in open_places:
+            value = _variant(at)
+            asked += [F.schema_of_variant_agg(F.when(json_type(value).startswith(kind), value)) for kind in ("OBJECT", "ARRAY")]
+        found = whole.agg(*[a.alias(f"_{i}") for i, a in enumerate(asked)]).first()
+        for i, (place, _) in enumerate(open_places):
+            objects, arrays = found[2 * i], found[2 * i + 1]
+            place.members = shape_of(objects).members if objects and objects.startswith("OBJECT<") else {}
+            place.element = shape_of(arrays).element if arrays and arrays.startswith("ARRAY<") else None
+    return shape
+
+
+def leaves_by_path(docs: DataFrame, keep: list[str], shape: Shape) -> DataFrame | None:
+    """``json_leaves``, each path of ``shape`` looked up by itself and all opened at once; None if there are too many."""
+    places = list(itertools.islice(_places(shape, (F.col("_doc"), "$")), PATHS + 1))
+    if len(places) > PATHS:
+        return None
+    entries = []
+    for place, at, name, inside in places:
+        value, container = _variant(at), place.members is not None or place.element is not None
+        # Of a place that only holds containers, nothing but a null is a leaf.
+        entries.append((name, value if place.mixed or not container else F.when(F.is_variant_null(value), value), inside, F.lit(False)))
+        if place.element is not None and not inside:
+            is_array = json_type(value).startswith("ARRAY") if place.mixed else ~F.is_variant_null(value)
+            entries.append((f"{name}[]", F.lit(None).cast("variant"), True, value.isNotNull() & is_array & _variant(_first(at)).isNull()))
+    if not entries:
+        return docs.select(*keep, F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value")).limit(0)
+    rows = docs.withColumn("_doc", F.to_variant_object("members"))
+    found = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("doc"), F.lit(i).alias("inside"), e.alias("empty")) for n, v, i, e in entries])
+    there = rows.select(*keep, F.inline(F.filter(found, lambda f: f["doc"].isNotNull() | f["empty"])))
+    typed = there.withColumn("kind", json_type(F.col("doc")))
+    no_leaf = F.col("kind").startswith("OBJECT") | (F.col("kind").startswith("ARRAY") & ~F.col("inside"))
+    text = F.when(F.col("empty"), F.lit("(empty array)")).when(~no_leaf, sample_value(F.col("doc"), F.col("kind")))
+    return typed.select(*keep, "name", text.alias("value")).filter(F.col("value").isNotNull())
 
 
 def _members(value: Column) -> Column:
@@ -103,15 +206,17 @@ def discover_json_paths(
 ) -> DataFrame:
     """(name, count, sample) of the JSON paths in the message, by name.
 
-    One aggregate over the valid objects merges their schemas; as many levels are opened
-    as it has, so no path is left out and no invalid line counts.
+    One aggregate over the valid objects merges their schemas, which names every path; then
+    each path is looked up in the rows. Records of more than PATHS paths are opened level by
+    level instead. No path is left out and no invalid line counts.
     """
     ranked, order = _ranks(_sampled(df, sample))
     text = trimmed(F.col(column))
     found = ranked.select(*order, text.alias("text")).filter(F.col("text").startswith("{"))
     read = found.withColumn("read", json_object(F.col("text")))
     docs = worked_out(read, members=last_value_wins(F.col("read"))).filter(F.col("members").isNotNull())
-    merged = docs.agg(F.schema_of_variant_agg(F.try_parse_json("text"))).first()[0]
     keep = docs.columns[: len(order)]
-    leaves = json_leaves(docs, keep, max(1, schema_depth(merged or "")))
+    shape = merged_shape(docs)
+    leaves = leaves_by_path(docs, keep, shape)
+    leaves = json_leaves(docs, keep, max(1, shape.depth())) if leaves is None else leaves
     return _profile(leaves, [F.col(c) for c in keep]).orderBy("name")

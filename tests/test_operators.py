@@ -1,6 +1,8 @@
 """Search, lookup, context, aggregation and case operators on small tables."""
 
+import collections
 import itertools
+import json
 import random
 from datetime import datetime as ts, timedelta
 
@@ -12,6 +14,7 @@ from logloom.operators import filters as flt
 from logloom.operators.aggregates import count_by_bucket, counted, estimate_scan, list_groups, list_streams, stats
 from logloom.operators.around import around, around_many
 from logloom.operators.context import with_context, with_time_context
+from logloom.operators import discover
 from logloom.operators.discover import discover_fields, discover_json_paths
 from logloom.operators.lookup import get_records, missing_ptrs, ptr_candidates, resolve_ptrs
 from logloom.operators.metrics import metric_catalog, metric_names, metric_stats, with_spike_level
@@ -294,6 +297,44 @@ def test_json_paths(entries):
     assert {r["name"] for r in both} == set(itertools.chain.from_iterable(w for _, w in PATHS))
 
 
+MIXED = [
+    '{"m":1,"s":{"q":[1,{"w":{"v":1}}]}}', '{"m":{"u":{"w":[]}},"s":null,"n":[[],{}]}', '{"m":[{"k":{"z":2}}],"s":{"q":[{"w":5}]},"n":[{"a":[{}]}]}', '{"m":{"u":7},"n":[null]}',
+    '{"a b":{"c.d":1,"x`y":[2]},"q\'r":{"e":1},"\\"":{"\'\\"":3,"":4},"t":[],"t2":null}', '{"":{"":1},"t":[{"p":0.5}],"t2":{"o":[]}}',
+]
+
+
+def plain_paths(texts):
+    """The paths of JSON records by recursion, with their numbers."""
+    found = collections.Counter()
+
+    def members(obj, name):
+        for k, v in obj.items():
+            path = f"{name}.{k}" if name else k
+            if isinstance(v, list):
+                path, v = path + "[]", v[0] if v else "(empty array)"
+            if isinstance(v, dict):
+                members(v, path)
+            else:
+                found[path] += 1
+
+    for t in texts:
+        members(json.loads(t), "")
+    return found
+
+
+@pytest.mark.parametrize("most", [300, 3])
+def test_json_paths_of_mixed_kinds(entries, monkeypatch, most):
+    """Looked up one by one, and, beyond PATHS, opened level by level."""
+    monkeypatch.setattr(discover, "PATHS", most)
+    df = entries(*[(i, t) for i, t in enumerate(MIXED)])
+    assert {r["name"]: r["count"] for r in discover_json_paths(df, None).collect()} == plain_paths(MIXED)
+
+
+def test_json_paths_of_no_records(entries):
+    assert discover_json_paths(entries((0, "no json")), None).collect() == []
+    assert discover_json_paths(entries((0, "{}")), None).collect() == []
+
+
 @pytest.fixture
 def case_tables(spark):
     at = lambda m: T0 + timedelta(minutes=m)
