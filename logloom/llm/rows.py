@@ -1,5 +1,6 @@
 """Row plumbing the text operators share: Arrow batches in, Arrow rows out."""
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -52,6 +53,14 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+def give_back() -> None:
+    """Hand memory that is free in this worker back to the system: idle workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable, schema: str, rows: int = 0, last: bool = False) -> DataFrame:
     """Run ``make()`` once a task, then the function it returns on each Arrow batch.
 
@@ -77,6 +86,8 @@ def map_rows(df: DataFrame, make: Callable, schema: str, rows: int = 0, last: bo
                 yield made(batch)
         if last:
             yield made(None)
+        batch = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
