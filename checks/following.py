@@ -11,7 +11,9 @@ from checks.registry import query
 from logloom.operators.aggregates import count_by_bucket
 from logloom.parsers.java import is_header
 from logloom.session import cut_lineage, fresh_folder
+from logloom.streaming import buckets as bucket_totals
 from logloom.streaming.multiline import tail_multiline
+from logloom.streaming.seen import dedup_newest
 from logloom.streaming.tail import (
     dedup_stream, keep_updates, latest_counts, tail_counts, tail_files, tail_filter, tail_logs, watch, write_stream,
 )
@@ -91,6 +93,39 @@ def watched(spark, sf):
     return spark.read.parquet(shown).select(micros("time_bucket").alias("bucket_us"), "count")
 
 
+@query("watch_incremental", """
+SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS bucket_us, count(*) AS count
+FROM events WHERE event_type = 'error' GROUP BY 1""")
+def watched_incrementally(spark, sf):
+    """The totals after ticks that each read what had newly arrived, in no order of time."""
+    logs = entries(spark, sf).select("timestamp", "message")
+    path, at = fresh_folder(spark, "totals"), fresh_folder(spark, "checkpoint")
+    changed = fresh_folder(spark, "changed")
+
+    def show(result, batch_id):
+        result.write.mode("overwrite").parquet(f"{changed}/batch={batch_id}")
+
+    bucket_totals.watch_counts(_arriving(spark, logs, 3), show, path, at, pattern="^error", trigger=_NOW).awaitTermination()
+    # What the ticks have shown, the last of each bucket, is the same as what is stored.
+    shown = latest_counts(spark.read.option("basePath", changed).parquet(changed))
+    stored = bucket_totals.BucketTotals(spark, path).totals()
+    return shown.join(stored, ["time_bucket", "count"]).select(micros("time_bucket").alias("bucket_us"), "count")
+
+
+@query("tail_dedup_bounded", """
+SELECT event_id, epoch_us(ts) AS ts_us FROM events WHERE event_type IN ('error', 'click')""")
+def tail_dedup_bounded(spark, sf):
+    """Every event comes twice, one right after the other, at most a few of its part between them."""
+    events = entries(spark, sf).select("timestamp", "message", "stream", "line_no")
+    twice = events.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).repartitionByRange(4, "line_no").sortWithinPartitions("line_no").drop("again")
+    folder = fresh_folder(spark, "arriving")
+    twice.write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = fresh_folder(spark, "tail")
+    write_stream(dedup_newest(tail_filter(stream, "^(error|CLICK) "), ("stream", "timestamp", "line_no"), 2_000, parts=8), out).awaitTermination()
+    return spark.read.schema(events.schema).parquet(out).select(F.col("line_no").alias("event_id"), micros().alias("ts_us"))
+
+
 @query("tail_multiline", f"""
 SELECT '/v/app-' || user_id % 4 || '.log' AS source, event_id * 10 + 1 AS line_no,
        strftime(ts, '%Y-%m-%d %H:%M:%S') || ' INFO ' || {SQL_MESSAGE} || replace({_SQL_TRACE},

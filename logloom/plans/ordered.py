@@ -9,8 +9,8 @@ chunk; what has to cross chunks goes through a table with one row per chunk.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_LINES = 250_000
-# Ranges that one order is cut into at most.
-RANGES = 1_000
+# Ranges that one order is cut into at most, and the values drawn for each to find its bounds.
+RANGES, DRAWN = 10_000, 100
 
 
 def chunked(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -38,18 +38,33 @@ def range_of(bounds: list, value: Column, kind: str) -> Column:
     return F.transform(F.array(whole), lambda g: g * step + F.size(F.filter(F.get(groups, g), lambda b: b < value)))[0]
 
 
+def range_cuts(df: DataFrame, order: str, chunk_rows: int) -> list:
+    """Sorted values of ``order`` that cut the rows into ranges of about ``chunk_rows``, RANGES of them at most.
+
+    Rows are counted, and only if they are too many for one range a sample of the column is
+    drawn: DRAWN values a range, whatever the rows. The cuts need not be exact, so no ranking of all values is.
+    """
+    values = df.select(order).filter(F.col(order).isNotNull())
+    rows = values.count()
+    wanted = min(RANGES, -(-rows // chunk_rows))
+    if wanted <= 1:
+        return []
+    share = min(1.0, DRAWN * wanted / rows)
+    drawn = sorted(r[0] for r in values.sample(share, seed=7).collect())
+    return sorted({drawn[i * len(drawn) // wanted] for i in range(1, wanted)}) if drawn else []
+
+
 def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "n", chunk_rows: int = CHUNK_LINES) -> DataFrame:
     """1, 2, 3 … per key in the order of an integer column, two-level.
 
     ``order`` values must be unique per key. Chunks are ranges of ``order`` that hold
     about as many rows each, however far its values lie apart, so the only exchange of
-    rows is on (keys, chunk) and a hot key spreads over many tasks. One aggregate over
-    ``order`` finds the ranges, RANGES of them at most.
+    rows is on (keys, chunk) and a hot key spreads over many tasks.
     """
-    share = [i / RANGES for i in range(1, RANGES)]
-    found = df.agg(F.count(order).alias("rows"), F.percentile_approx(order, share, 10 * RANGES).alias("cuts")).first()
-    wanted = min(RANGES, -(-found["rows"] // chunk_rows))
-    cuts = sorted({found["cuts"][i * RANGES // wanted - 1] for i in range(1, wanted)}) if wanted > 1 else []
+    cuts = range_cuts(df, order, chunk_rows)
+    if not cuts:
+        # One range holds all rows: no key needs to be cut.
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint"))
     rows = df.withColumn("chunk", range_of(cuts, F.col(order), df.schema[order].dataType.simpleString()).cast("bigint"))
     sizes = rows.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("_size"))
     offsets = before_in_source(sizes, keys, _before=F.sum("_size")).drop("_size")

@@ -1,6 +1,7 @@
 """Streams: the same answers as the batch operators, state, timers, watches."""
 
 import os
+import random
 import time
 from datetime import datetime as ts, timedelta
 
@@ -11,7 +12,9 @@ from logloom.operators.aggregates import count_by_bucket
 from logloom.parsers.java import is_header
 from logloom.session import fresh_folder
 from logloom.streaming import tail as T
+from logloom.streaming.buckets import BucketTotals, watch_counts
 from logloom.streaming.multiline import tail_multiline
+from logloom.streaming.seen import dedup_newest
 
 NOW = {"availableNow": True}
 T0 = ts(2025, 1, 15, 10, 0)
@@ -227,3 +230,67 @@ def test_watch_asks_again_with_a_new_time(spark, stream):
         lambda: next(times), lambda batch, i: batch.write.mode("overwrite").parquet(f"{stored}/batch={i}"),
     ).awaitTermination()
     assert seen == [["a"], ["b"]]
+
+
+class Remembered:
+    """The last ``capacity`` keys in the order in which they first came, by loops."""
+
+    def __init__(self, capacity):
+        self.capacity, self.keys = capacity, []
+
+    def is_new(self, key):
+        if key in self.keys:
+            return False
+        self.keys = [*self.keys, key][-self.capacity :]
+        return True
+
+
+@pytest.mark.parametrize("capacity", [1, 5, 40])
+def test_dedup_by_number_of_keys_is_a_replay(spark, stream, capacity):
+    random.seed(capacity)
+    batches = [[(T0 + timedelta(seconds=random.randrange(6)), random.choice(["a", "b", None]), "s") for _ in range(60)] for _ in range(3)]
+    got = run(spark, dedup_newest(stream(batches, EVENT), capacity=capacity)).collect()
+    memory = Remembered(capacity)
+    want = [r for b in batches for r in b if memory.is_new(r[:2])]
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    assert len(want) > 18 or capacity == 40
+
+
+def test_dedup_over_parts_drops_no_new_key(spark, stream):
+    batches = [[(T0, f"m{i % 50}", "s") for i in range(k, 100 + k)] for k in range(2)]
+    got = run(spark, dedup_newest(stream(batches, EVENT), capacity=1000, parts=7)).collect()
+    assert sorted(r["message"] for r in got) == sorted(f"m{i}" for i in range(50))
+
+
+def test_bucket_totals_follow_the_batches(spark, stream):
+    days = lambda d, s=0: T0 + timedelta(days=d, seconds=s)
+    batches = [[(days(0), "error a", "s"), (days(1), "error b", "s"), (None, "error", "s")], [(days(1, 1), "error c", "s"), (days(2), "fine", "s")], [(days(0, 299), "late error", "s")]]
+    path, at, seen, fail = fresh_folder(spark, "totals"), fresh_folder(spark, "cp"), {}, {"now": True}
+
+    def sink(rows, n):
+        seen[n] = sorted((r["time_bucket"], r["count"]) for r in rows.collect())
+        if n == 1 and fail.pop("now", False):
+            raise RuntimeError("the sink has failed")
+
+    source = stream(batches, EVENT)
+    with pytest.raises(Exception, match="the sink has failed"):
+        watch_counts(source, sink, path, at, pattern="error", trigger=NOW).awaitTermination()
+    totals = BucketTotals(spark, path)
+    # The failed batch does not count yet; run again it counts once.
+    assert totals.last() == 0 and sorted(r["count"] for r in totals.totals().collect()) == [1, 1]
+    watch_counts(source, sink, path, at, pattern="error", trigger=NOW).awaitTermination()
+    assert seen == {0: [(days(0), 1), (days(1), 1)], 1: [(days(1), 2)], 2: [(days(0), 2)]}
+    assert sorted((r["time_bucket"], r["count"]) for r in totals.totals().collect()) == [(days(0), 2), (days(1), 2)]
+    assert BucketTotals(spark, fresh_folder(spark, "none")).totals().collect() == []
+    # What is written for a tick is the parts it touched, and old versions go.
+    parts = {d: sorted(os.listdir(f"{path}/parts/{d}")) for d in os.listdir(f"{path}/parts") if d.startswith("part=")}
+    assert sorted(map(len, parts.values())) == [2, 2]
+
+
+def test_a_tick_reads_the_new_rows_only(spark, stream):
+    batches = [[(T0 + timedelta(seconds=i), "m", "s") for i in range(200)], [(T0 + timedelta(seconds=i), "m", "s") for i in range(7)]]
+    query = watch_counts(stream(batches, EVENT), lambda rows, n: rows.collect(), fresh_folder(spark, "totals"), fresh_folder(spark, "cp"), trigger=NOW)
+    query.awaitTermination()
+    read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    # foreachBatch counts the rows of each of its reads: one.
+    assert read == [200, 7]
