@@ -11,7 +11,11 @@ _NO_BORDER = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
 _OUTSIDE = {"b": _BORDER, "B": _NO_BORDER, "s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]", "v": r"\x0B", "A": r"\A", "z": r"\z"}
 _INSIDE = {"s": r"\t\n\f\r ", "S": r"\S\x0B", "v": r"\x0B"}
 _SAME = set("dDwWaftnr")
-_REPEAT = re.compile(r"[*+?]|\{\d+(?:,\d*)?\}")
+_REPEAT = re.compile(r"[*+?]|\{(?P<least>\d+)(?P<more>,(?P<most>\d*))?\}")
+# Copies that repetitions, one inside the other, may make of a part.
+_COPIES = 1000
+_POSIX = {"alnum", "alpha", "ascii", "blank", "cntrl", "digit", "graph", "lower", "print", "punct", "space", "upper", "word", "xdigit"}
+_LETTERS = {"a": 7, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11}
 _GROUP = re.compile(r"\(\?(?:P?<(?P<name>\w+)>|(?P<on>[a-zA-Z]*)(?:-(?P<off>[a-zA-Z]+))?(?P<end>[:)]))")
 
 
@@ -21,6 +25,11 @@ class _Translator:
     def __init__(self, pattern: str):
         self.pattern, self.at, self.out = pattern, 0, []
         self.lines = [False]
+        self.names: set[str] = set()
+        # Whether nothing stands before this place that could be repeated.
+        self.empty = True
+        # The most copies made of a part inside each open group, and of the part just read.
+        self.copies, self.last_copies = [1], 1
 
     def refuse(self, why: str):
         raise ValueError(f"invalid pattern {self.pattern!r}: {why}")
@@ -34,6 +43,8 @@ class _Translator:
     def run(self) -> str:
         while self.at < len(self.pattern):
             c = self.pattern[self.at]
+            if _REPEAT.match(self.pattern, self.at) and self.empty:
+                self.refuse("nothing to repeat")
             if c == "\\":
                 quoted = self.take(r"(?s)\\Q(.*?)(?:\\E|\Z)") if self.pattern.startswith("\\Q", self.at) else None
                 self.out.append(re.sub(r"([^\w\s])", r"\\\1", quoted[1]) if quoted else self.escape(_OUTSIDE))
@@ -48,15 +59,18 @@ class _Translator:
                     self.refuse("unexpected )")
                 self.lines.pop()
                 self.plain(c)
+                self.last_copies = self.copies.pop()
                 self.repeats()
             elif c == "^":
                 self.plain(r"(?:\A|(?<=\n))" if self.lines[-1] else r"\A")
+                self.empty = False
             elif c == "$":
                 self.plain(r"(?=\n|\z)" if self.lines[-1] else r"\z")
+                self.empty = False
+            elif c == "|":
+                self.plain(c)
+                self.empty = True
             else:
-                found = _REPEAT.match(self.pattern, self.at)
-                if found and c in "*+?" and not self.out:
-                    self.refuse("nothing to repeat")
                 # A brace that begins no repetition is itself.
                 self.plain("\\" + c if c in "{}" else c)
                 self.repeats()
@@ -69,8 +83,16 @@ class _Translator:
         self.at += 1
 
     def repeats(self):
-        """A repetition, perhaps a lazy one; a second one is refused, as RE2 does."""
+        """A repetition, perhaps a lazy one; a second one is refused, and so are too many copies, as RE2 does."""
+        self.empty = False
+        copies, self.last_copies = self.last_copies, 1
         found = _REPEAT.match(self.pattern, self.at)
+        if found and found["least"]:
+            least, most = int(found["least"]), int(found["most"] or found["least"])
+            if least > most or most * copies > _COPIES:
+                self.refuse(f"repetition {found[0]}")
+            copies *= max(most, 1)
+        self.copies[-1] = max(self.copies[-1], copies)
         if not found:
             return
         self.out.append(found[0])
@@ -102,31 +124,51 @@ class _Translator:
         self.at += 2
         return meanings.get(c, "\\" + c)
 
+    def class_char(self) -> tuple[int, str]:
+        """One character inside brackets: its code, and how it is spelled."""
+        c = self.pattern[self.at]
+        if c != "\\":
+            self.at += 1
+            return ord(c), "\\" + c if c in "[]&^-" else c
+        text = self.escape(_INSIDE)
+        code = re.fullmatch(r"\\x\{([0-9A-Fa-f]+)\}|\\(\W)|\\([afnrt])|\\x0B", text)
+        if not code:
+            self.refuse(f"{text} in a range")
+        return int(code[1], 16) if code[1] else ord(code[2]) if code[2] else _LETTERS[code[3] or "v"], text
+
     def bracket(self):
         start = self.take(r"\[\^?")
         parts, first = [start[0]], True
         while True:
             if self.at >= len(self.pattern):
                 self.refuse("missing ]")
-            c = self.pattern[self.at]
-            posix = self.take(r"\[:(\^?)([a-z]+):\]")
+            posix = self.take(r"\[:(\^?)(\w*):\]")
             if posix:
+                if posix[2] not in _POSIX:
+                    self.refuse(f"class {posix[0]}")
                 java = {"word": r"\w", "xdigit": r"\p{XDigit}", "ascii": r"\p{ASCII}"}.get(posix[2], r"\p{" + posix[2].capitalize() + "}")
                 parts.append(java.replace("\\w", "\\W").replace("\\p", "\\P") if posix[1] else java)
-            elif c == "]" and not first:
+            elif self.pattern[self.at] == "]" and not first:
                 self.at += 1
                 break
-            elif c == "\\":
+            elif re.compile(r"\\[dDwWsSpP]").match(self.pattern, self.at):
                 parts.append(self.escape(_INSIDE))
             else:
-                parts.append("\\" + c if c in "[]&" else c)
-                self.at += 1
+                low, text = self.class_char()
+                parts.append(text)
+                if re.compile(r"-[^\]]").match(self.pattern, self.at):
+                    self.at += 1
+                    high, text = self.class_char()
+                    if high < low:
+                        self.refuse("a range from high to low")
+                    parts.append("-" + text)
             first = False
         self.out.append("".join(parts) + "]")
 
     def group(self):
         if not self.pattern.startswith("(?", self.at):
             self.lines.append(self.lines[-1])
+            self.begin()
             self.plain("(")
             return
         found = _GROUP.match(self.pattern, self.at)
@@ -134,9 +176,13 @@ class _Translator:
             self.refuse("a kind of group that is not known")
         self.at = found.end()
         if found["name"]:
+            if found["name"] in self.names:
+                self.refuse(f"a second group {found['name']}")
             self.lines.append(self.lines[-1])
-            # Java's group names have no underscore.
-            self.out.append(f"(?<{found['name'].replace('_', 'U')}>")
+            self.begin()
+            # Nothing refers to a group by name, and Java's names have no underscore: they are numbered.
+            self.names.add(found["name"])
+            self.out.append(f"(?<g{len(self.names)}>")
             return
         on, off = found["on"] or "", found["off"] or ""
         unknown = set(on + off) - set("ims")
@@ -150,8 +196,13 @@ class _Translator:
             self.out.append(f"(?{flags})" if flags else "")
         else:
             self.lines.append(lines)
+            self.begin()
             self.out.append(f"(?{flags}:")
 
+    def begin(self):
+        self.copies.append(1)
+        self.empty = True
+
 
 def to_java_regex(pattern: str) -> str:
     """Spell an RE2 pattern so that Java's engine finds the same matches.

@@ -78,26 +78,16 @@ def join_rows(rows: DataFrame, is_head: Column, marker: Column | None = None) ->
 
     along = Window.partitionBy(*_KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     running = marked.select(
-        *_KEYS, "pos", "line",
+        *_KEYS, "pos", "line", "is_head",
         F.sum(F.col("is_head").cast("bigint")).over(along).alias("entry"),
         F.last("marker", ignorenulls=True).over(along).alias("marker_inside"),
     )
-    grouped = running.filter(F.col("entry") > 0).groupBy(*_KEYS, "entry").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"),
-        F.min(F.struct("pos", "marker_inside"))["marker_inside"].alias("marker_inside"),
-    )
-    lines = F.col("lines")
-    later = F.when(
-        F.size(lines) > 1,
-        F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: x["line"]), "\n"),
-    )
-    headed = grouped.select(
-        *_KEYS,
-        lines[0]["pos"].alias("pos"),
-        lines[0]["line"].alias("head"),
-        later.alias("rest"),
-        "marker_inside",
-    )
+    # Only continuation lines are gathered; most entries have none.
+    head = lambda c: F.max(F.when(F.col("is_head"), F.col(c)))
+    headed = running.filter(F.col("entry") > 0).groupBy(*_KEYS, "entry").agg(
+        head("pos").alias("pos"), head("line").alias("head"), head("marker_inside").alias("marker_inside"),
+        F.collect_list(F.when(~F.col("is_head"), F.struct("pos", "line"))).alias("later"),
+    ).select(*_KEYS, "pos", "head", F.when(F.size("later") > 0, _joined(F.col("later"))).alias("rest"), "marker_inside")
     across = known.select(*_KEYS, "last_head", "marker_before").join(tails, _KEYS, "left")
     whole = headed.join(across, _KEYS).select(
         *_KEYS, "pos", "head",

@@ -10,6 +10,7 @@ from logloom.parsers.rows import parsed, worked_out
 BLANKS = " \t\n\v\f\r\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
+_QUOTED = r'"(?:[^"\\]++|\\.)*+"'
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedFieldNames": "false"}
 
 
@@ -21,13 +22,19 @@ def trimmed(line: Column) -> Column:
 def json_object(text: Column) -> Column:
     """The object's members as map<string,variant>; NULL when it is no valid object.
 
-    Read inside brackets, so text after the object makes it invalid. Of a repeated
+    A number beyond the range of doubles makes it invalid. Read inside brackets, so text after the object makes it invalid. Of a repeated
     key the last value counts; below the first level only where the session has
     ``spark.sql.variant.allowDuplicateKeys`` on (``local_session`` does).
     """
     boxed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>", _STRICT)
-    members = F.when(F.size(boxed) == 1, F.get(boxed, F.lit(0)))
-    return members
+    return F.when((F.size(boxed) == 1) & ~_out_of_range(text), F.get(boxed, F.lit(0)))
+
+
+def _out_of_range(text: Column) -> Column:
+    """Whether some number is beyond a double. Only text that has a long run of digits or a large exponent is taken apart."""
+    numbers = F.regexp_extract_all(F.regexp_replace(text, _QUOTED, '""'), F.lit(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"), 0)
+    too_large = F.exists(numbers, lambda n: F.abs(n.try_cast("double")) == float("inf"))
+    return F.when(F.coalesce(text.rlike(r"[eE]\+?0*[1-9][0-9]{2}|[0-9]{200}"), F.lit(False)), too_large).otherwise(False)
 
 
 def last_value_wins(members: Column) -> Column:

@@ -172,8 +172,20 @@ def test_search_patterns(one, pattern, value, found):
     assert one(regex.matches(L(value), pattern)) is found
 
 
-@pytest.mark.parametrize("pattern", ["a(?=b)", "(?<!a)b", r"(a)\1", "(?>a)", "a\\"])
+@pytest.mark.parametrize("pattern, value, found", [
+    ("(?P<a_b>x)(?P<aUb>y)", "xy", True), ("^*b", "ab", True), ("(?:a{500}){2}", "a" * 1000, True), (r"^[\d-z]$", "-", True), (r"^[\d-z]$", "m", False),
+    ("^[]a]$", "]", True), ("^[^]a]$", "]", False), ("^[a-c&&b]$", "&", True), (r"^[\x41-\x{43}]$", "B", True), ("x{,3}", "x{,3}", True), (r"^[\t-\r]$", "\n", True),
+    ("^[a-]+$", "-a", True), ("(|a)b", "b", True),
+])
+def test_brackets_counts_and_names(one, pattern, value, found):
+    assert one(regex.matches(L(value), pattern)) is found
+
+
+@pytest.mark.parametrize("pattern", [
+    "a(?=b)", "(?<!a)b", r"(a)\1", "(?>a)", "a\\", "a{1001}", "a{2,1}", "(?:a{500}){3}", "(?P<a>x)(?P<a>y)", r"[a-\d]", "[z-a]", "[[:foo:]]", "a|*", "(*a)", "{2}", "(?:)|+",
+])
 def test_refused_patterns(pattern):
+    """At the call, not in the running job."""
     with pytest.raises(ValueError):
         regex.to_java_regex(pattern)
 

@@ -79,6 +79,17 @@ def test_json(lines):
         assert (row["timestamp"], row["message"], row["fields"]) == (when, message, fields), line
 
 
+@pytest.mark.parametrize("text, read", [
+    ('{"a":1e400}', False), ('{"a":[{"b":-1E+0400}]}', False), ('{"a":' + "9" * 400 + "}", False), ('{"a":' + "9" * 350 + "e-100}", True),
+    ('{"a":"1e400"}', True), ('{"a":"\\"1e400"}', True), ('{"a":1e308}', True), ('{"a":1e-400}', True), ('{"a":' + "9" * 38 + "}", True), ('{"1e999":1}', True),
+])
+def test_numbers_out_of_range_make_a_line_invalid(lines, text, read):
+    row = parse_lines(lines([text]), "json").first()
+    assert (row["message"], bool(row["fields"])) == (text, read)
+    if text == '{"a":' + "9" * 38 + "}":
+        assert row["fields"]["a"] == "9" * 38
+
+
 def test_json_skips_other_lines(lines):
     assert parse_lines(lines(["", "no braces here", " ", '{"a":1}']), "json").count() == 1
 
