@@ -25,6 +25,8 @@ END = " "
 HEAD = 200_000
 # Words that the lattice works on together: enough of each length for long arrays.
 AT_ONCE = 100_000
+# Words of more code points go one by one, with arrays along the word: work and memory grow with its length.
+LONG = 48
 ROUNDS = 2
 # Weight of the vocabulary's own scores against the corpus, in words.
 PRIOR = 1000.0
@@ -106,6 +108,28 @@ class Pieces:
         return out
 
 
+    def arcs_along(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece) of every arc of one word, by where they end."""
+        n = len(codes)
+        h, own = np.zeros(n, np.uint64), codes.astype(np.uint64) + np.uint64(1)
+        first, last, pieces = [], [], []
+        for size in range(1, min(self.longest, n) + 1):
+            h = h[: n - size + 1] * _STEP + own[size - 1 :]
+            maybe = np.flatnonzero(self.some[h >> np.uint64(64 - SIEVE)])
+            found = self.find(h[maybe])
+            at, piece = maybe[found >= 0], found[found >= 0]
+            if size == 1:
+                every = np.full(n, self.byte, np.int32)
+                every[at] = piece
+                at, piece = np.arange(n), every
+            first.append(at)
+            last.append(at + size)
+            pieces.append(piece)
+        first, last, piece = map(np.concatenate, (first, last, pieces))
+        order = np.argsort(last, kind="stable")
+        return first[order], last[order], piece[order]
+
+
 # Bits of the table that tells at once that a hash is no piece's.
 SIEVE = 20
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -117,15 +141,13 @@ def pieces_of(path: str) -> Pieces:
 
 
 def by_length(words: list[str], block=4096):
-    """(places, code points) of the words, word-initial mark in front, in blocks of one length."""
+    """(places, code points) of the words up to LONG, word-initial mark in front, in blocks of one length."""
     marked = ["▁" + w for w in words]
-    order = sorted(range(len(words)), key=lambda i: len(marked[i]))
+    order = sorted((i for i in range(len(words)) if len(marked[i]) <= LONG), key=lambda i: len(marked[i]))
     at = 0
     while at < len(order):
         size = len(marked[order[at]])
-        end = at
-        # Long words make small blocks.
-        most = max(1, block * 16 // max(16, size))
+        end, most = at, block * 16 // max(16, size)
         while end < len(order) and end - at < most and len(marked[order[end]]) == size:
             end += 1
         own = order[at:end]
@@ -165,12 +187,46 @@ def forward(n: int, width: int, arcs, weights) -> np.ndarray:
     return alpha
 
 
+def long_words(words: list[str]):
+    """(place, code points) of each word beyond LONG."""
+    for i, word in enumerate(words):
+        if len(word) >= LONG:
+            yield i, np.frombuffer(("▁" + word).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def weights_along(pieces: Pieces, codes: np.ndarray, first: np.ndarray, piece: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    raw = (logs[pieces.byte] - math.log(256)) * utf8_bytes(codes[first])
+    return np.where(piece == pieces.byte, raw, logs[piece])
+
+
+def forward_along(n: int, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all paths to each place of one word; the arcs come by where they end."""
+    alpha, exp, log = [0.0] * (n + 1), math.exp, math.log
+    bounds = np.searchsorted(last, np.arange(1, n + 2)).tolist()
+    # Blocks of plain numbers: the whole word's would take many times its size.
+    for at in range(0, n, 1 << 16):
+        stop = min(n, at + (1 << 16))
+        shift = bounds[at]
+        own = list(zip(first[shift : bounds[stop]].tolist(), weights[shift : bounds[stop]].tolist(), strict=True))
+        for b in range(at, stop):
+            terms = [alpha[a] + w for a, w in own[bounds[b] - shift : bounds[b + 1] - shift]]
+            if len(terms) == 1:
+                alpha[b + 1] = terms[0]
+            else:
+                high = max(terms)
+                alpha[b + 1] = high + log(sum([exp(t - high) for t in terms]))
+    return np.array(alpha)
+
+
 def word_logs(pieces: Pieces, words: list[str], logs: np.ndarray) -> np.ndarray:
     """Natural log of the marginal probability of each word over all its segmentations."""
     out = np.empty(len(words))
     for places, codes in by_length(words):
         arcs = pieces.arcs(codes)
         out[places] = forward(*codes.shape, arcs, arc_weights(pieces, codes, arcs, logs))[-1]
+    for place, codes in long_words(words):
+        first, last, piece = pieces.arcs_along(codes)
+        out[place] = forward_along(len(codes), first, last, weights_along(pieces, codes, first, piece, logs))[-1]
     return out
 
 
@@ -191,6 +247,16 @@ def expected(pieces: Pieces, words: list[str], logs: np.ndarray) -> np.ndarray:
             if b == a + 1:
                 share = np.where(piece == pieces.byte, share * utf8_bytes(codes[which, a]), share)
             counts += np.bincount(piece, share, minlength=pieces.size)
+    for _, codes in long_words(words):
+        n = len(codes)
+        first, last, piece = pieces.arcs_along(codes)
+        weights = weights_along(pieces, codes, first, piece, logs)
+        alpha = forward_along(n, first, last, weights)
+        # Backwards it is the same recursion along the mirrored word.
+        order = np.argsort(n - first, kind="stable")
+        beta = forward_along(n, (n - last)[order], (n - first)[order], weights[order])[::-1]
+        share = np.exp(alpha[first] + weights + beta[last] - alpha[n])
+        counts += np.bincount(piece, np.where(piece == pieces.byte, share * utf8_bytes(codes[first]), share), minlength=pieces.size)
     return counts
 
 
@@ -297,11 +363,13 @@ def score_documents(docs: DataFrame, path: str, id_column="doc_id", text_column=
                 with np.errstate(divide="ignore"):
                     both = np.logaddexp(np.log(own), np.log(model["freed"]) + word_logs(pieces, words, model["logs"]))
                 value = (both + np.log(model["word_share"])) / np.log(10)
-                return {"word": words, "known": n > 0, "base": base_log(n), "lattice": value}
+                # A word of the table has no separator, so each is one word again; the end is none.
+                raw, offsets = utf8(batch.column("word"))
+                return {"word": words, "number": word_spans(raw, offsets, SPACED)[0].view(np.int64), "known": n > 0, "base": base_log(n), "lattice": value}
 
             return work
 
-        return map_rows(frame, make, "word string, known boolean, base double, lattice double", AT_ONCE)
+        return map_rows(frame, make, "word string, number bigint, known boolean, base double, lattice double", AT_ONCE)
 
     # Words of a count class and above, as many classes as have no more than ``head`` words.
     rank = F.floor(F.log2("m") * 4)
@@ -313,12 +381,11 @@ def score_documents(docs: DataFrame, path: str, id_column="doc_id", text_column=
             break
         least = r["rank"]
     frequent = F.lit(False) if least is None else (rank >= least) & (F.col("word") != END)
-    top = scored(table.filter(frequent).select("word", "n")).toPandas()
-    raw, offsets = utf8(pa.array(top["word"], pa.string()))
-    # A word of the table has no separator, so each is one word again.
-    order = np.argsort(word_spans(raw, offsets, SPACED)[0])
-    numbers = word_spans(raw, offsets, SPACED)[0][order]
-    ahead = spark.sparkContext.broadcast((numbers, *(top[c].to_numpy()[order].astype(float) for c in ("known", "base", "lattice"))))
+    # Numbers only, so its size is that of ``head`` rows however long the words are.
+    top = scored(table.filter(frequent).select("word", "n")).drop("word").toPandas()
+    numbers = top["number"].to_numpy().view(np.uint64)
+    order = np.argsort(numbers)
+    ahead = spark.sparkContext.broadcast((numbers[order], *(top[c].to_numpy()[order].astype(float) for c in ("known", "base", "lattice"))))
     end_n = ends["n"] if ends else 0
     end = int(end_n > 0), float(base_log(end_n)), math.log10(end_share)
 
@@ -365,8 +432,9 @@ def score_documents(docs: DataFrame, path: str, id_column="doc_id", text_column=
 
         return work
 
-    parts = map_rows(frame, make, f"row_id bigint, doc_id {id_type}, train boolean, word string, uses bigint, n_tokens bigint, n_known bigint, base double, lattice double")
-    others = scored(table.filter(~frequent & (F.col("word") != END)).select("word", "n")).withColumnRenamed("base", "word_base").withColumnRenamed("lattice", "word_lattice")
+    # Written before they meet: a task that is run again must not number its rows anew.
+    parts = cut_lineage(map_rows(frame, make, f"row_id bigint, doc_id {id_type}, train boolean, word string, uses bigint, n_tokens bigint, n_known bigint, base double, lattice double"))
+    others = scored(table.filter(~frequent & (F.col("word") != END)).select("word", "n")).drop("number").withColumnRenamed("base", "word_base").withColumnRenamed("lattice", "word_lattice")
     uses = F.col("uses")
     joined = parts.join(others, "word", "left").groupBy("row_id").agg(
         F.max("doc_id").alias("doc_id"), F.bool_or("train").alias("train"), F.sum("n_tokens").alias("n_tokens"),
