@@ -3,7 +3,8 @@
 A batch of changes becomes signed sums: an insert adds, a delete takes away, a revision
 takes the old count away and adds the new one. A batch is written under its own id and
 counts once its commit file is there, so a batch run again, or a job that died half-way
-and was restarted, changes nothing twice. Totals are sums over committed batches.
+and was restarted, changes nothing twice. Totals are sums over committed batches; those of
+many are folded into one table, whose list of batches decides what is counted from where.
 """
 
 import hashlib
@@ -17,6 +18,7 @@ from logloom.llm.chat import ChatCodec
 from logloom.llm.pretoken import encode_text
 from logloom.llm.rows import BLOCK_BYTES, map_rows
 from logloom.llm.words import ALPHANUMERIC, SPACED, text_blocks, utf8, word_spans
+from logloom.session import drop_folder, folders_in
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens"]
@@ -32,11 +34,26 @@ class TokenRollup:
         self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    # ``open/<batch>`` has the sums of a batch, ``committed/<batch>`` says that it counts. ``folded/<n>`` has the sums of
+    # many batches and the names of those that its making took in; it holds from when its own ``committed`` is there.
+
+    @staticmethod
+    def _name(batch: str) -> str:
+        return hashlib.sha256(batch.encode("utf-8")).hexdigest()[:32]
+
     def _folder(self, batch: str) -> str:
-        return f"{self.path}/batches/{hashlib.sha256(batch.encode('utf-8')).hexdigest()[:32]}"
+        return f"{self.path}/open/{self._name(batch)}"
+
+    def _there(self, path: str) -> bool:
+        return self._fs.exists(self._at(f"{self.path}/{path}"))
+
+    def _create(self, path: str, text: str = "") -> None:
+        out = self._fs.create(self._at(f"{self.path}/{path}"), True)
+        out.write(bytearray(text.encode("ascii")))
+        out.close()
 
     def is_committed(self, batch: str) -> bool:
-        return self._fs.exists(self._at(f"{self._folder(batch)}/committed"))
+        return self._there(f"committed/{self._name(batch)}")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Count a batch in; False, and nothing done, if it is counted already.
@@ -55,16 +72,54 @@ class TokenRollup:
         # Summed in each task before the exchange, so a source of any size is a row for each task.
         deltas = changes.groupBy(*KEYS).agg(F.sum(docs).cast("bigint").alias("n_docs"), F.sum(tokens).cast("bigint").alias("n_tokens"))
         deltas.write.mode("overwrite").parquet(f"{self._folder(batch)}/deltas")
-        self._fs.create(self._at(f"{self._folder(batch)}/committed"), True).close()
+        self._create(f"committed/{self._name(batch)}")
         return True
 
+    def _folded(self) -> tuple[int, set[str]]:
+        """The number of the table that holds, 0 for none, and the batches it took in last."""
+        done = [int(n) for n in folders_in(self.spark, f"{self.path}/folded") if self._there(f"folded/{n}/committed")]
+        if not done:
+            return 0, set()
+        file = self._fs.open(self._at(f"{self.path}/folded/{max(done)}/batches"))
+        try:
+            return max(done), set(bytes(file.readAllBytes()).decode("ascii").split())
+        finally:
+            file.close()
+
+    def _open(self, folded: set[str]) -> list[str]:
+        """Committed batches that no table holds. Batches of earlier tables have no sums of their own any more."""
+        return sorted(n for n in folders_in(self.spark, f"{self.path}/open") if n not in folded and self._there(f"committed/{n}"))
+
     def deltas(self) -> DataFrame:
-        """Rows of all committed batches."""
-        top = self._at(f"{self.path}/batches")
-        folders = [f.getPath().toString() for f in self._fs.listStatus(top)] if self._fs.exists(top) else []
-        done = [f"{f}/deltas" for f in folders if self._fs.exists(self._at(f"{f}/committed"))]
+        """Sums of all committed batches, many of them together where they are folded."""
+        at, folded = self._folded()
+        done = [f"{self.path}/open/{n}/deltas" for n in self._open(folded)] + [f"{self.path}/folded/{at}/sums"] * (at > 0)
         return self.spark.read.schema(DELTAS).parquet(*done) if done else self.spark.createDataFrame([], DELTAS)
 
+    def compact(self) -> int:
+        """Fold all committed batches into one table; how many there were. Totals do not change.
+
+        A job that dies half-way leaves what held before or the new table, never both: the table's commit decides. What is
+        folded is removed after that, at the latest by the next call. One caller at a time; batches may be committed meanwhile.
+        """
+        at, folded = self._folded()
+        # What an earlier call has left.
+        for n in folders_in(self.spark, f"{self.path}/open"):
+            if n in folded:
+                drop_folder(self.spark, f"{self.path}/open/{n}")
+        fresh = self._open(folded)
+        if fresh:
+            tables = [f"{self.path}/open/{n}/deltas" for n in fresh] + [f"{self.path}/folded/{at}/sums"] * (at > 0)
+            sums = self.spark.read.schema(DELTAS).parquet(*tables).groupBy(*KEYS).agg(*[F.sum(s).cast("bigint").alias(s) for s in SUMS])
+            sums.write.mode("overwrite").parquet(f"{self.path}/folded/{at + 1}/sums")
+            self._create(f"folded/{at + 1}/batches", "\n".join(fresh))
+            self._create(f"folded/{at + 1}/committed")
+            for n in fresh:
+                drop_folder(self.spark, f"{self.path}/open/{n}")
+            if at:
+                drop_folder(self.spark, f"{self.path}/folded/{at}")
+        return len(fresh)
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; groups that came to nothing are left out."""
         sums = self.deltas().groupBy(*KEYS).agg(*[F.sum(s).cast("bigint").alias(s) for s in SUMS])

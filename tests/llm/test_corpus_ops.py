@@ -4,8 +4,10 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -211,6 +213,36 @@ def test_rollup_replays_and_revisions(spark):
     assert not again.is_committed("bad")
 
 
+def test_rollup_folds_its_batches(spark, monkeypatch):
+    store = rollup.TokenRollup(spark, fresh_folder(spark, "rollup"))
+    schema = "op string, source string, lang string, tokenizer string, n_tokens bigint, old_tokens bigint"
+    frame = lambda op, n: spark.createDataFrame([(op, "a", None, "v1", n, None)], schema)
+    totals = lambda: [(r["n_docs"], r["n_tokens"]) for r in rollup.TokenRollup(spark, store.path).totals().collect()]
+    assert store.compact() == 0
+    for k in range(3):
+        store.commit(f"b{k}", frame("insert", 10**k))
+    assert store.compact() == 3 and totals() == [(3, 111)] and os.listdir(f"{store.path}/open") == []
+    # What is folded is known by name: run again it changes nothing.
+    assert not store.commit("b1", frame("insert", 10)) and store.is_committed("b1") and totals() == [(3, 111)]
+    store.commit("b3", frame("delete", 100))
+    assert totals() == [(2, 11)]
+    # Dead before the new table is committed, and dead right after it, before the old sums went.
+    create, drop = store._create, rollup.drop_folder
+    monkeypatch.setattr(store, "_create", lambda path, text="": (_ for _ in ()).throw(OSError("dead")) if path.endswith("/committed") else create(path, text))
+    with pytest.raises(OSError):
+        store.compact()
+    assert totals() == [(2, 11)]
+    monkeypatch.setattr(store, "_create", create)
+    monkeypatch.setattr(rollup, "drop_folder", lambda *_: (_ for _ in ()).throw(OSError("dead")))
+    with pytest.raises(OSError):
+        store.compact()
+    assert totals() == [(2, 11)]
+    monkeypatch.setattr(rollup, "drop_folder", drop)
+    store.commit("b4", frame("insert", 7))
+    assert totals() == [(3, 18)] and store.compact() == 1 and totals() == [(3, 18)] and store.compact() == 0
+    assert os.listdir(f"{store.path}/open") == []
+
+
 def test_token_counts(spark):
     import tiktoken  # noqa: F401
 
@@ -342,10 +374,19 @@ def test_wide_radius_search_gives_only_pairs_within_it(spark):
     assert len(set(close) & set(found)) >= 0.97 * len(close)
 
 
+def test_very_long_words(spark, docs):
+    random.seed(8)
+    rows = [(1, "".join(random.choices("etaoinshrdlu", k=200_000))), (2, "".join(random.choices("的一是不了人我在有他", k=30_000))), (3, "the " * 1000)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in lattice.score_documents(docs(rows), PIECES, train=F.col("doc_id") > 2).collect()}
+    assert time.perf_counter() - began < 90
+    assert got[1]["n_tokens"] == 2 and -10_000_000 < got[1]["score"] < got[3]["score"] < 0
+
+
 # --- lattice -------------------------------------------------------------------
 
 
-def test_forward_is_the_sum_over_segmentations():
+def test_forward_is_the_sum_over_segmentations(monkeypatch):
     pieces = lattice.Pieces(PIECES)
     logs = np.log(pieces.start)
     place = {p: i for i, p in enumerate(pieces.names)}
@@ -365,6 +406,13 @@ def test_forward_is_the_sum_over_segmentations():
     own = ["the", "th", "there", "ሴx", "a\U0001f642", "anation", "x"]
     got = lattice.word_logs(pieces, own, logs)
     assert np.allclose(got, [math.log(all_ways("▁" + w)) for w in own])
+    # Long words, which go along the word one by one, have the same value.
+    monkeypatch.setattr(lattice, "LONG", 1)
+    assert np.allclose(lattice.word_logs(pieces, own, logs), got)
+    long = ["anation" * 9, "q" * 60, "é漢\U0001f642" * 30]
+    uses = lattice.expected(pieces, own + long, logs)
+    monkeypatch.setattr(lattice, "LONG", 10_000)
+    assert np.allclose(lattice.expected(pieces, own + long, logs), uses)
     # Expected uses of pieces cover every character once.
     uses = lattice.expected(pieces, ["there", "anation"], logs)
     assert abs(sum(u * len(p) for u, p in zip(uses, pieces.names, strict=False)) - len("▁there▁anation")) < 1e-6
