@@ -8,17 +8,22 @@ and the words they cover are merged to spans.
 """
 
 import hashlib
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm.fmindex import WordIndex
 from logloom.llm.rows import BLOCK_BYTES, map_rows, rewrite_texts, text_frame
 from logloom.llm.words import ALPHANUMERIC, code_points, text_blocks, utf8, word_spans
+from logloom.session import cut_lineage
 
 WINDOW = 10
 # Characters of benchmark text searched at a time; a larger benchmark is several blocks.
 BLOCK_CHARS = 4 << 20
+# Blocks that one pass over the documents searches, and the longest piece of an item.
+BLOCKS_AT_ONCE, PIECE_CHARS = 8, 1 << 20
 # Words an index is built over at a time, and occurrences located at a time.
 SHARD_WORDS, AT_ONCE = 900_000, 500_000
 
@@ -27,8 +32,6 @@ class Phrases:
     """The windows of a block of benchmark items, as arrays."""
 
     def __init__(self, items: list[tuple], window: int):
-        import pyarrow as pa
-
         self.names = sorted({"null" if i is None else str(i) for i, _ in items})
         place = {n: k for k, n in enumerate(self.names)}
         raw, offsets = utf8(pa.array([t for _, t in items], pa.string()))
@@ -117,63 +120,173 @@ def search_block(phrases: Phrases, numbers: np.ndarray, bounds: np.ndarray) -> t
     return hit, pairs[:, 0], pairs[:, 1]
 
 
-def benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str, window: int) -> list:
-    """The benchmark as broadcast blocks of bounded size; all rows of an item are in one block."""
+def item_pieces(frame: DataFrame, window: int) -> DataFrame:
+    """(item_id, text) with long texts cut into pieces that share ``window`` - 1 words, so every window is in one."""
+    id_type = frame.schema["item_id"].dataType.simpleString()
+
+    def make():
+        def work(batch):
+            names, texts = [], []
+            ids = batch.column("item_id").to_pylist()
+            for name, text in zip(ids, batch.column("text").to_pylist(), strict=True):
+                if text is None or len(text) <= PIECE_CHARS:
+                    names.append(name)
+                    texts.append(text)
+                    continue
+                raw, offsets = utf8(pa.array([text]))
+                _, first, last, _ = word_spans(raw, offsets, ALPHANUMERIC)
+                at = 0
+                while at < len(first):
+                    # As many words as fill a piece, and enough for one window at least.
+                    stop = min(len(first), max(at + window, int(np.searchsorted(first, first[at] + PIECE_CHARS))))
+                    names.append(name)
+                    texts.append(raw[first[at] : last[stop - 1]].tobytes().decode("utf-8"))
+                    at = len(first) if stop == len(first) else stop - window + 1
+            return {"item_id": pa.array(names, batch.column("item_id").type), "text": texts}
+
+        return work
+
+    return map_rows(frame, make, f"item_id {id_type}, text string")
+
+
+def benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str, window: int) -> tuple[DataFrame, int]:
+    """The benchmark as rows (block, item_id, text) of a written table, and the number of its blocks.
+
+    A block has about BLOCK_CHARS characters: pieces are at most a quarter of that, and are dealt by hash.
+    """
     frame = text_frame(benchmark, item_column, text_column).withColumnRenamed("doc_id", "item_id")
-    chars = frame.agg(F.sum(F.length("text"))).first()[0] or 0
+    pieces = cut_lineage(item_pieces(frame, window))
+    chars = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    out = []
-    for k in range(blocks):
-        part = frame.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else frame
-        out.append(frame.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window)))
-    return out
-
-
-def searcher(blocks: list, cleaned: bool, text_column="text"):
-    """The function that finds the hits of an Arrow batch."""
-
-    def work(batch):
-        names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "cleaned"]
-        out = {n: [] for n in names}
-        all_raw, all_offsets = utf8(batch.column(text_column))
-        for a, b in text_blocks(all_offsets, BLOCK_BYTES):
-            offsets = all_offsets[a : b + 1]
-            raw, offsets = all_raw[offsets[0] : offsets[-1]], offsets - offsets[0]
-            numbers, first, last, bounds = word_spans(raw, offsets, ALPHANUMERIC)
-            hit = np.zeros(len(numbers), bool)
-            items: dict[int, list[str]] = {}
-            for block in blocks:
-                found, text, item = search_block(block.value, numbers, bounds)
-                hit |= found
-                for t, i in zip(text.tolist(), item.tolist(), strict=True):
-                    items.setdefault(t, []).append(block.value.names[i])
-            total = np.concatenate([[0], np.cumsum(hit)])
-            for t in range(b - a):
-                x, y = bounds[t], bounds[t + 1]
-                n_hit = int(total[y] - total[x])
-                own = sorted(items.get(t, []))
-                spans, clean = [], None
-                if n_hit:
-                    body = raw[offsets[t] : offsets[t + 1]]
-                    marks = np.diff(np.concatenate([[0], hit[x:y].astype(np.int8), [0]]))
-                    begin = first[x + np.flatnonzero(marks == 1)] - offsets[t]
-                    end = last[x + np.flatnonzero(marks == -1) - 1] - offsets[t]
-                    spans = [{"start": p, "end": q} for p, q in zip(code_points(body, begin).tolist(), code_points(body, end).tolist(), strict=True)]
-                    if cleaned:
-                        keep = np.concatenate([[0], end]), np.concatenate([begin, [len(body)]])
-                        clean = b"".join(body[p:q].tobytes() for p, q in zip(*keep, strict=True)).decode("utf-8")
-                elif cleaned:
-                    clean = raw[offsets[t] : offsets[t + 1]].tobytes().decode("utf-8")
-                out["n_words"].append(int(y - x))
-                out["n_hit"].append(n_hit)
-                out["n_items"].append(len(own))
-                out["items_sha256"].append(hashlib.sha256(",".join(own).encode("utf-8")).hexdigest())
-                out["contaminated"].append(n_hit > 0)
-                out["spans"].append(spans)
-                out["cleaned"].append(clean)
-        return out
-
-    return work
+    return pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), blocks
+
+
+class Blocks:
+    """The blocks of one pass, each broadcast; there are BLOCKS_AT_ONCE of them at most."""
+
+    def __init__(self, table: DataFrame, numbers: range, window: int):
+        context = table.sparkSession.sparkContext
+        self.shared = [
+            context.broadcast(Phrases([tuple(r) for r in table.filter(F.col("block") == k).select("item_id", "text").collect()], window)) for k in numbers
+        ]
+
+
+class Texts:
+    """Some texts of an Arrow batch: their words, and which of them are hit."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        self.raw, self.offsets = raw, offsets
+        self.numbers, self.first, self.last, self.bounds = word_spans(raw, offsets, ALPHANUMERIC)
+        self.hit = np.zeros(len(self.numbers), bool)
+        self.items: list[set[str]] = [set() for _ in range(len(offsets) - 1)]
+
+    @staticmethod
+    def of(batch, text_column="text"):
+        """(first text, end) and the texts, in blocks of bounded size."""
+        raw, offsets = utf8(batch.column(text_column))
+        for a, b in text_blocks(offsets, BLOCK_BYTES):
+            own = offsets[a : b + 1]
+            yield a, b, Texts(raw[own[0] : own[-1]], own - own[0])
+
+    def search(self, blocks: Blocks) -> None:
+        for block in blocks.shared:
+            found, text, item = search_block(block.value, self.numbers, self.bounds)
+            self.hit |= found
+            for t, i in zip(text.tolist(), item.tolist(), strict=True):
+                self.items[t].add(block.value.names[i])
+
+    def runs(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and end word, counted from the text's first, of each run of hit words."""
+        marks = np.diff(np.concatenate([[0], self.hit[self.bounds[t] : self.bounds[t + 1]].astype(np.int8), [0]]))
+        return np.flatnonzero(marks == 1), np.flatnonzero(marks == -1)
+
+    def spans(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those runs as bytes of the text."""
+        begin, end = self.runs(t)
+        x, start = self.bounds[t], self.offsets[t]
+        return self.first[x + begin] - start, self.last[x + end - 1] - start
+
+    def body(self, t: int) -> np.ndarray:
+        return self.raw[self.offsets[t] : self.offsets[t + 1]]
+
+    def cleaned(self, t: int) -> str:
+        begin, end = self.spans(t)
+        body = self.body(t)
+        keep = np.concatenate([[0], end]), np.concatenate([begin, [len(body)]])
+        return b"".join(body[p:q].tobytes() for p, q in zip(*keep, strict=True)).decode("utf-8")
+
+    def report(self, out: dict, cleaned: bool) -> None:
+        total = np.concatenate([[0], np.cumsum(self.hit)])
+        for t, own in enumerate(self.items):
+            x, y = self.bounds[t], self.bounds[t + 1]
+            n_hit, spans = int(total[y] - total[x]), []
+            if n_hit:
+                places = [code_points(self.body(t), p).tolist() for p in self.spans(t)]
+                spans = [{"start": p, "end": q} for p, q in zip(*places, strict=True)]
+            out["n_words"].append(int(y - x))
+            out["n_hit"].append(n_hit)
+            out["n_items"].append(len(own))
+            out["items_sha256"].append(hashlib.sha256(",".join(sorted(own)).encode("utf-8")).hexdigest())
+            out["contaminated"].append(n_hit > 0)
+            out["spans"].append(spans)
+            out["cleaned"].append(self.cleaned(t) if cleaned else None)
+
+
+def hits_by_row(rows: DataFrame, table: DataFrame, numbers: range, window: int, text_column="text") -> DataFrame:
+    """row, runs (first and end word of hit stretches) and items of the rows that some block of these hits; written."""
+    blocks = Blocks(table, numbers, window)
+
+    def make():
+        def work(batch):
+            out: dict = {"row": [], "runs": [], "items": []}
+            names = batch.column("row").to_pylist()
+            for a, b, texts in Texts.of(batch, text_column):
+                texts.search(blocks)
+                for t in range(b - a):
+                    if texts.items[t]:
+                        out["row"].append(names[a + t])
+                        out["runs"].append([{"first": p, "end": q} for p, q in zip(*(x.tolist() for x in texts.runs(t)), strict=True)])
+                        out["items"].append(sorted(texts.items[t]))
+            return out
+
+        return work
+
+    found = cut_lineage(map_rows(rows.select("row", text_column), make, "row bigint, runs array<struct<first:bigint,end:bigint>>, items array<string>"))
+    for block in blocks.shared:
+        block.destroy()
+    return found
+
+
+def with_hits(frame: DataFrame, table: DataFrame, blocks: int, window: int, text_column="text") -> DataFrame:
+    """``frame`` with the runs and items of all blocks, found pass by pass: only one pass's blocks exist at a time."""
+    rows = cut_lineage(frame.withColumn("row", F.monotonically_increasing_id()))
+    passes = [hits_by_row(rows, table, range(k, min(blocks, k + BLOCKS_AT_ONCE)), window, text_column) for k in range(0, blocks, BLOCKS_AT_ONCE)]
+    every = reduce(DataFrame.unionByName, passes)
+    # A row's runs and items are at most as many as its words allow, for each pass.
+    merged = every.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("_runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"))
+    return rows.join(merged, "row", "left").drop("row")
+
+
+def taken(batch, text_column="text"):
+    """Texts of a batch that ``with_hits`` made, their hits as found."""
+    runs, items = batch.column("_runs").to_pylist(), batch.column("_items").to_pylist()
+    for a, b, texts in Texts.of(batch, text_column):
+        for t in range(b - a):
+            for run in runs[a + t] or []:
+                texts.hit[texts.bounds[t] + run["first"] : texts.bounds[t] + run["end"]] = True
+            texts.items[t] = set(items[a + t] or [])
+        yield a, b, texts
+
+
+def searched(blocks: Blocks, text_column="text"):
+    """The same for a batch that is searched here, where one pass is enough."""
+
+    def find(batch):
+        for a, b, texts in Texts.of(batch, text_column):
+            texts.search(blocks)
+            yield a, b, texts
+
+    return find
 
 
 def decontaminate(
@@ -186,18 +299,27 @@ def decontaminate(
     sorted as text, joined by commas), contaminated, spans (merged, in code points, end
     exclusive), and with ``cleaned`` the text without these spans. The benchmark is the
     query set: it is searched in blocks of BLOCK_CHARS characters, every block against
-    every document. A null text has no words; a null item id is named ``null``; repeated
+    every document, BLOCKS_AT_ONCE in each pass over the documents; what the driver and
+    a task hold of it is bounded by that. A null text has no words; a null item id is named ``null``; repeated
     rows each give a row; rows of one item id are one item; an empty benchmark hits
-    nothing; other columns are left behind. No exchange: a document is searched where
+    nothing; other columns are left behind. No exchange, where one pass is enough: a document is searched where
     it is read, and a task holds one Arrow batch and one shard's index.
     """
     frame = text_frame(docs, id_column, text_column)
     id_type = frame.schema["doc_id"].dataType.simpleString()
-    blocks = benchmark_blocks(benchmark, item_column, item_text, window)
+    table, blocks = benchmark_blocks(benchmark, item_column, item_text, window)
+    one_pass = blocks <= BLOCKS_AT_ONCE
+    found = searched(Blocks(table, range(blocks), window)) if one_pass else taken
+    frame = frame if one_pass else with_hits(frame, table, blocks, window)
 
     def make():
-        find = searcher(blocks, cleaned)
-        return lambda batch: find(batch) | {"doc_id": batch.column("doc_id")}
+        def work(batch):
+            out: dict = {n: [] for n in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "cleaned")}
+            for _, _, texts in found(batch):
+                texts.report(out, cleaned)
+            return out | {"doc_id": batch.column("doc_id")}
+
+        return work
 
     schema = f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>"
     return map_rows(frame, make, schema + ", cleaned string" * cleaned)
@@ -205,15 +327,15 @@ def decontaminate(
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_column="text", item_column="item_id", item_text="text", window=WINDOW, length_column="n_chars") -> DataFrame:
     """``docs``, all columns, with the hit spans cut from its texts; texts without a hit stay as they are, nulls too."""
-    blocks = benchmark_blocks(benchmark, item_column, item_text, window)
+    table, blocks = benchmark_blocks(benchmark, item_column, item_text, window)
+    one_pass = blocks <= BLOCKS_AT_ONCE
+    found = searched(Blocks(table, range(blocks), window), text_column) if one_pass else lambda batch: taken(batch, text_column)
 
     def make():
-        find = searcher(blocks, True, text_column)
-
         def work(batch):
-            found = find(batch)
-            return [t if hit else None for t, hit in zip(found["cleaned"], found["contaminated"], strict=True)]
+            return [texts.cleaned(t) if texts.items[t] else None for a, b, texts in found(batch) for t in range(b - a)]
 
         return work
 
-    return rewrite_texts(docs, make, text_column, length_column)
+    frame = docs if one_pass else with_hits(docs, table, blocks, window, text_column)
+    return rewrite_texts(frame, make, text_column, length_column).select(*docs.columns)

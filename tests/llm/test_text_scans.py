@@ -193,8 +193,10 @@ def test_decontamination_by_brute_force(spark, docs, seed, monkeypatch):
     import logloom.llm.decontaminate as module
 
     random.seed(seed)
-    if seed == 2:  # several shards, cut stretches and several query blocks
-        monkeypatch.setattr(module, "BLOCK_CHARS", 200)
+    if seed == 2:  # several query blocks, found in several passes, and items in pieces
+        monkeypatch.setattr(module, "BLOCK_CHARS", 400)
+        monkeypatch.setattr(module, "BLOCKS_AT_ONCE", 2)
+        monkeypatch.setattr(module, "PIECE_CHARS", 30)
     words = ["aa", "bb", "cc", "Été", "ÉTÉ", "x1", "K", "zz"]
     text = lambda n: "".join(random.choice(words) + random.choice([" ", ", ", "\n", "-"]) for _ in range(n))
     items = [(i, text(random.randint(0, 16))) for i in range(30)] + [(3, text(12)), (3, text(12)), (99, None), (98, "..."), (97, "solo")]
@@ -213,6 +215,22 @@ def test_decontamination_by_brute_force(spark, docs, seed, monkeypatch):
             assert len(r["cleaned"]) == len(body) - sum(s["end"] - s["start"] for s in r["spans"])
 
 
+def test_cleaning_pass_by_pass_is_cleaning_at_once(spark, docs, monkeypatch):
+    import logloom.llm.decontaminate as module
+
+    random.seed(12)
+    text = lambda n: " ".join(random.choice(["aa", "bb", "cc", "dd"]) for _ in range(n))
+    items = spark.createDataFrame([(i, text(14)) for i in range(12)], "item_id bigint, text string")
+    # A third of all rows are one text, and ids repeat.
+    rows = [(i % 20, text(200)) for i in range(40)] + [(7, "aa bb " * 60)] * 20 + [(None, None), (None, "")]
+    want = sorted(map(str, module.clean_documents(docs(rows), items).collect()))
+    monkeypatch.setattr(module, "BLOCK_CHARS", 100)
+    monkeypatch.setattr(module, "BLOCKS_AT_ONCE", 1)
+    assert module.benchmark_blocks(items, "item_id", "text", 10)[1] > 3
+    got = module.clean_documents(docs(rows), items)
+    assert got.columns == docs([]).columns and sorted(map(str, got.collect())) == want
+
+
 def test_long_stretches_are_cut_with_overlap(monkeypatch):
     import numpy as np
 
