@@ -12,6 +12,7 @@ from logloom.parsers.registry import parse_lines
 from logloom.session import fresh_folder
 from logloom.sources.address import open_source
 from logloom.sources.detect import detect_format
+from logloom.sources.lineindex import write_index
 from logloom.sources.lines import file_streams, read_lines
 from logloom.sources.remote import from_field_rows
 
@@ -346,6 +347,19 @@ def lines_by_pointer(spark, sf):
     return found.select("message", micros().alias("ts_us"))
 
 
+@query("get_lines_indexed", f"""
+SELECT {SQL_MESSAGE} AS message, epoch_us(date_trunc('millisecond', ts)) AS ts_us FROM events WHERE event_id % 500 < 2 AND user_id % 4 = 0""")
+def lines_by_index(spark, sf):
+    """Pointers into files of all events, read back through a stored index of line numbers."""
+    folder, index = _mixed(spark, sf), fresh_folder(spark, "lines")
+    write_index(spark, folder, index, split_bytes=1 << 16)
+    rows = open_source(spark, folder, year=2024).entries()
+    few = table(spark, sf, "events").filter("event_id % 500 < 2 AND user_id % 4 = 0").select(event_message().alias("message"), F.col("ts").cast("timestamp").alias("at"))
+    asked = rows.join(few, "message").filter(F.date_trunc("millisecond", "at") == F.col("timestamp")).select("ptr").distinct()
+    found = get_lines(spark, [r["ptr"] for r in asked.collect()], "json", index)
+    return found.select("message", micros().alias("ts_us"))
+
+
 @query("parse_json_odd_lines", """
 SELECT event_id + 1 AS line_no, CASE event_id % 8 WHEN 2 THEN epoch_us(date_trunc('second', ts)) ELSE -1 END AS ts_us,
   CASE event_id % 8 WHEN 0 THEN 'big' WHEN 1 THEN 'small' WHEN 2 THEN 'odd'

@@ -7,7 +7,7 @@ from checks.parsing import _FILE, _written_lines
 from checks.registry import query
 from logloom.functions.pointers import make_s3_ptr, parse_ptr, parse_s3_ptr, ptr_type, short_ptr
 from logloom.operators.aggregates import list_streams, result_count
-from logloom.operators.around import around, around_many
+from logloom.operators.around import around, around_many, around_segments
 from logloom.operators.context import with_context, with_time_context
 from logloom.operators.filters import by_name, contains_any, field_equals, grep, time_range
 from logloom.operators.lookup import get_records, lookup_provenance, missing_ptrs, resolve_ptrs
@@ -167,6 +167,23 @@ def around_anchors_all(spark, sf):
     return found.select("anchor_id", F.col("line_no").alias("event_id"))
 
 
+@query("around_many_segments", """
+WITH a AS (SELECT event_id, ts, ts - INTERVAL 20 SECOND AS low, ts + INTERVAL 20 SECOND AS high,
+    CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) <= INTERVAL 40 SECOND THEN 0 ELSE 1 END AS fresh FROM events WHERE event_type = 'error'),
+  n AS (SELECT *, sum(fresh) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM a),
+  s AS (SELECT island, epoch_us(min(ts)) AS segment, min(low) AS low, max(high) AS high FROM n GROUP BY island)
+SELECT 'anchor' AS kind, event_id, segment FROM n JOIN s USING (island)
+UNION ALL SELECT 'entry', event_id, segment FROM events JOIN s ON ts BETWEEN low AND high WHERE event_type <> 'view'""")
+def around_anchors_by_segment(spark, sf):
+    """Every entry near an error once, however many errors it is near."""
+    logs = entries(spark, sf)
+    anchors = logs.filter(F.col("source") == "/events/error").select(F.col("line_no").alias("anchor_id"), F.col("timestamp").alias("anchor_ts"))
+    tagged, members = around_segments(logs, anchors, "20s", "^(?:error|click|signup|purchase)")
+    return members.select(F.lit("anchor").alias("kind"), F.col("anchor_id").alias("event_id"), "segment").unionByName(
+        tagged.select(F.lit("entry").alias("kind"), F.col("line_no").alias("event_id"), "segment")
+    )
+
+
 @query("get_by_ptr", f"""
 SELECT 'file:///events/' || event_type || '#' || event_id AS ptr, 'found' AS status, {SQL_MESSAGE} AS message FROM events WHERE event_type = 'error'
 UNION ALL SELECT 'file:///events/gone#' || event_id, 'missing', '' FROM events WHERE event_type = 'click'""")
@@ -201,6 +218,18 @@ def index_of_results(spark, sf):
     return result_index(_opaque(spark, sf)).select(F.col("idx").cast("bigint").alias("idx"), "ptr", "source_uri")
 
 
+@query("resolve_all_ptrs", """
+WITH p AS (SELECT sha256('e' || event_id) AS ptr FROM events),
+  e AS (SELECT right(ptr, 12) AS term, count(*) AS matches, min(ptr) AS hit FROM p GROUP BY 1
+    UNION ALL SELECT right(ptr, 2), count(*), min(ptr) FROM p GROUP BY 1)
+SELECT '@' || term AS ref, CASE WHEN matches = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN matches = 1 THEN hit ELSE '' END AS ptr, matches FROM e""")
+def resolve_all(spark, sf):
+    """The endings of all pointers, a long one and a short one of each, among all pointers."""
+    index = _opaque(spark, sf).select(F.col("line_no").cast("int").alias("idx"), "ptr")
+    refs = index.select(F.explode(F.array(F.right("ptr", F.lit(12)), F.right("ptr", F.lit(2)))).alias("end")).select(F.concat(F.lit("@"), "end").alias("ref"))
+    return resolve_ptrs(refs, index).select("ref", "status", F.coalesce("ptr", F.lit("")).alias("ptr"), "matches")
+
+
 @query("resolve_ptrs", f"""{_SQL_INDEX}, r AS (
   SELECT '@' || right(ptr, 12) AS ref, right(ptr, 12) AS term, 0 AS n FROM x
   UNION SELECT 'z' || right(ptr, 2), 'z' || right(ptr, 2), 0 FROM x

@@ -7,6 +7,8 @@ from logloom.functions.times import duration_argument
 from logloom.operators.filters import grep, moment, time_range
 from logloom.operators.ranking import newest
 from logloom.plans.latest import SLICE_ROWS, latest_before
+from logloom.plans.ordered import CHUNK_LINES
+from logloom.plans.segments import merged_windows, within_segments
 
 
 def around(df: DataFrame, ts, window="5m", pattern: str | None = None, limit: int | None = AROUND_LIMIT) -> DataFrame:
@@ -50,3 +52,25 @@ def around_many(
     )
     near = left.join(right, ["_bucket", "_salt"]).filter(F.abs(micros - F.col("_centre")) <= width)
     return near.select(key, at, *logs.columns)
+
+
+def around_segments(
+    logs: DataFrame, anchors: DataFrame, window="5m", pattern: str | None = None, key: str = "anchor_id", at: str = "anchor_ts", chunk_rows: int = CHUNK_LINES,
+) -> tuple[DataFrame, DataFrame]:
+    """J6 without a limit: every entry in some anchor's window, once, and which anchors to look at it from.
+
+    Overlapping windows are merged to segments of time. Gives the entries with their ``segment``,
+    and a table (segment, low, high, ``key``, ``at``) with one row an anchor; ``low`` and ``high`` are the segment's
+    ends. Both are as long as what they are made of, however many windows an entry lies in. The entries
+    of one anchor are those of its segment that are no further from it than ``window``. Anchors of unknown time
+    have no row, entries of unknown time no segment.
+    """
+    width = int(duration_argument(window).total_seconds() * 1_000_000)
+    moments = anchors.select(key, at, F.unix_micros(F.col(at).cast("timestamp")).alias("_at")).filter(F.col("_at").isNotNull())
+    members = merged_windows(moments, width, chunk_rows)
+    segments = members.groupBy("segment").agg((F.min("_at") - width).alias("low"), (F.max("_at") + width).alias("high"))
+    rows = grep(logs.filter(F.col("timestamp").isNotNull()), pattern).withColumn("_at", F.unix_micros("timestamp"))
+    tagged = within_segments(rows, segments, width).select(*logs.columns, "segment")
+    micros = lambda c: F.timestamp_micros(F.col(c)).alias(c)
+    ends = segments.select("segment", micros("low"), micros("high"))
+    return tagged, members.join(ends, "segment").select("segment", "low", "high", key, at)

@@ -1,11 +1,13 @@
 """Lookups by record pointer."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logloom.fixed import FULL_PTR_CHARS
 from logloom.functions.pointers import parse_ptr
 from logloom.parsers.registry import parse_lines
+from logloom.plans.ordered import CHUNK_LINES, before_in_source, range_cuts, range_of
 from logloom.plans.sizing import small_side
+from logloom.sources.lineindex import indexed_lines
 from logloom.sources.lines import literal_path, read_lines
 
 # Pointers that are looked up by a pushed-down list instead of a join.
@@ -33,10 +35,11 @@ def missing_ptrs(entries: DataFrame, ptrs) -> DataFrame:
     return wanted.join(get_records(entries, ptrs).select("ptr"), "ptr", "left_anti")
 
 
-def get_lines(spark: SparkSession, ptrs: list[str], fmt: str | None = None, **options) -> DataFrame:
+def get_lines(spark: SparkSession, ptrs: list[str], fmt: str | None = None, index: str | None = None, **options) -> DataFrame:
     """J1, one physical line per pointer; only the files named are read.
 
-    Adds ``raw``. A line its parser skips (blank, or no JSON) comes back as it is.
+    With the path of an ``index`` (``lineindex.write_index``) a file is read from the split that holds the
+    line up to the line; without, it is numbered from its beginning. Adds ``raw``. A line its parser skips (blank, or no JSON) comes back as it is.
     """
     asked, bound = _ptr_table(spark, ptrs)
     parsed = asked.select("ptr", parse_ptr(F.col("ptr")).alias("p"))
@@ -48,7 +51,11 @@ def get_lines(spark: SparkSession, ptrs: list[str], fmt: str | None = None, **op
     wanted = spark.createDataFrame(
         [(r["ptr"], r["p"]["path"], r["p"]["line"]) for r in rows], "ptr string, source string, line_no bigint"
     )
-    lines = read_lines(spark, [literal_path(f) for f in files], skip_missing=True).join(small_side(wanted, bound), ["source", "line_no"])
+    if index is None:
+        lines = read_lines(spark, [literal_path(f) for f in files], skip_missing=True)
+    else:
+        lines = indexed_lines(spark, [(r["p"]["path"], r["p"]["line"]) for r in rows], index)
+    lines = lines.join(small_side(wanted, bound), ["source", "line_no"])
     # Each asked line stands alone, so every one is parsed as if it began its file.
     alone = lines.select(F.col("ptr").alias("source"), F.lit(1).cast("bigint").alias("line_no"), "line")
     entries = parse_lines(alone, fmt or "plain", **options).select(
@@ -87,7 +94,47 @@ def _matches(terms: DataFrame, index: DataFrame, pieces) -> DataFrame:
     return terms.select("term").distinct().join(counted, "term")
 
 
-def resolve_ptrs(refs: DataFrame, index: DataFrame, legacy: bool = False) -> DataFrame:
+# Sorts after every character that text holds.
+_LAST = "\U0010ffff"
+
+
+def _ending(terms: DataFrame, index: DataFrame, chunk_rows: int) -> DataFrame:
+    """Per term (not empty): how many pointers end with it, and the only one if there is just one.
+
+    Read backwards, the pointers that end with a term stand together in sorted order, between the
+    term and the term with the last character after it. Each pointer is one row, each term
+    two; sorted inside ranges, a row counts the pointers before it, and a table with one row for each
+    range carries what crosses them.
+    """
+    backwards = index.select("ptr").filter(F.length("ptr") > 0).distinct().withColumn("_at", F.reverse("ptr"))
+    cuts = range_cuts(backwards, "_at", chunk_rows)
+    none = F.lit(None).cast("string")
+    marks = terms.select("term").distinct().filter(F.col("term") != "")
+    low, high = F.reverse("term"), F.concat(F.reverse("term"), F.lit(_LAST))
+    rows = (
+        backwards.select("_at", F.lit(1).alias("kind"), "ptr", none.alias("term"))
+        .unionByName(marks.select(low.alias("_at"), F.lit(0).alias("kind"), none.alias("ptr"), "term"))
+        .unionByName(marks.select(high.alias("_at"), F.lit(2).alias("kind"), none.alias("ptr"), "term"))
+    )
+    rows = rows.withColumn("chunk", range_of(cuts, F.col("_at"), "string").cast("bigint") if cuts else F.lit(0).cast("bigint"))
+    # At most one row a range.
+    ranges = rows.groupBy("chunk").agg(F.count("ptr").alias("_held"), F.min_by("ptr", F.when(F.col("ptr").isNotNull(), F.col("_at"))).alias("_own")).withColumn("_all", F.lit(0))
+    ranges = before_in_source(ranges, "_all", _before=F.sum("_held")).withColumn("_after", F.expr("lead(_own) IGNORE NULLS OVER (PARTITION BY _all ORDER BY chunk)"))
+    order = Window.partitionBy("chunk").orderBy("_at", "kind")
+    counted = rows.select(
+        "chunk", "kind", "term",
+        F.count("ptr").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_in"),
+        F.expr("lead(ptr) IGNORE NULLS OVER (PARTITION BY chunk ORDER BY _at, kind)").alias("_next"),
+    ).filter("term IS NOT NULL").join(F.broadcast(ranges.select("chunk", "_before", "_after")), "chunk")
+    place = F.col("_in") + F.coalesce("_before", F.lit(0))
+    is_low = F.col("kind") == 0
+    found = counted.groupBy("term").agg(
+        (F.max(F.when(~is_low, place)) - F.max(F.when(is_low, place))).alias("matches"), F.max(F.when(is_low, F.coalesce("_next", "_after"))).alias("found")
+    )
+    return found.filter(F.col("matches") > 0)
+
+
+def resolve_ptrs(refs: DataFrame, index: DataFrame, legacy: bool = False, chunk_rows: int = CHUNK_LINES) -> DataFrame:
     """Short references to full pointers: (ref, ptr, status, matches).
 
     ``refs`` has ``ref``, ``index`` is a result index (idx, ptr). More than fifty
@@ -106,7 +153,7 @@ def resolve_ptrs(refs: DataFrame, index: DataFrame, legacy: bool = False) -> Dat
         index.select("idx", F.col("ptr").alias("placed")), "idx"
     ).select("ref", "placed")
     terms = asked.filter(~F.col("full")).select("ref", "term")
-    ends = _matches(terms, index, lambda p, n: F.array(F.right(p, n)))
+    ends = _ending(terms, index, chunk_rows)
     found = terms.join(ends, "term", "left").select("ref", "matches", "found")
     if legacy:
         unmatched = found.filter(F.col("matches").isNull()).select("ref").join(terms, "ref")

@@ -12,7 +12,7 @@ from pyspark.sql import Observation, functions as F
 from logloom.operators import cases as C
 from logloom.operators import filters as flt
 from logloom.operators.aggregates import count_by_bucket, counted, estimate_scan, list_groups, list_streams, stats
-from logloom.operators.around import around, around_many
+from logloom.operators.around import around, around_many, around_segments
 from logloom.operators.context import with_context, with_time_context
 from logloom.operators import discover
 from logloom.operators.discover import discover_fields, discover_json_paths
@@ -126,6 +126,44 @@ def test_around_many_against_brute_force(crowd, slice_rows, limit):
         assert got[a["anchor_id"]] == {r["message"] for r in near[:limit]}
 
 
+@pytest.mark.parametrize("chunk", [1, 4, 1000])
+def test_segments_of_overlapping_windows(entries, spark, chunk):
+    random.seed(chunk)
+    # A third of all entries at one moment; anchors that repeat, touch and lie apart.
+    at = [500] * 100 + [random.randrange(2000) for _ in range(200)]
+    logs = entries(*[(s, f"m{i}") for i, s in enumerate(at)], (None, "untimed"))
+    moments = [500, 500, 510, 531, 540, 900, 920, 941, *random.sample(range(1000, 2000), 12)]
+    anchors = spark.createDataFrame([(i, T0 + timedelta(seconds=s)) for i, s in enumerate(moments)] + [(99, None)], "anchor_id bigint, anchor_ts timestamp")
+    tagged, members = around_segments(logs, anchors, "10s", chunk_rows=chunk)
+    ends, starts = {}, {}
+    for s in sorted(set(moments)):
+        name = ends.get(max((e for e in ends if e >= s - 20), default=None))
+        ends[s], starts[s] = (name, name) if name is not None else (s, s)
+    seconds = lambda micros: round(micros / 1e6 - (T0 - ts(1970, 1, 1)).total_seconds())
+    assert sorted((r["anchor_id"], seconds(r["segment"])) for r in members.collect()) == [(i, starts[s]) for i, s in enumerate(moments)]
+    for r in members.collect():
+        own = [s for s in moments if starts[s] == seconds(r["segment"])]
+        assert (r["low"], r["high"]) == (T0 + timedelta(seconds=min(own) - 10), T0 + timedelta(seconds=max(own) + 10))
+    near = [(f"m{i}", min(starts[c] for c in moments if abs(c - s) <= 10)) for i, s in enumerate(at) if any(abs(c - s) <= 10 for c in moments)]
+    assert tagged.columns == [*logs.columns, "segment"]
+    assert sorted((r["message"], seconds(r["segment"])) for r in tagged.collect()) == sorted(near)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_endings_against_brute_force(spark, chunk):
+    random.seed(chunk)
+    ptrs = ["".join(random.choices("abé😀\uffff", k=random.randint(0, 9))) for _ in range(120)] + ["x" * 60, "ab", "ab"]
+    refs = list({"@" + "".join(random.choices("abé😀\uffff", k=random.randint(0, 4))) for _ in range(80)} | {"@" + p[-3:] for p in ptrs} | {"@" + "x" * 49, "zz", "é"})
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(ptrs, 1)], "idx int, ptr string")
+    got = {r["ref"]: (r["ptr"], r["status"], r["matches"]) for r in resolve_ptrs(spark.createDataFrame([(r,) for r in refs], "ref string"), table, chunk_rows=chunk).collect()}
+    assert set(got) == set(refs)
+    for ref in refs:
+        term = ref.removeprefix("@")
+        hits = {p for p in ptrs if term and p.endswith(term)}
+        status = "missing" if not hits else "resolved" if len(hits) == 1 else "ambiguous"
+        assert got[ref] == (min(hits) if len(hits) == 1 else None, status, len(hits)), ref
+
+
 def test_context_of_whole_entries(spark, lines):
     text = lines("a\nhead\n\tx\n\ty\nb\nc")
     match = spark.createDataFrame([("/var/log/app.log", 2, "head\n\tx\n\ty")], "source string, line_no bigint, message string")

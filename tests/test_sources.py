@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.lookup import get_lines
 from logloom.plans.query import ingest, query_logs
-from logloom.sources import detect
+from logloom.sources import detect, lineindex
 from logloom.sources.address import OPENERS, LogSource, open_ptr, open_source, register_source
 from logloom.sources.lines import LineScan, existing_paths, file_streams, path_label, read_lines
 
@@ -280,3 +280,40 @@ def test_first_lines_step_by_step(spark, tmp_path, monkeypatch, step):
     with gzip.open(tmp_path / "b.log.gz", "wt") as f:
         f.write("one\n\ntwo\n")
     assert detect.first_lines(spark, (tmp_path / "b.log.gz").as_uri()) == ["one", "two"]
+
+
+@pytest.mark.parametrize("split, step", [(64, 16), (1000, 1 << 18), (1 << 22, 50)])
+def test_lines_are_found_by_their_index(spark, tmp_path, monkeypatch, split, step):
+    monkeypatch.setattr(lineindex, "STEP_BYTES", step)
+    lines = [("x" * (i * 7 % 40)) + f" line {i}" + ("\r" if i % 5 == 0 else "") for i in range(400)] + ["y" * 300, "", "", "é" * 60, "last"]
+    (tmp_path / "a b.log").write_bytes("\n".join(lines).encode())
+    (tmp_path / "b.log").write_bytes("\n".join(lines[:90]).encode() + b"\n")
+    (tmp_path / "empty.log").write_bytes(b"")
+    with gzip.open(tmp_path / "c.log.gz", "wt", newline="") as f:
+        f.write("\n".join(lines[:50]))
+    index = str(tmp_path / "index")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lineindex.write_index(spark, str(tmp_path / "*.log*"), index, split)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    wanted = [(str(tmp_path / name), n) for name, count in (("a b.log", 405), ("b.log", 90), ("c.log.gz", 50)) for n in [*range(1, count + 1, 11), count - 1, count, count + 1, 9999]]
+    got = {(r["source"], r["line_no"]): r["line"] for r in lineindex.indexed_lines(spark, wanted, index).collect()}
+    sizes = {str(tmp_path / "a b.log"): 405, str(tmp_path / "b.log"): 90, str(tmp_path / "c.log.gz"): 50}
+    assert got == {(s, n): lines[n - 1].removesuffix("\r") for s, n in wanted if n <= sizes[s]}
+    ptrs = [f"file://{tmp_path}/b.log#{n}" for n in (1, 90, 91)]
+    assert [r["raw"] for r in get_lines(spark, ptrs, index=index).orderBy("line_no").collect()] == [lines[0].removesuffix("\r"), lines[89]]
+    with pytest.raises(ValueError, match="not in the index"):
+        lineindex.indexed_lines(spark, [(str(tmp_path / "new.log"), 1)], index)
+    (tmp_path / "b.log").write_bytes(b"other\n")
+    with pytest.raises(ValueError, match="has changed"):
+        lineindex.indexed_lines(spark, [(str(tmp_path / "b.log"), 1)], index)
+
+
+def test_a_look_up_reads_two_splits_at_most(spark, tmp_path):
+    with open(tmp_path / "long.log", "w") as f:
+        f.writelines(f"line {i} of a long file\n" for i in range(400_000))
+    lineindex.write_index(spark, str(tmp_path / "long.log"), str(tmp_path / "index"), 1 << 20)
+    index_size = sum(os.path.getsize(tmp_path / "index" / n) for n in os.listdir(tmp_path / "index"))
+    before = bytes_read(spark)
+    rows = lineindex.indexed_lines(spark, [(str(tmp_path / "long.log"), 399_000)], str(tmp_path / "index")).collect()
+    assert [r["line"] for r in rows] == ["line 398999 of a long file"]
+    assert bytes_read(spark) - before < (2 << 20) + 10 * index_size
