@@ -11,6 +11,7 @@ from checks.registry import query
 from logloom.operators.aggregates import count_by_bucket
 from logloom.parsers.java import is_header
 from logloom.session import cut_lineage, fresh_folder
+from logloom.sources.lines import file_streams
 from logloom.streaming import buckets as bucket_totals
 from logloom.streaming.multiline import tail_multiline
 from logloom.streaming.seen import dedup_newest
@@ -62,6 +63,23 @@ def tail_text(spark, sf):
     return spark.read.schema(events.schema).parquet(out).select(micros().alias("ts_us"), "message")
 
 
+@query("tail_since", f"""
+SELECT epoch_us(date_trunc('millisecond', ts)) AS ts_us, {SQL_MESSAGE} AS message FROM events WHERE event_id % 2 = 1""")
+def tail_since(spark, sf):
+    """Followed from a moment on: the files that were there before it are left out."""
+    folder, out = fresh_folder(spark, "text"), fresh_folder(spark, "tail")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" "), event_message())
+    rows = table(spark, sf, "events").select("event_id", line.alias("value"))
+    rows.filter("event_id % 2 = 0").select("value").repartition(2).write.text(folder)
+    # File systems may keep the seconds of a change only.
+    changed = file_streams(spark, folder).agg(F.max("last_time")).first()[0]
+    time.sleep(1.1)
+    rows.filter("event_id % 2 = 1").select("value").repartition(2).write.mode("append").text(folder)
+    events = tail_logs(spark, folder, "plain", since=changed).select("timestamp", "message")
+    write_stream(events, out).awaitTermination()
+    return spark.read.schema(events.schema).parquet(out).select(micros().alias("ts_us"), "message")
+
+
 @query("tail_counts", """
 SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS bucket_us, count(*) AS count FROM events GROUP BY 1""")
 def counts(spark, sf):

@@ -71,6 +71,19 @@ def test_tail_text_files(spark, tmp_path):
         T.tail_logs(spark, str(tmp_path / "logs"), "java")
 
 
+def test_follow_from_a_moment_on(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for name, age in (("old", 3600), ("at", 600), ("new", 10)):
+        (tmp_path / "logs" / f"{name}.log").write_text(f"2025-01-15 10:30:45 {name}\n")
+        moment = 1_760_000_000 - age
+        os.utime(tmp_path / "logs" / f"{name}.log", (moment, moment))
+    seen = lambda since: sorted(r["message"] for r in run(spark, T.tail_logs(spark, str(tmp_path / "logs"), since=since).select("message")).collect())
+    assert seen(None) == ["at", "new", "old"]
+    # A file changed at the moment itself was there before.
+    assert seen(ts.fromtimestamp(1_760_000_000 - 600)) == ["new"]
+    assert seen(ts.fromtimestamp(1_760_000_000)) == []
+
+
 def test_counts_equal_the_batch_counts(spark, stream):
     batches = [[(T0 + timedelta(seconds=i * 97 % 1500), f"m{i}", "s") for i in range(b, 60, 3)] for b in range(3)]
     source = stream(batches, EVENT)
