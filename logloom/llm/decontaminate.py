@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm.fmindex import WordIndex
-from logloom.llm.rows import BLOCK_BYTES, map_rows, rewrite_texts, text_frame
+from logloom.llm.rows import map_rows, rewrite_texts, text_frame
 from logloom.llm.words import ALPHANUMERIC, code_points, text_blocks, utf8, word_spans
 from logloom.session import cut_lineage
 
 WINDOW = 10
+# Text of one shard: an index over less is searched more often, one over more takes more memory.
+SHARD_BYTES = 2 << 20
 # Characters of benchmark text searched at a time; a larger benchmark is several blocks.
 BLOCK_CHARS = 4 << 20
 # Blocks that one pass over the documents searches, and the longest piece of an item.
@@ -184,7 +186,7 @@ class Texts:
     def of(batch, text_column="text"):
         """(first text, end) and the texts, in blocks of bounded size."""
         raw, offsets = utf8(batch.column(text_column))
-        for a, b in text_blocks(offsets, BLOCK_BYTES):
+        for a, b in text_blocks(offsets, SHARD_BYTES):
             own = offsets[a : b + 1]
             yield a, b, Texts(raw[own[0] : own[-1]], own - own[0])
 

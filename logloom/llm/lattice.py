@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.llm.rows import BLOCK_BYTES, map_rows
+from logloom.llm.rows import map_rows
 from logloom.llm.words import SPACED, spelled, text_blocks, utf8, word_spans
 from logloom.session import cut_lineage
 
@@ -28,6 +28,8 @@ AT_ONCE = 100_000
 # Words of more code points go one by one, with arrays along the word: work and memory grow with its length.
 LONG = 48
 ROUNDS = 2
+# Text whose distinct words are counted and looked up together: each gives a row.
+COUNTED_BYTES = 4 << 20
 # Weight of the vocabulary's own scores against the corpus, in words.
 PRIOR = 1000.0
 
@@ -271,7 +273,7 @@ def word_counts(frame: DataFrame) -> DataFrame:
             words, n, m = [pa.array([END])], [], []
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             raw, offsets = utf8(batch.column("text"))
-            for a, b in text_blocks(offsets, BLOCK_BYTES):
+            for a, b in text_blocks(offsets, COUNTED_BYTES):
                 part, starts = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 numbers, first, last, bounds = word_spans(part, starts, SPACED)
                 _, at, place = np.unique(numbers, return_index=True, return_inverse=True)
@@ -399,7 +401,7 @@ def score_documents(docs: DataFrame, path: str, id_column="doc_id", text_column=
             out: dict = {c: [] for c in ("row_id", "word", "uses", "n_tokens", "n_known", "base", "lattice")}
             docs, trained = [], []
             raw, offsets = utf8(batch.column("text"))
-            for a, b in text_blocks(offsets, BLOCK_BYTES):
+            for a, b in text_blocks(offsets, COUNTED_BYTES):
                 part, starts = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 own, first, last, bounds = word_spans(part, starts, SPACED)
                 doc = np.repeat(np.arange(b - a), np.diff(bounds))

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 # Texts of one working block, in bytes; bounds what a task holds besides the Arrow batch.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 # Rows worked on together, in bytes.
 PIECE_BYTES = 8 << 20
 
