@@ -15,7 +15,9 @@ from logloom.operators.projections import default_fields
 from logloom.operators.ranking import dedup_events, keep_latest, newest, result_index
 from logloom.operators.similar import similar_names
 from logloom.plans.query import query_logs
+from logloom.session import fresh_folder
 from logloom.sources.address import open_source
+from logloom.sources.textindex import search_indexed, write_text_index
 
 
 @query("time_range_filter", f"""
@@ -34,6 +36,21 @@ def regex_filter(spark, sf):
     return grep(table(spark, sf, "documents"), r"é[a-z]+ (de|la|un)\b|erst$", "text").select("doc_id", "lang")
 
 
+@query("regex_indexed", """
+SELECT event_id FROM events WHERE user_id % 16 = 3 AND event_type IN ('click', 'purchase')""")
+def regex_indexed(spark, sf):
+    """Files by user; the index says which of them can hold the pattern's letters."""
+    folder, index = fresh_folder(spark, "files"), fresh_folder(spark, "index")
+    part = F.col("user_id") % 16
+    line = F.concat(event_message(), F.lit(" at shard-"), F.conv((part + 2748).cast("string"), 10, 16), F.lit(" #"), "event_id")
+    rows = table(spark, sf, "events").select(part.alias("part"), line.alias("value"))
+    rows.repartition("part").write.partitionBy("part").text(folder)
+    logs = open_source(spark, f"{folder}/*", format="plain")
+    write_text_index(logs, index)
+    found = search_indexed(logs, index, "(CLICK|pur.hase) .* at SHARD-abf", numbered=False)
+    return found.select(F.regexp_extract("message", "#([0-9]+)", 1).cast("int").alias("event_id"))
+
+
 @query("contains_any", """
 SELECT doc_id FROM documents WHERE contains(text, 'license') OR contains(text, 'the of') OR contains(text, '@')""")
 def any_term(spark, sf):

@@ -11,7 +11,7 @@ _NO_BORDER = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
 _OUTSIDE = {"b": _BORDER, "B": _NO_BORDER, "s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]", "v": r"\x0B", "A": r"\A", "z": r"\z"}
 _INSIDE = {"s": r"\t\n\f\r ", "S": r"\S\x0B", "v": r"\x0B"}
 _SAME = set("dDwWaftnr")
-_REPEAT = re.compile(r"[*+?]|\{(?P<least>\d+)(?P<more>,(?P<most>\d*))?\}")
+REPEAT = re.compile(r"[*+?]|\{(?P<least>\d+)(?P<more>,(?P<most>\d*))?\}")
 # Copies that repetitions, one inside the other, may make of a part.
 _COPIES = 1000
 _POSIX = {"alnum", "alpha", "ascii", "blank", "cntrl", "digit", "graph", "lower", "print", "punct", "space", "upper", "word", "xdigit"}
@@ -43,7 +43,7 @@ class _Translator:
     def run(self) -> str:
         while self.at < len(self.pattern):
             c = self.pattern[self.at]
-            if _REPEAT.match(self.pattern, self.at) and self.empty:
+            if REPEAT.match(self.pattern, self.at) and self.empty:
                 self.refuse("nothing to repeat")
             if c == "\\":
                 quoted = self.take(r"(?s)\\Q(.*?)(?:\\E|\Z)") if self.pattern.startswith("\\Q", self.at) else None
@@ -86,7 +86,7 @@ class _Translator:
         """A repetition, perhaps a lazy one; a second one is refused, and so are too many copies, as RE2 does."""
         self.empty = False
         copies, self.last_copies = self.last_copies, 1
-        found = _REPEAT.match(self.pattern, self.at)
+        found = REPEAT.match(self.pattern, self.at)
         if found and found["least"]:
             least, most = int(found["least"]), int(found["most"] or found["least"])
             if least > most or most * copies > _COPIES:
@@ -100,7 +100,7 @@ class _Translator:
         if self.pattern.startswith("?", self.at):
             self.out.append("?")
             self.at += 1
-        if _REPEAT.match(self.pattern, self.at):
+        if REPEAT.match(self.pattern, self.at):
             self.refuse("a repetition of a repetition")
 
     def escape(self, meanings: dict) -> str:
