@@ -27,8 +27,8 @@ MOST_BANDS = 200_000
 
 # Words of a passage; one changed word costs 5 of some 50 shingles, so up to two may change and the passage still counts.
 PASSAGE = 50
-# Bands are looked up by their lowest bits.
-BUCKETS = 1 << 18
+# Shingles and bands are looked up by their lowest bits.
+BUCKETS = 1 << 16
 
 # License notices as their publishers word them.
 SHORT = {
@@ -144,11 +144,14 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def bands(shingles: Column, wanted=None) -> Column:
-    """Bands of all windows, or only those that ``wanted`` takes; a single shingle is a window by itself."""
+    """Bands of all windows, or of those with a ``wanted`` shingle; a single shingle is a window by itself."""
     rest = F.greatest(F.size(shingles) - 1, F.lit(1))
     before, after = (F.when(F.size(shingles) > 1, F.slice(shingles, start, rest)).otherwise(shingles) for start in (1, 2))
-    lesser = lambda seed: F.zip_with(before, after, lambda x, y: F.least(x.bitwiseXOR(F.lit(seed)), y.bitwiseXOR(F.lit(seed))))
-    return F.concat(*[lesser(seed) if wanted is None else F.filter(lesser(seed), wanted) for seed in SEEDS])
+    windows = F.zip_with(before, after, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    if wanted is not None:
+        windows = F.filter(windows, lambda w: wanted(w["x"]) | wanted(w["y"]))
+    lesser = lambda w, seed: F.least(w["x"].bitwiseXOR(F.lit(seed)), w["y"].bitwiseXOR(F.lit(seed)))
+    return F.flatten(F.transform(windows, lambda w: F.array(*[lesser(w, seed) for seed in SEEDS])))
 
 
 def templates(spark: SparkSession, notices: dict[str, str] | None = None) -> DataFrame:
@@ -159,6 +162,18 @@ def templates(spark: SparkSession, notices: dict[str, str] | None = None) -> Dat
     ).filter("size(own) > 0")
 
 
+def _bucket(value: Column) -> Column:
+    return value.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _buckets(values) -> list[list[int]]:
+    """The values by their lowest bits."""
+    out: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for x in sorted(values):
+        out[x & BUCKETS - 1].append(x)
+    return out
+
+
 def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, id_column="doc_id", text_column="text", contained=CONTAINED) -> DataFrame:
     """doc_id, n_licenses, licenses (names sorted, joined by commas) of every whole text.
 
@@ -176,36 +191,34 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, id_col
     made = frame.select("doc_id", shingle_hashes(F.col("text")).alias("made"))
     if not known:
         return made.select("doc_id", F.lit(0).cast("bigint").alias("n_licenses"), F.lit("").alias("licenses"))
-    # By a band's lowest bits: the bands, and beside them the templates that each retrieves.
+    # A band is a shingle of its window, so a window without any shingle of the templates has no band of theirs:
+    # bands are made of the other windows only, and of no window in most texts.
+    shingles = {x for t in known for x in t["own"]}
+    sieve = constant(_buckets(shingles), "array<array<bigint>>")
+    ours = lambda x: F.array_contains(F.get(sieve, _bucket(x)), x)
+    made = made.select("doc_id", "made", F.filter("made", ours).alias("hits"))
+    some = F.size("hits") > 0
+    found = made.select("doc_id", "hits", F.when(some, F.array_distinct(bands(F.col("made"), ours))).alias("met"))
+    # The templates that each band retrieves.
     retrieves: dict[int, list[int]] = {}
     for i, t in enumerate(known):
         for band in set(t["bands"]):
             retrieves.setdefault(band, []).append(i)
-    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for band in sorted(retrieves):
-        buckets[band & BUCKETS - 1].append(band)
+    buckets = _buckets(retrieves)
     table = constant(buckets, "array<array<bigint>>")
     lists = constant([[retrieves[band] for band in bucket] for bucket in buckets], "array<array<array<int>>>")
     collection = constant([{"license": t["license"], "own": t["own"]} for t in known], "array<struct<license:string,own:array<bigint>>>")
-    bucket = lambda band: band.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    ours = lambda band: F.array_contains(F.get(table, bucket(band)), band)
-    found = made.select("doc_id", "made", F.array_distinct(bands(F.col("made"), ours)).alias("met"))
 
     def retrieved(band):
-        place = F.array_position(F.get(table, bucket(band)), band).cast("int") - 1
-        return F.get(F.get(lists, bucket(band)), place)
-
-    # Only what a band has retrieved is compared. What a text holds of it is bound to variables, so that it is made once.
-    def confirmed(some):
-        candidates = F.transform(some["ids"], lambda i: F.get(collection, i))
-        held = F.array_intersect(F.flatten(F.transform(candidates, lambda t: t["own"])), some["made"])
-
-        def named(bound):
-            enough = lambda t: F.size(F.array_intersect(bound["held"], t["own"])) >= contained * F.size(t["own"]) - 1e-9
-            return F.sort_array(F.transform(F.filter(bound["candidates"], enough), lambda t: t["license"]))
+        place = F.array_position(F.get(table, _bucket(band)), band).cast("int")
+        return F.when(place > 0, F.get(F.get(lists, _bucket(band)), place - 1)).otherwise(F.array().cast("array<int>"))
 
-        return F.transform(F.array(F.struct(candidates.alias("candidates"), held.alias("held"))), named)[0]
+    # Only what a band has retrieved is compared. What a text holds is bound to a variable so that it is made once.
+    def confirmed(text):
+        enough = lambda t: F.size(F.array_intersect(text["hits"], t["own"])) >= contained * F.size(t["own"]) - 1e-9
+        candidates = F.transform(text["ids"], lambda i: F.get(collection, i))
+        return F.sort_array(F.transform(F.filter(candidates, enough), lambda t: t["license"]))
 
     ids = F.array_distinct(F.flatten(F.transform("met", retrieved)))
-    names = F.when(F.size("met") > 0, F.transform(F.array(F.struct(ids.alias("ids"), "made")), confirmed)[0]).otherwise(F.array().cast("array<string>"))
+    names = F.when(some, F.transform(F.array(F.struct(ids.alias("ids"), F.array_distinct("hits").alias("hits"))), confirmed)[0]).otherwise(F.array().cast("array<string>"))
     return found.select("doc_id", names.alias("names")).select("doc_id", F.size("names").cast("bigint").alias("n_licenses"), F.array_join("names", ",").alias("licenses"))
