@@ -124,4 +124,5 @@ def test_registered_queries_give_a_row_for_each_document(spark):
 
 QUERIES_IN_ORDER = (
     "op1_toxicity", "op2_licenses", "op3_secrets", "op4_chat", "op5_bpe", "op6_token_counts", "op7_decontaminate", "op8_fingerprints", "op9_lm_scores", "op10_neardup",
+    "op11_whitening", "op12_alignment", "op13_quality",
 )
