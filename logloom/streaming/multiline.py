@@ -96,12 +96,12 @@ class OpenEntries:
         """(source, line_no, message) of ended entries (source, line_no, since, text), whose pieces of
         batches before ``batch`` come before ``text``, if there is any."""
         first = ended.agg(F.min("since")).first()[0]
-        folders = [n for n in self._numbers("pieces") if first is not None and first <= n < batch]
-        pieces = [self.spark.read.schema(_PIECES).parquet(self._folder("pieces", n)).withColumn("batch", F.lit(n)) for n in folders]
-        texts = ended.filter("text IS NOT NULL").select(*_KEY, F.lit(batch).alias("batch"), "text")
-        earlier = ended.filter(F.col("since") < batch).select(*_KEY)
-        for piece in pieces:
-            texts = texts.unionByName(piece.join(earlier, _KEY, "left_semi").select(*_KEY, "batch", "text"))
+        folders = [self._folder("pieces", n) for n in self._numbers("pieces") if first is not None and first <= n < batch]
+        texts = ended.filter("text IS NOT NULL").select(*_KEY, F.lit(batch).cast("bigint").alias("batch"), "text")
+        if folders:
+            pieces = self.spark.read.schema(f"{_PIECES}, batch bigint").option("basePath", f"{self.path}/pieces").parquet(*folders)
+            earlier = ended.filter(F.col("since") < batch).select(*_KEY)
+            texts = texts.unionByName(pieces.join(earlier, _KEY, "left_semi").select(*_KEY, "batch", "text"))
         parts = F.array_sort(F.collect_list(F.struct("batch", "text")))
         return texts.groupBy(*_KEY).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("message"))
 
