@@ -27,6 +27,15 @@ def _exploded(words: DataFrame, left_out: int) -> DataFrame:
     return rows.withColumn("spelling", F.explode(F.transform("_cut", lambda s: F.xxhash64(s)))).drop("_cut")
 
 
+def _pairs(names: DataFrame, words: DataFrame, distance: int) -> DataFrame:
+    """(target, name) that lie exactly so far apart, some of them repeated."""
+    left = _exploded(names, distance).select("name", "spelling")
+    right = _exploded(words, distance).select("target", "spelling")
+    # Sizes are estimated before the rows are multiplied; without the hint a side would be broadcast.
+    met = right.join(left.hint("merge"), "spelling")
+    return met.filter(F.levenshtein(F.lower("target"), F.lower("name"), distance) == distance).select("target", "name")
+
+
 def similar_names(
     candidates: DataFrame, targets: DataFrame, max_distance: int = SIMILAR_DISTANCE, keep: int = SIMILAR_KEEP
 ) -> DataFrame:
@@ -46,12 +55,9 @@ def similar_names(
     words = words.withColumn("low", F.lower("target"))
     found, open_words = None, words
     for d in range(max_distance + 1):
-        left = _exploded(names, d).withColumnRenamed("low", "name_low")
-        right = _exploded(open_words, d).withColumnRenamed("low", "target_low")
-        pairs = right.join(left, "spelling").filter(F.levenshtein(F.col("target_low"), F.col("name_low"), d) == d)
         nearest = Window.partitionBy("target").orderBy("name")
         step = (
-            pairs.select("target", "name").distinct()
+            _pairs(names, open_words, d).distinct()
             .withColumn("_rank", F.row_number().over(nearest))
             .filter(F.col("_rank") <= keep)
             .select("target", "name", F.lit(d).alias("distance"))

@@ -20,7 +20,7 @@ from logloom.operators.lookup import get_records, missing_ptrs, ptr_candidates,
 from logloom.operators.metrics import metric_catalog, metric_names, metric_stats, with_spike_level
 from logloom.operators.projections import dimension_text, extra_fields, order_stats_columns, rfc3339_text, to_export
 from logloom.operators.ranking import dedup_events, keep_latest, newest, result_index
-from logloom.operators.similar import similar_names
+from logloom.operators.similar import _pairs, similar_names
 from logloom.operators.sinks import read_csv_export, write_entries
 from logloom.plans.ordered import number_rows
 from logloom.schemas import CASES, ENTRY, EVIDENCE, METRICS, TIMELINE
@@ -233,6 +233,17 @@ def test_similar_names_against_brute_force(spark):
         assert got.get(t, []) == [x for x in near if x[0] <= 3][:3], t
 
 
+@pytest.mark.parametrize("distance", range(4))
+def test_spellings_are_never_broadcast(spark, tmp_path, distance):
+    # A small file, whose spellings are hundreds of times as many.
+    spark.createDataFrame([(f"Customer#{i:09}", f"Custmer#{i:09}") for i in range(50)], "name string, target string").write.parquet(f"{tmp_path}/names")
+    rows = spark.read.parquet(f"{tmp_path}/names").withColumns({"low": F.lower("name"), "target_low": F.lower("target")})
+    names, words = rows.select("name", "low"), rows.select("target", F.col("target_low").alias("low"))
+    pairs = _pairs(names, words, distance)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_dedup(entries):
     df = entries((0, "a"), (0, "a"), (0.001, "a"), (0, "b"))
     assert dedup_events(df).count() == 3
