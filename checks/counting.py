@@ -215,7 +215,8 @@ SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN print
   ELSE printf('%.1f TB', b / 1099511627776.0) END AS size
 FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * o_orderkey * 64 AS BIGINT) AS b FROM orders)""")
 def sizes(spark, sf):
-    key = F.col("o_orderkey")
+    # The cube of a large key is no 64-bit number.
+    key = F.col("o_orderkey").cast("decimal(38,0)")
     return table(spark, sf, "orders").select("o_orderkey", format_bytes(key * key * key * 64).alias("size"))
 
 

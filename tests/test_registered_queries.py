@@ -43,3 +43,12 @@ def test_query(spark, db, name):
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
+
+
+def test_sizes_beyond_64_bits(spark, tmp_path):
+    keys = [0, 1, 5, 3000, 524_287, 524_288, 9_000_000, 54_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: r["size"] for r in QUERIES["format_sizes"](spark, str(tmp_path)).collect()}
+    assert got == {
+        0: "0 B", 1: "64 B", 5: "7.8 KB", 3000: "1.6 TB", 524_287: "8.0 EB", 524_288: "8.0 EB", 9_000_000: "40467.6 EB", 54_000_000: "8741007.9 EB",
+    }
