@@ -5,13 +5,11 @@ of 128 bits, once for each time it occurs (so terms weigh by frequency). The vot
 counted as sums of two 32-bit fields at a time, which no text can overflow. Fingerprints within the radius
 are found through permuted block tables: cut into more blocks than bits may differ, two
 such fingerprints agree in some choice of blocks; each choice is a table keyed by them.
-That is exact but only for a few bits. Near copies are further apart (``WIDE``), where no
-choice of blocks is exact and small: tables of sampled bits, asked with up to one bit
-turned over, retrieve candidates, and each is verified by its distance.
+Near copies are further apart (``WIDE``) than there are blocks: there each block is a
+table, asked with a few bits turned over. Both find every pair, and no other.
 """
 
 import math
-import random
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -28,8 +26,8 @@ SIMILARITY = 0.8
 TURNED = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 # 29: 2.4 deviations more. 99.4 % of pairs at 0.8 are within it; of unrelated texts (64 bits) some 3e-10.
 WIDE = int(128 * TURNED + 2.4 * math.sqrt(128 * TURNED * (1 - TURNED)))
-# So many tables, each of so many sampled bits, of which one may differ.
-TABLES, SAMPLED = 32, 18
+# Each half in blocks of these widths; of all ten, a pair within WIDE = 29 has one that differs in 2 bits at most.
+WIDE_BLOCKS = (13, 13, 13, 13, 12)
 FIELDS = 0x0000000100000001
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -132,46 +130,44 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sampled_bits() -> list[list[int]]:
-    """The bits of each table, the same in every session; 0 .. 63 are h1's, 64 .. 127 h0's."""
-    drawn = random.Random(128)
-    return [sorted(drawn.sample(range(128), SAMPLED)) for _ in range(TABLES)]
+def turned_blocks(width: int, turned: int) -> list[int]:
+    """The ways to turn over up to ``turned`` bits of a block, as numbers to XOR it with; the first turns none."""
+    return [sum(1 << i for i in bits) for k in range(turned + 1) for bits in combinations(range(width), k)]
 
 
-def masks_of(bits: list[int]) -> tuple[int, int]:
-    """The bits as masks of h0 and h1."""
-    whole = sum(1 << b for b in bits)
-    return signed(whole >> 64), signed(whole & (1 << 64) - 1)
+def wide_blocks(h0: Column, h1: Column) -> list[Column]:
+    """The blocks of WIDE_BLOCKS, half of them of either number, each with its number above its bits."""
+    out = []
+    for half in (h0, h1):
+        at = 64
+        for width in WIDE_BLOCKS:
+            at -= width
+            out.append(F.shiftrightunsigned(half, at).bitwiseAND(F.lit((1 << width) - 1)).cast("int").bitwiseOR(F.lit(len(out) << 16)))
+    return out
 
 
 def within_wide_radius(queries: DataFrame, prints: DataFrame, radius=WIDE) -> DataFrame:
-    """Pairs of distinct fingerprints (q0, q1) of ``queries`` and (h0, h1) of ``prints`` that differ in at most ``radius`` bits.
+    """All pairs of distinct fingerprints (q0, q1) of ``queries`` and (h0, h1) of ``prints`` that differ in at most ``radius`` bits.
 
-    Every pair given is within the radius. A pair is found if in some table at most one of
-    the SAMPLED bits differs: of pairs 13 bits apart all but 2e-8, at 19 bits 99.9 %, at 25
-    bits 95 %, at 29 bits 80 %. Each fingerprint of ``prints`` is sent TABLES times, each of
-    ``queries`` (SAMPLED + 1) * TABLES times.
+    Exact: of the ten blocks of two such fingerprints one differs in at most a tenth of the
+    radius, rounded down. Each block is a table; ``queries`` ask it with up to so many bits
+    turned over. Each fingerprint of ``prints`` is sent 10 times, each of ``queries`` 894
+    times at radius 29. Unrelated fingerprints meet with a chance of 0.13; each pair that
+    meets is verified by its distance.
     """
-    bits = sampled_bits()
-    masks = [masks_of(b) for b in bits]
-    keyed = lambda t, a0, a1: F.xxhash64(F.lit(t), a0.bitwiseAND(F.lit(masks[t][0])), a1.bitwiseAND(F.lit(masks[t][1])))
-    p = prints.select("h0", "h1").distinct().select("h0", "h1", F.explode(F.array(*[keyed(t, F.col("h0"), F.col("h1")) for t in range(TABLES)])).alias("other"))
-    # The sampled bits to turn over, one after another; -1 turns none.
-    turns = F.array(*[F.struct(F.lit(t).alias("t"), F.lit([-1, *b]).alias("bits")) for t, b in enumerate(bits)])
-    m0, m1 = (F.lit([m[k] for m in masks]).cast("array<bigint>") for k in (0, 1))
+    turned = radius // (2 * len(WIDE_BLOCKS))
+    p = prints.select("h0", "h1").distinct().select("h0", "h1", F.explode(F.array(*wide_blocks(F.col("h0"), F.col("h1")))).alias("other"))
     q = queries.select(F.col("h0").alias("q0"), F.col("h1").alias("q1")).distinct()
-    q = q.select("q0", "q1", F.explode(turns).alias("of")).select("q0", "q1", "of.t", F.explode("of.bits").alias("bit"))
-    turn0 = F.when(F.col("bit") >= 64, F.expr("shiftleft(1L, bit - 64)")).otherwise(F.lit(0).cast("bigint"))
-    turn1 = F.when(F.col("bit").between(0, 63), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("bigint"))
-    own0 = F.col("q0").bitwiseXOR(turn0).bitwiseAND(F.get(m0, F.col("t")))
-    own1 = F.col("q1").bitwiseXOR(turn1).bitwiseAND(F.get(m1, F.col("t")))
-    q = q.select("q0", "q1", "t", F.xxhash64("t", own0, own1).alias("block"))
+    ways = [F.struct(b.alias("own"), F.lit(turned_blocks(w, turned)).alias("turns")) for w, b in zip(2 * WIDE_BLOCKS, wide_blocks(F.col("q0"), F.col("q1")), strict=True)]
+    q = q.select("q0", "q1", F.inline(F.array(*ways))).select("q0", "q1", "own", F.explode("turns").alias("turn"))
+    q = q.select("q0", "q1", F.col("own").bitwiseXOR(F.col("turn")).alias("block"))
     x0, x1 = F.col("q0").bitwiseXOR(F.col("h0")), F.col("q1").bitwiseXOR(F.col("h1"))
     near = F.bit_count(x0) + F.bit_count(x1) <= radius
     # Only the first table that holds a pair gives it.
-    first = F.coalesce(*[F.when(F.bit_count(x0.bitwiseAND(F.lit(a))) + F.bit_count(x1.bitwiseAND(F.lit(b))) <= 1, F.lit(t)) for t, (a, b) in enumerate(masks)])
+    apart = [b.bitwiseAND(F.lit(0xFFFF)) for b in wide_blocks(x0, x1)]
+    first = F.coalesce(*[F.when(F.bit_count(b) <= turned, F.lit(t)) for t, b in enumerate(apart)])
     # Sizes are estimated before the rows are multiplied; without the hint a side could be broadcast.
-    return q.join(p.hint("merge"), (q["block"] == p["other"]) & near & (first == F.col("t"))).select("q0", "q1", "h0", "h1")
+    return q.join(p.hint("merge"), (q["block"] == p["other"]) & near & (first == F.shiftright("block", 16))).select("q0", "q1", "h0", "h1")
 
 
 def neighbours(docs: DataFrame, id_column="doc_id", text_column="text", chunks: int | None = None) -> DataFrame:

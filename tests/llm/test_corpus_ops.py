@@ -374,6 +374,19 @@ def test_wide_radius_search_gives_only_pairs_within_it(spark):
     assert len(set(close) & set(found)) >= 0.97 * len(close)
 
 
+def test_wide_radius_search_finds_every_pair(spark):
+    random.seed(10)
+    base = [random.getrandbits(128) for _ in range(30)]
+    far = [b ^ sum(1 << i for i in random.sample(range(128), flips)) for b in base for flips in (25, 27, 28, 29, 29, 29, 30)]
+    as_rows = lambda found: spark.createDataFrame([(fingerprint.signed(p >> 64), fingerprint.signed(p & (1 << 64) - 1)) for p in found], "h0 bigint, h1 bigint")
+    for radius in (fingerprint.WIDE, 9, 0):
+        pairs = fingerprint.within_wide_radius(as_rows(base), as_rows(base + far), radius)
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+        found = [tuple(x % (1 << 64) for x in r) for r in pairs.collect()]
+        got = {(a << 64 | b, c << 64 | d) for a, b, c, d in found}
+        assert len(got) == len(found) and got == {(b, f) for b in base for f in base + far if (b ^ f).bit_count() <= radius}
+
+
 def test_very_long_words(spark, docs):
     random.seed(8)
     rows = [(1, "".join(random.choices("etaoinshrdlu", k=200_000))), (2, "".join(random.choices("的一是不了人我在有他", k=30_000))), (3, "the " * 1000)]
