@@ -1,9 +1,12 @@
 """Exports. Every sink writes a folder, one file per task."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.operators.projections import dimension_text, to_export, to_export_flat, utc_text
 
+# Folders that the cases of an export are dealt over: a folder for each would be as many as there are cases.
+CASE_FOLDERS = 64
+
 _SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -86,14 +89,29 @@ def write_catalog(catalog: DataFrame, path: str, fmt: str = "json", mode: str =
     _write(catalog_export(catalog, fmt), path, fmt, mode)
 
 
+def case_folder(case_id: Column) -> Column:
+    """The number of the folder that holds a case, the whole of it."""
+    return F.pmod(F.crc32(F.coalesce(case_id, F.lit(""))), F.lit(CASE_FOLDERS)).cast("int")
+
+
+def _write_cases(df: DataFrame, path: str, mode: str) -> None:
+    _write(df.withColumn("folder", case_folder(F.col("case_id"))), path, "json", mode, by=("folder",))
+
+
+def read_case(spark: SparkSession, path: str, schema: str, case_id: str) -> DataFrame:
+    """The rows of one case from ``write_report`` or ``write_evidence``; only its folder is read."""
+    rows = spark.read.schema(f"{schema}, folder int").json(path)
+    return rows.filter((F.col("folder") == case_folder(F.lit(case_id))) & (F.col("case_id") == case_id)).drop("folder")
+
+
 def write_report(report: DataFrame, path: str, mode: str = "error") -> None:
-    """K7: report rows as JSON lines, one folder per case."""
-    _write(report, path, "json", mode, by=("case_id",))
+    """K7: report rows as JSON lines, each case in one of CASE_FOLDERS folders."""
+    _write_cases(report, path, mode)
 
 
 def write_evidence(evidence: DataFrame, path: str, mode: str = "error") -> None:
-    """K8: evidence as JSON lines, one folder per case."""
-    _write(evidence, path, "json", mode, by=("case_id",))
+    """K8: evidence as JSON lines, each case in one of CASE_FOLDERS folders."""
+    _write_cases(evidence, path, mode)
 
 
 def append_timeline(rows: DataFrame, path: str) -> None:

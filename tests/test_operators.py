@@ -21,7 +21,7 @@ from logloom.operators.metrics import metric_catalog, metric_names, metric_stats
 from logloom.operators.projections import dimension_text, extra_fields, order_stats_columns, rfc3339_text, to_export
 from logloom.operators.ranking import dedup_events, keep_latest, newest, result_index
 from logloom.operators.similar import _pairs, similar_names
-from logloom.operators.sinks import read_csv_export, write_entries
+from logloom.operators.sinks import CASE_FOLDERS, read_case, read_csv_export, write_entries, write_evidence, write_report
 from logloom.plans.ordered import number_rows
 from logloom.schemas import CASES, ENTRY, EVIDENCE, METRICS, TIMELINE
 
@@ -466,3 +466,16 @@ def test_times_do_not_depend_on_the_session_zone(spark, lines):
         assert (row["u"], row["t"]) == (1736937045000000, "2025-01-15T10:30:45Z")
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("write", [write_report, write_evidence])
+def test_many_cases_make_few_folders(spark, tmp_path, write):
+    rows = [(f"case-{i}", n, f"é {i}.{n}") for i in range(3 * CASE_FOLDERS) for n in range(3)] + [(None, 0, "no case")]
+    schema = "case_id string, number bigint, body string"
+    write(spark.createDataFrame(rows, schema), f"{tmp_path}/out")
+    assert len([f for f in (tmp_path / "out").iterdir() if f.is_dir()]) <= CASE_FOLDERS
+    back = spark.read.schema(schema).json(f"{tmp_path}/out")
+    assert sorted(map(str, rows)) == sorted(str((r["case_id"], r["number"], r["body"])) for r in back.collect())
+    one = read_case(spark, f"{tmp_path}/out", schema, "case-77")
+    assert sorted(map(tuple, one.collect())) == [r for r in rows if r[0] == "case-77"]
+    assert len({r[0] for r in one.select("_metadata.file_path").collect()}) == 1
