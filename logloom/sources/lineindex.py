@@ -8,12 +8,15 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logloom.plans.sizing import small_side
 from logloom.session import is_there
 from logloom.sources.detect import FILES_AT_ONCE
-from logloom.sources.lines import LineScan, file_streams
+from logloom.sources.lines import LineScan, file_streams, literal_path, read_lines
 
 SPLIT_BYTES = 4 << 20
 STEP_BYTES = 1 << 18
+# Lines that the driver looks up one by one.
+SEEKS = 100
 _SCHEMA = "source string, chunk bigint, lines_before bigint, size bigint, changed bigint"
 
 
@@ -77,23 +80,29 @@ def indexed_lines(spark: SparkSession, wanted: list[tuple[str, int]], path: str)
     """(source, line_no, line) of the wanted lines that exist, as many as the caller listed.
 
     Reads the index rows of their files, and of each file from the split that holds a line up to this line.
+    More than SEEKS lines come from one scan of their files by all executors instead.
     """
     if not is_there(spark, path):
         raise FileNotFoundError(path)
-    asked = spark.createDataFrame(sorted(set(wanted)), "source string, line_no bigint")
+    wanted = sorted(set(wanted))
+    asked = spark.createDataFrame(wanted, "source string, line_no bigint")
     names = sorted({s for s, _ in wanted})
     index = spark.read.schema(_SCHEMA).parquet(path).filter(F.col("source").isin(names))
-    # The last split with fewer lines before it than the wanted number. Splits without a line of their own have as many as the next.
-    near = index.join(F.broadcast(asked), "source").filter(F.col("lines_before") < F.col("line_no"))
-    found = near.groupBy("source", "line_no").agg(F.max(F.struct("lines_before", "chunk")).alias("at"), F.max("size").alias("size"), F.max("changed").alias("changed")).collect()
-    missing = sorted(set(names) - {r["source"] for r in index.select("source").distinct().collect()})
+    known = {r["source"]: (r["size"], r["changed"]) for r in index.select("source", "size", "changed").distinct().collect()}
+    missing = sorted(set(names) - set(known))
     if missing:
         raise ValueError(f"not in the index: {', '.join(missing)}")
-    for source, known in {r["source"]: (r["size"], r["changed"]) for r in found}.items():
+    for source in names:
         at, files = _file(spark, source)
         now = files.getFileStatus(at)
-        if (now.getLen(), now.getModificationTime()) != known:
+        if (now.getLen(), now.getModificationTime()) != known[source]:
             raise ValueError(f"{source} has changed since it was indexed")
+    if len(wanted) > SEEKS:
+        lines = read_lines(spark, [literal_path(s) for s in names])
+        return lines.join(small_side(asked, len(wanted)), ["source", "line_no"], "left_semi").select("source", "line_no", "line")
+    # The last split with fewer lines before it than the wanted number. Splits without a line of their own have as many as the next.
+    near = index.join(F.broadcast(asked), "source").filter(F.col("lines_before") < F.col("line_no"))
+    found = near.groupBy("source", "line_no").agg(F.max(F.struct("lines_before", "chunk")).alias("at")).collect()
     with ThreadPoolExecutor(FILES_AT_ONCE) as pool:
         lines = list(pool.map(lambda r: read_line(spark, r["source"], r["at"]["chunk"], r["line_no"] - r["at"]["lines_before"] - 1), found))
     rows = [(r["source"], r["line_no"], line) for r, line in zip(found, lines, strict=True) if line is not None]

@@ -308,6 +308,29 @@ def test_lines_are_found_by_their_index(spark, tmp_path, monkeypatch, split, ste
         lineindex.indexed_lines(spark, [(str(tmp_path / "b.log"), 1)], index)
 
 
+@pytest.mark.parametrize("seeks", [0, 1000])
+def test_many_lines_are_looked_up_by_a_scan(spark, tmp_path, monkeypatch, seeks):
+    monkeypatch.setattr(lineindex, "SEEKS", seeks)
+    if not seeks:
+        monkeypatch.setattr(lineindex, "read_line", None)  # no line is read by the driver
+    lines = [f"line {i} é" + ("\r" if i % 5 == 0 else "") for i in range(300)] + ["", "last"]
+    (tmp_path / "a b{1}.log").write_bytes("\n".join(lines).encode() + b"\n\xff")
+    with gzip.open(tmp_path / "c.log.gz", "wt", newline="") as f:
+        f.write("\n".join(lines[:50]))
+    (tmp_path / "other.log").write_text("other\n" * 300)
+    index = str(tmp_path / "index")
+    lineindex.write_index(spark, str(tmp_path / "*.log*"), index, 500)
+    sizes = {str(tmp_path / "a b{1}.log"): lines + ["\ufffd"], str(tmp_path / "c.log.gz"): lines[:50]}
+    wanted = [(s, n) for s in sizes for n in [*range(-1, 305, 3), 302, 303, 304, 9999]]
+    got = [tuple(r) for r in lineindex.indexed_lines(spark, wanted, index).collect()]
+    assert sorted(got) == sorted({(s, n, sizes[s][n - 1].removesuffix("\r")) for s, n in wanted if 0 < n <= len(sizes[s])})
+    with pytest.raises(ValueError, match="not in the index"):
+        lineindex.indexed_lines(spark, [(str(tmp_path / "new.log"), 1)], index)
+    (tmp_path / "c.log.gz").write_bytes(b"other\n")
+    with pytest.raises(ValueError, match="has changed"):
+        lineindex.indexed_lines(spark, wanted, index)
+
+
 def test_a_look_up_reads_two_splits_at_most(spark, tmp_path):
     with open(tmp_path / "long.log", "w") as f:
         f.writelines(f"line {i} of a long file\n" for i in range(400_000))
