@@ -13,6 +13,7 @@ from logloom.operators.filters import report_filter, status_filter
 from logloom.operators.lookup import lookup_provenance
 from logloom.plans.ordered import number_rows
 from logloom.schemas import EVIDENCE, TIMELINE
+from logloom.session import cut_lineage
 
 
 def case_stats(timeline: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -127,7 +128,8 @@ def collect_evidence(
         full = lookup_provenance(full, index)
     else:
         full = full.withColumns({c: F.lit(None).cast("string") for c in ("source_uri", "source_type", "profile", "account_id")})
-    numbered = number_rows(full, ["case_id"], "seq", "number")
+    # Numbers take passes of their own and serve two results: the joins above run once.
+    numbered = number_rows(cut_lineage(full), ["case_id"], "seq", "number")
     own = source_address(F.col("_source"), F.col("ptr"), F.col("fields"))
     known = F.when(
         F.coalesce("source_uri", F.lit("")) != "",

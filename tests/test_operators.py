@@ -479,3 +479,32 @@ def test_many_cases_make_few_folders(spark, tmp_path, write):
     one = read_case(spark, f"{tmp_path}/out", schema, "case-77")
     assert sorted(map(tuple, one.collect())) == [r for r in rows if r[0] == "case-77"]
     assert len({r[0] for r in one.select("_metadata.file_path").collect()}) == 1
+
+
+def counted_reads(spark, df, column):
+    """``df`` with an accumulator that counts how often its rows are worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(look, "string").asNondeterministic()(F.col(column))), seen
+
+
+def test_collected_evidence_is_joined_once(spark):
+    logs = spark.createDataFrame([(ts(2024, 1, 1), f"m{i}", "s", "/a.log", i, f"file:///a.log#{i}", {}) for i in range(1, 21)], ENTRY)
+    logs, seen = counted_reads(spark, logs, "message")
+    picks = spark.createDataFrame([("c", f"file:///a.log#{i}", None, i) for i in range(1, 11)], "case_id string, ptr string, annotation string, seq bigint")
+    new, actions = C.collect_evidence(logs, picks, spark.createDataFrame([], EVIDENCE), spark.createDataFrame([], TIMELINE), "2024-03-01T00:00:00Z")
+    assert sorted(r["seq"] for r in new.collect()) == sorted(r["seq"] for r in actions.collect()) == list(range(1, 11))
+    assert seen.value <= 20
+
+
+def test_pointers_are_resolved_from_one_reading_of_the_endings(spark):
+    index, seen = counted_reads(spark, spark.createDataFrame([(i, f"{i:03}end") for i in range(1, 41)], "idx int, ptr string"), "ptr")
+    refs = spark.createDataFrame([("@012end",), ("@end",), ("@none",)], "ref string")
+    got = {r["ref"]: (r["status"], r["ptr"], r["matches"]) for r in resolve_ptrs(refs, index, chunk_rows=5).collect()}
+    assert got == {"@012end": ("resolved", "012end", 1), "@end": ("ambiguous", None, 40), "@none": ("missing", None, 0)}
+    # Once for the endings, once for the places.
+    assert seen.value <= 80
