@@ -31,7 +31,7 @@ def _arriving(spark, df, files=4):
 
 def _in_order(spark, df, by, steps=3, files=2):
     """The rows of ``df`` as a stream that arrives in the order of a whole-numbered column, a step a batch."""
-    folder = fresh_folder(spark, "arriving")
+    folder, df = fresh_folder(spark, "arriving"), cut_lineage(df)
     low, high = df.agg(F.min(by), F.max(by)).first()
     for k in range(steps):
         first, end = (low + (high + 1 - low) * i // steps for i in (k, k + 1))

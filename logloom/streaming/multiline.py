@@ -95,15 +95,20 @@ class OpenEntries:
     def whole(self, ended: DataFrame, batch: int) -> DataFrame:
         """(source, line_no, message) of ended entries (source, line_no, since, text), whose pieces of
         batches before ``batch`` come before ``text``, if there is any."""
-        first = ended.agg(F.min("since")).first()[0]
-        folders = [self._folder("pieces", n) for n in self._numbers("pieces") if first is not None and first <= n < batch]
-        texts = ended.filter("text IS NOT NULL").select(*_KEY, F.lit(batch).cast("bigint").alias("batch"), "text")
+        # What began in this batch is whole already and need not be gathered.
+        own = ended.filter((F.col("since") == batch) & F.col("text").isNotNull()).select(*_KEY, F.col("text").alias("message"))
+        older = ended.filter(F.col("since") < batch)
+        first = older.agg(F.min("since")).first()[0]
+        if first is None:
+            return own
+        folders = [self._folder("pieces", n) for n in self._numbers("pieces") if first <= n < batch]
+        texts = older.filter("text IS NOT NULL").select(*_KEY, F.lit(batch).cast("bigint").alias("batch"), "text")
         if folders:
             pieces = self.spark.read.schema(f"{_PIECES}, batch bigint").option("basePath", f"{self.path}/pieces").parquet(*folders)
-            earlier = ended.filter(F.col("since") < batch).select(*_KEY)
-            texts = texts.unionByName(pieces.join(earlier, _KEY, "left_semi").select(*_KEY, "batch", "text"))
+            texts = texts.unionByName(pieces.join(older.select(*_KEY), _KEY, "left_semi").select(*_KEY, "batch", "text"))
         parts = F.array_sort(F.collect_list(F.struct("batch", "text")))
-        return texts.groupBy(*_KEY).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("message"))
+        gathered = texts.groupBy(*_KEY).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("message"))
+        return own.unionByName(gathered)
 
 
 def tail_multiline(
@@ -131,23 +136,23 @@ def tail_multiline(
         # One moment for all that is asked about a batch.
         now = F.timestamp_micros(F.lit(time.time_ns() // 1000))
         earlier = state.open_after(batch_id - 1)
-        fresh = batch.filter("source IS NOT NULL").select("source", "line_no", "line", is_head.alias("_head"), now.alias("grown"), F.lit(batch_id).cast("bigint").alias("since"))
+        fresh = batch.filter("source IS NOT NULL").select("source", "line_no", "line", is_head.alias("_head"))
         # An open entry is a head without text, to which the lines before the next head go.
-        held = earlier.select("source", "line_no", F.lit(None).cast("string").alias("line"), F.lit(True).alias("_head"), "grown", "since")
-        stored = fresh_folder(spark, "lines")
-        fresh.unionByName(held).write.parquet(stored)
-        all_lines = spark.read.schema(fresh.schema).parquet(stored)
+        held = earlier.select("source", "line_no", F.lit(None).cast("string").alias("line"), F.lit(True).alias("_head"))
+        all_lines = fresh.unionByName(held)
         chunk = F.floor((F.col("line_no") - 1) / F.lit(CHUNK_LINES)).cast("bigint")
         placed = all_lines.select("source", chunk.alias("chunk"), F.col("line_no").alias("pos"), F.coalesce("line", F.lit("")).alias("line"), F.coalesce("_head", F.lit(False)).alias("_head"))
         joined = join_rows(placed, F.col("_head")).select("source", F.col("pos").alias("line_no"), "head", "rest")
-        known = earlier.select(*_KEY, F.col("since").alias("begun"))
+        known = earlier.select(*_KEY, F.col("since").alias("begun"), F.col("grown").alias("before"))
         text = F.when(F.col("begun").isNull(), F.concat_ws("\n", "head", "rest")).otherwise(F.col("rest"))
-        added = joined.join(known, _KEY, "left").select(*_KEY, F.coalesce("begun", F.lit(batch_id)).cast("bigint").alias("since"), text.alias("text"))
+        added = joined.join(known, _KEY, "left").select(*_KEY, F.coalesce("begun", F.lit(batch_id)).cast("bigint").alias("since"), text.alias("text"), "before")
         entries = fresh_folder(spark, "entries")
         added.write.parquet(entries)
         added = spark.read.schema(added.schema).parquet(entries)
-        ends = all_lines.groupBy("source").agg(F.max("grown").alias("grown"))
-        newest = added.groupBy("source").agg(F.max("line_no").alias("newest")).join(ends, "source")
+        # An entry without text is one that no line of this batch went to.
+        grown = F.max(F.when(F.col("text").isNotNull(), now).otherwise(F.col("before")))
+        newest = added.groupBy("source").agg(F.max("line_no").alias("newest"), grown.alias("grown"))
+        added = added.drop("before")
         told = added.join(newest, "source")
         still = F.col("line_no") == F.col("newest")
         if quiet is not None:
@@ -155,8 +160,7 @@ def tail_multiline(
         state.add(told.filter(still & F.col("text").isNotNull()).select(*_KEY, "text"), batch_id)
         sink(state.whole(told.filter(~still).select(*_KEY, "since", "text"), batch_id), batch_id)
         state.commit(told.filter(still).select(*_KEY, "since", "grown"), batch_id)
-        for folder in (stored, entries):
-            drop_folder(spark, folder)
+        drop_folder(spark, entries)
 
     query = (
         rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/stream")

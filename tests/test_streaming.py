@@ -13,7 +13,7 @@ from logloom.parsers.java import is_header
 from logloom.session import fresh_folder
 from logloom.streaming import tail as T
 from logloom.streaming.buckets import BucketTotals, watch_counts
-from logloom.streaming.multiline import tail_multiline
+from logloom.streaming.multiline import OpenEntries, tail_multiline
 from logloom.streaming.seen import dedup_newest
 
 NOW = {"availableNow": True}
@@ -307,3 +307,15 @@ def test_a_tick_reads_the_new_rows_only(spark, stream):
     read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
     # foreachBatch counts the rows of each of its reads: one.
     assert read == [200, 7]
+
+
+def test_entries_of_one_batch_are_not_gathered(spark, tmp_path):
+    state = OpenEntries(spark, str(tmp_path))
+    kinds = "source string, line_no bigint, since bigint, text string"
+    own = state.whole(spark.createDataFrame([("s", 1, 3, "a\nb"), ("t", 1, 3, "c")], kinds), 3)
+    assert "Aggregate" not in own._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, own.collect())) == [("s", 1, "a\nb"), ("t", 1, "c")]
+    for batch, text in ((1, "first"), (2, "second")):
+        state.add(spark.createDataFrame([("s", 1, text), ("u", 1, "other")], "source string, line_no bigint, text string"), batch)
+    ended = spark.createDataFrame([("s", 1, 1, "third"), ("s", 9, 3, "new"), ("u", 1, 1, None)], kinds)
+    assert sorted(map(tuple, state.whole(ended, 3).collect())) == [("s", 1, "first\nsecond\nthird"), ("s", 9, "new"), ("u", 1, "other\nother")]
