@@ -25,6 +25,8 @@ WINDOW = 2
 LAGS = 4
 FEATURES = 2 * DIM + LAGS + 1
 BLOCK = 1 << 20
+# Words whose vectors are gathered at a time, few enough for a core's cache.
+PART = 1 << 12
 THRESHOLD = 0.7
 # Runs of ASCII characters that are neither letters, digits nor white space.
 MARKS = byte_class(bytes(b for b in range(256) if not (33 <= b < 127 and not chr(b).isalnum())))
@@ -61,14 +63,16 @@ def index_vectors() -> np.ndarray:
 def add_contexts(sums: np.ndarray, places: np.ndarray, bins: np.ndarray, bounds: np.ndarray) -> None:
     """Add to each word's row of ``sums`` the index vectors of its neighbours in the same text, and at the end their number."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    width = DIM + 1
-    for gap in range(1, WINDOW + 1):
-        near = np.flatnonzero(text[gap:] == text[:-gap])
-        for word, other in ((bins[near], bins[near + gap]), (bins[near + gap], bins[near])):
-            at = word * width
-            for column, sign in zip(places.T, SIGNS, strict=True):
-                sums += sign * np.bincount(at + column[other], minlength=len(sums))
-            sums += np.bincount(at + DIM, minlength=len(sums))
+    near = [(gap, np.flatnonzero(text[gap:] == text[:-gap])) for gap in range(1, WINDOW + 1)]
+    # Pairs of words that follow each other more than once are added once, times their number. Each is added where it
+    # belongs, so a block costs by its words, not by the size of the table.
+    pair, times = np.unique(np.concatenate([(bins[i] << BINS_LOG) | bins[i + gap] for gap, i in near]), return_counts=True)
+    one, two, times = pair >> BINS_LOG, pair & ((1 << BINS_LOG) - 1), times.astype(sums.dtype)
+    for word, other in ((one, two), (two, one)):
+        at = word * (DIM + 1)
+        for column, sign in zip(places.T, SIGNS, strict=True):
+            np.add.at(sums, at + column[other], sign * times)
+        np.add.at(sums, at + DIM, times)
 
 
 class Vectors:
@@ -89,27 +93,30 @@ class Vectors:
         bins, bounds = tokens_of(raw, offsets)
         n = np.diff(bounds)
         out = np.zeros((len(n), FEATURES))
-        if len(bins) <= BLOCK:
-            parts = [(0, len(bins), np.flatnonzero(n))]
-        else:
-            # A long text is gathered in parts; each sees the words just after it too.
-            parts = [(at, min(at + BLOCK // 4, int(bounds[k + 1])), np.array([k])) for k in np.flatnonzero(n) for at in range(int(bounds[k]), int(bounds[k + 1]), BLOCK // 4)]
-        for at, end, texts in parts:
-            if not len(texts):
-                continue
-            ahead = min(end + LAGS, int(bounds[texts[-1] + 1]))
-            some = bins[at:ahead]
-            v, size = self.table[some], self.size[some]
-            starts = np.maximum(bounds[texts], at) - at
-            out[texts, :DIM] += np.add.reduceat(v[: end - at], starts, dtype=np.float64)
-            out[texts, DIM : 2 * DIM] += np.add.reduceat(v[: end - at] ** 2, starts, dtype=np.float64)
-            for gap in range(1, min(LAGS, len(some) - 1) + 1):
-                likeness = np.einsum("ij,ij->i", v[:-gap], v[gap:]) / (size[:-gap] * size[gap:])
-                total = np.concatenate([[0.0], np.cumsum(likeness, dtype=np.float64)])
-                # Pairs that begin in this part and end in the same text.
-                first = np.minimum(starts, len(total) - 1)
-                stops = np.maximum(np.minimum(bounds[texts + 1] - gap, end) - at, first)
-                out[texts, 2 * DIM + gap - 1] += total[stops] - total[first]
+        for a, b in text_blocks(bounds, PART):
+            # Only a text that is a block of its own has more than one part; each sees the words just after it too.
+            stop = int(bounds[b])
+            for at in range(int(bounds[a]), stop, PART):
+                end = min(at + PART, stop)
+                texts = a + np.flatnonzero(n[a:b])
+                starts = np.maximum(bounds[texts], at) - at
+                # The distinct words of each text, and how often it has them.
+                of_word = np.repeat(texts, np.diff(starts, append=end - at))
+                pair, times = np.unique((of_word << BINS_LOG) | bins[at:end], return_counts=True)
+                first = np.searchsorted(pair >> BINS_LOG, texts)
+                v = self.table.take(pair & ((1 << BINS_LOG) - 1), axis=0).astype(np.float64)
+                weighted = v * times[:, None]
+                out[texts, :DIM] += np.add.reduceat(weighted, first)
+                out[texts, DIM : 2 * DIM] += np.add.reduceat(weighted * v, first)
+                some = bins[at : min(end + LAGS, stop)]
+                unit = self.table.take(some, axis=0) / self.size.take(some)[:, None]
+                for gap in range(1, min(LAGS, len(some) - 1) + 1):
+                    likeness = np.einsum("ij,ij->i", unit[:-gap], unit[gap:])
+                    total = np.concatenate([[0.0], np.cumsum(likeness, dtype=np.float64)])
+                    # Pairs that begin in this part and end in the same text.
+                    begin = np.minimum(starts, len(total) - 1)
+                    stops = np.maximum(np.minimum(bounds[texts + 1] - gap, end) - at, begin)
+                    out[texts, 2 * DIM + gap - 1] += total[stops] - total[begin]
         full = n > 0
         out[full, : 2 * DIM] /= n[full, None]
         out[:, DIM : 2 * DIM] = np.sqrt(np.maximum(out[:, DIM : 2 * DIM] - out[:, :DIM] ** 2, 0))
@@ -132,7 +139,7 @@ def context_sums(docs: DataFrame, text_column="text") -> np.ndarray:
                 cuts = pa.array(np.arange(len(some) + 1) * (DIM + 1), pa.int32())
                 return {"bin": pa.array(some, pa.int64()), "row": pa.ListArray.from_arrays(cuts, pa.array(table[some].ravel(), pa.int32()))}
             raw, offsets = utf8(batch.column("text"))
-            for a, b in text_blocks(offsets, 4 * BLOCK):
+            for a, b in text_blocks(offsets, BLOCK):
                 add_contexts(sums, places, *tokens_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
             return {"bin": pa.array([], pa.int64()), "row": pa.array([], pa.list_(pa.int32()))}
 

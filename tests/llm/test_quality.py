@@ -71,6 +71,34 @@ def test_features_are_plain_means(block, monkeypatch):
         assert got[k] == pytest.approx(want, abs=2e-3)
 
 
+@pytest.mark.parametrize("part", [1, 2, 5])
+def test_texts_gathered_in_parts_have_the_features_of_whole_ones(part, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("w%d" % i for i in rng.integers(0, 9, n)) for n in (1, 2, 3, 4, 5, 11, 40)] + ["", "one", "same same same same same"]
+    vectors = quality.Vectors(rng.normal(size=(1 << quality.BINS_LOG, quality.DIM + 1)))
+    whole = vectors.features(*arrow(texts))
+    monkeypatch.setattr(quality, "PART", part)
+    assert vectors.features(*arrow(texts)) == pytest.approx(whole, abs=1e-5)
+
+
+def test_work_grows_with_the_words_not_with_the_table():
+    """Adding the contexts of few words makes no array of the table's size, pooling none of a vector for each word."""
+    import tracemalloc
+
+    words = 1 << 16
+    raw, offsets = arrow([" ".join(["some", "few", "words", "again"] * (words // 4))])
+    places, vectors = quality.index_places(), quality.Vectors(np.ones((1 << quality.BINS_LOG, quality.DIM + 1)))
+    few = quality.tokens_of(*arrow(["some few words"]))
+    sums = np.zeros((1 << quality.BINS_LOG) * (quality.DIM + 1))
+    for work, most in ((lambda: quality.add_contexts(sums, places, *few), 1 << 20), (lambda: vectors.features(raw, offsets), words * quality.DIM * 4)):
+        work()
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+
+
 def corpus(count=900):
     random.seed(2)
     words = ["".join(random.choices("abcdefgh", k=random.randint(2, 7))) for _ in range(300)]
