@@ -16,7 +16,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from logloom.llm.rows import map_rows, text_frame, texts_of
+from logloom.llm.rows import kept, map_rows, text_frame, texts_of
 
 # Words whose encoding a task remembers; beyond it the memory is begun anew.
 WORDS_KEPT = 200_000
@@ -201,9 +201,8 @@ class WordEncoder:
         return " ".join([x[0] for x in out]), sum([x[1] for x in out]), " ".join([x[2] for x in out])
 
 
-@lru_cache(maxsize=1)
+@kept
 def encoder_of(path: str) -> WordEncoder:
-    """One for each Python worker, with what it remembers from earlier tasks."""
     return WordEncoder(path)
 
 

@@ -1,8 +1,10 @@
 """Row plumbing the text operators share: Arrow batches in, Arrow rows out."""
 
 import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -61,6 +63,39 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: dict[tuple, object] = {}
+_asked: set[tuple] = set()
+
+
+def kept(build: Callable) -> Callable:
+    """One value for each Python worker and its arguments, with what it remembers from earlier tasks.
+
+    It goes when the worker, which lives on between stages, takes up work that did not ask for it.
+    """
+
+    @wraps(build)
+    def get(*args):
+        key = (build.__module__, build.__qualname__, *args)
+        if key not in _kept:
+            _kept[key] = build(*args)
+        _asked.add(key)
+        return _kept[key]
+
+    return get
+
+
+def made(make: Callable) -> Callable:
+    """What ``make()`` returns; this worker then keeps only what that has asked for."""
+    _asked.clear()
+    work = make()
+    if gone := _kept.keys() - _asked:
+        for key in gone:
+            del _kept[key]
+        gc.collect()
+        give_back()
+    return work
+
+
 def map_rows(df: DataFrame, make: Callable, schema: str, rows: int = 0, last: bool = False) -> DataFrame:
     """Run ``make()`` once a task, then the function it returns on each Arrow batch.
 
@@ -73,9 +108,9 @@ def map_rows(df: DataFrame, make: Callable, schema: str, rows: int = 0, last: bo
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = made(make)
 
-        def made(batch):
+        def answer(batch):
             columns = work(batch)
             own = [columns[f.name] for f in arrow]
             own = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(own, arrow, strict=True)]
@@ -83,9 +118,9 @@ def map_rows(df: DataFrame, make: Callable, schema: str, rows: int = 0, last: bo
 
         for batch in gathered(batches, rows) if rows else pieces(batches):
             if batch.num_rows:
-                yield made(batch)
+                yield answer(batch)
         if last:
-            yield made(None)
+            yield answer(None)
         batch = None
         give_back()
 
@@ -102,10 +137,12 @@ def filter_rows(df: DataFrame, make: Callable) -> DataFrame:
     reach_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = made(make)
         for batch in pieces(batches):
             if batch.num_rows:
                 yield batch.filter(pa.array(work(batch), pa.bool_()))
+        batch = None
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
@@ -119,7 +156,7 @@ def rewrite_texts(df: DataFrame, make: Callable, text_column="text", length_colu
     names, schema = df.columns, df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = made(make)
         for batch in pieces(batches):
             if not batch.num_rows:
                 continue
@@ -131,5 +168,7 @@ def rewrite_texts(df: DataFrame, make: Callable, text_column="text", length_colu
                     old = columns[i].to_pylist()
                     columns[i] = pa.array([o if t is None else value(t) for o, t in zip(old, new, strict=True)], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        batch = columns = new = old = None
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline as pipeline  # noqa: E402
+from logloom.llm import bpe  # noqa: E402
 from logloom.llm.decontaminate import WINDOW  # noqa: E402
+from logloom.llm.rows import made, map_rows  # noqa: E402
 from logloom.llm.secrets import find_secrets  # noqa: E402
 from logloom.session import cut_lineage  # noqa: E402
 from test_corpus_ops import plain_components  # noqa: E402
@@ -98,6 +100,22 @@ def test_one_row_of_each_group_stays(spark):
     assert got == sorted(want, key=str)
 
 
+def test_a_worker_keeps_nothing_that_its_work_does_not_ask_for(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text")).repartition(8)
+    path = public_tokenizers.path(pipeline.VOCABULARY)
+    assert bpe.encode_documents(docs, path).count() == 400
+
+    def make():
+        import gc
+
+        return lambda batch: {"n": [sum(type(o).__name__ == "WordEncoder" for o in gc.get_objects())] * batch.num_rows}
+
+    assert {r["n"] for r in map_rows(docs, make, "n int").distinct().collect()} == {0}
+    bpe.encoder_of(path)
+    again = bpe.encoder_of(path)
+    assert made(lambda: bpe.encoder_of(path)) is again and made(lambda: None) is None and bpe.encoder_of(path) is not again
+
+
 def test_stages_of_an_empty_table(spark, corpus):
     sf, _, _ = corpus
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
