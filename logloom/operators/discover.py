@@ -20,7 +20,11 @@ def _profile(found: DataFrame, order: list) -> DataFrame:
     return found.groupBy("name").agg(
         F.count(F.lit(1)).alias("count"),
         F.min(F.when(value.isNotNull(), F.struct(*order, F.col("value").alias("_value"))))["_value"].alias("value"),
-    ).select("name", "count", F.coalesce(truncate(F.col("value"), SAMPLE_VALUE_CHARS), F.lit("")).alias("sample"))
+    ).select("name", "count", _shown(F.col("value")))
+
+
+def _shown(value: Column) -> Column:
+    return F.coalesce(truncate(value, SAMPLE_VALUE_CHARS), F.lit("")).alias("sample")
 
 
 def _sampled(df: DataFrame, sample: int | None) -> DataFrame:
@@ -49,10 +53,15 @@ def discover_fields(df: DataFrame, sample: int | None = FIELD_SAMPLE) -> DataFra
 
 
 class Shape:
-    """What stands at one place of the records: scalars, an object with members, an array; ``mixed`` if several."""
+    """What stands at one place of the records: scalars, an object with members, an array; ``mixed`` if several.
+
+    ``plain`` says that it is scalars whose text is their own, or null.
+    """
 
-    def __init__(self, members: "dict[str, Shape] | None" = None, element: "Shape | None" = None, mixed: bool = False):
-        self.members, self.element, self.mixed = members, element, mixed
+    def __init__(
+        self, members: "dict[str, Shape] | None" = None, element: "Shape | None" = None, mixed: bool = False, plain: bool = False
+    ):
+        self.members, self.element, self.mixed, self.plain = members, element, mixed, plain
 
     def depth(self) -> int:
         """How deeply objects are nested in it, each array's element included."""
@@ -74,7 +83,7 @@ def shape_of(schema: str) -> Shape:
             element, at = read(at)
             return Shape(element=element), at + 1
         if kind != "OBJECT<":
-            return Shape(mixed=kind == "VARIANT"), at
+            return Shape(mixed=kind == "VARIANT", plain=kind in ("STRING", "BIGINT", "BOOLEAN", "VOID")), at
         members: dict[str, Shape] = {}
         while schema[at] != ">":
             name = _NAME.match(schema, at)
@@ -136,28 +145,50 @@ def merged_shape(docs: DataFrame) -> Shape:
     return shape
 
 
-def leaves_by_path(docs: DataFrame, keep: list[str], shape: Shape) -> DataFrame | None:
-    """``json_leaves``, each path of ``shape`` looked up by itself and all opened at once; None if there are too many."""
+def _leaf_text(place: Shape, at: Place, inside: bool) -> Column:
+    """Text of the leaf at a place, NULL where there is none. An array is a leaf where it is an array's first element.
+
+    A look-up copies what it finds, so nulls are only looked for in records that spell one (``_null``).
+    """
+    value = _variant(at)
+    null = F.when(F.col("_null") & F.is_variant_null(value), F.lit("null"))
+    if place.plain:
+        text = value.try_cast("string") if at[1] == "$" else F.try_variant_get(at[0], at[1], "string")
+        return F.coalesce(text, null)
+    if not place.mixed and (place.members is not None or place.element is not None and not inside):
+        return null
+    kind = json_type(value)
+    is_leaf = ~kind.startswith("OBJECT") if inside else ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
+    return F.when(is_leaf, sample_value(value, kind))
+
+
+def profile_by_path(docs: DataFrame, keep: list[str], shape: Shape) -> DataFrame | None:
+    """``_profile`` of all leaves, each path of ``shape`` looked up by itself; None if there are too many.
+
+    Every path is counted in the one aggregate over the rows, so that no leaf becomes a row of its own
+    and nothing is sorted: a task hands on one row.
+    """
     places = list(itertools.islice(_places(shape, (F.col("_doc"), "$")), PATHS + 1))
     if len(places) > PATHS:
         return None
     entries = []
     for place, at, name, inside in places:
-        value, container = _variant(at), place.members is not None or place.element is not None
-        # Of a place that only holds containers, nothing but a null is a leaf.
-        entries.append((name, value if place.mixed or not container else F.when(F.is_variant_null(value), value), inside, F.lit(False)))
+        entries.append((name, _leaf_text(place, at, inside)))
         if place.element is not None and not inside:
+            value = _variant(at)
             is_array = json_type(value).startswith("ARRAY") if place.mixed else ~F.is_variant_null(value)
-            entries.append((f"{name}[]", F.lit(None).cast("variant"), True, value.isNotNull() & is_array & _variant(_first(at)).isNull()))
+            empty = _variant(_first(at)).isNull() & value.isNotNull() & is_array
+            entries.append((f"{name}[]", F.when(empty, F.lit("(empty array)"))))
     if not entries:
-        return docs.select(*keep, F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value")).limit(0)
-    rows = docs.withColumn("_doc", F.to_variant_object("members"))
-    found = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("doc"), F.lit(i).alias("inside"), e.alias("empty")) for n, v, i, e in entries])
-    there = rows.select(*keep, F.inline(F.filter(found, lambda f: f["doc"].isNotNull() | f["empty"])))
-    typed = there.withColumn("kind", json_type(F.col("doc")))
-    no_leaf = F.col("kind").startswith("OBJECT") | (F.col("kind").startswith("ARRAY") & ~F.col("inside"))
-    text = F.when(F.col("empty"), F.lit("(empty array)")).when(~no_leaf, sample_value(F.col("doc"), F.col("kind")))
-    return typed.select(*keep, "name", text.alias("value")).filter(F.col("value").isNotNull())
+        return docs.select(F.lit("").alias("name"), F.lit(0).cast("bigint").alias("count"), F.lit("").alias("sample")).limit(0)
+    rows = docs.select(*keep, F.col("text").contains("null").alias("_null"), F.to_variant_object("members").alias("_doc"))
+    first = lambda text: F.min(F.when(text != "", F.struct(*keep, text.alias("_value"))))
+    counted = rows.agg(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.count(text).alias("count"), first(text).alias("first")) for name, text in entries
+    ]).alias("paths"))
+    by_name = counted.select(F.inline("paths")).filter(F.col("count") > 0).groupBy("name")
+    totals = by_name.agg(F.sum("count").alias("count"), F.min("first")["_value"].alias("value"))
+    return totals.select("name", "count", _shown(F.col("value")))
 
 
 def _members(value: Column) -> Column:
@@ -206,9 +237,9 @@ def discover_json_paths(
 ) -> DataFrame:
     """(name, count, sample) of the JSON paths in the message, by name.
 
-    One aggregate over the valid objects merges their schemas, which names every path; then
-    each path is looked up in the rows. Records of more than PATHS paths are opened level by
-    level instead. No path is left out and no invalid line counts.
+    One aggregate over the valid objects merges their schemas, which names every path; a second one
+    looks each path up in the rows and counts it. Records of more than PATHS paths are opened level
+    by level instead, a row for each leaf. No path is left out and no invalid line counts.
     """
     ranked, order = _ranks(_sampled(df, sample))
     text = trimmed(F.col(column))
@@ -217,6 +248,7 @@ def discover_json_paths(
     docs = worked_out(read, members=last_value_wins(F.col("read"))).filter(F.col("members").isNotNull())
     keep = docs.columns[: len(order)]
     shape = merged_shape(docs)
-    leaves = leaves_by_path(docs, keep, shape)
-    leaves = json_leaves(docs, keep, max(1, shape.depth())) if leaves is None else leaves
-    return _profile(leaves, [F.col(c) for c in keep]).orderBy("name")
+    out = profile_by_path(docs, keep, shape)
+    if out is None:
+        out = _profile(json_leaves(docs, keep, max(1, shape.depth())), [F.col(c) for c in keep])
+    return out.orderBy("name")

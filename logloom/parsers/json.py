@@ -15,8 +15,12 @@ _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "all
 
 
 def trimmed(line: Column) -> Column:
-    """The line without white space at either end."""
-    return F.btrim(line, F.lit(BLANKS))
+    """The line without white space at either end.
+
+    A line that is an object but for spaces around it needs no search for the other characters.
+    """
+    spaced = F.trim(line)
+    return F.when(spaced.startswith("{") & spaced.endswith("}"), spaced).otherwise(F.btrim(line, F.lit(BLANKS)))
 
 
 def json_object(text: Column) -> Column:

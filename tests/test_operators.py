@@ -379,6 +379,16 @@ def test_json_paths_of_mixed_kinds(entries, monkeypatch, most):
     assert {r["name"]: r["count"] for r in discover_json_paths(df, None).collect()} == plain_paths(MIXED)
 
 
+def test_json_paths_are_counted_in_one_aggregate(entries):
+    """No leaf becomes a row of its own that is sorted by its name."""
+    texts = ['{"a":[[1]],"o":{"p":null,"q":"null"}}', '{"a":[[2],3],"o":null}', '{"a":[],"o":{"p":{"r":1}}}', '{"e":""}', '{"e":"x"}', '{"a":[[]]}']
+    df = discover_json_paths(entries(*[(i, t) for i, t in enumerate(texts)]), None)
+    assert "SortAggregate(key=[]," in df._jdf.queryExecution().sparkPlan().toString()
+    rows = {r["name"]: (r["count"], r["sample"]) for r in df.collect()}
+    assert {n: c for n, (c, _) in rows.items()} == plain_paths(texts)
+    assert rows["a[]"] == (4, "[]") and rows["e"] == (2, "x") and rows["o"] == (1, "null") and rows["o.q"] == (1, "null")
+
+
 def test_json_paths_of_no_records(entries):
     assert discover_json_paths(entries((0, "no json")), None).collect() == []
     assert discover_json_paths(entries((0, "{}")), None).collect() == []
