@@ -10,7 +10,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from logloom.llm import chat, rollup, secrets  # noqa: E402
+from logloom.llm import bpe, chat, rollup, secrets  # noqa: E402
 from logloom.llm.bpe import WordEncoder, encode_documents  # noqa: E402
 from logloom.llm.decontaminate import decontaminate  # noqa: E402
 from logloom.llm.secrets import find_secrets, redact, scan_secrets, written  # noqa: E402
@@ -39,6 +39,29 @@ def test_bpe_is_the_library_s():
         assert ours.encode(text) == (" ".join(map(str, ids)), len(ids), theirs.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_of_many_words_at_once(monkeypatch):
+    """Words of a block go through the automaton together; the memory's size changes no id, and words met again are kept."""
+    from tokenizers import Tokenizer
+
+    theirs, ours = Tokenizer.from_file(BPE), WordEncoder(BPE)
+    random.seed(4)
+    letters = "abeinrstéßΣς你'0½<|endoftext|>!"
+    texts = [" ".join("".join(random.choices(letters, k=random.randint(1, 90))) for _ in range(40)) for _ in range(60)] + ["", "a" * 3000]
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 40)
+    monkeypatch.setattr(bpe, "STEPS_KEPT", 3000)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 700)
+    for encoder in (ours, WordEncoder(BPE)):
+        got = encoder.encode_all(texts)
+        for text, row in zip(texts, got):
+            ids = theirs.encode(text, add_special_tokens=False).ids
+            assert row == (" ".join(map(str, ids)), len(ids), theirs.decode(ids, skip_special_tokens=False))
+    kept = bpe.Remembered(4)
+    kept.put("often", 1)
+    for k in range(50):
+        kept.put(k, k)
+        assert kept.get("often") == 1 and len(kept.new) + len(kept.old) <= 4
+
+
 def test_bpe_rows(docs, spark):
     rows = encode_documents(docs([(1, "Hello there"), (1, "Hello there"), (None, None), (2, ""), (3, " \n ")]), BPE, digests=True).collect()
     assert len(rows) == 5
